@@ -210,7 +210,9 @@ def cosine_distance(a: Column, b: Column, norm_a: Column | None = None,
     )
     dot = F.aggregate(F.map_values(products), F.lit(0.0), lambda s, x: s + x)
     lengths = (norm(a) if norm_a is None else norm_a) * (norm(b) if norm_b is None else norm_b)
-    return F.when(lengths == 0, F.lit(float("nan"))).otherwise(1 - dot / lengths)
+    return F.when(lengths == 0, F.lit(float("nan"))).otherwise(
+        F.greatest(F.lit(0.0), 1 - dot / lengths)
+    )
 
 
 def dense_cosine_distance(a: Column, b: Column) -> Column:
@@ -220,4 +222,6 @@ def dense_cosine_distance(a: Column, b: Column) -> Column:
         return F.aggregate(terms, F.lit(0.0), lambda s, t: s + t)
 
     lengths = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(lengths == 0, F.lit(float("nan"))).otherwise(1 - dot(a, b) / lengths)
+    return F.when(lengths == 0, F.lit(float("nan"))).otherwise(
+        F.greatest(F.lit(0.0), 1 - dot(a, b) / lengths)
+    )

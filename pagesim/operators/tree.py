@@ -80,34 +80,59 @@ def preorder_string(df: DataFrame) -> DataFrame:
     return add_errors(out, _messages(~has_root, NO_STRING))
 
 
-def binary_tree(df: DataFrame) -> DataFrame:
-    """Add ``binary``: per kept node ``pos, tag_id, left_id, right_id`` in document order.
+def _walk(df: DataFrame) -> DataFrame:
+    """Add ``_walk``: the opens (kind 1) and closes (kind 0) of ``tree`` in order."""
+    def events(kind, at, inner, tag_id):
+        return F.transform(
+            "tree",
+            lambda n: F.struct(
+                at(n).alias("at"),
+                F.lit(kind).alias("kind"),
+                inner(n).alias("inner"),
+                n["pos"].alias("pos"),
+                tag_id(n).alias("tag_id"),
+            ),
+        )
 
-    ``left_id`` is the first child's id and ``right_id`` the next sibling's, 0
-    when there is none.
+    opens = events(1, lambda n: n["pos"], lambda n: F.lit(0), lambda n: n["tag_id"])
+    # At one position closes come before the next open, inner elements first.
+    closes = events(
+        0, lambda n: n["end"], lambda n: -n["pos"], lambda n: F.lit(None).cast("int")
+    )
+    return df.withColumn("_walk", F.sort_array(F.concat(opens, closes)))
+
+
+def structural_rows(df: DataFrame, *ids: str) -> DataFrame:
+    """One row per kept node: ids, ``n`` (rank), ``pos``, ``end``, ``depth``, ``tag_id``.
+
+    ``depth`` counts kept ancestors: the node of rank n opens as step t of the
+    walk after t - n closes, so n - (t - n) elements are open around it.
     """
-    opens = F.transform(
-        "tree",
-        lambda n: F.struct(
-            n["pos"].alias("at"),
-            F.lit(1).alias("kind"),
-            F.lit(0).alias("inner"),
-            n["pos"].alias("pos"),
-            n["tag_id"].alias("tag_id"),
-        ),
+    timed = F.transform(
+        "_walk",
+        lambda e, t: F.struct(e["kind"].alias("kind"), t.alias("t")),
     )
-    # At one position closes come before the next open, inner elements first.
-    closes = F.transform(
+    opened = F.filter(timed, lambda e: e["kind"] == 1)
+    depths = F.transform(opened, lambda e, n: 2 * n - e["t"])
+    nodes = F.zip_with(
         "tree",
-        lambda n: F.struct(
-            n["end"].alias("at"),
-            F.lit(0).alias("kind"),
-            (-n["pos"]).alias("inner"),
-            n["pos"].alias("pos"),
-            F.lit(None).cast("int").alias("tag_id"),
+        depths,
+        lambda n, depth: F.struct(
+            n["pos"].alias("pos"), n["end"].alias("end"), depth.alias("depth"),
+            n["tag_id"].alias("tag_id"),
         ),
     )
-    walk = df.withColumn("_walk", F.sort_array(F.concat(opens, closes)))
+    rows = _walk(df).select(*ids, F.posexplode(nodes).alias("n", "node"))
+    return rows.select(*ids, "n", "node.*")
+
+
+def binary_tree(df: DataFrame) -> DataFrame:
+    """Add ``binary``: per kept node ``pos, tag_id, left_id, right_id`` in document order.
+
+    ``left_id`` is the first child's id and ``right_id`` the next sibling's, 0
+    when there is none.
+    """
+    walk = _walk(df)
     steps = F.zip_with(
         "_walk",
         F.expr("slice(_walk, 2, greatest(size(_walk) - 1, 0))"),

@@ -36,3 +36,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = work_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send the package to the Python workers of a session that was started without it."""
+    import os
+    import zipfile
+
+    context = spark.sparkContext
+    if any("pagesim-src" in f for f in (context.listFiles or [])):
+        return spark
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="pagesim-"), "pagesim-src.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, files in os.walk(package):
+            for name in sorted(f for f in files if f.endswith(".py")):
+                full = os.path.join(folder, name)
+                out.write(full, os.path.relpath(full, os.path.dirname(package)))
+    context.addPyFile(archive)
+    return spark

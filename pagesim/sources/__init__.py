@@ -1,0 +1,62 @@
+"""Archive sources and sinks."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from .arc import SUFFIXES as ARC_SUFFIXES, ArcDataSource
+from .warc import SUFFIXES as WARC_SUFFIXES, WarcDataSource
+
+
+def register(spark: SparkSession) -> SparkSession:
+    """Make the ``warc`` and ``arc`` formats known to the session."""
+    spark.dataSource.register(WarcDataSource)
+    spark.dataSource.register(ArcDataSource)
+    return spark
+
+
+def detect_format(path: str) -> str:
+    """``warc`` or ``arc`` by file suffix, else ``unknown``."""
+    if path.endswith(WARC_SUFFIXES):
+        return "warc"
+    return "arc" if path.endswith(ARC_SUFFIXES) else "unknown"
+
+
+def read_archive(spark: SparkSession, path: str, format: str = "auto", **options) -> DataFrame:
+    """Records of one archive file, or of every archive of ``format`` under a folder."""
+    kind = detect_format(path) if format in ("auto", None) else format
+    if kind not in ("warc", "arc"):
+        raise ValueError(f"Don't know how to open {kind!r} files: {path}")
+    return register(spark).read.format(kind).options(**options).load(path)
+
+
+def warc_index(spark: SparkSession, path: str, payload_bytes: int = 1 << 20) -> DataFrame:
+    """Where each record lies: file, offset, size, its columns and the payload's first MiB.
+
+    Offsets count uncompressed bytes.
+    """
+    return read_archive(spark, path, "warc", payloadLimit=str(payload_bytes))
+
+
+def write_warc(df: DataFrame, path: str, mode: str = "append", compression: str = "none"):
+    """Write records (``headers`` map, ``payload``) as WARC files, one per task."""
+    from ..functions.headers import warc_record_bytes
+
+    register(df.sparkSession)
+    records = df.select(warc_record_bytes(F.col("headers"), F.col("payload")).alias("record"))
+    records.write.format("warc").option("compression", compression).mode(mode).save(path)
+
+
+def write_arc(df: DataFrame, path: str, version: int = 2, mode: str = "append", **options):
+    """Write ARC records; columns are the fields of the version, and ``payload``.
+
+    ``length`` is taken from the payload when the column is absent.
+    """
+    from ..functions.headers import arc_header_line, arc_record_bytes
+
+    register(df.sparkSession)
+    fields = {name: F.col(name) for name in df.columns if name != "payload"}
+    fields.setdefault("length", F.octet_length("payload"))
+    record = arc_record_bytes(arc_header_line(fields, version), F.col("payload"))
+    writer = df.select(record.alias("record")).write.format("arc")
+    writer.option("version", str(version)).options(**options).mode(mode).save(path)
