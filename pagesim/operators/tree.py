@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.vocabulary import REFERENCE, Vocabulary
+from ..session import fence
 from .dom import add_errors, parse_html
 
 NO_TREE = "TreeParser: NoneType object"
@@ -233,4 +234,4 @@ def page_features(
     """Pages to ``grams`` and ``vec`` (and ``errors``), one narrow pass."""
     tree = binary_tree(structural_tree(df, html, vocab))
     features = gram_vector(gram_set(structural_grams(tree)), vocab.size)
-    return features.drop("tree", "binary", "gram_list", html)
+    return fence(features.drop("tree", "binary", "gram_list", html))

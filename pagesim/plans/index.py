@@ -86,9 +86,8 @@ def save_index(index: Index, path: str, mode: str = "overwrite"):
 
 def open_index(spark: SparkSession, path: str, bands: int = fn.BANDS, rows: int = fn.ROWS) -> Index:
     """A stored index, as it was built plus every batch appended to it."""
-    return Index(
-        *(_read(spark, path, name, None).drop(BATCH) for name in TABLES), bands, rows
-    )
+    members, sketches, band_rows = (_read(spark, path, name, None).drop(BATCH) for name in TABLES)
+    return Index(members.select("url", "sketch_id", "vec"), sketches, band_rows, bands, rows)
 
 
 def _write(df: DataFrame, path: str, table: str, batch: int, mode: str):

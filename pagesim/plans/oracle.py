@@ -411,7 +411,7 @@ o AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY file, page_id) AS
     count(*) OVER (PARTITION BY site) AS copies FROM s)
 SELECT site AS url, file, page_id AS "offset", copies FROM o WHERE rn = 1""",
     "f7_typed_headers": f"""WITH {WARC} SELECT 'response' AS record_type, record_id, url,
-    NULL AS ip_address, '{ARCHIVE_DATE}' AS date, content_length, checksum FROM w2""",
+    CAST(NULL AS VARCHAR) AS ip_address, '{ARCHIVE_DATE}' AS date, content_length, checksum FROM w2""",
     "t1_html_nodes": HTML_NODES,
     "t2_parse_errors": f"""SELECT 'HtmlParser: Document is empty' AS error, count(*) AS pages
 FROM pages WHERE {MOVED} HAVING count(*) > 0""",

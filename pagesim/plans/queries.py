@@ -538,9 +538,9 @@ def dense_cosine(spark, folder):
     df = _table(spark, folder, "embeddings", "vec_id", "embedding", "label")
     means = (
         df.select("label", F.posexplode("embedding").alias("i", "x"))
-        .groupBy("label", "i").agg(F.avg(F.round(F.col("x").cast("double"), 4).cast("decimal(20,4)")).alias("m"))
+        .groupBy("label", "i").agg(F.avg(F.round(F.col("x").cast("double"), 4)).alias("m"))
         .groupBy("label").agg(F.sort_array(F.collect_list(F.struct("i", "m"))).alias("c"))
-        .select("label", F.transform("c", lambda e: e["m"].cast("double")).alias("centre"))
+        .select("label", F.transform("c", lambda e: e["m"]).alias("centre"))
     )
     joined = df.join(means, "label")
     return joined.select(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..functions.vocabulary import REFERENCE, Vocabulary
 from ..operators import dom, records, tree
+from ..session import fence
 from .stage import Stage
 
 # Labels of the ready-made stages.
@@ -66,7 +67,7 @@ class TreeGrams(Stage):
     def transform(self, df):
         grams = tree.structural_grams(tree.binary_tree(df))
         out = tree.gram_vector(tree.gram_set(grams), self.vocab.size)
-        return out.drop("tree", "binary", "gram_list")
+        return fence(out.drop("tree", "binary", "gram_list"))
 
 
 def feature_stages(vocab: Vocabulary = REFERENCE) -> list[Stage]:

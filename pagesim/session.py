@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -38,11 +40,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fence(df: DataFrame) -> DataFrame:
+    """Keep the columns of ``df`` computed once where a Python UDF reads them.
+
+    When the expressions below and above both hold Python UDFs, Catalyst inlines
+    the ones below into the ones above, once per mention, and a chain of array
+    expressions grows exponentially. A metrics node between the two projections
+    stops that and costs nothing: it stays in the same stage.
+    """
+    return df.observe(f"fence-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"))
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Send the package to the Python workers of a session that was started without it."""
-    import os
-    import zipfile
-
     context = spark.sparkContext
     if any("pagesim-src" in f for f in (context.listFiles or [])):
         return spark
