@@ -193,23 +193,24 @@ def jaccard_exact(a: Column, b: Column) -> Column:
     return F.try_divide(common, F.size(a) + F.size(b) - common)
 
 
-def norm(vec: Column) -> Column:
-    """Euclidean length of a count map."""
-    return F.sqrt(
-        F.aggregate(
-            F.map_values(vec), F.lit(0.0), lambda s, x: s + x.cast("double") * x
-        )
-    )
+def square_sum(vec: Column) -> Column:
+    """Squared Euclidean length of a count map."""
+    return F.aggregate(F.map_values(vec), F.lit(0.0), lambda s, x: s + x.cast("double") * x)
 
 
-def cosine_distance(a: Column, b: Column, norm_a: Column | None = None,
-                    norm_b: Column | None = None) -> Column:
-    """1 - cosine of two count maps; NaN when one is all zero."""
+def cosine_distance(a: Column, b: Column, squares_a: Column | None = None,
+                    squares_b: Column | None = None) -> Column:
+    """1 - cosine of two count maps; NaN when one is all zero.
+
+    ``squares_*`` pass squared lengths that are already known.
+    """
     products = F.map_zip_with(
         a, b, lambda _, x, y: F.coalesce(x.cast("double") * y, F.lit(0.0))
     )
     dot = F.aggregate(F.map_values(products), F.lit(0.0), lambda s, x: s + x)
-    lengths = (norm(a) if norm_a is None else norm_a) * (norm(b) if norm_b is None else norm_b)
+    squares_a = square_sum(a) if squares_a is None else squares_a
+    squares_b = square_sum(b) if squares_b is None else squares_b
+    lengths = F.sqrt(squares_a * squares_b)
     return F.when(lengths == 0, F.lit(float("nan"))).otherwise(
         F.greatest(F.lit(0.0), 1 - dot / lengths)
     )
@@ -221,7 +222,7 @@ def dense_cosine_distance(a: Column, b: Column) -> Column:
         terms = F.zip_with(x, y, lambda p, q: p.cast("double") * q)
         return F.aggregate(terms, F.lit(0.0), lambda s, t: s + t)
 
-    lengths = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    lengths = F.sqrt(dot(a, a) * dot(b, b))
     return F.when(lengths == 0, F.lit(float("nan"))).otherwise(
         F.greatest(F.lit(0.0), 1 - dot(a, b) / lengths)
     )

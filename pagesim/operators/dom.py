@@ -112,7 +112,21 @@ def add_errors(df: DataFrame, errors: Column) -> DataFrame:
 
 def node_rows(df: DataFrame, *ids: str, dom: str = "dom") -> DataFrame:
     """One row per node: ids, pos, end, parent, depth, tag (and attrs when parsed)."""
-    return df.select(*ids, F.inline(dom))
+    return df.select(*ids, F.inline_outer(dom)).filter("tag IS NOT NULL")
+
+
+def array_rows(df: DataFrame, array: Column | str, *ids: str, value: str,
+               position: str | None = None) -> DataFrame:
+    """One row per element of an array without null elements.
+
+    The outer generator keeps Catalyst from filtering on the array's size ahead
+    of the explode, which would compute a costly array a second time.
+    """
+    if position is None:
+        rows = df.select(*ids, F.explode_outer(array).alias(value))
+    else:
+        rows = df.select(*ids, F.posexplode_outer(array).alias(position, value))
+    return rows.filter(F.col(value).isNotNull())
 
 
 def html_nodes(df: DataFrame, *ids: str, html: str = "html", **options) -> DataFrame:
@@ -123,7 +137,7 @@ def html_nodes(df: DataFrame, *ids: str, html: str = "html", **options) -> DataF
 def parse_errors(df: DataFrame) -> DataFrame:
     """How often each message occurs."""
     return (
-        df.select(F.explode("errors").alias("error"))
+        array_rows(df, "errors", value="error")
         .groupBy("error")
         .agg(F.count("*").alias("pages"))
     )

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import sketch as fn
+from ..session import materialize
 from .sketches import band_index, members_table, sketches_table
 
 BUCKET_BLOCK = 512
@@ -37,6 +38,20 @@ def index_tables(features: DataFrame, bands: int = fn.BANDS, rows: int = fn.ROWS
     return Index(kept, sketches, band_index(sketches, bands, rows), bands, rows)
 
 
+def stored_index(features: DataFrame, bands: int = fn.BANDS, rows: int = fn.ROWS,
+                 items: str = "grams") -> Index:
+    """Like :func:`index_tables`, each table written once to the shared work folder.
+
+    For an index that several steps read: features and sketches are computed
+    once, and a lost executor costs no recomputation of what is written.
+    """
+    keep = ["url", items, *(["vec"] if "vec" in features.columns else [])]
+    members = materialize(members_table(features.select(*keep), items), "members")
+    sketches = materialize(sketches_table(members, items), "sketches")
+    band_rows = materialize(band_index(sketches, bands, rows), "bands")
+    return Index(members.drop(items), sketches, band_rows, bands, rows)
+
+
 def candidates(query_bands: DataFrame, bands: DataFrame) -> DataFrame:
     """Distinct ``query_sketch, sketch_id`` pairs that share a band.
 
@@ -68,36 +83,36 @@ def _above(df: DataFrame, column: str, bound: float | None) -> DataFrame:
     return df if bound is None else df.filter(F.col(column) >= bound)
 
 
-def similar_pages(queries: DataFrame, index: Index, min_jaccard: float | None = None,
+def similar_pages(queries: DataFrame | Index, index: Index, min_jaccard: float | None = None,
                   max_cosine: float | None = None, include_self: bool = True,
                   items: str = "grams") -> DataFrame:
     """Pages of the index that share a band with each query page, scored.
 
-    ``queries`` has ``url`` and the features the index was built from. Returns
-    ``query_url, url, jaccard_est, jaccard_exact`` and, with vectors,
+    ``queries`` has ``url`` and the features the index was built from, or is an
+    index itself. Returns ``query_url, url, jaccard_est, jaccard_exact`` and, with vectors,
     ``cosine_distance``. ``include_self`` adds the query itself as ``url*``.
     Without bounds every candidate is returned.
     """
-    with_vec = "vec" in index.members.columns and "vec" in queries.columns
-    query = members_table(queries, items)
-    query_sketches = sketches_table(query, items)
-    query_bands = band_index(query_sketches, index.n_bands, index.n_rows)
+    if not isinstance(queries, Index):
+        queries = stored_index(queries, index.n_bands, index.n_rows, items)
+    query = queries.members
+    with_vec = "vec" in index.members.columns and "vec" in query.columns
     found = score_pairs(
-        candidates(query_bands, index.bands), query_sketches, index.sketches,
+        candidates(queries.bands, index.bands), queries.sketches, index.sketches,
         "query_sketch", "sketch_id", index.n_bands, index.n_rows,
     )
     found = _above(found, "jaccard_est", min_jaccard)
     q = query.select(
         F.col("url").alias("query_url"),
         F.col("sketch_id").alias("query_sketch"),
-        *([F.col("vec").alias("_qv"), fn.norm(F.col("vec")).alias("_qn")] if with_vec else []),
+        *([F.col("vec").alias("_qv"), fn.square_sum(F.col("vec")).alias("_qn")] if with_vec else []),
     )
     hits = found.join(q, "query_sketch").join(index.members, "sketch_id")
     columns = ["query_url", "url", "jaccard_est", "jaccard_exact"]
     if with_vec:
         columns.append("cosine_distance")
         hits = hits.withColumn(
-            "cosine_distance", fn.cosine_distance(F.col("vec"), F.col("_qv"), norm_b=F.col("_qn"))
+            "cosine_distance", fn.cosine_distance(F.col("vec"), F.col("_qv"), squares_b=F.col("_qn"))
         )
     hits = hits.select(*columns)
     if include_self:

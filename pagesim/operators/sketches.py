@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import sketch as fn
+from ..session import fence
+from .dom import array_rows
 
 SET_SEPARATOR = " | "
 
@@ -44,6 +46,18 @@ def minhash_rows(df: DataFrame, id: str, item: str, num_perm: int = fn.NUM_PERM,
     )
 
 
+def minhash_sets(df: DataFrame, items: str = "grams", num_perm: int = fn.NUM_PERM,
+                 seed: int = fn.SEED) -> DataFrame:
+    """Add ``sig``, the MinHash of an array column of strings. No shuffle."""
+    return fence(df).withColumn("sig", fn.minhash(F.col(items), num_perm, seed))
+
+
+def weighted_minhash_vectors(df: DataFrame, vec: str = "vec", num_samples: int = fn.NUM_PERM,
+                             seed: int = fn.SEED) -> DataFrame:
+    """Add ``samples``, the consistent weighted samples of a count map. No shuffle."""
+    return fence(df).withColumn("samples", fn.weighted_minhash(F.col(vec), num_samples, seed))
+
+
 def set_id(items: Column) -> Column:
     """Identity of a set given as a sorted array without duplicates."""
     return F.md5(F.array_join(items, SET_SEPARATOR))
@@ -66,7 +80,6 @@ def sketches_table(members: DataFrame, items: str = "grams") -> DataFrame:
 
 def band_index(sketches: DataFrame, bands: int = fn.BANDS, rows: int = fn.ROWS) -> DataFrame:
     """LSH index rows ``band, band_hash, sketch_id``."""
-    return sketches.select(
-        "sketch_id",
-        F.posexplode(fn.band_hashes(F.col("sig"), bands, rows)).alias("band", "band_hash"),
-    ).select("band", "band_hash", "sketch_id")
+    keys = fn.band_hashes(F.col("sig"), bands, rows)
+    out = array_rows(sketches, keys, "sketch_id", position="band", value="band_hash")
+    return out.select("band", "band_hash", "sketch_id")

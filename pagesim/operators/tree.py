@@ -14,8 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.vocabulary import REFERENCE, Vocabulary
-from ..session import fence
-from .dom import add_errors, parse_html
+from .dom import add_errors, array_rows, node_rows, parse_html
 
 NO_TREE = "TreeParser: NoneType object"
 NO_STRING = "TreeStringify: NoneType object"
@@ -66,7 +65,7 @@ def node_attributes(df: DataFrame, names: Sequence[str] = ("class", "name")) ->
         ),
         lambda p: p["value"] != "",
     )
-    return df.select(*keep, F.inline("dom")).withColumn("attributes", pairs)
+    return node_rows(df, *keep).withColumn("attributes", pairs)
 
 
 def preorder_string(df: DataFrame) -> DataFrame:
@@ -123,7 +122,7 @@ def structural_rows(df: DataFrame, *ids: str) -> DataFrame:
             n["tag_id"].alias("tag_id"),
         ),
     )
-    rows = _walk(df).select(*ids, F.posexplode(nodes).alias("n", "node"))
+    rows = array_rows(_walk(df), nodes, *ids, position="n", value="node")
     return rows.select(*ids, "n", "node.*")
 
 
@@ -234,4 +233,4 @@ def page_features(
     """Pages to ``grams`` and ``vec`` (and ``errors``), one narrow pass."""
     tree = binary_tree(structural_tree(df, html, vocab))
     features = gram_vector(gram_set(structural_grams(tree)), vocab.size)
-    return fence(features.drop("tree", "binary", "gram_list", html))
+    return features.drop("tree", "binary", "gram_list", html)

@@ -359,7 +359,7 @@ def preorder_string(vocab):
 def binary_tree(vocab):
     def query(spark, folder):
         df = tree.binary_tree(page_trees(spark, folder, vocab))
-        rows = df.select("page_id", F.posexplode("binary").alias("n", "b"))
+        rows = dom.array_rows(df, "binary", "page_id", position="n", value="b")
         return rows.select("page_id", "n", "b.tag_id", "b.left_id", "b.right_id")
     return query
 
@@ -377,7 +377,7 @@ def null_trees(spark, folder):
 def structural_grams(vocab):
     def query(spark, folder):
         df = tree.structural_grams(tree.binary_tree(page_trees(spark, folder, vocab)))
-        rows = df.select("page_id", F.explode("gram_list").alias("gram"))
+        rows = dom.array_rows(df, "gram_list", "page_id", value="gram")
         return rows.groupBy("page_id", "gram").agg(F.count("*").alias("times"))
     return query
 
@@ -390,7 +390,8 @@ def gram_set(vocab):
 
 def gram_vector(vocab):
     def query(spark, folder):
-        return features(spark, folder, vocab).select("page_id", F.explode("vec").alias("cell", "times"))
+        rows = features(spark, folder, vocab).select("page_id", F.explode_outer("vec").alias("cell", "times"))
+        return rows.filter("cell IS NOT NULL")
     return query
 
 
@@ -403,24 +404,23 @@ def _sig_text(df, *keys):
 
 def minhash_documents(spark, folder):
     df = shingles(spark, folder)
-    return _sig_text(df.withColumn("sig", fn.minhash(F.col("grams"))), "doc_id")
+    return _sig_text(sketches.minhash_sets(df), "doc_id")
 
 
 def minhash_rows(spark, folder):
     """The row form, on (document, shingle) rows."""
-    items = shingles(spark, folder).select("doc_id", F.explode("grams").alias("item"))
+    items = dom.array_rows(shingles(spark, folder), "grams", "doc_id", value="item")
     return _sig_text(sketches.minhash_rows(items, "doc_id", "item"), "doc_id")
 
 
 def minhash_pages(spark, folder):
-    df = features(spark, folder).withColumn("sig", fn.minhash(F.col("grams")))
-    return _sig_text(df, "page_id")
+    return _sig_text(sketches.minhash_sets(features(spark, folder)), "page_id")
 
 
 def weighted_minhash(spark, folder):
     """Weighted sketches of the pages' count vectors."""
-    df = features(spark, folder).select("page_id", fn.weighted_minhash(F.col("vec")).alias("s"))
-    rows = df.select("page_id", F.posexplode("s").alias("sample", "s"))
+    df = sketches.weighted_minhash_vectors(features(spark, folder))
+    rows = dom.array_rows(df, "samples", "page_id", position="sample", value="s")
     return rows.select("page_id", "sample", F.col("s.dim").alias("dim"), F.col("s.t").alias("t"))
 
 
@@ -451,15 +451,15 @@ def band_index(spark, folder):
 
 def candidates(spark, folder):
     """Documents that share a band: every document looked up among all others' sketches."""
-    idx = lsh.index_tables(shingles(spark, folder))
+    idx = lsh.stored_index(shingles(spark, folder))
     pairs = lsh.candidates(idx.bands, idx.bands)
     return pairs.select("query_sketch", "sketch_id")
 
 
 def similar_documents(spark, folder):
     """Every document as a query against the index of all documents."""
-    docs = shingles(spark, folder).select("url", "grams")
-    found = lsh.similar_pages(docs, lsh.index_tables(docs), MIN_JACCARD, include_self=False)
+    idx = lsh.stored_index(shingles(spark, folder))
+    found = lsh.similar_pages(idx, idx, MIN_JACCARD, include_self=False)
     return found.select(
         "query_url", "url", F.round("jaccard_est", 6).alias("jaccard_est"),
         F.round("jaccard_exact", 6).alias("jaccard_exact"),
@@ -470,7 +470,7 @@ def similar_pages(spark, folder):
     """The pages built like one page (the first by URL), over the whole index."""
     df = features(spark, folder)
     query = df.join(df.agg(F.min("url").alias("url")), "url")
-    found = lsh.similar_pages(query, lsh.index_tables(df), max_cosine=0.5)
+    found = lsh.similar_pages(query, lsh.stored_index(df), max_cosine=0.5)
     return _page_scores(found)
 
 
@@ -485,12 +485,12 @@ def _page_scores(found):
 def first_pages_report(spark, folder):
     """Candidates of the first 11 pages, the report the reference prints."""
     df = features(spark, folder)
-    return _page_scores(lsh.first_pages_report(df, lsh.index_tables(df), 11))
+    return _page_scores(lsh.first_pages_report(df, lsh.stored_index(df), 11))
 
 
 def similar_pairs(spark, folder):
     """All pairs of distinct document sketches, scored; copies are counted, not paired."""
-    idx = lsh.index_tables(shingles(spark, folder))
+    idx = lsh.stored_index(shingles(spark, folder))
     return lsh.similar_pairs(idx, MIN_JACCARD).select(
         "url_a", "url_b", "copies_a", "copies_b",
         F.round("jaccard_est", 6).alias("jaccard_est"),
@@ -499,27 +499,27 @@ def similar_pairs(spark, folder):
 
 
 def cluster_documents(spark, folder):
-    return cluster.cluster_pages(lsh.index_tables(shingles(spark, folder)))
+    return cluster.cluster_pages(lsh.stored_index(shingles(spark, folder)))
 
 
 def cluster_documents_verified(spark, folder):
     """Clusters over pairs whose exact similarity holds."""
-    idx = lsh.index_tables(shingles(spark, folder))
+    idx = lsh.stored_index(shingles(spark, folder))
     return cluster.cluster_pages(idx, lsh.similar_sketches(idx, min_exact=MIN_JACCARD))
 
 
 def cluster_pages(spark, folder):
-    return cluster.cluster_pages(lsh.index_tables(features(spark, folder)))
+    return cluster.cluster_pages(lsh.stored_index(features(spark, folder)))
 
 
 def bucket_contents(spark, folder):
     """Buckets that hold more than one document."""
-    return lsh.buckets(lsh.index_tables(shingles(spark, folder)))
+    return lsh.buckets(lsh.stored_index(shingles(spark, folder)))
 
 
 def jaccard_pages(spark, folder):
     """Scores of each page against the first page (by URL) of its site."""
-    df = features(spark, folder).withColumn("sig", fn.minhash(F.col("grams")))
+    df = sketches.minhash_sets(features(spark, folder))
     df = df.withColumn("site", F.regexp_extract("url", "^https?://([^/]+)/", 1))
     first = df.join(df.groupBy("site").agg(F.min("url").alias("url")), ["site", "url"]).select(
         "site", F.col("grams").alias("g"), F.col("sig").alias("s"), F.col("vec").alias("v")
