@@ -39,32 +39,55 @@ def permutations(num_perm: int = NUM_PERM, seed: int = SEED) -> tuple[np.ndarray
     return np.ascontiguousarray(a), np.ascontiguousarray(b)
 
 
-def item_hash(item: Column) -> Column:
-    """32-bit hash of a string: the first four SHA-1 bytes, little-endian."""
-    digest = F.sha1(item)
-    word = F.concat(*[F.substring(digest, i, 2) for i in (7, 5, 3, 1)])
-    return F.conv(word, 16, 10).cast("bigint")
+def item_word(item: Column) -> Column:
+    """Hash of a string: its first four SHA-1 bytes, read as a little-endian number."""
+    return F.unhex(F.substring(F.sha1(item), 1, 8))
 
 
-def _permute(hashes: np.ndarray, a: np.uint64, b: np.uint64) -> np.ndarray:
-    """((a * h + b) mod 2^64) mod p, low 32 bits; p is 2^61 - 1, so mod p is shift and add."""
-    v = hashes * a
+def read_words(column: pa.Array) -> np.ndarray:
+    """Numbers of an Arrow column of :func:`item_word` values without nulls."""
+    if not len(column):
+        return np.empty(0, dtype=np.uint32)
+    _, offsets, data = column.buffers()
+    first = np.frombuffer(offsets, dtype=np.int32)[column.offset]
+    return np.frombuffer(data, dtype="<u4", count=len(column), offset=first)
+
+
+CHUNK = 1 << 14  # words per pass, so that the passes stay in cache
+
+
+def _permute(words: np.ndarray, a: np.uint64, b: np.uint64) -> np.ndarray:
+    """((a * word + b) mod 2^64) mod p, low 32 bits.
+
+    p is 2^61 - 1, so mod p is a shift and an add, and taking p off once more
+    adds one to the low bits.
+    """
+    v = words * a
     v += b
     v = (v & np.uint64(MERSENNE_PRIME)) + (v >> np.uint64(61))
-    v[v >= np.uint64(MERSENNE_PRIME)] -= np.uint64(MERSENNE_PRIME)
+    v += (v + np.uint64(1)) >> np.uint64(61)
     v &= np.uint64(MAX_HASH)
     return v
 
 
-def min_hashes(hashes: np.ndarray, offsets: np.ndarray, num_perm: int, seed: int) -> np.ndarray:
-    """Signatures (rows x num_perm) of the slices of ``hashes`` that ``offsets`` marks."""
+def min_hashes(words: np.ndarray, offsets: np.ndarray, num_perm: int, seed: int) -> np.ndarray:
+    """Signatures (rows x num_perm) of the slices of ``words`` that ``offsets`` marks."""
     sig = np.full((len(offsets) - 1, num_perm), MAX_HASH, dtype=np.int64)
     filled = np.flatnonzero(np.diff(offsets))
-    if len(filled):
-        starts = offsets[:-1][filled]
-        words = hashes[: offsets[-1]].astype(np.uint64)
-        for i, (a, b) in enumerate(zip(*permutations(num_perm, seed))):
-            sig[filled, i] = np.minimum.reduceat(_permute(words, a, b), starts)
+    starts = offsets[:-1][filled]
+    total = int(offsets[-1])
+    coefficients = list(zip(*permutations(num_perm, seed)))
+    for low in range(0, total, CHUNK):
+        high = min(low + CHUNK, total)
+        chunk = words[low:high].astype(np.uint64)
+        first = np.searchsorted(starts, low, "right") - 1
+        last = np.searchsorted(starts, high, "left")
+        cuts = np.maximum(starts[first:last], low) - low
+        found = np.stack(
+            [np.minimum.reduceat(_permute(chunk, a, b), cuts) for a, b in coefficients], axis=1
+        )
+        rows = filled[first:last]
+        sig[rows] = np.minimum(sig[rows], found.astype(np.int64))
     return sig
 
 
@@ -74,26 +97,19 @@ def _list_column(values: np.ndarray, mask) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(values.ravel()), mask=mask)
 
 
-def minhash_signature(hashes: Column, num_perm: int = NUM_PERM, seed: int = SEED) -> Column:
-    """MinHash of an array of item hashes; an empty array gives the all-maximum signature."""
+def minhash(items: Column, num_perm: int = NUM_PERM, seed: int = SEED) -> Column:
+    """MinHash of an array of strings; an empty array gives the all-maximum signature."""
 
     def sign(batch: pa.Array) -> pa.Array:
-        flat = batch.flatten()
         offsets = np.concatenate(
             [[0], np.cumsum(batch.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]
         ).astype(np.int64)
-        sig = min_hashes(
-            flat.to_numpy(zero_copy_only=False), offsets, num_perm, seed
-        )
+        sig = min_hashes(read_words(batch.flatten()), offsets, num_perm, seed)
         return _list_column(sig, batch.is_null())
 
     sign.__annotations__ = {"batch": pa.Array, "return": pa.Array}
-    return F.arrow_udf(sign, "array<bigint>")(hashes)
-
-
-def minhash(items: Column, num_perm: int = NUM_PERM, seed: int = SEED) -> Column:
-    """MinHash of an array of strings."""
-    return minhash_signature(F.transform(items, item_hash), num_perm, seed)
+    words = F.transform(F.array_compact(items), item_word)
+    return F.arrow_udf(sign, "array<bigint>")(words)
 
 
 @functools.lru_cache(maxsize=1 << 15)

@@ -67,7 +67,10 @@ def score_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, a: str, b:
     """Attach both sketches to sketch pairs; add ``jaccard_est`` and ``jaccard_exact``.
 
     Band keys are 60-bit hashes, so the shared band is checked on the signatures.
+    The pairs are written first: few pairs are then broadcast to a scan of the
+    sketches, many are shuffled to them.
     """
+    pairs = materialize(pairs, "pairs")
     l = left.select(F.col("sketch_id").alias(a), F.col("sig").alias("_sa"), F.col("grams").alias("_ga"))
     r = right.select(F.col("sketch_id").alias(b), F.col("sig").alias("_sb"), F.col("grams").alias("_gb"))
     both = pairs.join(l, a).join(r, b)
@@ -107,7 +110,8 @@ def similar_pages(queries: DataFrame | Index, index: Index, min_jaccard: float |
         F.col("sketch_id").alias("query_sketch"),
         *([F.col("vec").alias("_qv"), fn.square_sum(F.col("vec")).alias("_qn")] if with_vec else []),
     )
-    hits = found.join(q, "query_sketch").join(index.members, "sketch_id")
+    # Written for its size too: the member table is the large one.
+    hits = materialize(found.join(q, "query_sketch"), "found").join(index.members, "sketch_id")
     columns = ["query_url", "url", "jaccard_est", "jaccard_exact"]
     if with_vec:
         columns.append("cosine_distance")

@@ -27,7 +27,7 @@ def minhash_rows(df: DataFrame, id: str, item: str, num_perm: int = fn.NUM_PERM,
                 batch.column(0).to_numpy(zero_copy_only=False), return_inverse=True
             )
             order = np.argsort(codes, kind="stable")
-            words = batch.column(1).to_numpy(zero_copy_only=False)[order]
+            words = fn.read_words(batch.column(1))[order]
             offsets = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=len(ids)))])
             sig = fn.min_hashes(words, offsets, num_perm, seed)
             yield pa.RecordBatch.from_arrays(
@@ -36,7 +36,7 @@ def minhash_rows(df: DataFrame, id: str, item: str, num_perm: int = fn.NUM_PERM,
             )
 
     kind = df.schema[id].dataType.simpleString()
-    hashed = df.select(F.col(id).alias("id"), fn.item_hash(F.col(item)).alias("h"))
+    hashed = df.select(F.col(id).alias("id"), fn.item_word(F.col(item)).alias("h")).filter("h IS NOT NULL")
     parts = hashed.mapInArrow(partial, f"id {kind}, sig array<bigint>")
     merged = parts.groupBy("id").agg(
         *[F.min(F.get(F.col("sig"), F.lit(i))).alias(f"_{i}") for i in range(num_perm)]

@@ -56,9 +56,13 @@ def page_table(features: DataFrame, order: tuple[str, ...] = ("url",)) -> DataFr
 
 def build_index(pages: DataFrame, path: str, vocab: Vocabulary = REFERENCE,
                 bands: int = fn.BANDS, rows: int = fn.ROWS,
-                order: tuple[str, ...] = ("url",), observation: Observation | None = None) -> Index:
+                order: tuple[str, ...] | None = None,
+                observation: Observation | None = None) -> Index:
     """Pages (``url, html``, extracted or a plain table) to a stored index.
 
+    Of several pages with one URL the first in ``order`` counts: file and
+    offset when the pages come from archives.
+
     Pages are read and parsed once: the member table is written first, and the
     distinct sketches and their bands come from reading it back.
     """
@@ -68,6 +72,8 @@ def build_index(pages: DataFrame, path: str, vocab: Vocabulary = REFERENCE,
     features = chain(pages, *feature_stages(vocab))
     if observation is not None:
         features = ingest_counters(features, observation)
+    if order is None:
+        order = tuple(c for c in ("file", "offset") if c in pages.columns) or ("url",)
     members = members_table(page_table(features, order)).select(
         "url", "sketch_id", "grams", "vec", "errors"
     )

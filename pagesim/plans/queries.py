@@ -565,7 +565,7 @@ def archive_ingest(spark, folder):
     """Archive files to a stored index: scan, extract, parse, sketch, band."""
     path = _warc_folder(spark, folder, "gzip")
     found = store.archive_pages(spark, path, "warc", min_length=MIN_LENGTH)
-    idx = store.build_index(found, work_dir(spark, "index"), BLOCK, order=("url",))
+    idx = store.build_index(found, work_dir(spark, "index"), BLOCK)
     return _index_rows(idx)
 
 

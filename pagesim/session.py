@@ -19,12 +19,23 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_local_roots: dict[str, str] = {}
+
+
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a new one where it is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Where it is unset a local session gets a temporary folder; a cluster has to
+    name a folder that all its machines see.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="pagesim-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
+        root = _local_roots.setdefault(
+            context.applicationId, tempfile.mkdtemp(prefix="pagesim-")
+        )
     return root.rstrip("/")
 
 
@@ -34,7 +45,12 @@ def work_dir(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts its lineage."""
+    """Write ``df`` to the shared folder and read it back.
+
+    It cuts the lineage, lets several readers share one computation, and gives
+    the planner the true size, so that a join after it broadcasts or shuffles
+    by what is really there.
+    """
     path = work_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,7 +9,8 @@ from .warc import SUFFIXES as WARC_SUFFIXES, WarcDataSource
 
 
 def register(spark: SparkSession) -> SparkSession:
-    """Make the ``warc`` and ``arc`` formats known to the session."""
+    """Make the ``warc`` and ``arc`` formats known to the session, filters pushed down."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcDataSource)
     spark.dataSource.register(ArcDataSource)
     return spark

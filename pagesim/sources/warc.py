@@ -16,6 +16,7 @@ from pyspark.sql.datasource import (
     EqualTo,
     GreaterThan,
     GreaterThanOrEqual,
+    IsNotNull,
 )
 
 from .files import ByteReader, FilePartition, StagedFiles, Written, list_files, record_batches
@@ -93,12 +94,15 @@ class WarcReader(DataSourceReader):
         self.payload_limit = int(options.get("payloadLimit", -1))
         self.record_type = None
         self.longer_than = None
+        self.present = set()
 
     def pushFilters(self, filters):
         """Take over type equality and a lower bound on the length, so that the
         payload of a record that fails them is passed over and not read."""
         for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("record_type",) and (
+            if isinstance(f, IsNotNull) and f.attribute in (("record_type",), ("content_length",)):
+                self.present.add(f.attribute[0])
+            elif isinstance(f, EqualTo) and f.attribute == ("record_type",) and (
                 self.record_type in (None, f.value)
             ):
                 self.record_type = f.value
@@ -115,6 +119,10 @@ class WarcReader(DataSourceReader):
         return [FilePartition(path) for path, _ in files]
 
     def _wanted(self, kind, length):
+        if kind is None and "record_type" in self.present:
+            return False
+        if length is None and "content_length" in self.present:
+            return False
         return (self.record_type is None or kind == self.record_type) and (
             self.longer_than is None or (length is not None and length > self.longer_than)
         )

@@ -19,6 +19,7 @@ from ..operators.sketches import band_index, members_table, sketches_table
 from ..plans import index as store
 from ..plans.stage import chain
 from ..plans.stages import feature_stages
+from ..session import materialize
 
 
 def stored_before(spark: SparkSession, path: str, batch: int, table: str) -> DataFrame:
@@ -33,6 +34,17 @@ def stored_before(spark: SparkSession, path: str, batch: int, table: str) -> Dat
     return stored.filter(F.col(store.BATCH) < batch).drop(store.BATCH)
 
 
+def not_stored(fresh: DataFrame, stored: DataFrame, key: str) -> DataFrame:
+    """Rows of ``fresh``, a table just written, whose key is not stored yet.
+
+    The stored keys are cut to the batch's before the anti join. ``fresh`` has a
+    known size, so a small batch is broadcast to the scan of the stored keys and
+    these are not shuffled; a large one is joined by shuffle.
+    """
+    hits = stored.select(key).join(fresh.select(key).distinct(), key, "left_semi")
+    return fresh.join(hits, key, "left_anti")
+
+
 def index_batch(pages: DataFrame, batch: int, path: str, vocab: Vocabulary = REFERENCE,
                 bands: int = fn.BANDS, rows: int = fn.ROWS) -> DataFrame:
     """Add one batch of pages to the index at ``path``; returns the members it added.
@@ -44,15 +56,16 @@ def index_batch(pages: DataFrame, batch: int, path: str, vocab: Vocabulary = REF
     if "transformations" not in pages.columns:
         pages = records.pages_as_records(pages)
     features = store.page_table(chain(pages, *feature_stages(vocab)))
-    known = stored_before(spark, path, batch, "members").select("url")
-    members = members_table(features.join(known, "url", "left_anti"))
+    fresh = materialize(members_table(features), "batch")
+    members = not_stored(fresh, stored_before(spark, path, batch, "members"), "url")
     store._write(
         members.select("url", "sketch_id", "grams", "vec", "errors"),
         path, "members", batch, "overwrite",
     )
     added = spark.read.schema(store.MEMBERS).parquet(f"{path}/members/{store.BATCH}={batch}")
-    old = stored_before(spark, path, batch, "sketches").select("sketch_id")
-    new = added.select("sketch_id", "grams").distinct().join(old, "sketch_id", "left_anti")
+    new = not_stored(
+        added.select("sketch_id", "grams"), stored_before(spark, path, batch, "sketches"), "sketch_id"
+    )
     store._write(sketches_table(new), path, "sketches", batch, "overwrite")
     sketches = spark.read.schema(store.SKETCHES).parquet(f"{path}/sketches/{store.BATCH}={batch}")
     store._write(band_index(sketches, bands, rows), path, "bands", batch, "overwrite")

@@ -117,3 +117,15 @@ def test_node_rows_of_documents_cover_all_items(spark, folder):
     df = q.shingles(spark, folder)
     rows = dom.array_rows(df, "grams", "doc_id", value="item").count()
     assert rows == df.agg(F.sum(F.size("grams"))).first()[0]
+
+
+def test_long_and_empty_sets_across_chunks():
+    rng = np.random.default_rng(1)
+    sizes = [0, 3, 0, 40000, 1, 0, 17000, 16384, 0]
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    words = rng.integers(0, 2**32, offsets[-1], dtype=np.uint32)
+    got = fn.min_hashes(words, offsets, 8, 12)
+    for i, (a, b) in enumerate(zip(*fn.permutations(8, 12))):
+        for row, (lo, hi) in enumerate(zip(offsets, offsets[1:])):
+            exact = [((int(a) * int(w) + int(b)) % 2**64) % fn.MERSENNE_PRIME % 2**32 for w in words[lo:hi]]
+            assert got[row, i] == min(exact, default=fn.MAX_HASH)
