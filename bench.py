@@ -39,10 +39,11 @@ def main():
     )
     spark.sparkContext.setLogLevel("ERROR")
     ship(configure(spark))
-    # Start the JVM's and the Python workers' code paths before the clock runs.
-    run(q.minhash_documents(spark, FOLDER.replace(os.path.basename(FOLDER), "sf0.001"))
-        if os.path.isdir(FOLDER.replace(os.path.basename(FOLDER), "sf0.001"))
-        else q.minhash_documents(spark, FOLDER))
+    # Session start-up (Python workers of every kind) before the clock runs.
+    small = os.path.join(os.path.dirname(FOLDER), "sf0.001")
+    small = small if os.path.isdir(small) else FOLDER
+    run(q.minhash_documents(spark, small))
+    run(q.warc_scan(spark, small))
 
     times = {}
 

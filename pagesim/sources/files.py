@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import gzip
 import io
 import re
 import uuid
+import zlib
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -42,6 +42,9 @@ def list_files(path: str, suffixes: tuple[str, ...]) -> list[tuple[str, int]]:
     return sorted(names)
 
 
+READ_ERRORS = (ValueError, EOFError, zlib.error)
+
+
 @dataclass
 class FilePartition(InputPartition):
     """One archive file, the unit of a scan."""
@@ -49,6 +52,45 @@ class FilePartition(InputPartition):
     path: str
 
 
+class GzipMembers(io.RawIOBase):
+    """Plain bytes of a gzip stream; ``starts`` maps where a member's plain bytes
+    begin to where the member begins in the file."""
+
+    def __init__(self, raw):
+        self._raw, self._data, self._member = raw, b"", None
+        self._plain = self._packed = 0
+        self.starts: dict[int, int] = {}
+
+    def readable(self):
+        return True
+
+    def readinto(self, view):
+        while True:
+            if not self._data:
+                self._data = self._raw.read(1 << 18)
+                if not self._data:
+                    if self._member is not None:
+                        raise EOFError("Compressed file ends within a member")
+                    return 0
+            if self._member is None:
+                self._member = zlib.decompressobj(31)
+                self.starts[self._plain] = self._packed
+            out = self._member.decompress(self._data, len(view))
+            rest = self._member.unused_data if self._member.eof else self._member.unconsumed_tail
+            self._packed += len(self._data) - len(rest)
+            self._data = rest
+            if self._member.eof:
+                self._member = None
+            if out:
+                view[: len(out)] = out
+                self._plain += len(out)
+                return len(out)
+
+    def close(self):
+        self._raw.close()
+        super().close()
+
+
 class ByteReader:
     """Lines and byte runs of a plain or gzip file, with the uncompressed offset."""
 
@@ -60,12 +102,17 @@ class ByteReader:
             if self.seekable
             else filesystem.open_input_stream(name, compression=None)
         )
-        self._file = (
-            io.BufferedReader(raw, 1 << 20) if self.seekable else gzip.GzipFile(fileobj=raw)
-        )
-        self._raw = raw
+        self._raw = raw if self.seekable else GzipMembers(raw)
+        self._file = io.BufferedReader(self._raw, 1 << 20)
         self.offset = 0
 
+    def member_offset(self, offset: int) -> int | None:
+        """Where the gzip member begins whose plain bytes begin at ``offset``.
+
+        Known once bytes from there on have been read; None for a plain file.
+        """
+        return None if self.seekable else self._raw.starts.pop(offset, None)
+
     def line(self) -> bytes:
         data = self._file.readline()
         self.offset += len(data)

@@ -46,6 +46,11 @@ def test_many_records_in_members_and_index(spark, tmp_path):
     rows = warc_index(spark, str(path), payload_bytes=4).orderBy("offset").collect()
     assert [r.offset for r in rows] == [i * len(RECORD) for i in range(5)]
     assert all(bytes(r.payload) == b"Hell" and r.size == len(RECORD) for r in rows)
+    data = path.read_bytes()
+    for r in rows:
+        assert gzip.decompress(data[r.member_offset:])[: r.size] == RECORD
+    whole = save(tmp_path, "whole.warc.gz", RECORD * 2)
+    assert [r.member_offset for r in warc_index(spark, whole).orderBy("offset").collect()] == [0, None]
 
 
 def test_empty_file_and_folder_rules(spark, tmp_path):
@@ -71,6 +76,15 @@ def test_bad_records(spark, tmp_path, data, message):
     assert rows[1].offset == len(RECORD)
 
 
+def test_cut_gzip_file(spark, tmp_path):
+    path = tmp_path / "cut.warc.gz"
+    path.write_bytes((gzip.compress(RECORD) + gzip.compress(RECORD))[:-20])
+    rows = read_archive(spark, str(path), mode="PERMISSIVE").orderBy("offset").collect()
+    assert [r.error is None for r in rows] == [True, False]
+    with pytest.raises(Exception, match="ends within a member|at 3"):
+        read_archive(spark, str(path)).collect()
+
+
 def test_header_line_across_a_read_boundary(spark, tmp_path):
     long = RECORD.replace(b"WARC-Type:", b"X-Pad: " + b"p" * 1000 + b"\r\nWARC-Type:")
     r = read_archive(spark, save(tmp_path, "long.warc.gz", long)).first()
