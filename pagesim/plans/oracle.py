@@ -445,6 +445,7 @@ FROM pages WHERE {MOVED} HAVING count(*) > 0""",
     "r2_stream_unique_urls": "SELECT url, CAST(1 AS BIGINT) AS times FROM pages",
     "r3_stream_similar": "SELECT url AS query_url, CAST(1 AS BIGINT) AS self_hits FROM pages",
 }
+ORACLE["r1_stream_archives"] = ORACLE["p5_archive_ingest"]
 for _name in VOCABULARIES:
     ORACLE[f"t3_structural_nodes_{_name}"] = structural_nodes(_name)
     ORACLE[f"t5_preorder_string_{_name}"] = preorder_string(_name)

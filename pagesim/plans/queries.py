@@ -597,6 +597,16 @@ def stream_index(spark, folder):
     return _index_rows(store.open_index(spark, path))
 
 
+def stream_archives(spark, folder):
+    """Archive files indexed as they arrive, three to a batch."""
+    path, check = work_dir(spark, "index"), work_dir(spark, "progress")
+    incoming = _warc_folder(spark, folder, "gzip")
+    stream.stream_archives(
+        spark, incoming, path, check, MIN_LENGTH, files_per_batch=3, vocab=BLOCK
+    ).awaitTermination()
+    return _index_rows(store.open_index(spark, path))
+
+
 def stream_unique_urls(spark, folder):
     """Every page arrives in two streams; the second adds nothing."""
     path = work_dir(spark, "index")
@@ -679,6 +689,7 @@ QUERIES = {
     "p5_build_index": saved_index,
     "p5_archive_ingest": archive_ingest,
     "r1_stream_index": stream_index,
+    "r1_stream_archives": stream_archives,
     "r2_stream_unique_urls": stream_unique_urls,
     "r3_stream_similar": stream_similar,
 }

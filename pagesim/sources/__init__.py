@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .arc import SUFFIXES as ARC_SUFFIXES, ArcDataSource
@@ -23,12 +25,17 @@ def detect_format(path: str) -> str:
     return "arc" if path.endswith(ARC_SUFFIXES) else "unknown"
 
 
-def read_archive(spark: SparkSession, path: str, format: str = "auto", **options) -> DataFrame:
-    """Records of one archive file, or of every archive of ``format`` under a folder."""
-    kind = detect_format(path) if format in ("auto", None) else format
-    if kind not in ("warc", "arc"):
-        raise ValueError(f"Don't know how to open {kind!r} files: {path}")
-    return register(spark).read.format(kind).options(**options).load(path)
+def read_archive(spark: SparkSession, path: str | list[str], format: str = "auto",
+                 **options) -> DataFrame:
+    """Records of one archive file, a list of files, or every archive of ``format`` under a folder."""
+    files = [path] if isinstance(path, str) else list(path)
+    kinds = {detect_format(f) for f in files} if format in ("auto", None) else {format}
+    if len(kinds) != 1 or not kinds <= {"warc", "arc"}:
+        raise ValueError(f"Don't know how to open {sorted(kinds)} files: {path}")
+    reader = register(spark).read.format(kinds.pop()).options(**options)
+    if isinstance(path, str):
+        return reader.load(path)
+    return reader.option("pathList", json.dumps(files)).load()
 
 
 def warc_index(spark: SparkSession, path: str, payload_bytes: int = 1 << 20) -> DataFrame:

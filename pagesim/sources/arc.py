@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader
 
-from .files import READ_ERRORS, ByteReader, FilePartition, StagedFiles, Written, list_files, record_batches
+from .files import READ_ERRORS, ByteReader, FilePartition, StagedFiles, Written, input_files, record_batches
 
 SUFFIXES = (".arc", ".arc.gz")
 # Fixed values ---------------------------------------------------------------
@@ -88,7 +88,7 @@ def _fields(line: bytes, version: int) -> dict[str, str]:
 
 class ArcReader(DataSourceReader):
     def __init__(self, options):
-        self.path = options["path"]
+        self.options = options
         self.failfast = options.get("mode", "FAILFAST").upper() != "PERMISSIVE"
         wanted = options.get("version")
         self.version = int(wanted) if wanted else None
@@ -96,7 +96,7 @@ class ArcReader(DataSourceReader):
             raise ValueError("ARC version has to be 1 or 2")
 
     def partitions(self):
-        return [FilePartition(path) for path, _ in list_files(self.path, SUFFIXES)]
+        return [FilePartition(path) for path in input_files(self.options, SUFFIXES)]
 
     def _file_header(self, data: ByteReader):
         """Version, file headers and free text of the leading filedesc record."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import re
 import uuid
 import zlib
@@ -45,6 +46,13 @@ def list_files(path: str, suffixes: tuple[str, ...]) -> list[tuple[str, int]]:
 READ_ERRORS = (ValueError, EOFError, zlib.error)
 
 
+def input_files(options: dict, suffixes: tuple[str, ...]) -> list[str]:
+    """Files a scan reads: those under ``path``, or exactly those of ``pathList`` (JSON)."""
+    if "pathList" in options:
+        return json.loads(options["pathList"])
+    return [path for path, _ in list_files(options["path"], suffixes)]
+
+
 @dataclass
 class FilePartition(InputPartition):
     """One archive file, the unit of a scan."""

@@ -19,7 +19,7 @@ from pyspark.sql.datasource import (
     IsNotNull,
 )
 
-from .files import READ_ERRORS, ByteReader, FilePartition, StagedFiles, Written, list_files, record_batches
+from .files import READ_ERRORS, ByteReader, FilePartition, StagedFiles, Written, input_files, record_batches
 
 SUFFIXES = (".warc", ".warc.gz")
 # Fixed values ---------------------------------------------------------------
@@ -89,7 +89,7 @@ def _read_headers(data: ByteReader):
 
 class WarcReader(DataSourceReader):
     def __init__(self, options):
-        self.path = options["path"]
+        self.options = options
         self.failfast = options.get("mode", "FAILFAST").upper() != "PERMISSIVE"
         self.with_payload = options.get("payload", "true").lower() == "true"
         self.payload_limit = int(options.get("payloadLimit", -1))
@@ -116,8 +116,7 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self):
-        files = list_files(self.path, SUFFIXES)
-        return [FilePartition(path) for path, _ in files]
+        return [FilePartition(path) for path in input_files(self.options, SUFFIXES)]
 
     def _wanted(self, kind, length):
         if kind is None and "record_type" in self.present:

@@ -20,6 +20,9 @@ from ..plans import index as store
 from ..plans.stage import chain
 from ..plans.stages import feature_stages
 from ..session import materialize
+from ..sources import read_archive
+
+FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def stored_before(spark: SparkSession, path: str, batch: int, table: str) -> DataFrame:
@@ -55,7 +58,8 @@ def index_batch(pages: DataFrame, batch: int, path: str, vocab: Vocabulary = REF
     spark = pages.sparkSession
     if "transformations" not in pages.columns:
         pages = records.pages_as_records(pages)
-    features = store.page_table(chain(pages, *feature_stages(vocab)))
+    order = tuple(c for c in ("file", "offset") if c in pages.columns) or ("url",)
+    features = store.page_table(chain(pages, *feature_stages(vocab)), order)
     fresh = materialize(members_table(features), "batch")
     members = not_stored(fresh, stored_before(spark, path, batch, "members"), "url")
     store._write(
@@ -90,6 +94,35 @@ def stream_index(pages: DataFrame, path: str, checkpoint: str, vocab: Vocabulary
     )
 
 
+def stream_archives(spark: SparkSession, folder: str, path: str, checkpoint: str,
+                    min_length: int = records.MIN_LENGTH, files_per_batch: int = 100,
+                    vocab: Vocabulary = REFERENCE, bands: int = fn.BANDS,
+                    rows: int = fn.ROWS) -> StreamingQuery:
+    """Index WARC files as they land in a folder, ``files_per_batch`` at a time.
+
+    Spark's file stream keeps the log of files it has handed out; only their
+    names pass through it, and the archive scan reads the records in parallel.
+    """
+    names = (
+        spark.readStream.format("binaryFile").schema(FILE_SCHEMA)
+        .option("pathGlobFilter", "*.{warc,warc.gz}")
+        .option("maxFilesPerTrigger", files_per_batch)
+        .load(folder).select("path")
+    )
+
+    def step(batch_df: DataFrame, batch: int):
+        files = [r.path for r in batch_df.collect()]  # at most files_per_batch names
+        found = records.extract_html(read_archive(spark, files, "warc"), min_length)
+        index_batch(found, batch, path, vocab, bands, rows)
+
+    return (
+        names.writeStream.foreachBatch(step)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def stream_similar(pages: DataFrame, path: str, results: str, checkpoint: str,
                    vocab: Vocabulary = REFERENCE, min_jaccard: float | None = None,
                    bands: int = fn.BANDS, rows: int = fn.ROWS) -> StreamingQuery:

@@ -267,3 +267,10 @@ def test_archive_pages_cap(spark, folder, tmp_path):
     every = store.archive_pages(spark, path, "warc", min_length=0)
     assert every.count() == 50
     assert store.archive_pages(spark, path, "warc", min_length=0, max_records=7).count() == 7
+
+
+def test_list_of_files(spark, tmp_path):
+    paths = [save(tmp_path, n, RECORD * 2) for n in ("a.warc", "b.warc.gz", "c.warc")]
+    assert read_archive(spark, paths[:2]).count() == 4
+    with pytest.raises(ValueError):
+        read_archive(spark, [paths[0], "x.arc"])

@@ -111,3 +111,17 @@ def test_query_matches_its_sql(spark, folder):
         names = [d[0] for d in cur.description]
         theirs = sorted(tuple(dict(zip(names, r))[c] for c in cols) for r in cur.fetchall())
         assert mine == theirs, key
+
+
+def test_archives_stream_in_like_one_batch(spark, folder):
+    source = q._warc_folder(spark, folder, "gzip")
+    path, check = work_dir(spark, "index"), work_dir(spark, "progress")
+    run = lambda: ingest.stream_archives(
+        spark, source, path, check, min_length=0, files_per_batch=2, vocab=q.BLOCK).awaitTermination()
+    run()
+    first = store.open_index(spark, path).members
+    assert first.count() == 50
+    run()  # nothing new
+    assert store.open_index(spark, path).members.count() == 50
+    whole = store.build_index(store.archive_pages(spark, source, "warc", min_length=0), work_dir(spark, "i"), q.BLOCK)
+    assert first.select("url", "sketch_id").exceptAll(whole.members.select("url", "sketch_id")).count() == 0
