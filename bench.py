@@ -11,10 +11,9 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import SparkSession, functions as F
+from pyspark.sql import SparkSession
 
-from pagesim.functions import sketch as fn
-from pagesim.operators import cluster, lsh
+from pagesim.operators import lsh
 from pagesim.plans import index as store, queries as q
 from pagesim.session import configure, ship, work_dir
 from pagesim.sources import read_archive

@@ -7,6 +7,7 @@ document order and the position just past its last descendant.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 
 # Fixed values ---------------------------------------------------------------
 VOID_TAGS = frozenset(
@@ -14,6 +15,7 @@ VOID_TAGS = frozenset(
     "source track wbr".split()
 )
 HEAD_TAGS = frozenset("base link meta script style title".split())
+PAGE_TAGS = frozenset(("html", "head", "body"))
 FRAME_TAGS = frozenset("frame frameset noframes".split())
 # Tags that make a multi-element fragment a "div" rather than a "span".
 BLOCK_TAGS = frozenset(
@@ -78,6 +80,7 @@ class _Builder:
     def __init__(self, attr_names):
         self.nodes = Nodes()
         self.stack = []  # (tag, position) of open elements
+        self.open = defaultdict(int)  # how many of each tag are open
         self.names = attr_names
         self.body = None
         self.body_text = False
@@ -92,13 +95,15 @@ class _Builder:
             nodes.attrs.append(_attributes(attrs, self.names))
         if not leaf:
             self.stack.append((tag, pos))
+            self.open[tag] += 1
         return pos
 
     def cut(self, level):
         """Close every open element from stack index ``level`` up."""
         end = len(self.nodes.tag)
-        for _, pos in self.stack[level:]:
+        for tag, pos in self.stack[level:]:
             self.nodes.end[pos] = end
+            self.open[tag] -= 1
         del self.stack[level:]
 
     def imply(self, tag):
@@ -135,15 +140,19 @@ class _Builder:
             self.body_text = True
 
     def start(self, tag, attrs, closed):
-        if not self.imply(tag):
+        if (self.body is None or tag in PAGE_TAGS) and not self.imply(tag):
             return
-        ends = IMPLIED_ENDS.get(tag)
-        if ends:
+        ends, left = IMPLIED_ENDS.get(tag, ()), 0
+        for name in ends:
+            left += self.open[name]
+        if left:
             level = None
             for i in range(len(self.stack) - 1, 0, -1):
                 name = self.stack[i][0]
                 if name in ends:
-                    level = i
+                    level, left = i, left - 1
+                    if not left:
+                        break
                 elif name in SCOPE_TAGS:
                     break
             if level is not None:
@@ -151,7 +160,8 @@ class _Builder:
         self.add(tag, attrs, leaf=closed or tag in VOID_TAGS)
 
     def finish(self, tag):
-        if tag in ("html", "body"):  # later content still belongs to the body
+        # Content after the end of html or body still belongs to the body.
+        if tag in ("html", "body") or not self.open[tag]:
             return
         rank = END_RANK.get(tag, 100)
         for i in range(len(self.stack) - 1, 0, -1):
@@ -173,21 +183,23 @@ def _attributes(text, names):
 def parse(html: str, attr_names=()) -> Nodes:
     """Nodes of a page; no nodes when the document is empty."""
     page = _Builder(attr_names)
+    stack, start, finish = page.stack, page.start, page.finish
     last = 0
-    for m in _TOKEN.finditer(html):
-        at_top = len(page.stack) < 3
-        if at_top and m.start() > last and not html[last:m.start()].isspace():
+    # No tag ends after the last ">", so no match needs to look further.
+    for m in _TOKEN.finditer(html, 0, html.rfind(">") + 1):
+        begin, end = m.span()
+        if len(stack) < 3 and begin > last and not html[last:begin].isspace():
             page.text()
-        last = m.end()
+        last = end
         kind = m.lastgroup
         if kind == "attrs":
-            tag, attrs = m["start"].lower(), m["attrs"]
-            page.start(tag, attrs, attrs.endswith("/"))
+            tag, attrs = m.group("start", "attrs")
+            start(tag.lower(), attrs, attrs.endswith("/"))
         elif kind == "end":
-            page.finish(m["end"].lower())
+            finish(m["end"].lower())
         elif m["raw"]:
             page.start(m["raw"].lower(), m["rawattrs"], True)
-        elif page.stack and html.startswith("<!--", m.start()):
+        elif stack and html.startswith("<!--", begin):
             page.add("#comment", leaf=True)
     if html[last:].strip() and len(page.stack) < 3:
         page.text()

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from ..functions import sketch as fn
 from ..functions.vocabulary import REFERENCE, Vocabulary
 from ..operators import records
-from ..operators.lsh import Index, index_tables
+from ..operators.lsh import Index
 from ..operators.sketches import band_index, members_table, sketches_table
 from ..sources import read_archive
 from .stage import chain
@@ -15,6 +16,7 @@ from .stages import feature_stages
 
 BATCH = "batch"
 TABLES = ("members", "sketches", "bands")
+SETTINGS = "settings"  # bands and rows the index was banded with
 BUILT = -1  # batch number of rows written by build_index and save_index
 MEMBERS = "url string, sketch_id string, grams array<string>, vec map<int,bigint>, errors array<string>"
 SKETCHES = "sketch_id string, grams array<string>, sig array<bigint>"
@@ -67,6 +69,7 @@ def build_index(pages: DataFrame, path: str, vocab: Vocabulary = REFERENCE,
     distinct sketches and their bands come from reading it back.
     """
     spark = pages.sparkSession
+    write_settings(spark, path, bands, rows)
     if "transformations" not in pages.columns:
         pages = records.pages_as_records(pages)
     features = chain(pages, *feature_stages(vocab))
@@ -81,17 +84,39 @@ def build_index(pages: DataFrame, path: str, vocab: Vocabulary = REFERENCE,
     _write(sketches_table(_read(spark, path, "members", MEMBERS)), path, "sketches", BUILT, "overwrite")
     sketches = _read(spark, path, "sketches", SKETCHES)
     _write(band_index(sketches, bands, rows), path, "bands", BUILT, "overwrite")
-    return open_index(spark, path, bands, rows)
+    return open_index(spark, path)
 
 
 def save_index(index: Index, path: str, mode: str = "overwrite"):
     """Store index tables; ``append`` adds to what is stored."""
+    write_settings(index.bands.sparkSession, path, index.n_bands, index.n_rows, mode)
     for name in TABLES:
         _write(getattr(index, name), path, name, BUILT, mode)
 
 
-def open_index(spark: SparkSession, path: str, bands: int = fn.BANDS, rows: int = fn.ROWS) -> Index:
+def read_settings(spark: SparkSession, path: str) -> tuple[int, int] | None:
+    """Bands and rows of the index at ``path``, None where there is no index."""
+    try:
+        return tuple(spark.read.schema("bands int, rows int").parquet(f"{path}/{SETTINGS}").first())
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def write_settings(spark: SparkSession, path: str, bands: int, rows: int, mode: str = "overwrite"):
+    """Note how an index is banded; adding to one that is banded otherwise fails."""
+    stored = read_settings(spark, path)
+    if mode != "overwrite" and stored not in (None, (bands, rows)):
+        raise ValueError(f"the index at {path} has {stored} bands and rows, not {(bands, rows)}")
+    if stored != (bands, rows):
+        settings = spark.createDataFrame([(bands, rows)], "bands int, rows int").coalesce(1)
+        settings.write.mode("overwrite").parquet(f"{path}/{SETTINGS}")
+
+
+def open_index(spark: SparkSession, path: str) -> Index:
     """A stored index, as it was built plus every batch appended to it."""
+    bands, rows = read_settings(spark, path)
     members, sketches, band_rows = (_read(spark, path, name, None).drop(BATCH) for name in TABLES)
     return Index(members.select("url", "sketch_id", "vec"), sketches, band_rows, bands, rows)
 

@@ -7,11 +7,11 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from ..functions import headers as hd, sketch as fn, vocabulary as vc
 from ..operators import cluster, dom, lsh, records, sketches, tree
 from ..session import configure, ship, work_dir
-from ..sources import read_archive, register, warc_index, write_arc, write_warc
+from ..sources import read_archive, warc_index, write_arc, write_warc
 from ..streaming import ingest as stream
 from . import index as store
 from .stage import chain, require, with_stage
-from .stages import HtmlParse, TreeReduce, TreeString, feature_stages
+from .stages import HtmlParse, TreeReduce, TreeString
 
 # Every tag of the test pages whose nesting plain SQL can follow.
 BLOCK = vc.Vocabulary(

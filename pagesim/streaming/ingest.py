@@ -56,6 +56,7 @@ def index_batch(pages: DataFrame, batch: int, path: str, vocab: Vocabulary = REF
     is already stored is not banded again.
     """
     spark = pages.sparkSession
+    store.write_settings(spark, path, bands, rows, "append")
     if "transformations" not in pages.columns:
         pages = records.pages_as_records(pages)
     order = tuple(c for c in ("file", "offset") if c in pages.columns) or ("url",)

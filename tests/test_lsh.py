@@ -2,7 +2,6 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
-
 from pagesim.operators import cluster, lsh
 from pagesim.plans import index as store, queries as q
 from pagesim.session import work_dir
@@ -146,6 +145,18 @@ def test_saved_index_answers_like_the_built_one(spark, folder):
     assert a == b and len(a) == 2 * 50 + 2
 
 
+def test_index_keeps_its_banding(spark, corpus):
+    idx = corpus[1]
+    path = work_dir(spark, "index")
+    df = spark.createDataFrame([("a", ["1.0.0"]), ("b", ["1.0.0", "2.0.0"])], "url string, grams array<string>")
+    small = lsh.stored_index(df.withColumn("vec", F.create_map().cast("map<int,bigint>")), 18, 7)
+    store.save_index(small, path)
+    again = store.open_index(spark, path)
+    assert (again.n_bands, again.n_rows) == (18, 7) and again.bands.count() == 36
+    with pytest.raises(ValueError, match="18, 7"):
+        store.save_index(idx, path, "append")
+
+
 def test_page_table_keeps_one_row_per_url(spark):
     df = spark.createDataFrame(
         [("u", 2, "<html><ul>"), ("u", 1, "<html><ol>"), ("v", 3, "<html>")], "url string, at int, html string"

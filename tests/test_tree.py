@@ -1,6 +1,7 @@
 """Parser, reduction, binary encoding and 3-grams against hand-made and brute-force values."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -113,6 +114,9 @@ def nodes(html):
      [("html", -1), ("body", 0), ("table", 1), ("tr", 2), ("td", 3), ("td", 3), ("table", 5),
       ("tr", 6), ("td", 7), ("tr", 2), ("td", 9)]),
     ("<html><body><div><ul></div></ul><ol>", [("html", -1), ("body", 0), ("div", 1), ("ul", 2), ("ol", 1)]),
+    ("<html><i><div><b></i><ul>", [("html", -1), ("body", 0), ("i", 1), ("div", 2), ("b", 3), ("ul", 4)]),
+    ("<html><body><ul><li>a<b>b<li>c</ul>d < e <ol",
+     [("html", -1), ("body", 0), ("ul", 1), ("li", 2), ("b", 3), ("li", 2)]),
     ("   ", []),
     ("<!-- only -->", []),
 ])
@@ -120,6 +124,19 @@ def test_lenient_parsing(html, expected):
     assert nodes(html) == expected
 
 
+@pytest.mark.parametrize("html", [
+    "<html><body>" + "x<y " * 200000,
+    "<html><body>" + "<a =\"" * 100000,
+    "<html><body>" + "<script" * 100000,
+    "<html><body>" + "<b>" * 20000 + "</i>" * 20000 + "<p>" * 20000,
+    "<!--" * 100000,
+])
+def test_broken_markup_takes_linear_time(html):
+    start = time.process_time()
+    tokens.parse(html)
+    assert time.process_time() - start < 5
+
+
 def test_intervals_nest(spark, folder):
     page = spark.read.parquet(f"{folder}/pages.parquet")
     rows = dom.html_nodes(page, "page_id")
