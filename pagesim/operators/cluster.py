@@ -13,8 +13,6 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import materialize
 from .lsh import Index
 
-MAX_ROUNDS = 60
-
 
 def bucket_edges(bands: DataFrame) -> DataFrame:
     """Edges ``a, b`` from each sketch to the smallest sketch of each of its buckets.
@@ -29,20 +27,28 @@ def bucket_edges(bands: DataFrame) -> DataFrame:
     return edges.filter("a <> sketch_id").select("a", F.col("sketch_id").alias("b")).distinct()
 
 
+def _with_low(edges: DataFrame, low: DataFrame) -> DataFrame:
+    """Join ``u, v`` with the written minimum ``m`` of each ``u``.
+
+    The centre of a giant component has most edges. Both sides of this join are
+    plain scans, so adaptive execution can split that key; it can't when one
+    side is an aggregate of the same stage.
+    """
+    return edges.join(materialize(low, "low"), "u")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(
         edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
     )
     low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return (
-        both.filter("v > u").join(low, "u")
-        .select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
-    )
+    joined = _with_low(both.filter("v > u"), low)
+    return joined.select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    low = down.groupBy("u").agg(F.min("v").alias("m"))
+    low = materialize(down.groupBy("u").agg(F.min("v").alias("m")), "low")
     moved = down.join(low, "u").filter("v <> m").select(F.col("m").alias("a"), F.col("v").alias("b"))
     return moved.union(low.select(F.col("m").alias("a"), F.col("u").alias("b"))).distinct()
 
@@ -62,15 +68,11 @@ def components(edges: DataFrame) -> DataFrame:
         edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")),
         "edges",
     )
-    seen = _fingerprint(edges)
-    for _ in range(MAX_ROUNDS):
-        edges = materialize(_small_star(_large_star(edges)), "edges")
-        now = _fingerprint(edges)
-        if now == seen:
-            break
+    seen = None
+    while (now := _fingerprint(edges)) != seen:  # each step that changes edges lowers one
         seen = now
-    else:
-        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
+        starred = materialize(_large_star(edges), "edges")
+        edges = materialize(_small_star(starred), "edges")
     roots = edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(roots)
 
