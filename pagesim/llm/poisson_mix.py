@@ -46,13 +46,9 @@ def source_rates(docs: DataFrame, weights: dict | None, source: str = "source")
         weight = F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(float(value))).otherwise(weight)
     sizes = docs.groupBy(F.col(source).alias("source")).agg(F.count("*").alias("n"))
     sizes = materialize(sizes.withColumn("weight", weight), "mix-sizes")
-    total = sizes.agg(F.sum("n").alias("t"), F.sum("weight").alias("w"))
-    rated = sizes.join(F.broadcast(total)).select(  # one row: the totals
-        "source",
-        F.when(F.col("w") > 0, F.col("t") * (F.col("weight") / F.col("w")) / F.col("n"))
-        .otherwise(0.0)
-        .alias("rate"),
-    )
+    total, of = sizes.agg(F.sum("n"), F.sum("weight")).first()  # two numbers, null for an empty table
+    rate = F.lit(total) * (F.col("weight") / F.lit(of)) / F.col("n") if of else F.lit(0.0)
+    rated = sizes.select("source", rate.cast("double").alias("rate"))
     rated = rated.withColumn("pieces", F.greatest(F.ceil(F.col("rate") / STEP), F.lit(1)).cast("int"))
     mean = F.col("rate") / F.col("pieces")
     # term k from term k-1; the running sum is the distribution function

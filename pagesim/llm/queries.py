@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure, ship
-from . import language, poisson_mix, secrets, simhash, tokens
+from . import decontaminate, language, main_text, poisson_mix, secrets, simhash, surrogates, tokens
 
 
 def _ready(query: Callable) -> Callable[[SparkSession, str], DataFrame]:
@@ -17,9 +17,12 @@ def _ready(query: Callable) -> Callable[[SparkSession, str], DataFrame]:
 QUERIES = {
     query.__name__: _ready(query)
     for query in (
+        surrogates.op2_pii_surrogates,
         poisson_mix.op4_poisson_mix,
         language.op5_language_id,
+        decontaminate.op6_decontamination,
         tokens.op7_token_counts,
+        main_text.op8_main_text,
         secrets.op9_secret_scan,
         simhash.op10_simhash_neardup,
     )
