@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure, ship
-from . import decontaminate, language, main_text, poisson_mix, secrets, simhash, surrogates, tokens
+from . import decontaminate, embedding_graph, language, main_text, poisson_mix, secrets, simhash, surrogates, tokens
 
 
 def _ready(query: Callable) -> Callable[[SparkSession, str], DataFrame]:
@@ -18,6 +18,7 @@ QUERIES = {
     query.__name__: _ready(query)
     for query in (
         surrogates.op2_pii_surrogates,
+        embedding_graph.op3_embedding_graph,
         poisson_mix.op4_poisson_mix,
         language.op5_language_id,
         decontaminate.op6_decontamination,
