@@ -5,14 +5,17 @@ the XXH64 hashes of its word 3-shingles. Fingerprints that differ in at most
 ``RADIUS`` bits are linked and linked documents form components.
 
 Equal fingerprints are merged first, so a text copied a million times is one
-point. A vantage-point tree over a bounded sample of the points cuts the space:
-a node holds a vantage point and a radius r; points at Hamming distance d <= r +
-RADIUS go to the near side, points with d > r to the far side. By the triangle
-inequality two points within RADIUS of each other meet on one side at least, so
-the leaves, which overlap at their boundaries only, hold every linked pair.
-Leaves are the shards of the search. One that outgrows ``CELL`` points (a tight
-group that no vantage point cuts) is dealt out as block-by-block cells, and any
-two points of the leaf meet in one cell.
+point. Of two points that differ in RADIUS bits, the upper or the lower halves
+differ in ``RADIUS // 2`` bits at most, so there is one vantage-point tree per
+half, fitted on a bounded sample: a node holds a vantage point and a radius r;
+points whose half is at Hamming distance d <= r + RADIUS // 2 go to the near
+side, points with d > r to the far side. By the triangle inequality two halves
+that close meet on one side at least, so the leaves, which overlap at their
+boundaries only, hold every linked pair. The smaller radius of the halves keeps
+the boundaries thin: a level copies a seventh of its points, not a third.
+Leaves are the shards of the search and compare whole fingerprints. One that
+outgrows ``2 * CELL`` points (a tight group that no vantage point cuts) is dealt out
+as block-by-block cells, and any two points of the leaf meet in one cell.
 
 A cell returns a spanning forest of its links, never its pairs.
 """
@@ -32,6 +35,7 @@ from ..session import materialize
 from .common import table
 
 RADIUS = 3
+HALVES = 2
 SHINGLE = 3
 SEED = 42
 SAMPLE = 1 << 15  # points the tree is fitted on at most (twice that for safety)
@@ -82,7 +86,13 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b)
 
 
-def grow_tree(sample: np.ndarray, points: int, cell: int = CELL, radius: int = RADIUS) -> list:
+def half(points: np.ndarray, number: int) -> np.ndarray:
+    """One of the ``HALVES`` equal parts of fingerprints."""
+    width = 64 // HALVES
+    return points >> np.uint64(width * number) & np.uint64((1 << width) - 1)
+
+
+def grow_tree(sample: np.ndarray, points: int, cell: int = CELL, radius: int = RADIUS // HALVES) -> list:
     """Nodes ``(vantage, r, near, far)`` fitted on a sample of ``points`` points.
 
     ``near`` and ``far`` are node numbers, or -1 - leaf. The radius of a node is
@@ -98,10 +108,10 @@ def grow_tree(sample: np.ndarray, points: int, cell: int = CELL, radius: int = R
         return -leaves[0]
 
     def grow(own: np.ndarray) -> int:
-        if len(own) <= most or leaves[0] + len(nodes) > LEAVES:
+        if len(own) <= most or leaves[0] + len(nodes) >= LEAVES // 2:
             return leaf()
         best = None
-        for vantage in own[np.linspace(0, len(own) - 1, 8).astype(int)]:
+        for vantage in own[np.linspace(0, len(own) - 1, 16).astype(int)]:
             counts = np.cumsum(np.bincount(distance(own, vantage), minlength=65 + radius))
             near, far = counts[radius : 65 + radius], len(own) - counts[:65]
             larger = np.maximum(near, far)
@@ -121,7 +131,7 @@ def grow_tree(sample: np.ndarray, points: int, cell: int = CELL, radius: int = R
     return nodes if nodes else [(0, 64, root, root)]
 
 
-def leaves_of(points: np.ndarray, nodes: list, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+def leaves_of(points: np.ndarray, nodes: list, radius: int = RADIUS // HALVES) -> tuple[np.ndarray, np.ndarray]:
     """``(position, leaf)`` of every leaf that each point goes to."""
     at, found = [(0, np.arange(len(points)))], []
     while at:
@@ -182,19 +192,21 @@ def links(points: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFram
     picked = points.filter(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * SAMPLE)
     sample = np.sort(np.array([r[0] for r in picked.collect()], dtype=np.int64)).view(np.uint64)
     sample = np.random.default_rng(SEED).permutation(sample)
-    nodes = spark.sparkContext.broadcast(grow_tree(sample, total, cell, radius))
+    reach = radius // HALVES
+    trees = spark.sparkContext.broadcast([grow_tree(half(sample, k), total, cell, reach) for k in range(HALVES)])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = batch.column(0).to_numpy(zero_copy_only=False)
-            at, leaf = leaves_of(own.view(np.uint64), nodes.value, radius)
-            yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(own[at])], names=["leaf", "fp"])
+            for k, nodes in enumerate(trees.value):
+                at, leaf = leaves_of(half(own.view(np.uint64), k), nodes, reach)
+                yield pa.RecordBatch.from_arrays([pa.array(leaf + k * LEAVES), pa.array(own[at])], names=["leaf", "fp"])
 
     dealt = materialize(points.select("fp").mapInArrow(deal, "leaf int, fp long"), "simhash-leaves")
-    blocks = dealt.groupBy("leaf").agg(F.ceil(F.count("*") / cell).cast("int").alias("blocks"))
+    blocks = dealt.groupBy("leaf").agg(F.ceil(F.count("*") / (2 * cell)).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks")).cast("int")
     cells = (
-        dealt.join(F.broadcast(blocks), "leaf")  # at most LEAVES rows
+        dealt.join(F.broadcast(blocks), "leaf")  # at most HALVES * LEAVES rows
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("leaf", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "fp")
