@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure, ship
-from . import decontaminate, embedding_graph, language, main_text, poisson_mix, secrets, simhash, surrogates, tokens
+from . import context_mix, decontaminate, embedding_graph, language, main_text, poisson_mix, secrets, simhash, surrogates, tokens
 
 
 def _ready(query: Callable) -> Callable[[SparkSession, str], DataFrame]:
@@ -17,6 +17,7 @@ def _ready(query: Callable) -> Callable[[SparkSession, str], DataFrame]:
 QUERIES = {
     query.__name__: _ready(query)
     for query in (
+        context_mix.op1_context_mix,
         surrogates.op2_pii_surrogates,
         embedding_graph.op3_embedding_graph,
         poisson_mix.op4_poisson_mix,
