@@ -26,6 +26,7 @@ from __future__ import annotations
 import functools
 import json
 import unicodedata
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -320,21 +321,21 @@ def load(path: str) -> tuple[list[tuple[str, str]], list[str]]:
     return merges, [t["content"] for t in data["added_tokens"] if t["special"]]
 
 
-_counters: dict[int, WordCounter] = {}  # one compiled transducer per Python worker
+_counters: dict[str, WordCounter] = {}  # one compiled transducer per Python worker
 
 
 def counter(spark: SparkSession, path: str) -> Callable:
     """A column function: text to its number of tokens; null counts as empty."""
-    sent = spark.sparkContext.broadcast(load(path))
+    sent, name = spark.sparkContext.broadcast(load(path)), uuid.uuid4().hex
 
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         merges, special = sent.value
-        if sent.id not in _counters:
+        if name not in _counters:
             _counters.clear()
-            _counters[sent.id] = WordCounter(merges)
+            _counters[name] = WordCounter(merges)
         for texts in batches:
-            yield pd.Series(_counters[sent.id].texts([t or "" for t in texts], special))
+            yield pd.Series(_counters[name].texts([t or "" for t in texts], special))
 
     return count
 
