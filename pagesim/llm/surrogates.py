@@ -289,25 +289,28 @@ def replace_pii(docs: DataFrame, secret: str = "surrogates", text: str = "text")
     new = _joined(materialize(_joined(cut, drawn, "other"), "pii-other"), drawn, "given")
     spelt = F.concat("title", F.when(F.col("given").isNotNull(), F.concat("given_new", F.lit(" "))).otherwise(""), "other_new")
     maps = materialize(
-        new.groupBy("digest").agg(F.map_from_entries(F.collect_list(F.struct("mention", spelt.alias("new")))).alias("new")),
+        new.groupBy("digest").agg(F.map_from_entries(F.collect_list(F.struct("mention", spelt.alias("new")))).alias("map")),
         "pii-maps",
     )
     parts = F.split(F.col("row")[text], PATTERN, -1)
-    swapped = F.transform("mentions", lambda m: F.coalesce(F.element_at("new", m), m))
+    # resolved before the columns of docs, whose names may be the same, come back
+    swapped = F.transform("mentions", lambda m: F.coalesce(F.element_at("map", m), m))
     rewritten = F.concat(
         F.element_at(parts, 1),
         F.array_join(F.zip_with(swapped, F.slice(parts, 2, F.size("mentions")), lambda a, b: F.concat(a, b)), ""),
     )
-    count = F.size(F.filter("mentions", lambda m: F.element_at("new", m).isNotNull())).cast("long")
+    count = F.size(F.filter("mentions", lambda m: F.element_at("map", m).isNotNull())).cast("long")
     columns = [F.col("row")[c].alias(c) for c in names]
-    changed = found.join(maps, "digest").select(
-        *(rewritten.alias(c) if c == text else column for c, column in zip(names, columns)), count.alias("n_replaced")
+    done = found.join(maps, "digest").select("row", F.struct(rewritten.alias("text"), count.alias("n")).alias("made"))
+    changed = done.select(
+        *(F.col("made")["text"].alias(c) if c == text else column for c, column in zip(names, columns)),
+        F.col("made")["n"].alias("n_replaced"),
     )
     # what has no mention, or only mentions that proved to be none
     kept = found.filter("digest is null").unionByName(
         found.filter("digest is not null").join(maps.select("digest"), "digest", "left_anti").select(*found.columns)
     )
-    return changed.unionByName(kept.select(*columns, F.lit(0).cast("long").alias("n_replaced")))
+    return changed.unionByName(kept.select("row").select(*columns, F.lit(0).cast("long").alias("n_replaced")))
 
 
 def op2_pii_surrogates(spark: SparkSession, folder: str) -> DataFrame:
