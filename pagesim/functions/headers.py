@@ -99,7 +99,7 @@ def arc_fields(text: Column, version: int) -> Column:
     for i, name in enumerate(names, 1):
         value = F.regexp_extract(line, pattern, i)
         if name == "date":
-            value = F.to_timestamp(value, ARC_DATE)
+            value = F.try_to_timestamp(value, F.lit(ARC_DATE))
         elif name in ("offset", "length"):
             value = value.try_cast("bigint")
         fields.append(value.alias(name))
@@ -113,9 +113,9 @@ def arc_header_line(fields: dict[str, Column], version: int = 2) -> Column:
     values = []
     for name in ARC_FIELDS[version]:
         value = fields.get(name, F.lit(""))
-        values.append(
-            F.date_format(value, ARC_DATE) if name == "date" else value.cast("string")
-        )
+        text = F.date_format(value, ARC_DATE) if name == "date" else value.cast("string")
+        # a blank or a line end inside a field would break the line
+        values.append(F.regexp_replace(F.regexp_replace(text, r"[\r\n\t]", "%20"), " ", "%20"))
     return F.concat_ws(" ", *[F.coalesce(v, F.lit("")) for v in values])
 
 

@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .arc import SUFFIXES as ARC_SUFFIXES, ArcDataSource
+from .files import list_files
 from .warc import SUFFIXES as WARC_SUFFIXES, WarcDataSource
 
 
@@ -27,9 +28,20 @@ def detect_format(path: str) -> str:
 
 def read_archive(spark: SparkSession, path: str | list[str], format: str = "auto",
                  **options) -> DataFrame:
-    """Records of one archive file, a list of files, or every archive of ``format`` under a folder."""
+    """Records of an archive file, a list of files, or the archives of a folder or pattern.
+
+    ``auto`` goes by the files' suffixes; what it finds must be of one format.
+    """
     files = [path] if isinstance(path, str) else list(path)
-    kinds = {detect_format(f) for f in files} if format in ("auto", None) else {format}
+    kinds = {format}
+    if format in ("auto", None):
+        kinds = {detect_format(f) for f in files}
+        if kinds == {"unknown"}:
+            try:
+                found = [name for f in files for name, _ in list_files(f, WARC_SUFFIXES + ARC_SUFFIXES)]
+            except FileNotFoundError as e:
+                raise ValueError(f"no archive at {path}") from e
+            kinds = {detect_format(name) for name in found}
     if len(kinds) != 1 or not kinds <= {"warc", "arc"}:
         raise ValueError(f"Don't know how to open {sorted(kinds)} files: {path}")
     reader = register(spark).read.format(kinds.pop()).options(**options)

@@ -10,9 +10,16 @@ import gzip
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceArrowWriter,
+    DataSourceReader,
+    GreaterThan,
+    GreaterThanOrEqual,
+    IsNotNull,
+)
 
-from .files import READ_ERRORS, ByteReader, FilePartition, StagedFiles, Written, input_files, record_batches
+from .files import READ_ERRORS, ByteReader, StagedFiles, Written, file_partitions, record_batches
 
 SUFFIXES = (".arc", ".arc.gz")
 # Fixed values ---------------------------------------------------------------
@@ -78,96 +85,139 @@ def _date(text: str) -> datetime:
     return datetime.strptime(text, DATE_FORMAT).replace(tzinfo=timezone.utc)
 
 
-def _fields(line: bytes, version: int) -> dict[str, str]:
-    values = re.split(r"\s", line.decode("utf-8", "surrogateescape").rstrip("\r\n"))
+#: A line that can only be a record's: address, date and, last, a length.
+RECORD_LINE = re.compile(rb"\S+ \S+ \d{14} .*\d\r?\n\Z")
+
+
+def _text(raw: bytes) -> str:
+    """UTF-8, or Latin-1 where it is none: old crawlers wrote addresses as they came."""
+    try:
+        return raw.decode("utf-8")
+    except UnicodeDecodeError:
+        return raw.decode("latin-1")
+
+
+def record_fields(line: bytes, version: int) -> dict[str, str]:
+    values = _text(line).split()
     names = FIELDS[version]
+    # counted from both ends, so that blanks inside an address stay in it
     if len(values) < len(names):
-        raise ValueError(f"Bad header line: {line[:80]!r}")
-    return dict(zip(names, values))
+        raise ValueError(f"a record line of version {version} has {len(names)} fields: {line[:80]!r}")
+    cut = len(values) - len(names) + 1
+    return dict(zip(names, [" ".join(values[:cut]), *values[cut:]]))
 
 
 class ArcReader(DataSourceReader):
     def __init__(self, options):
         self.options = options
         self.failfast = options.get("mode", "FAILFAST").upper() != "PERMISSIVE"
+        self.with_payload = options.get("payload", "true").lower() == "true"
+        self.payload_limit = int(options.get("payloadLimit", -1))
+        self.longer_than = -1
         wanted = options.get("version")
         self.version = int(wanted) if wanted else None
         if self.version not in (None, 1, 2):
             raise ValueError("ARC version has to be 1 or 2")
 
+    def pushFilters(self, filters):
+        """Take over lower bounds on the length: payloads of shorter records are passed over."""
+        for f in filters:
+            if isinstance(f, (GreaterThan, GreaterThanOrEqual)) and f.attribute == ("length",):
+                self.longer_than = max(self.longer_than, f.value - isinstance(f, GreaterThanOrEqual))
+            elif isinstance(f, IsNotNull) and f.attribute == ("length",):
+                pass  # a record that has no length is no record
+            else:
+                yield f
+
     def partitions(self):
-        return [FilePartition(path) for path in input_files(self.options, SUFFIXES)]
-
-    def _file_header(self, data: ByteReader):
-        """Version, file headers and free text of the leading filedesc record."""
-        first, about, columns = data.line(), data.line(), data.line()
-        words = about.decode("utf-8").split(None, 2)
-        if not words or words[0] not in ("1", "2"):
-            raise ValueError(f"Unknown ARC version {words[:1]}")
-        version = int(words[0])
+        return file_partitions(self.options, SUFFIXES)
+
+    def _about(self, data: ByteReader) -> dict:
+        """What the first record says of the file: version, headers and free text.
+
+        Its payload is taken by its length and on to the end of the line, as
+        some writers count it short.
+        """
+        line = data.line()
+        if not line.startswith(b"filedesc:"):
+            raise ValueError(f"the file does not begin with a filedesc record: {line[:80]!r}")
+        length = line.split()[-1]
+        text = data.take(int(length))
+        text += b"" if text.endswith(b"\n") else data.line()
+        about, _, rest = _text(text).partition("\n")
+        number, _, org = about.partition(" ")
+        org = org.partition(" ")[2].strip()
+        if number not in ("1", "2"):
+            raise ValueError(f"no ARC version: {about[:80]!r}")
+        version = int(number)
         if self.version not in (None, version):
-            raise ValueError(f"Version {self.version} requested, the file has {version}")
-        head = _fields(first, version)
-        headers = {
-            "ip_address": head["ip_address"],
-            "date": _date(head["date"]),
-            "org": words[2].rstrip("\r\n") if len(words) > 2 else None,
+            raise ValueError(f"version {self.version} was requested, the file has {version}")
+        head = record_fields(line, version)
+        return {
+            "version": version,
+            "file_headers": {"ip_address": head["ip_address"], "date": _date(head["date"]), "org": org or None},
+            "file_meta": rest.partition("\n")[2],
         }
-        left = int(head["length"]) - len(about) - len(columns)
-        meta = []
-        while left > 0 and (line := data.line()):
-            meta.append(line)
-            left -= len(line)
-        data.line()  # separator
-        return version, headers, b"".join(meta).decode("utf-8")
 
     @staticmethod
-    def _record_line(data: ByteReader):
-        """(offset, line) of the next record header, past blank lines and a metadata block."""
+    def _next_line(data: ByteReader) -> tuple[int, bytes]:
+        """(offset, line) of the next record, past empty lines and metadata elements."""
+        inside = False
         while True:
-            start, line = data.offset, data.line()
-            if line.startswith(b"<arcmetadata"):
-                while line and not line.endswith(b"</arcmetadata>\n"):
-                    line = data.line()
-                data.line()
-            elif not line or line.strip():
+            start = data.offset
+            line = data.line()
+            inside |= line.startswith(b"<arcmetadata")
+            if not line or not inside and line.strip():
                 return start, line
+            if line.rstrip().endswith(b"</arcmetadata>"):
+                inside = False
+
+    def _record(self, data: ByteReader, line: bytes, version: int) -> dict | None:
+        row = record_fields(line, version)
+        length = int(row["length"])
+        wanted = length > self.longer_than
+        keep = length if self.payload_limit < 0 else min(length, self.payload_limit)
+        payload = data.take(keep) if wanted and self.with_payload else None
+        got = len(payload or b"")
+        got += data.skip(length - got)
+        if got != length:
+            raise ValueError(f"the payload has {got} of {length} bytes")
+        return row | {
+            "date": _date(row["date"]),
+            "offset": int(row["offset"]) if row.get("offset", "").isdecimal() else None,
+            "length": length,
+            "payload": payload,
+        } if wanted else None
 
-    def _rows(self, path):
-        data = ByteReader(path)
-        start = 0
+    def _rows(self, part):
+        data = ByteReader(part.path, part.packed)
+        start, about = 0, None
         try:
-            version, headers, meta = self._file_header(data)
             while True:
-                start, line = self._record_line(data)
-                if not line:
-                    return
-                row = _fields(line, version)
-                length = int(row["length"])
-                payload = data.take(length)
-                if len(payload) != length:
-                    raise ValueError(f"Payload ends after {len(payload)} of {length} bytes")
-                data.line()  # separator
-                yield row | {
-                    "file": path,
-                    "file_offset": start,
-                    "version": version,
-                    "file_headers": headers,
-                    "file_meta": meta,
-                    "date": _date(row["date"]),
-                    "offset": int(row["offset"]) if row.get("offset") else None,
-                    "length": length,
-                    "payload": payload,
-                }
-        except READ_ERRORS as e:
-            if self.failfast:
-                raise ValueError(f"{path} at {start}: {e}") from e
-            yield {"file": path, "file_offset": start, "error": str(e)}
+                try:
+                    if about is None:
+                        about = self._about(data)
+                    start, line = self._next_line(data)
+                    if data.broken:
+                        raise ValueError(data.broken)
+                    if not line:
+                        return
+                    row = self._record(data, line, about["version"])
+                except READ_ERRORS as e:
+                    reason = data.broken or str(e)
+                    if self.failfast:
+                        raise ValueError(f"{part.path} at {start}: {reason}") from e
+                    yield {"file": part.path, "file_offset": start, "error": reason}
+                    if about is None or not data.go_on(start, RECORD_LINE):
+                        return
+                    continue
+                if row is not None:
+                    yield row | about | {"file": part.path, "file_offset": start}
         finally:
             data.close()
 
     def read(self, partition):
-        yield from record_batches(self._rows(partition.path), _ARROW)
+        yield from record_batches(self._rows(partition), _ARROW)
 
 
 class ArcWriter(DataSourceArrowWriter):
@@ -213,7 +263,8 @@ class ArcWriter(DataSourceArrowWriter):
 
 
 class ArcDataSource(DataSource):
-    """``arc``: read options ``path``, ``version``, ``mode``; write options
+    """``arc``: read options ``path``, ``version``, ``mode``, ``payload``, ``payloadLimit``,
+    ``compression``; write options
     ``version``, ``org``, ``ip_address``, ``date`` (yyyyMMddHHmmss), ``compression``."""
 
     @classmethod

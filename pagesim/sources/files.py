@@ -7,6 +7,7 @@ import json
 import re
 import uuid
 import zlib
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -24,66 +25,150 @@ def resolve(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.LocalFileSystem(), path
 
 
+_GLOB = {"*": "[^/]*", "?": "[^/]", "[": "[", "]": "]"}
+
+
 def list_files(path: str, suffixes: tuple[str, ...]) -> list[tuple[str, int]]:
-    """(path, bytes) of the visible files with one of ``suffixes`` under ``path``."""
+    """(path, bytes) of the visible files with one of ``suffixes`` that ``path`` names.
+
+    ``path`` is a file, a folder, or either with ``*``, ``?`` or ``[...]`` in it.
+    """
     filesystem, root = resolve(path)
-    info = filesystem.get_file_info(root)
+    prefix = path[: len(path) - len(root)] if path.endswith(root) else ""
+    wild = re.search(r"[*?\[]", root)
+    base = root[: wild.start()].rpartition("/")[0] or ("/" if root.startswith("/") else ".") if wild else root
+    info = filesystem.get_file_info(base)
     if info.type == pafs.FileType.NotFound:
         raise FileNotFoundError(path)
     if info.type == pafs.FileType.File:
         return [(path, info.size)]
-    found = filesystem.get_file_info(pafs.FileSelector(root, recursive=True))
-    prefix = path[: len(path) - len(root)] if path.endswith(root) else ""
+    like = re.compile("".join(_GLOB.get(c, re.escape(c)) for c in root) + r"(?:/.*)?\Z") if wild else None
     names = []
-    for item in found:
-        below = item.path[len(root):].strip("/").split("/")
+    for item in filesystem.get_file_info(pafs.FileSelector(base, recursive=True)):
+        below = item.path[len(base):].strip("/").split("/")
         hidden = any(part.startswith(("_", ".")) for part in below)
-        if item.type == pafs.FileType.File and not hidden and item.path.endswith(suffixes):
+        wanted = item.path.endswith(suffixes) and (like is None or like.match(item.path))
+        if item.type == pafs.FileType.File and not hidden and wanted:
             names.append((prefix + item.path, item.size))
-    return sorted(names)
+    dropped = dropped_files(filesystem, base) if wild is None else set()
+    return sorted(n for n in names if n[0].rpartition("/")[2] not in dropped)
 
 
 READ_ERRORS = (ValueError, EOFError, zlib.error)
-
-
-def input_files(options: dict, suffixes: tuple[str, ...]) -> list[str]:
-    """Files a scan reads: those under ``path``, or exactly those of ``pathList`` (JSON)."""
-    if "pathList" in options:
-        return json.loads(options["pathList"])
-    return [path for path, _ in list_files(options["path"], suffixes)]
+SPLIT_BYTES = 256 << 20
 
 
 @dataclass
 class FilePartition(InputPartition):
-    """One archive file, the unit of a scan."""
+    """The records of an archive file that begin in a range of its bytes."""
 
     path: str
+    packed: bool
+    start: int = 0
+    stop: int | None = None
+
+
+def file_partitions(options: dict, suffixes: tuple[str, ...], split: bool = False) -> list[FilePartition]:
+    """What a scan reads: the files under ``path``, or exactly those of ``pathList`` (JSON).
+
+    ``compression`` (``gzip`` or ``none``) says how files are packed; without it
+    the suffix does. With ``split``, files are cut to ranges of ``splitBytes``;
+    gzip files only if that option is given, since then ``offset`` counts from
+    the first record of the range.
+    """
+    if "pathList" in options:
+        files = [(path, None) for path in json.loads(options["pathList"])]
+    else:
+        files = list_files(options["path"], suffixes if "compression" not in options else ("",))
+    given = options.get("compression", "").lower()
+    step = int(options.get("splitBytes", SPLIT_BYTES))
+    out = []
+    for path, size in files:
+        packed = given == "gzip" if given else path.endswith(".gz")
+        if not split or packed and "splitBytes" not in options:
+            out.append(FilePartition(path, packed))
+            continue
+        if size is None:
+            filesystem, name = resolve(path)
+            size = filesystem.get_file_info(name).size
+        starts = range(0, max(size, 1), step)
+        out += [FilePartition(path, packed, at, at + step) for at in starts]
+    return out
 
 
 class GzipMembers(io.RawIOBase):
-    """Plain bytes of a gzip stream; ``starts`` maps where a member's plain bytes
-    begin to where the member begins in the file."""
+    """Plain bytes of a gzip file from its member at or after ``start``.
 
-    def __init__(self, raw):
-        self._raw, self._data, self._member = raw, b"", None
-        self._plain = self._packed = 0
+    ``starts`` maps where a member's plain bytes begin to where the member begins
+    in the file. A damaged member ends the stream and is told in ``broken``;
+    :meth:`go_on` continues at the next member.
+    """
+
+    MAGIC = b"\x1f\x8b\x08"
+
+    def __init__(self, raw, start: int = 0):
+        self._raw = raw
+        self._plain = 0
+        self._member, self._data, self.broken = None, b"", None
         self.starts: dict[int, int] = {}
+        self._packed = 0
+        if start:
+            self._search(start)
 
     def readable(self):
         return True
 
+    def _search(self, start: int) -> bool:
+        """Stand at the first member that begins at ``start`` or later and opens."""
+        self._member, self._data, at = None, b"", start
+        while True:
+            self._raw.seek(at)
+            chunk = self._raw.read(1 << 18)
+            found = chunk.find(self.MAGIC)
+            if found < 0:
+                if len(chunk) < 1 << 18:
+                    self._packed = at + len(chunk)
+                    return False
+                at += len(chunk) - len(self.MAGIC) + 1
+                continue
+            at += found
+            self._raw.seek(at)
+            try:
+                zlib.decompressobj(31).decompress(self._raw.read(1 << 12), 64)
+            except zlib.error:
+                at += 1
+                continue
+            self._raw.seek(at)
+            self._packed = at
+            return True
+
+    def go_on(self, after: int) -> bool:
+        """Continue at the first member whose plain bytes begin after ``after``."""
+        self.broken = None
+        known = [(plain, packed) for plain, packed in self.starts.items() if plain > after]
+        if known:
+            self._plain, packed = min(known)
+            self.starts = {}
+            return self._search(packed)
+        last = max(self.starts.values(), default=self._packed)
+        return self._search(last + 1)
+
     def readinto(self, view):
         while True:
             if not self._data:
                 self._data = self._raw.read(1 << 18)
                 if not self._data:
-                    if self._member is not None:
-                        raise EOFError("Compressed file ends within a member")
+                    if self._member is not None and not self.broken:
+                        self.broken = "the file ends inside a gzip member"
                     return 0
             if self._member is None:
                 self._member = zlib.decompressobj(31)
                 self.starts[self._plain] = self._packed
-            out = self._member.decompress(self._data, len(view))
+            try:
+                out = self._member.decompress(self._data, len(view))
+            except zlib.error as e:
+                self.broken, self._data = f"damaged gzip member: {e}", b""
+                return 0
             rest = self._member.unused_data if self._member.eof else self._member.unconsumed_tail
             self._packed += len(self._data) - len(rest)
             self._data = rest
@@ -102,30 +187,60 @@ class GzipMembers(io.RawIOBase):
 class ByteReader:
     """Lines and byte runs of a plain or gzip file, with the uncompressed offset."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, packed: bool, start: int = 0):
         filesystem, name = resolve(path)
-        self.seekable = not name.endswith(".gz")
-        raw = (
-            filesystem.open_input_file(name)
-            if self.seekable
-            else filesystem.open_input_stream(name, compression=None)
-        )
-        self._raw = raw if self.seekable else GzipMembers(raw)
-        self._file = io.BufferedReader(self._raw, 1 << 20)
+        raw = filesystem.open_input_file(name)
+        self.packed = packed
+        self._raw = GzipMembers(raw, start) if packed else raw
         self.offset = 0
+        if not packed and start:
+            self._raw.seek(start)
+            self.offset = start
+        self._file = io.BufferedReader(self._raw, 1 << 20)
+
+    @property
+    def broken(self) -> str | None:
+        """Why the bytes end here, if not because the file does."""
+        return self._raw.broken if self.packed else None
 
     def member_offset(self, offset: int) -> int | None:
         """Where the gzip member begins whose plain bytes begin at ``offset``.
 
         Known once bytes from there on have been read; None for a plain file.
         """
-        return None if self.seekable else self._raw.starts.pop(offset, None)
-
-    def line(self) -> bytes:
-        data = self._file.readline()
+        return self._raw.starts.get(offset) if self.packed else None
+
+    def go_on(self, after: int, mark: re.Pattern) -> bool:
+        """Move to the next gzip member, or to the next line of a plain file that ``mark`` matches."""
+        if self.packed:
+            found = self._raw.go_on(after)
+            self.offset = self._raw._plain
+            self._file.detach()  # it would close the file behind it
+            self._file = io.BufferedReader(self._raw, 1 << 20)
+            return found
+        self.offset = self._file.seek(after + 1)
+        self.line()  # the rest of the line in which the bad record begins
+        while True:
+            start = self.offset
+            line = self.line()
+            if not line or mark.match(line):
+                self.offset = self._file.seek(start)
+                return bool(line)
+
+    def line(self, limit: int = 1 << 24) -> bytes:
+        data = self._file.readline(limit)
         self.offset += len(data)
         return data
 
+    def block(self) -> bytes:
+        """Lines up to and with the first empty one."""
+        lines = []
+        while line := self.line():
+            lines.append(line)
+            if not line.strip(b"\r\n"):
+                break
+        return b"".join(lines)
+
     def take(self, size: int) -> bytes:
         data = self._file.read(size)
         self.offset += len(data)
@@ -133,7 +248,7 @@ class ByteReader:
 
     def skip(self, size: int) -> int:
         """Move on by ``size`` bytes without keeping them."""
-        if self.seekable:
+        if not self.packed:
             end = min(self._file.seek(self.offset + size), self._raw.size())
             moved = end - self.offset
             self.offset = end
@@ -153,15 +268,21 @@ class ByteReader:
 
 def record_batches(rows, schema: pa.Schema, max_bytes: int = 16 << 20, max_rows: int = 1024):
     """Group row dicts into Arrow batches bounded by payload bytes and rows."""
-    batch, size = [], 0
+    columns, count, size = [[] for _ in schema], 0, 0
+
+    def batch():
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
     for row in rows:
-        batch.append(row)
+        for column, field in zip(columns, schema):
+            column.append(row.get(field.name))
+        count += 1
         size += len(row.get("payload") or b"")
-        if size >= max_bytes or len(batch) >= max_rows:
-            yield pa.RecordBatch.from_pylist(batch, schema=schema)
-            batch, size = [], 0
-    if batch:
-        yield pa.RecordBatch.from_pylist(batch, schema=schema)
+        if size >= max_bytes or count >= max_rows:
+            yield batch()
+            columns, count, size = [[] for _ in schema], 0, 0
+    if count:
+        yield batch()
 
 
 @dataclass
@@ -171,8 +292,29 @@ class Written(WriterCommitMessage):
     records: int
 
 
+DROPPED = "_dropped-"
+
+
+def dropped_files(filesystem, root: str) -> set[str]:
+    """Names of part files that an overwrite has replaced but not yet removed."""
+    if filesystem.get_file_info(root).type != pafs.FileType.Directory:
+        return set()
+    out: set[str] = set()
+    for item in filesystem.get_file_info(pafs.FileSelector(root)):
+        if item.base_name.startswith(DROPPED):
+            with filesystem.open_input_stream(item.path) as f:
+                out |= set(json.loads(f.read()))
+    return out
+
+
 class StagedFiles:
-    """Part files of one write job: staged by tasks, moved into place on commit."""
+    """Part files of one write job: written under final, unique names in a hidden
+    folder, made visible by one move each when all tasks are done.
+
+    An overwrite removes nothing before its own files are in place. It first
+    notes the names it replaces in a ``_dropped-`` file, from when on readers
+    leave them out, and then deletes them; a job that fails leaves the old files.
+    """
 
     def __init__(self, path: str, overwrite: bool):
         self.path, self.overwrite = path.rstrip("/"), overwrite
@@ -188,17 +330,19 @@ class StagedFiles:
     def commit(self, messages):
         filesystem, root = resolve(self.path)
         filesystem.create_dir(root, recursive=True)
-        if self.overwrite:
-            for item in filesystem.get_file_info(pafs.FileSelector(root)):
-                if item.base_name == f"{STAGING}{self.job}":
-                    continue
+        old = [i for i in filesystem.get_file_info(pafs.FileSelector(root)) if i.base_name != f"{STAGING}{self.job}"]
+        with ThreadPoolExecutor(16) as pool:  # moves only wait for the store
+            list(pool.map(lambda m: filesystem.move(m.staged, m.final), [m for m in messages if m is not None and m.records]))
+        if self.overwrite and old:
+            note = f"{root}/{DROPPED}{self.job}"
+            with filesystem.open_output_stream(note, compression=None) as f:
+                f.write(json.dumps([i.base_name for i in old]).encode())
+            for item in old:
                 if item.type == pafs.FileType.Directory:
                     filesystem.delete_dir(item.path)
                 else:
                     filesystem.delete_file(item.path)
-        for message in messages:
-            if message is not None and message.records:
-                filesystem.move(message.staged, message.final)
+            filesystem.delete_file(note)
         self._drop_staging(filesystem, root)
 
     def abort(self):

@@ -19,14 +19,14 @@ from pyspark.sql.datasource import (
     IsNotNull,
 )
 
-from .files import READ_ERRORS, ByteReader, FilePartition, StagedFiles, Written, input_files, record_batches
+from .files import READ_ERRORS, ByteReader, StagedFiles, Written, file_partitions, record_batches
 
 SUFFIXES = (".warc", ".warc.gz")
 # Fixed values ---------------------------------------------------------------
-VERSION_LINE = re.compile(rb"WARC/(\d+.\d+)\r\n")
-HEADER_LINE = re.compile(r"([a-zA-Z_\-]+): *(.*)\r\n")
-SUPPORTED_VERSION = "1.0"
+VERSION = "WARC/1.0"
+HEADER_LINE = re.compile(r"([a-zA-Z_\-]+): *(.*)")
 # ----------------------------------------------------------------------------
+RECORD_START = re.compile(rb"WARC/\d+\.\d+\r\n")
 
 SCHEMA = (
     "file string, offset bigint, size bigint, member_offset bigint, version string, "
@@ -67,24 +67,17 @@ def _timestamp(text):
     return when if when.tzinfo else when.replace(tzinfo=timezone.utc)
 
 
-def _read_headers(data: ByteReader):
-    """(version, headers) of the next record, or None at the end of the file."""
-    first = data.line()
-    if not first:
-        return None
-    match = VERSION_LINE.match(first)
-    if not match:
-        raise BadRecord(f"Bad version line: {first[:80]!r}")
-    version = match[1].decode()
-    if version != SUPPORTED_VERSION:
-        raise BadRecord(f"Unsupported WARC version: {version}")
-    headers = {}
-    while (line := data.line()) != b"\r\n":
-        field = HEADER_LINE.match(line.decode("utf-8"))
-        if not field:
-            raise BadRecord(f"Bad header line: {line[:80]!r}")
-        headers[field[1].lower()] = field[2]
-    return version, headers
+def parse_head(block: bytes) -> dict[str, str]:
+    """The fields of a record's head: its first line, its header lines and the empty one."""
+    first, *lines = block.decode("utf-8").split("\r\n")
+    if first != VERSION:
+        raise BadRecord(f"no {VERSION} record begins here: {first[:80]!r}")
+    if lines[-2:] != ["", ""]:
+        raise BadRecord("the file ends inside a record's head")
+    fields = [HEADER_LINE.fullmatch(line) for line in lines[:-2]]
+    if None in fields:
+        raise BadRecord(f"not a header field: {lines[fields.index(None)][:80]!r}")
+    return {field[1].lower(): field[2] for field in fields}
 
 
 class WarcReader(DataSourceReader):
@@ -116,7 +109,7 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self):
-        return [FilePartition(path) for path in input_files(self.options, SUFFIXES)]
+        return file_partitions(self.options, SUFFIXES, split=True)
 
     def _wanted(self, kind, length):
         if kind is None and "record_type" in self.present:
@@ -127,60 +120,71 @@ class WarcReader(DataSourceReader):
             self.longer_than is None or (length is not None and length > self.longer_than)
         )
 
-    def _rows(self, path):
-        data = ByteReader(path)
+    def _record(self, data: ByteReader, start: int, block: bytes) -> dict | None:
+        """The row of the record whose head was read; None if no filter wants it."""
+        headers = parse_head(block)
+        if not headers.get("content-length", "").isdecimal():
+            raise BadRecord(f"no length in the head: {headers.get('content-length')!r}")
+        length, kind = int(headers["content-length"]), headers.get("warc-type")
+        wanted = self._wanted(kind, length)
+        keep = length if self.payload_limit < 0 else min(length, self.payload_limit)
+        payload = data.take(keep) if wanted and self.with_payload else None
+        got = len(payload or b"")
+        got += data.skip(length - got)
+        if got != length:
+            raise BadRecord(f"the payload has {got} of {length} bytes")
+        if (end := data.take(4)) != b"\r\n\r\n":
+            raise BadRecord(f"the record does not end after its payload: {end!r}")
+        return {
+            "size": data.offset - start,
+            "version": VERSION.removeprefix("WARC/"),
+            "headers": list(headers.items()),
+            "record_type": kind,
+            "record_id": headers.get("warc-record-id"),
+            "url": headers.get("warc-target-uri"),
+            "ip_address": headers.get("warc-ip-address"),
+            "date": _timestamp(headers.get("warc-date")),
+            "content_length": length,
+            "checksum": headers.get("warc-payload-digest"),
+            "payload": payload,
+        } if wanted else None
+
+    def _rows(self, part):
+        data = ByteReader(part.path, part.packed, part.start)
         try:
+            if part.start and not part.packed and not data.go_on(part.start - 2, RECORD_START):
+                return
             while True:
                 start = data.offset
                 try:
-                    head = _read_headers(data)
+                    block = data.block()
                     member = data.member_offset(start)
-                    if head is None:
+                    begins = member if part.packed else start
+                    if part.stop is not None and begins is not None and begins >= part.stop:
+                        return
+                    if data.broken:
+                        raise BadRecord(data.broken)
+                    if not block:
                         return
-                    version, headers = head
-                    length = int(headers.get("content-length", ""))
-                    kind = headers.get("warc-type")
-                    wanted = self._wanted(kind, length)
-                    payload = None
-                    if wanted and self.with_payload:
-                        keep = length if self.payload_limit < 0 else min(length, self.payload_limit)
-                        payload = data.take(keep)
-                        read = len(payload) + data.skip(length - keep)
-                    else:
-                        read = data.skip(length)
-                    if read != length:
-                        raise BadRecord(f"Payload ends after {read} of {length} bytes")
-                    for _ in range(2):
-                        if (line := data.line()) != b"\r\n":
-                            raise BadRecord(f"Expected an empty line, found {line[:80]!r}")
+                    row = self._record(data, start, block)
+                    if data.broken and row is None:
+                        raise BadRecord(data.broken)
                 except READ_ERRORS as e:
+                    reason = data.broken or str(e)
                     if self.failfast:
-                        raise BadRecord(f"{path} at {start}: {e}") from e
-                    if self._wanted(None, None):
-                        yield {"file": path, "offset": start, "error": str(e)}
-                    return
-                if wanted:
-                    yield {
-                        "file": path,
-                        "offset": start,
-                        "size": data.offset - start,
-                        "member_offset": member,
-                        "version": version,
-                        "headers": list(headers.items()),
-                        "record_type": kind,
-                        "record_id": headers.get("warc-record-id"),
-                        "url": headers.get("warc-target-uri"),
-                        "ip_address": headers.get("warc-ip-address"),
-                        "date": _timestamp(headers.get("warc-date")),
-                        "content_length": length,
-                        "checksum": headers.get("warc-payload-digest"),
-                        "payload": payload,
-                    }
+                        raise BadRecord(f"{part.path} at {start}: {reason}") from e
+                    # told whatever the filters ask for: it stands for records that are not known
+                    yield {"file": part.path, "offset": start, "error": reason}
+                    if not data.go_on(start, RECORD_START):
+                        return
+                    continue
+                if row is not None:
+                    yield row | {"file": part.path, "offset": start, "member_offset": member}
         finally:
             data.close()
 
     def read(self, partition):
-        yield from record_batches(self._rows(partition.path), _ARROW)
+        yield from record_batches(self._rows(partition), _ARROW)
 
 
 class WarcWriter(DataSourceArrowWriter):
@@ -213,7 +217,8 @@ class WarcWriter(DataSourceArrowWriter):
 
 class WarcDataSource(DataSource):
     """``warc``: options ``path``, ``mode`` (FAILFAST, PERMISSIVE), ``payload``
-    (false skips payloads), ``payloadLimit`` (bytes kept), ``compression`` (gzip)."""
+    (false skips payloads), ``payloadLimit`` (bytes kept), ``compression`` (gzip, none),
+    ``splitBytes`` (range of a file that one task reads)."""
 
     @classmethod
     def name(cls):
