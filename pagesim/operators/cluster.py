@@ -23,7 +23,8 @@ def bucket_edges(bands: DataFrame) -> DataFrame:
     centre = bands.groupBy("band", "band_hash").agg(
         F.min("sketch_id").alias("a"), F.count("*").alias("n")
     )
-    edges = bands.join(centre.filter("n > 1"), ["band", "band_hash"])
+    # written, so that a hot bucket is a plain key of two scans, which can be split
+    edges = bands.join(materialize(centre.filter("n > 1"), "centres"), ["band", "band_hash"])
     return edges.filter("a <> sketch_id").select("a", F.col("sketch_id").alias("b")).distinct()
 
 
@@ -85,10 +86,10 @@ def cluster_pages(index: Index, pairs: DataFrame | None = None) -> DataFrame:
     always together. A cluster is named by its smallest URL.
     """
     linked = components(bucket_edges(index.bands) if pairs is None else pairs.select("a", "b"))
-    labelled = index.members.select("url", "sketch_id").join(
-        linked.withColumnRenamed("node", "sketch_id"), "sketch_id", "left"
-    ).select("url", F.coalesce("root", "sketch_id").alias("root"))
+    linked = materialize(linked.withColumnRenamed("node", "sketch_id"), "linked")
+    labelled = index.members.select("url", "sketch_id").join(linked, "sketch_id", "left")
+    labelled = materialize(labelled.select("url", F.coalesce("root", "sketch_id").alias("root")), "labelled")
     names = labelled.groupBy("root").agg(
         F.min("url").alias("cluster"), F.count("*").alias("cluster_size")
     )
-    return labelled.join(names, "root").select("url", "cluster", "cluster_size")
+    return labelled.join(materialize(names, "names"), "root").select("url", "cluster", "cluster_size")

@@ -27,6 +27,7 @@ class Index:
     bands: DataFrame
     n_bands: int = fn.BANDS
     n_rows: int = fn.ROWS
+    vocabulary: str | None = None  # names the vocabulary behind the items, if known
 
 
 def index_tables(features: DataFrame, bands: int = fn.BANDS, rows: int = fn.ROWS,
@@ -98,6 +99,10 @@ def similar_pages(queries: DataFrame | Index, index: Index, min_jaccard: float |
     """
     if not isinstance(queries, Index):
         queries = stored_index(queries, index.n_bands, index.n_rows, items)
+    if queries.vocabulary and index.vocabulary and queries.vocabulary != index.vocabulary:
+        raise ValueError("the query pages and the index were made with different vocabularies")
+    if (queries.n_bands, queries.n_rows) != (index.n_bands, index.n_rows):
+        raise ValueError("the query pages and the index are banded differently")
     query = queries.members
     with_vec = "vec" in index.members.columns and "vec" in query.columns
     found = score_pairs(
@@ -154,7 +159,8 @@ def bucket_pairs(bands: DataFrame, block: int = BUCKET_BLOCK) -> DataFrame:
     each pair meets in exactly one cell, and no cell outgrows a task. Pairs
     that share several bands are merged by a partial, then final, distinct.
     """
-    sized = bands.join(bucket_sizes(bands), ["band", "band_hash"])
+    # written: a hot bucket can be split only in a join of two scans
+    sized = bands.join(materialize(bucket_sizes(bands), "bucket-sizes"), ["band", "band_hash"])
     slices = F.ceil(F.col("members") / block).cast("int")
     slot = F.pmod(F.hash("sketch_id"), slices)
     placed = sized.withColumn("slot", slot).withColumn("last", slices - 1)
@@ -220,12 +226,13 @@ def first_pages_report(features: DataFrame, index: Index, n: int = 11,
 
 def buckets(index: Index, min_size: int = 2) -> DataFrame:
     """Bucket contents: one row per band key and URL, with the bucket's URL count."""
-    per_sketch = index.members.groupBy("sketch_id").agg(F.count("*").alias("urls"))
-    sizes = (
+    per_sketch = materialize(index.members.groupBy("sketch_id").agg(F.count("*").alias("urls")), "sketch-urls")
+    sizes = materialize(
         index.bands.join(per_sketch, "sketch_id")
         .groupBy("band", "band_hash")
         .agg(F.sum("urls").alias("bucket_size"))
-        .filter(F.col("bucket_size") >= min_size)
+        .filter(F.col("bucket_size") >= min_size),
+        "bucket-sizes",
     )
     return (
         index.bands.join(sizes, ["band", "band_hash"])

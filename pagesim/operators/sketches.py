@@ -8,8 +8,6 @@ from ..functions import sketch as fn
 from ..session import fence
 from .dom import array_rows
 
-SET_SEPARATOR = " | "
-
 
 def minhash_rows(df: DataFrame, id: str, item: str, num_perm: int = fn.NUM_PERM,
                  seed: int = fn.SEED) -> DataFrame:
@@ -59,8 +57,11 @@ def weighted_minhash_vectors(df: DataFrame, vec: str = "vec", num_samples: int =
 
 
 def set_id(items: Column) -> Column:
-    """Identity of a set given as a sorted array without duplicates."""
-    return F.md5(F.array_join(items, SET_SEPARATOR))
+    """Identity of a set given as a sorted array without duplicates.
+
+    Each item is written after its length, so no two sets read the same.
+    """
+    return F.md5(F.array_join(F.transform(items, lambda i: F.concat(F.length(i).cast("string"), F.lit(":"), i)), ""))
 
 
 def members_table(df: DataFrame, items: str = "grams") -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+from dataclasses import astuple, dataclass
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
@@ -10,14 +14,14 @@ from ..functions.vocabulary import REFERENCE, Vocabulary
 from ..operators import records
 from ..operators.lsh import Index
 from ..operators.sketches import band_index, members_table, sketches_table
+from ..session import materialize
 from ..sources import read_archive
 from .stage import chain
 from .stages import feature_stages
 
-BATCH = "batch"
+BATCH = "batch"  # each append writes folders of its own, named by its run and batch
 TABLES = ("members", "sketches", "bands")
-SETTINGS = "settings"  # bands and rows the index was banded with
-BUILT = -1  # batch number of rows written by build_index and save_index
+SETTINGS = "settings"  # one row per version: what its cells and keys mean
 MEMBERS = "url string, sketch_id string, grams array<string>, vec map<int,bigint>, errors array<string>"
 SKETCHES = "sketch_id string, grams array<string>, sig array<bigint>"
 BANDS = "band int, band_hash bigint, sketch_id string"
@@ -27,7 +31,8 @@ def ingest_counters(df: DataFrame, observation: Observation, maximum: int | None
     """Count what passes through, without a job of its own.
 
     After an action on the result ``observation.get`` holds ``processed``,
-    ``failed`` and ``maximum``.
+    ``failed`` and ``maximum``. Rows that go into the index are counted by
+    :func:`insert_counter`, after URLs were made unique.
     """
     errors = F.size("errors") > 0 if "errors" in df.columns else F.lit(False)
     return df.observe(
@@ -38,6 +43,11 @@ def ingest_counters(df: DataFrame, observation: Observation, maximum: int | None
     )
 
 
+def insert_counter(members: DataFrame, observation: Observation) -> DataFrame:
+    """Count the members that are stored; ``observation.get`` holds ``inserted``."""
+    return members.observe(observation, F.count(F.lit(1)).alias("inserted"))
+
+
 def archive_pages(spark: SparkSession, path: str, format: str = "auto",
                   min_length: int = records.MIN_LENGTH, max_records: int | None = None) -> DataFrame:
     """Pages of a WARC file or folder: filtered, split, stripped, first ``max_records`` if set."""
@@ -56,20 +66,43 @@ def page_table(features: DataFrame, order: tuple[str, ...] = ("url",)) -> DataFr
     return features.groupBy("url").agg(first).select("url", "_f.*")
 
 
+@dataclass(frozen=True)
+class Settings:
+    """What must be the same for all rows of an index: appending other rows fails."""
+
+    bands: int = fn.BANDS
+    rows: int = fn.ROWS
+    vocabulary: str | None = None
+    num_perm: int = fn.NUM_PERM
+    seed: int = fn.SEED
+
+
+_SETTINGS = "version string, number bigint, bands int, rows int, vocabulary string, num_perm int, seed int"
+
+
+def vocabulary_key(vocab: Vocabulary) -> str:
+    """Names a vocabulary by its tags, exclusions and numbering."""
+    text = "\n".join([str(vocab.first_id), *vocab.tags, "", *sorted(vocab.excluded)])
+    return hashlib.md5(text.encode()).hexdigest()
+
+
 def build_index(pages: DataFrame, path: str, vocab: Vocabulary = REFERENCE,
                 bands: int = fn.BANDS, rows: int = fn.ROWS,
                 order: tuple[str, ...] | None = None,
-                observation: Observation | None = None) -> Index:
+                observation: Observation | None = None,
+                inserted: Observation | None = None) -> Index:
     """Pages (``url, html``, extracted or a plain table) to a stored index.
 
     Of several pages with one URL the first in ``order`` counts: file and
-    offset when the pages come from archives.
+    offset when the pages come from archives. An index that is already at
+    ``path`` is replaced, streamed batches included: the tables go to a new
+    version, which readers see once it is whole.
 
     Pages are read and parsed once: the member table is written first, and the
     distinct sketches and their bands come from reading it back.
     """
     spark = pages.sparkSession
-    write_settings(spark, path, bands, rows)
+    version = uuid.uuid4().hex
     if "transformations" not in pages.columns:
         pages = records.pages_as_records(pages)
     features = chain(pages, *feature_stages(vocab))
@@ -80,54 +113,120 @@ def build_index(pages: DataFrame, path: str, vocab: Vocabulary = REFERENCE,
     members = members_table(page_table(features, order)).select(
         "url", "sketch_id", "grams", "vec", "errors"
     )
-    _write(members, path, "members", BUILT, "overwrite")
-    _write(sketches_table(_read(spark, path, "members", MEMBERS)), path, "sketches", BUILT, "overwrite")
-    sketches = _read(spark, path, "sketches", SKETCHES)
-    _write(band_index(sketches, bands, rows), path, "bands", BUILT, "overwrite")
+    if inserted is not None:
+        members = insert_counter(members, inserted)
+    folder = f"{path}/{version}"
+    _write(members, folder, "members", "built")
+    _write(sketches_table(_read(spark, folder, "members")), folder, "sketches", "built")
+    _write(band_index(_read(spark, folder, "sketches"), bands, rows), folder, "bands", "built")
+    publish(spark, path, version, Settings(bands, rows, vocabulary_key(vocab)))
     return open_index(spark, path)
 
 
 def save_index(index: Index, path: str, mode: str = "overwrite"):
-    """Store index tables; ``append`` adds to what is stored."""
-    write_settings(index.bands.sparkSession, path, index.n_bands, index.n_rows, mode)
-    for name in TABLES:
-        _write(getattr(index, name), path, name, BUILT, mode)
-
-
-def read_settings(spark: SparkSession, path: str) -> tuple[int, int] | None:
-    """Bands and rows of the index at ``path``, None where there is no index."""
+    """Store index tables as a new version; ``append`` adds what is not stored yet."""
+    spark = index.bands.sparkSession
+    settings = Settings(index.n_bands, index.n_rows, index.vocabulary)
+    if mode == "overwrite":
+        version = uuid.uuid4().hex
+        for name in TABLES:
+            _write(getattr(index, name), f"{path}/{version}", name, "built")
+        publish(spark, path, version, settings)
+        return
+    folder, batch = version_folder(spark, path, settings), uuid.uuid4().hex
+    members = materialize(index.members, "append-members")
+    sketches = materialize(index.sketches, "append-sketches")
+    new = not_stored(sketches, stored_but(spark, folder, batch, "sketches"), "sketch_id")
+    new = materialize(new, "append-new")
+    bands = index.bands.join(new.select("sketch_id"), "sketch_id", "left_semi")
+    _write(not_stored(members, stored_but(spark, folder, batch, "members"), "url"), folder, "members", batch)
+    _write(new, folder, "sketches", batch)
+    _write(bands, folder, "bands", batch)
+
+
+def read_settings(spark: SparkSession, path: str) -> tuple[str, Settings] | None:
+    """Version and settings of the index at ``path``, None where there is no index."""
     try:
-        return tuple(spark.read.schema("bands int, rows int").parquet(f"{path}/{SETTINGS}").first())
+        stored = spark.read.schema(_SETTINGS).parquet(f"{path}/{SETTINGS}")
+        row = stored.orderBy(F.desc("number"), "version").first()
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
+    return None if row is None else (row.version, Settings(*row[2:]))
 
 
-def write_settings(spark: SparkSession, path: str, bands: int, rows: int, mode: str = "overwrite"):
-    """Note how an index is banded; adding to one that is banded otherwise fails."""
-    stored = read_settings(spark, path)
-    if mode != "overwrite" and stored not in (None, (bands, rows)):
-        raise ValueError(f"the index at {path} has {stored} bands and rows, not {(bands, rows)}")
-    if stored != (bands, rows):
-        settings = spark.createDataFrame([(bands, rows)], "bands int, rows int").coalesce(1)
-        settings.write.mode("overwrite").parquet(f"{path}/{SETTINGS}")
+def publish(spark: SparkSession, path: str, version: str, settings: Settings):
+    """Make ``version`` the one that readers open; older versions stay on disk until removed."""
+    known = read_settings(spark, path)
+    number = 0
+    if known:
+        number = spark.read.schema(_SETTINGS).parquet(f"{path}/{SETTINGS}").agg(F.max("number")).first()[0] + 1
+    row = spark.createDataFrame([(version, number, *astuple(settings))], _SETTINGS).coalesce(1)
+    row.write.mode("append").parquet(f"{path}/{SETTINGS}")
+
+
+def version_folder(spark: SparkSession, path: str, settings: Settings) -> str:
+    """The folder to append to; a new index gets its first version.
+
+    Rows of another vocabulary, banding, number of permutations or seed can't be
+    compared with what is stored, so they are refused.
+    """
+    known = read_settings(spark, path)
+    if known is None:
+        version = uuid.uuid4().hex
+        publish(spark, path, version, settings)
+        return f"{path}/{version}"
+    version, stored = known
+    if stored != settings:
+        raise ValueError(f"the index at {path} has {stored}, not {settings}")
+    return f"{path}/{version}"
 
 
 def open_index(spark: SparkSession, path: str) -> Index:
     """A stored index, as it was built plus every batch appended to it."""
-    bands, rows = read_settings(spark, path)
-    members, sketches, band_rows = (_read(spark, path, name, None).drop(BATCH) for name in TABLES)
-    return Index(members.select("url", "sketch_id", "vec"), sketches, band_rows, bands, rows)
+    known = read_settings(spark, path)
+    if known is None:
+        raise FileNotFoundError(f"no index at {path}")
+    version, settings = known
+    members, sketches, band_rows = (stored_but(spark, f"{path}/{version}", None, name) for name in TABLES)
+    return Index(
+        members.select("url", "sketch_id", "vec"), sketches, band_rows, settings.bands, settings.rows, settings.vocabulary
+    )
+
+
+_SCHEMAS = {"members": MEMBERS, "sketches": SKETCHES, "bands": BANDS}
+
+
+def stored_but(spark: SparkSession, folder: str, batch: str | None, table: str) -> DataFrame:
+    """Rows of an index table but those of ``batch``; none where nothing is stored."""
+    try:
+        stored = _read(spark, folder, table)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], _SCHEMAS[table])
+    return (stored if batch is None else stored.filter(F.col(BATCH) != batch)).drop(BATCH)
+
+
+def not_stored(fresh: DataFrame, stored: DataFrame, key: str) -> DataFrame:
+    """Rows of ``fresh``, a table just written, whose key is not stored yet.
+
+    The stored keys are cut to the batch's before the anti join. ``fresh`` has a
+    known size, so a small batch is broadcast to the scan of the stored keys and
+    these are not shuffled; a large one is joined by shuffle.
+    """
+    hits = stored.select(key).join(fresh.select(key).distinct(), key, "left_semi")
+    return fresh.join(hits, key, "left_anti")
 
 
-def _write(df: DataFrame, path: str, table: str, batch: int, mode: str):
+def _write(df: DataFrame, folder: str, table: str, batch: str):
     if table == "bands":
         # Neighbouring keys lie together, and a hot key may span files.
         df = df.repartitionByRange("band_hash", "sketch_id").sortWithinPartitions("band_hash")
-    df.write.mode(mode).parquet(f"{path}/{table}/{BATCH}={batch}")
+    df.write.mode("overwrite").parquet(f"{folder}/{table}/{BATCH}={batch}")
 
 
-def _read(spark: SparkSession, path: str, table: str, schema: str | None) -> DataFrame:
-    reader = spark.read if schema is None else spark.read.schema(f"{schema}, {BATCH} int")
-    return reader.option("basePath", f"{path}/{table}").parquet(f"{path}/{table}")
+def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    reader = spark.read.schema(f"{_SCHEMAS[table]}, {BATCH} string")
+    return reader.option("basePath", f"{folder}/{table}").parquet(f"{folder}/{table}")

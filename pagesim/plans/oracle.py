@@ -172,7 +172,7 @@ sigs AS MATERIALIZED (SELECT key, list(v ORDER BY i) AS sig FROM mins GROUP BY k
 bands AS MATERIALIZED (SELECT key, CAST(band AS INTEGER) AS band, ('0x' || substr(md5(array_to_string(
     sig[band * {fn.ROWS} + 1 : (band + 1) * {fn.ROWS}], ',')), 1, 15))::BIGINT AS band_hash
     FROM sigs CROSS JOIN (SELECT unnest(range({fn.BANDS})) AS band)),
-ids AS MATERIALIZED (SELECT key, md5(string_agg(item, ' | ' ORDER BY item)) AS sketch_id,
+ids AS MATERIALIZED (SELECT key, md5(string_agg(length(item) || ':' || item, '' ORDER BY item)) AS sketch_id,
     list(item) AS grams FROM items GROUP BY key),
 linked AS MATERIALIZED (SELECT DISTINCT a.key AS x, b.key AS y FROM bands a JOIN bands b
     ON a.band = b.band AND a.band_hash = b.band_hash),
@@ -308,7 +308,7 @@ SELECT url, min(url) OVER (PARTITION BY root) AS cluster, count(*) OVER (PARTITI
 FROM placed"""
 
 INDEX_ROWS = f"""WITH {tree_ctes("block")}
-SELECT url, md5(string_agg(gram, ' | ' ORDER BY gram)) AS sketch_id, CAST(count(*) AS INTEGER) AS grams,
+SELECT url, md5(string_agg(length(gram) || ':' || gram, '' ORDER BY gram)) AS sketch_id, CAST(count(*) AS INTEGER) AS grams,
     CAST({fn.BANDS} AS BIGINT) AS bands, CAST(count(*) AS INTEGER) AS cells
 FROM grams g JOIN pages p ON g.page_id = p.page_id {{where}} GROUP BY p.page_id, url"""
 
@@ -318,6 +318,12 @@ c AS (SELECT label, i, avg(round(x, 4)) AS m FROM e GROUP BY ALL)
 SELECT vec_id, round(1 - sum(x * m) / (sqrt(sum(x * x)) * sqrt(sum(m * m))), 5) AS cosine_distance
 FROM e JOIN c ON e.label = c.label AND e.i = c.i GROUP BY vec_id"""
 
+STREAM_SIMILAR = f"""WITH {PAGE_ITEMS}, {sketch_ctes()}
+SELECT least(p.url, q.url) AS url_a, greatest(p.url, q.url) AS url_b
+FROM page_sets s JOIN linked l ON l.x = s.grams JOIN page_sets t ON l.y = t.grams
+JOIN pages p ON p.page_id = s.page_id JOIN pages q ON q.page_id = t.page_id WHERE p.url < q.url
+UNION SELECT url, url || '*' FROM pages"""
+
 # Archives and records ---------------------------------------------------------
 
 MOVED = "contains(url, 'utm_source')"
@@ -422,7 +428,8 @@ FROM pages WHERE {MOVED} HAVING count(*) > 0""",
     "m1_minhash_pages": MINHASH_PAGES,
     "m2_weighted_minhash": WEIGHTED_MINHASH,
     "p4_ingest_counters": f"""SELECT count(*) AS rows, count(*) AS processed,
-    count(*) FILTER ({MOVED}) AS failed, CAST(1000000 AS BIGINT) AS maximum FROM pages""",
+    count(*) FILTER ({MOVED}) AS failed, CAST(1000000 AS BIGINT) AS maximum,
+    count(DISTINCT url) AS inserted FROM pages""",
     "l2_band_index": BAND_INDEX,
     "l3_candidates": CANDIDATES,
     "l4_similar_documents": SIMILAR_DOCUMENTS,
@@ -443,7 +450,12 @@ FROM pages WHERE {MOVED} HAVING count(*) > 0""",
     ).replace("text/p.html", "text/html"),
     "r1_stream_index": INDEX_ROWS.format(where=""),
     "r2_stream_unique_urls": "SELECT url, CAST(1 AS BIGINT) AS times FROM pages",
-    "r3_stream_similar": "SELECT url AS query_url, CAST(1 AS BIGINT) AS self_hits FROM pages",
+    "r2_two_streams_disjoint": INDEX_ROWS.format(where=""),
+    "r2_two_streams_overlap": INDEX_ROWS.format(where=""),
+    "k6_rebuild_over_stream": INDEX_ROWS.format(where=""),
+    "k6_append_overlap": INDEX_ROWS.format(where=""),
+    "r3_stream_similar": STREAM_SIMILAR,
+    "r3_stream_similar_small_batches": STREAM_SIMILAR,
 }
 ORACLE["r1_stream_archives"] = ORACLE["p5_archive_ingest"]
 for _name in VOCABULARIES:

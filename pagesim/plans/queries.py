@@ -437,9 +437,18 @@ def ingest_counters(spark, folder):
         F.lit(got["processed"]).cast("bigint").alias("processed"),
         F.lit(got["failed"]).cast("bigint").alias("failed"),
         F.lit(got["maximum"]).cast("bigint").alias("maximum"),
+        F.lit(_inserted(spark, folder)).cast("bigint").alias("inserted"),
     )
 
 
+def _inserted(spark, folder):
+    """What an index build counts when every page comes twice."""
+    counted = Observation("inserted")
+    twice = pages(spark, folder).select("url", "html")
+    store.build_index(twice.unionByName(twice), work_dir(spark, "index"), BLOCK, inserted=counted)
+    return counted.get["inserted"]
+
+
 # Index and similarity ---------------------------------------------------------
 
 
@@ -581,15 +590,52 @@ def _index_rows(idx):
 # Streaming and lineage ---------------------------------------------------------
 
 
-def _page_stream(spark, folder):
-    """The pages as a stream of several files, one micro-batch each."""
+def _page_stream(spark, folder, keep=None, files=3):
+    """The pages that ``keep`` names as a stream of several files, one micro-batch each."""
     path = work_dir(spark, "incoming")
-    pages(spark, folder).select("url", "html").repartition(3, "url").write.parquet(path)
+    chosen = pages(spark, folder).select("url", "html")
+    if keep is not None:
+        chosen = chosen.filter(keep)
+    chosen.repartition(files, "url").write.parquet(path)
     return (
         spark.readStream.schema("url string, html string").option("maxFilesPerTrigger", 1).parquet(path)
     )
 
 
+def _two_streams(spark, folder, first, second):
+    """One index fed by two streams, each with a checkpoint of its own."""
+    path = work_dir(spark, "index")
+    for keep in (first, second):
+        check = work_dir(spark, "progress")
+        stream.stream_index(_page_stream(spark, folder, keep), path, check, BLOCK).awaitTermination()
+    return path
+
+
+def two_streams_disjoint(spark, folder):
+    return _index_rows(store.open_index(spark, _two_streams(spark, folder, "hash(url) % 2 = 0", "hash(url) % 2 <> 0")))
+
+
+def two_streams_overlap(spark, folder):
+    """The second stream brings what the first one had, and the rest."""
+    return _index_rows(store.open_index(spark, _two_streams(spark, folder, "hash(url) % 2 = 0", "true")))
+
+
+def rebuild_over_stream(spark, folder):
+    """A build over a streamed index of other rows leaves its own rows only."""
+    path = _two_streams(spark, folder, "hash(url) % 3 = 0", "hash(url) % 3 = 1")
+    return _index_rows(store.build_index(pages(spark, folder).select("url", "html"), path, BLOCK))
+
+
+def append_overlap(spark, folder):
+    """Appending twice what is partly stored stores each URL and sketch once."""
+    path = work_dir(spark, "index")
+    every = features(spark, folder)
+    store.save_index(lsh.index_tables(every.filter("hash(url) % 2 = 0")), path)
+    for _ in range(2):
+        store.save_index(lsh.index_tables(every), path, "append")
+    return _index_rows(store.open_index(spark, path))
+
+
 def stream_index(spark, folder):
     """Incremental indexing gives the index of one batch run."""
     path, check = work_dir(spark, "index"), work_dir(spark, "progress")
@@ -617,12 +663,17 @@ def stream_unique_urls(spark, folder):
     return members.groupBy("url").agg(F.count("*").alias("times"))
 
 
-def stream_similar(spark, folder):
-    """Each page looked up among earlier batches while the index grows."""
+def stream_similar(spark, folder, files=3):
+    """Each page looked up among those before it, as unordered pairs, and itself."""
     path, out, check = (work_dir(spark, n) for n in ("index", "answers", "progress"))
-    stream.stream_similar(_page_stream(spark, folder), path, out, check, BLOCK).awaitTermination()
+    stream.stream_similar(_page_stream(spark, folder, files=files), path, out, check, BLOCK).awaitTermination()
     answers = spark.read.parquet(out)
-    return answers.groupBy("query_url").agg(F.count_if(F.endswith("url", F.lit("*"))).alias("self_hits"))
+    return answers.select(F.least("query_url", "url").alias("url_a"), F.greatest("query_url", "url").alias("url_b"))
+
+
+def stream_similar_small_batches(spark, folder):
+    """The same pairs, whatever the batches."""
+    return stream_similar(spark, folder, files=7)
 
 
 def lineage(spark, folder):
@@ -691,7 +742,12 @@ QUERIES = {
     "r1_stream_index": stream_index,
     "r1_stream_archives": stream_archives,
     "r2_stream_unique_urls": stream_unique_urls,
+    "r2_two_streams_disjoint": two_streams_disjoint,
+    "r2_two_streams_overlap": two_streams_overlap,
+    "k6_rebuild_over_stream": rebuild_over_stream,
+    "k6_append_overlap": append_overlap,
     "r3_stream_similar": stream_similar,
+    "r3_stream_similar_small_batches": stream_similar_small_batches,
 }
 for _name, _vocab in VOCABULARIES.items():
     QUERIES[f"t3_structural_nodes_{_name}"] = structural_nodes(_vocab)

@@ -1,12 +1,15 @@
 """Incremental indexing and lookup with Structured Streaming.
 
-The index on disk is the state: every micro-batch writes its own ``batch=<id>``
-folder of each table, so a batch that is replayed after a failure overwrites
-what it wrote before and nothing is counted twice.
+The index on disk is the state: every micro-batch writes its own folder of each
+table, named by the run and the batch. The run is noted beside the stream's
+checkpoint, so a batch that is replayed after a failure overwrites what it wrote
+before, and two streams into one index never touch each other's batches.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -14,7 +17,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from ..functions import sketch as fn
 from ..functions.vocabulary import REFERENCE, Vocabulary
 from ..operators import records
-from ..operators.lsh import Index, similar_pages
+from ..operators.lsh import Index, similar_pages, stored_index
 from ..operators.sketches import band_index, members_table, sketches_table
 from ..plans import index as store
 from ..plans.stage import chain
@@ -25,56 +28,53 @@ from ..sources import read_archive
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
-def stored_before(spark: SparkSession, path: str, batch: int, table: str) -> DataFrame:
-    """Rows of an index table written by earlier batches; empty when there are none."""
-    schema = {"members": store.MEMBERS, "sketches": store.SKETCHES, "bands": store.BANDS}[table]
+def run_of(spark: SparkSession, checkpoint: str) -> str:
+    """The name of the run that a checkpoint folder belongs to; made when first asked for."""
+    path = f"{checkpoint}/index-run"
     try:
-        stored = store._read(spark, path, table, schema)
+        return spark.read.schema("run string").parquet(path).first()[0]
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
-    return stored.filter(F.col(store.BATCH) < batch).drop(store.BATCH)
-
+    run = uuid.uuid4().hex
+    spark.createDataFrame([(run,)], "run string").coalesce(1).write.parquet(path)
+    return run
 
-def not_stored(fresh: DataFrame, stored: DataFrame, key: str) -> DataFrame:
-    """Rows of ``fresh``, a table just written, whose key is not stored yet.
 
-    The stored keys are cut to the batch's before the anti join. ``fresh`` has a
-    known size, so a small batch is broadcast to the scan of the stored keys and
-    these are not shuffled; a large one is joined by shuffle.
-    """
-    hits = stored.select(key).join(fresh.select(key).distinct(), key, "left_semi")
-    return fresh.join(hits, key, "left_anti")
+def batch_features(pages: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """Features of a batch, one row per URL, written once."""
+    if "transformations" not in pages.columns:
+        pages = records.pages_as_records(pages)
+    order = tuple(c for c in ("file", "offset") if c in pages.columns) or ("url",)
+    return materialize(members_table(store.page_table(chain(pages, *feature_stages(vocab)), order)), "batch")
+
+
+def add_features(fresh: DataFrame, batch: str, folder: str, bands: int, rows: int) -> DataFrame:
+    """Add a batch's features to an index version; returns the members it added."""
+    spark = fresh.sparkSession
+    members = store.not_stored(fresh, store.stored_but(spark, folder, batch, "members"), "url")
+    store._write(members.select("url", "sketch_id", "grams", "vec", "errors"), folder, "members", batch)
+    own = lambda table, schema: spark.read.schema(schema).parquet(f"{folder}/{table}/{store.BATCH}={batch}")
+    added = own("members", store.MEMBERS)
+    new = store.not_stored(
+        added.select("sketch_id", "grams"), store.stored_but(spark, folder, batch, "sketches"), "sketch_id"
+    )
+    store._write(sketches_table(new), folder, "sketches", batch)
+    store._write(band_index(own("sketches", store.SKETCHES), bands, rows), folder, "bands", batch)
+    return added
 
 
 def index_batch(pages: DataFrame, batch: int, path: str, vocab: Vocabulary = REFERENCE,
-                bands: int = fn.BANDS, rows: int = fn.ROWS) -> DataFrame:
+                bands: int = fn.BANDS, rows: int = fn.ROWS, run: str = "direct") -> DataFrame:
     """Add one batch of pages to the index at ``path``; returns the members it added.
 
-    A URL that an earlier batch indexed is not indexed again, and a sketch that
-    is already stored is not banded again.
+    A URL that is stored already is not indexed again, and a sketch that is
+    stored is not banded again. The same run and batch again replace what they
+    wrote.
     """
-    spark = pages.sparkSession
-    store.write_settings(spark, path, bands, rows, "append")
-    if "transformations" not in pages.columns:
-        pages = records.pages_as_records(pages)
-    order = tuple(c for c in ("file", "offset") if c in pages.columns) or ("url",)
-    features = store.page_table(chain(pages, *feature_stages(vocab)), order)
-    fresh = materialize(members_table(features), "batch")
-    members = not_stored(fresh, stored_before(spark, path, batch, "members"), "url")
-    store._write(
-        members.select("url", "sketch_id", "grams", "vec", "errors"),
-        path, "members", batch, "overwrite",
-    )
-    added = spark.read.schema(store.MEMBERS).parquet(f"{path}/members/{store.BATCH}={batch}")
-    new = not_stored(
-        added.select("sketch_id", "grams"), stored_before(spark, path, batch, "sketches"), "sketch_id"
-    )
-    store._write(sketches_table(new), path, "sketches", batch, "overwrite")
-    sketches = spark.read.schema(store.SKETCHES).parquet(f"{path}/sketches/{store.BATCH}={batch}")
-    store._write(band_index(sketches, bands, rows), path, "bands", batch, "overwrite")
-    return added
+    settings = store.Settings(bands, rows, store.vocabulary_key(vocab))
+    folder = store.version_folder(pages.sparkSession, path, settings)
+    return add_features(batch_features(pages, vocab), f"{run}-{batch}", folder, bands, rows)
 
 
 def stream_index(pages: DataFrame, path: str, checkpoint: str, vocab: Vocabulary = REFERENCE,
@@ -84,8 +84,10 @@ def stream_index(pages: DataFrame, path: str, checkpoint: str, vocab: Vocabulary
     Runs through what is available and stops; start it again to go on from
     its checkpoint.
     """
+    run = run_of(pages.sparkSession, checkpoint)
+
     def step(batch_df: DataFrame, batch: int):
-        index_batch(batch_df, batch, path, vocab, bands, rows)
+        index_batch(batch_df, batch, path, vocab, bands, rows, run)
 
     return (
         pages.writeStream.foreachBatch(step)
@@ -111,10 +113,12 @@ def stream_archives(spark: SparkSession, folder: str, path: str, checkpoint: str
         .load(folder).select("path")
     )
 
+    run = run_of(spark, checkpoint)
+
     def step(batch_df: DataFrame, batch: int):
         files = [r.path for r in batch_df.collect()]  # at most files_per_batch names
         found = records.extract_html(read_archive(spark, files, "warc"), min_length)
-        index_batch(found, batch, path, vocab, bands, rows)
+        index_batch(found, batch, path, vocab, bands, rows, run)
 
     return (
         names.writeStream.foreachBatch(step)
@@ -127,18 +131,29 @@ def stream_archives(spark: SparkSession, folder: str, path: str, checkpoint: str
 def stream_similar(pages: DataFrame, path: str, results: str, checkpoint: str,
                    vocab: Vocabulary = REFERENCE, min_jaccard: float | None = None,
                    bands: int = fn.BANDS, rows: int = fn.ROWS) -> StreamingQuery:
-    """Look each new page up in the index as it stood before its batch, then add it.
+    """Look each new page up among all pages that came before it, then add it.
 
-    Answers go to ``results/batch=<id>``.
+    Before it are the pages of earlier batches and those of its own batch whose
+    URL sorts before its own, so that how pages are cut into batches does not
+    change which pairs are answered. A page whose URL is stored is looked up too.
+    Answers go to ``results/batch=<run>-<id>``.
     """
+    run = run_of(pages.sparkSession, checkpoint)
+    settings = store.Settings(bands, rows, store.vocabulary_key(vocab))
+
     def step(batch_df: DataFrame, batch: int):
-        spark = batch_df.sparkSession
-        added = index_batch(batch_df, batch, path, vocab, bands, rows)
-        before = Index(
-            *(stored_before(spark, path, batch, t) for t in store.TABLES), bands, rows
+        spark, name = batch_df.sparkSession, f"{run}-{batch}"
+        folder = store.version_folder(spark, path, settings)
+        fresh = batch_features(batch_df, vocab)
+        add_features(fresh, name, folder, bands, rows)
+        seen = Index(*(store.stored_but(spark, folder, None, t) for t in store.TABLES), bands, rows)
+        found = similar_pages(stored_index(fresh, bands, rows), seen, min_jaccard, include_self=True)
+        added = spark.read.schema(store.MEMBERS).parquet(f"{folder}/members/{store.BATCH}={name}")
+        own = added.select("url", F.lit(True).alias("_own"))
+        kept = found.join(own, "url", "left").filter(
+            (F.col("url") != F.col("query_url")) & (F.col("_own").isNull() | (F.col("url") < F.col("query_url")))
         )
-        found = similar_pages(added, before, min_jaccard, include_self=True)
-        found.write.mode("overwrite").parquet(f"{results}/{store.BATCH}={batch}")
+        kept.select(*found.columns).write.mode("overwrite").parquet(f"{results}/{store.BATCH}={name}")
 
     return (
         pages.writeStream.foreachBatch(step)

@@ -68,16 +68,62 @@ def test_stream_equals_batch_and_replay_changes_nothing(spark, folder):
     assert a.count() == b.count() == 50 and a.exceptAll(b).count() == 0
 
 
-def test_stream_similar_sees_earlier_batches_only(spark, tmp_path):
-    path, out, check = (work_dir(spark, n) for n in ("index", "answers", "progress"))
-    source = str(tmp_path / "in")
-    df = lambda url: spark.createDataFrame([(url, "<html><ul><ol>")], "url string, html string")
-    stream = spark.readStream.schema("url string, html string").option("maxFilesPerTrigger", 1).parquet
-    for url in ("first", "second"):
-        df(url).coalesce(1).write.mode("append").parquet(source)
-        ingest.stream_similar(stream(source), path, out, check).awaitTermination()
-    got = {(r.query_url, r.url, r.cosine_distance) for r in spark.read.parquet(out).collect()}
-    assert got == {("first", "first*", 0.0), ("second", "second*", 0.0), ("second", "first", 0.0)}
+def test_stream_similar_does_not_depend_on_batches(spark, tmp_path):
+    rows = [(f"u{i}", "<html><ul><ol>" if i % 3 else "<html><table>") for i in range(7)]
+    df = spark.createDataFrame(rows, "url string, html string")
+    want = {(f"u{j}", f"u{i}") for i in range(7) for j in range(i) if (i % 3 == 0) == (j % 3 == 0)}
+    want |= {(f"u{i}", f"u{i}*") for i in range(7)}
+    for files in (1, 3, 7):
+        path, out, check = (work_dir(spark, n) for n in ("index", "answers", "progress"))
+        source = str(tmp_path / f"in{files}")
+        df.repartition(files).write.parquet(source)
+        stream = spark.readStream.schema("url string, html string").option("maxFilesPerTrigger", 1).parquet(source)
+        ingest.stream_similar(stream, path, out, check, q.vc.FULL).awaitTermination()
+        got = [tuple(sorted((r.query_url, r.url))) for r in spark.read.parquet(out).collect()]
+        assert sorted(got) == sorted(want)
+    # a stored URL is answered too
+    again = spark.readStream.schema("url string, html string").parquet(str(tmp_path / "in1"))
+    ingest.stream_similar(again, path, str(tmp_path / "again"), work_dir(spark, "progress"), q.vc.FULL).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "again")).select("query_url").distinct().count() == 7
+
+
+def test_streams_builds_and_appends_lose_and_double_nothing(spark, folder):
+    from pagesim.plans.oracle import ORACLE  # noqa: F401  the SQL of these runs is the index of all pages
+
+    pages = q.pages(spark, folder).select("url", "html")
+    want = sorted(tuple(r) for r in q._index_rows(store.build_index(pages, work_dir(spark, "i"), q.BLOCK)).collect())
+    for query in (q.two_streams_disjoint, q.two_streams_overlap, q.rebuild_over_stream, q.append_overlap):
+        assert sorted(tuple(r) for r in query(spark, folder).collect()) == want, query.__name__
+
+
+def test_an_index_refuses_rows_that_cannot_be_compared(spark, folder):
+    path = work_dir(spark, "index")
+    pages = q.pages(spark, folder).select("url", "html")
+    idx = store.build_index(pages, path, q.BLOCK)
+    for change in (dict(vocab=q.vc.FULL), dict(vocab=q.BLOCK, bands=5)):
+        with pytest.raises(ValueError, match="the index at"):
+            ingest.index_batch(pages, 0, path, **change)
+    other = store.build_index(pages, work_dir(spark, "other"), q.vc.FULL)
+    with pytest.raises(ValueError, match="different vocabularies"):
+        q.lsh.similar_pages(other, idx)
+    with pytest.raises(FileNotFoundError):
+        store.open_index(spark, work_dir(spark, "none"))
+
+
+def test_a_failed_build_leaves_the_index(spark, folder):
+    path = work_dir(spark, "index")
+    pages = q.pages(spark, folder).select("url", "html")
+    store.build_index(pages, path, q.BLOCK)
+    with pytest.raises(Exception):
+        store.build_index(pages.withColumn("html", F.raise_error(F.lit("stop"))), path, q.BLOCK)
+    assert store.open_index(spark, path).members.count() == 50
+
+
+def test_sets_with_separators_in_their_items_differ(spark):
+    from pagesim.operators.sketches import members_table
+
+    rows = spark.createDataFrame([(["a", "b | c"],), (["a | b", "c"],), (["a", "b", "c"],)], "grams array<string>")
+    assert members_table(rows).select("sketch_id").distinct().count() == 3
 
 
 def test_ready_stages_equal_the_direct_features(spark, folder):
@@ -90,7 +136,7 @@ def test_ready_stages_equal_the_direct_features(spark, folder):
 def test_entry_points(spark):
     import __spark_entry__ as entry
 
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(q.QUERIES) <= set(entry.queries()) and set(q.QUERIES) <= set(entry.oracle_sql())
     rows = entry.entry(spark).collect()
     assert rows and {"query_url", "url", "jaccard_est", "jaccard_exact", "cosine_distance"} == set(rows[0].asDict())
 

@@ -153,7 +153,7 @@ def test_index_keeps_its_banding(spark, corpus):
     store.save_index(small, path)
     again = store.open_index(spark, path)
     assert (again.n_bands, again.n_rows) == (18, 7) and again.bands.count() == 36
-    with pytest.raises(ValueError, match="18, 7"):
+    with pytest.raises(ValueError, match="bands=18, rows=7"):
         store.save_index(idx, path, "append")
 
 
