@@ -143,23 +143,32 @@ def weighted_minhash(vec: Column, num_samples: int = NUM_PERM, seed: int = SEED)
         sizes = dims.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
         flat_dims = dims.flatten().to_numpy(zero_copy_only=False)
         flat_weights = weights.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        out_dims, out_t, offsets, empty = [], [], [0], []
-        start = 0
-        for size in sizes.astype(int):
-            d, w = flat_dims[start:start + size], flat_weights[start:start + size]
-            start += size
-            empty.append(size == 0)
-            if size:
-                r, ln_c, beta = np.stack(
-                    [cws_parameters(int(k), num_samples, seed) for k in d], axis=1
-                )
-                t = np.floor(np.log(w)[:, None] / r + beta)
-                best = np.argmin(ln_c - r * (t - beta) - r, axis=0)
-                out_dims.append(d[best])
-                out_t.append(t[best, np.arange(num_samples)])
-            offsets.append(len(out_dims) * num_samples)
-        keys = np.concatenate(out_dims) if out_dims else np.empty(0)
-        steps = np.concatenate(out_t) if out_t else np.empty(0)
+        sizes = sizes.astype(np.int64)
+        filled = np.flatnonzero(sizes)
+        ends = np.cumsum(sizes[filled])
+        starts = ends - sizes[filled]
+        distinct, which = np.unique(flat_dims, return_inverse=True)
+        drawn = [cws_parameters(int(k), num_samples, seed) for k in distinct]
+        drawn = np.stack(drawn) if drawn else np.empty((0, 3, num_samples))
+        keys, steps = np.empty((len(filled), num_samples)), np.empty((len(filled), num_samples))
+        first = 0
+        while first < len(filled):
+            # rows that together have about 32 CHUNK pairs of weight and sample
+            last = max(first + 1, int(np.searchsorted(ends, starts[first] + max(1, 32 * CHUNK // num_samples), "right")))
+            low, high = starts[first], ends[last - 1]
+            r, ln_c, beta = drawn[which[low:high]].transpose(1, 0, 2)
+            t = np.floor(np.log(flat_weights[low:high])[:, None] / r + beta)
+            value = ln_c - r * (t - beta) - r
+            cuts = starts[first:last] - low
+            least = np.repeat(np.minimum.reduceat(value, cuts, axis=0), sizes[filled[first:last]], axis=0)
+            place = np.where(value == least, np.arange(high - low)[:, None], high - low)
+            best = np.minimum.reduceat(place, cuts, axis=0)
+            keys[first:last] = flat_dims[low:high][best]
+            steps[first:last] = np.take_along_axis(t, best, axis=0)
+            first = last
+        empty = sizes == 0
+        offsets = np.concatenate([[0], np.cumsum(~empty) * num_samples])
+        keys, steps = keys.ravel(), steps.ravel()
         return pa.ListArray.from_arrays(
             pa.array(offsets, pa.int32()),
             pa.StructArray.from_arrays(

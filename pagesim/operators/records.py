@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.headers import WARC_DATE, default_content_type
+from ..session import materialize
 from .dom import add_errors
 
 # Fixed values ---------------------------------------------------------------
@@ -120,12 +121,16 @@ def dedupe_urls(df: DataFrame, order: tuple[str, ...] = ("file", "offset"),
 
     The first position per URL is a partial aggregate over the order columns,
     so a URL that holds a large share of the records costs one row per task.
+    Records without a URL are all kept.
     """
-    first = df.groupBy(url).agg(
+    first = df.filter(F.col(url).isNotNull()).groupBy(url).agg(
         F.min(F.struct(*order)).alias("_first"), F.count("*").alias("copies")
     )
     keys = first.select("copies", *[F.col("_first")[c].alias(c) for c in order])
-    return df.join(keys, list(order))
+    # written for its size: few keys are sent to the records, which then stay where they are
+    found = df.join(materialize(keys, "first-records"), list(order), "left")
+    found = found.filter(F.col(url).isNull() | F.col("copies").isNotNull())
+    return found.withColumn("copies", F.coalesce("copies", F.lit(1).cast("bigint")))
 
 
 def fill_warc_defaults(df: DataFrame, date: Column | None = None,

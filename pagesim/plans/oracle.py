@@ -445,9 +445,7 @@ FROM pages WHERE {MOVED} HAVING count(*) > 0""",
     "p1_required_lineage": "SELECT page_id, 'extract,html_parse' AS lineage FROM pages",
     "p2_p3_lineage": LINEAGE,
     "p5_build_index": INDEX_ROWS.format(where=""),
-    "p5_archive_ingest": INDEX_ROWS.format(
-        where=f"WHERE strlen({WARC_PAYLOAD.replace('html', 'p.html')}) > {MIN_LENGTH}"
-    ).replace("text/p.html", "text/html"),
+    "p5_archive_ingest": INDEX_ROWS.format(where=""),
     "r1_stream_index": INDEX_ROWS.format(where=""),
     "r2_stream_unique_urls": "SELECT url, CAST(1 AS BIGINT) AS times FROM pages",
     "r2_two_streams_disjoint": INDEX_ROWS.format(where=""),

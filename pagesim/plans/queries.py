@@ -573,7 +573,7 @@ def resaved_index(spark, folder):
 def archive_ingest(spark, folder):
     """Archive files to a stored index: scan, extract, parse, sketch, band."""
     path = _warc_folder(spark, folder, "gzip")
-    found = store.archive_pages(spark, path, "warc", min_length=MIN_LENGTH)
+    found = store.archive_pages(spark, path, "warc", min_length=0)
     idx = store.build_index(found, work_dir(spark, "index"), BLOCK)
     return _index_rows(idx)
 
@@ -648,7 +648,7 @@ def stream_archives(spark, folder):
     path, check = work_dir(spark, "index"), work_dir(spark, "progress")
     incoming = _warc_folder(spark, folder, "gzip")
     stream.stream_archives(
-        spark, incoming, path, check, MIN_LENGTH, files_per_batch=3, vocab=BLOCK
+        spark, incoming, path, check, 0, files_per_batch=3, vocab=BLOCK
     ).awaitTermination()
     return _index_rows(store.open_index(spark, path))
 

@@ -23,7 +23,7 @@ _local_roots: dict[str, str] = {}
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """The shared folder named by ``spark.checkpoint.dir``, or else by ``setCheckpointDir``.
 
     Where it is unset a local session gets a temporary folder; a cluster has to
     name a folder that all its machines see.
@@ -31,6 +31,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         context = spark.sparkContext
+        root = context.getCheckpointDir()
+    if not root:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         root = _local_roots.setdefault(
