@@ -56,7 +56,22 @@ class Words(dict):
 
     def __init__(self):
         super().__init__()
-        self.facts: list[tuple] = []
+        self.forget()
+
+    def forget(self):
+        self.clear()
+        self.facts: list[tuple] = []  # of words met since the arrays were made
+        kinds = (np.uint64, bool, bool, bool, bool)
+        self.arrays = [np.zeros(0, dtype=kind) for kind in kinds]
+
+    def columns(self) -> list[np.ndarray]:
+        """Code, is a number, is a unit, begins with a capital, ends a sentence: by place."""
+        if self.facts:
+            self.arrays = [
+                np.concatenate([old, np.array(new, dtype=old.dtype)]) for old, new in zip(self.arrays, zip(*self.facts))
+            ]
+            self.facts = []
+        return self.arrays
 
     def __missing__(self, word: str) -> int:
         bare = _EDGES.sub("", word)
@@ -86,17 +101,16 @@ def canonical(known: Words, words: list[str], first: np.ndarray) -> tuple[np.nda
     or after one that ends a sentence is never taken for a name.
     """
     if len(known) > KEPT_WORDS:
-        known.clear()
-        known.facts.clear()
+        known.forget()
     at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-    codes, number, unit, upper, ends = (np.array(column) for column in zip(*known.facts))
+    codes, number, unit, upper, ends = known.columns()
     begins = np.zeros(len(words), dtype=bool)
     begins[first] = True
     before = np.concatenate([at[:1], at[:-1]])
     number_here, after_number = number[at], number[before] & ~begins
     is_unit = unit[at] & after_number & ~number_here
     is_name = upper[at] & ~begins & ~ends[before] & ~number_here & ~is_unit
-    out = codes[at].astype(np.uint64)
+    out = codes[at]
     out[number_here], out[is_unit], out[is_name] = NUM, UNIT, NAME
     return out, number_here | is_unit | is_name, first[upper[at[first]] & ~number_here[first]]
 
