@@ -207,6 +207,13 @@ def test_context_mix_bytes_sum_to_one():
     assert math.isclose(np.exp2(mixer.log2(windows)).sum(), 1, rel_tol=1e-5)
 
 
+def test_context_mix_tables_do_not_depend_on_partitions(spark, monkeypatch):
+    texts = spark.createDataFrame([(f"text {i} of {i % 3} words",) for i in range(40)], "text string")
+    whole = context_mix.count_tables(texts.coalesce(1))
+    monkeypatch.setattr(context_mix, "FAN", 2)
+    assert (context_mix.count_tables(texts.repartition(7)) == whole).all() and whole.any()
+
+
 def test_word_hashes_do_not_depend_on_the_place():
     flat = np.frombuffer(b"the cat the", dtype=np.uint8)
     got = context_mix.word_hashes(flat)
