@@ -18,6 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import materialize
 from .common import remainder, segments, table
 
 BUCKETS = 1 << 16
@@ -99,6 +100,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list
     """
     labelled = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).dropna()
     counts = labelled.mapInArrow(_count, _COUNTS).groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = materialize(counts, "language-counts")  # read twice
     names = sorted(r[0] for r in counts.filter(F.col("bucket") == BUCKETS).select("lang").collect())
     if 4 * BUCKETS * len(names) > MODEL_BYTES:
         raise ValueError(f"{len(names)} languages need a model of more than {MODEL_BYTES} bytes")
