@@ -196,19 +196,20 @@ def sketch_members(members: DataFrame) -> DataFrame:
 
 def similar_pairs(index: Index, min_jaccard: float | None = None,
                   min_exact: float | None = None) -> DataFrame:
-    """The similarity join, one row per pair of distinct sketches.
+    """The similarity join: one row per pair of distinct sketches, and one per copy.
 
-    Each side is named by its first URL and carries the number of URLs behind
-    it: copies are groups, not pairs, and ``sketch_members`` / the member table
-    list who is in a group.
+    A pair of sketches is named by their first URLs and carries the number of
+    URLs behind each. Copies are a star: the first URL of their sketch with each
+    of the others, at similarity 1, so that every URL that is like another one is
+    in the answer and no group is paired with itself.
     """
     pairs = similar_sketches(index, min_jaccard, min_exact)
-    names = sketch_members(index.members)
+    names = materialize(sketch_members(index.members), "sketch-names")
     left = names.select(F.col("sketch_id").alias("a"), F.col("first_url").alias("x"), F.col("urls").alias("xn"))
     right = names.select(F.col("sketch_id").alias("b"), F.col("first_url").alias("y"), F.col("urls").alias("yn"))
     named = pairs.join(left, "a").join(right, "b")
     swap = F.col("x") > F.col("y")
-    return named.select(
+    between = named.select(
         F.least("x", "y").alias("url_a"),
         F.greatest("x", "y").alias("url_b"),
         F.when(swap, F.col("yn")).otherwise(F.col("xn")).alias("copies_a"),
@@ -216,6 +217,14 @@ def similar_pairs(index: Index, min_jaccard: float | None = None,
         "jaccard_est",
         "jaccard_exact",
     )
+    copies = index.members.join(names.filter("urls > 1"), "sketch_id").filter("url <> first_url")
+    return between.unionByName(
+        copies.select(
+            F.col("first_url").alias("url_a"), F.col("url").alias("url_b"),
+            F.col("urls").alias("copies_a"), F.col("urls").alias("copies_b"),
+            F.lit(1.0).alias("jaccard_est"), F.lit(1.0).alias("jaccard_exact"),
+        )
+    )
 
 
 def first_pages_report(features: DataFrame, index: Index, n: int = 11,

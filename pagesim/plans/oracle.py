@@ -284,7 +284,9 @@ pairs AS (SELECT DISTINCT sx, sy, jaccard_est, jaccard_exact FROM measured
     WHERE sx <> sy AND jaccard_est >= {MIN_JACCARD})
 SELECT a.url AS url_a, b.url AS url_b, a.copies AS copies_a, b.copies AS copies_b,
     round(jaccard_est, 6) AS jaccard_est, round(jaccard_exact, 6) AS jaccard_exact
-FROM pairs JOIN named a ON a.sketch_id = sx JOIN named b ON b.sketch_id = sy WHERE a.url < b.url"""
+FROM pairs JOIN named a ON a.sketch_id = sx JOIN named b ON b.sketch_id = sy WHERE a.url < b.url
+UNION ALL SELECT n.url, 'doc:' || key, n.copies, n.copies, 1.0::DOUBLE, 1.0::DOUBLE
+FROM ids i JOIN named n ON n.sketch_id = i.sketch_id WHERE 'doc:' || key <> n.url"""
 BUCKETS = f"""WITH {DOCS},
 sized AS (SELECT band, band_hash, count(*) AS bucket_size FROM bands GROUP BY ALL HAVING count(*) > 1)
 SELECT b.band, b.band_hash, bucket_size, 'doc:' || key AS url FROM bands b
@@ -394,6 +396,9 @@ UNION ALL SELECT page_id, 'x-copy', CAST(page_id AS VARCHAR) FROM pages""",
     "s6_warc_offsets": f"""WITH {WARC}
 SELECT url, CAST(strlen(record) AS BIGINT) AS size, least(content_length, 1048576) AS payload_bytes FROM w3""",
     "s7_s8_vocabulary_use": VOCABULARY_USE,
+    "s7_load_vocabulary": f"""WITH u AS ({VOCABULARY_USE})
+SELECT tag, CAST(row_number() OVER (ORDER BY tag) - 1 AS INTEGER) AS tag_id FROM u""",
+    "s8_load_excluded": f"WITH u AS ({VOCABULARY_USE}) SELECT tag FROM u",
     "s9_k6_saved_index": INDEX_ROWS.format(where=""),
     "s10_pages_as_records": "SELECT url, html, 'extract' AS lineage, 0 AS errors FROM pages",
     "k2_warc_header_names": NAMES_SQL,
@@ -410,7 +415,7 @@ FROM recs WHERE broken OR NOT moved""",
     CASE WHEN broken THEN '{records.NO_BLANK_LINE}' ELSE '' END AS errors
 FROM sized WHERE {KEPT} AND (broken OR NOT moved)""",
     "f5_limit_records": f"""WITH {RECORDS} SELECT file, page_id AS "offset", url FROM sized
-WHERE {KEPT} ORDER BY file, page_id LIMIT {records.MAX_RECORDS["test"]}""",
+WHERE {KEPT} ORDER BY file, page_id LIMIT 50""",
     "f6_dedupe_urls": f"""WITH s AS (SELECT page_id, {SITE} AS site,
     regexp_extract(url, '/([a-z][a-z])/', 1) AS file FROM pages),
 o AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY file, page_id) AS rn,

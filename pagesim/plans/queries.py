@@ -256,6 +256,25 @@ def vocabulary_use(spark, folder):
     )
 
 
+def _tag_file(spark, folder):
+    """A tag file of the tags in the pages, in order, under its title line."""
+    tags = dom.html_nodes(pages(spark, folder), "page_id").select("tag").distinct()
+    lines = tags.select(F.lit(1).alias("part"), F.concat(F.lit("<"), "tag", F.lit("> a tag")).alias("value"))
+    title = spark.range(1).select(F.lit(0).alias("part"), F.lit("Tags of the pages").alias("value"))
+    path = work_dir(spark, "tags")
+    ordered = title.unionByName(lines).repartition(1).sortWithinPartitions("part", "value")
+    ordered.select("value").write.text(path)
+    return path
+
+
+def load_vocabulary(spark, folder):
+    return vc.load_vocab(spark, _tag_file(spark, folder))
+
+
+def load_excluded(spark, folder):
+    return vc.load_excluded(spark, _tag_file(spark, folder))
+
+
 # Records ----------------------------------------------------------------------
 
 
@@ -295,9 +314,9 @@ def project_html(spark, folder):
 
 
 def limit_records(spark, folder):
-    """The first 200 records in file order, the reference's small run."""
+    """The first 50 records in file order, fewer than there are."""
     accepted = records.filter_responses(http_records(spark, folder), MIN_LENGTH)
-    first = records.limit_records(accepted, records.MAX_RECORDS["test"])
+    first = records.limit_records(accepted, 50)
     return first.select("file", "offset", "url")
 
 
@@ -702,6 +721,8 @@ QUERIES = {
     "s5_arc_fields": arc_fields,
     "s6_warc_offsets": warc_offsets,
     "s7_s8_vocabulary_use": vocabulary_use,
+    "s7_load_vocabulary": load_vocabulary,
+    "s8_load_excluded": load_excluded,
     "s9_k6_saved_index": resaved_index,
     "s10_pages_as_records": pages_as_records,
     "k2_warc_header_names": warc_header_names,
