@@ -165,3 +165,31 @@ def test_page_table_keeps_one_row_per_url(spark):
 
     rows = {r.url: r for r in store.page_table(page_features(df), ("at",)).collect()}
     assert rows["u"].grams == ["3.8.0", "8.0.0"] and rows["v"].grams == ["3.0.0"]
+
+
+def test_a_hot_centre_is_split_between_tasks(spark):
+    """The joins of the star steps: one node has nearly all edges."""
+    from pagesim.operators import cluster
+
+    settings = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.0",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        edges = spark.range(1, 20001, 1, 8).selectExpr("'a' AS a", "concat('n', id) AS b")
+        edges = cluster.materialize(edges, "edges")
+        both = edges.selectExpr("a AS u", "b AS v").union(edges.selectExpr("b AS u", "a AS v"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"))
+        joined = cluster._with_low(both.filter("v > u"), low)
+        assert joined.count() == 20000
+        joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
