@@ -214,6 +214,15 @@ def test_context_mix_tables_do_not_depend_on_partitions(spark, monkeypatch):
     assert (context_mix.count_tables(texts.repartition(7)) == whole).all() and whole.any()
 
 
+def test_context_mix_predicts_white_space():
+    assert context_mix.text_bytes(" A\n\tb  c ") == b" a\n\tb  c \0\0"
+    untrained = context_mix.Mixer(
+        np.zeros(context_mix.OFFSETS[-1], dtype=np.uint16), context_mix.first_weights(), context_mix.first_cells()
+    )
+    short, padded = context_mix.scores(untrained, ["word", "word" + " " * 1000])
+    assert padded < short - 1000  # a model that knows nothing pays eight bits for each blank
+
+
 def test_word_hashes_do_not_depend_on_the_place():
     flat = np.frombuffer(b"the cat the", dtype=np.uint8)
     got = context_mix.word_hashes(flat)
