@@ -223,6 +223,15 @@ def test_context_mix_predicts_white_space():
     assert padded < short - 1000  # a model that knows nothing pays eight bits for each blank
 
 
+def test_context_mix_learns_from_every_window(spark):
+    rows = [f"text {i} of {i % 7} words" for i in range(900)]
+    texts = spark.createDataFrame([(t,) for t in rows], "text string").repartition(3)
+    tables = context_mix.count_tables(texts)
+    weights, cells, count = context_mix.learn(tables, texts)
+    assert count == sum(len(context_mix.text_bytes(t)) for t in rows)
+    assert (weights != context_mix.first_weights()).any() and ((cells > 0) & (cells < 1)).all()
+
+
 def test_word_hashes_do_not_depend_on_the_place():
     flat = np.frombuffer(b"the cat the", dtype=np.uint8)
     got = context_mix.word_hashes(flat)
