@@ -23,6 +23,8 @@ is on a digest of the text, both of its sides are written tables.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import materialize
@@ -52,6 +54,8 @@ SYLLABLES = {
 _NAMES = "|".join(sorted({n for names in GIVEN.values() for n in names}))
 _TITLES = "|".join(sorted((t for own in TITLES.values() for t in own), key=len, reverse=True))
 _PROPER = r"\p{Lu}[\p{L}'’-]+"
+#: Digits by group of a card that stands beside other numbers.
+LAYOUTS = r"^(?:4-4-4-4(?:-[123])?|4-6-[45]|1[3-9])$"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERN = (
     r"(?<![\p{L}\p{N}_.])(?:"
@@ -60,7 +64,8 @@ PATTERN = (
     r"|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)"
     r"|\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"
     r"|\d{3}-\d{2}-\d{4}(?![\d-])"
-    r"|\d(?:[ -]?\d){12,18}(?![\p{L}\p{N}_])"
+    # a whole run of numbers; the cards are looked for in it
+    r"|(?=\d(?:[ -]?\d){12})\d++(?![\p{L}\p{N}_])(?:[ -]\d++(?![\p{L}\p{N}_]))*+"
     rf"|(?:{_TITLES})\.? {_PROPER}(?: {_PROPER})?"
     rf"|(?:{_NAMES}) {_PROPER}"
     r")"
@@ -96,7 +101,51 @@ def _kind(mention: Column) -> Column:
         .when(mention.rlike(r"^\d+\.\d+\.\d+\.\d+$"), "ip")
         .when(mention.rlike(r"^[+(]|^\d{3}[.-]\d{3}[.-]\d{4}$"), "phone")
         .when(mention.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
-        .when((F.length(digits) > 12) & (luhn_sum(digits) % 10 == 0), "card")
+        .when(F.length(digits).between(13, 19) & (luhn_sum(digits) % 10 == 0), "card")
+    )
+
+
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _pieces(mention: Column) -> Column:
+    """A mention as an array; a run of numbers that is no card as a whole is cut at the cards in it.
+
+    Such a card has one of ``LAYOUTS``, the first digits of an issuer and a valid
+    Luhn digit. Of overlapping ones the first and longest is taken.
+    """
+    digits = _digits(mention)
+    whole = ~mention.rlike(r"^\d[\d -]{12,}$") | F.length(digits).between(13, 19) & (luhn_sum(digits) % 10 == 0)
+
+    def cut(tokens: Column) -> Column:
+        every = F.sequence(F.lit(1), F.size(tokens))
+
+        def is_card(i: Column, n: int) -> Column:
+            own = F.slice(tokens, i, n)
+            sizes = F.array_join(F.transform(own, lambda t: F.length(_digits(t)).cast("string")), "-")
+            likely = F.element_at(tokens, i).rlike("^(?:[3-6]|2[2-7])") & sizes.rlike(LAYOUTS)
+            return F.when(likely, luhn_sum(_digits(F.array_join(own, ""))) % 10 == 0).otherwise(False)
+
+        def longest(i: Column) -> Column:
+            return F.struct(i.alias("i"), F.coalesce(*(F.when(is_card(i, n), F.lit(n)) for n in (5, 4, 3, 1)), F.lit(0)).alias("n"))
+
+        def part(found: Column, p: Column) -> Column:
+            card = F.get(F.filter(found, lambda c: (c["i"] <= p) & (p < c["i"] + c["n"])), F.lit(0))
+            text = F.array_join(F.slice(tokens, p, card["n"]), "")
+            own = F.array(F.regexp_replace(text, "[ -]$", ""), F.regexp_extract(text, "[ -]?$", 0))
+            return F.when(card.isNull(), F.array(F.element_at(tokens, p))).when(card["i"] == p, own).otherwise(F.array().cast("array<string>"))
+
+        cards = F.aggregate(
+            F.filter(F.transform(every, longest), lambda c: c["n"] > 0),
+            F.array().cast("array<struct<i:int,n:int>>"),
+            lambda got, c: F.when(F.exists(got, lambda g: c["i"] < g["i"] + g["n"]), got).otherwise(F.concat(got, F.array(c))),
+        )
+        return _bind(cards, lambda found: F.flatten(F.transform(every, lambda p: part(found, p))))
+
+    return F.when(whole, F.array(mention)).otherwise(
+        _bind(F.regexp_extract_all(mention, F.lit(r"\d+[ -]?"), F.lit(0)), cut)
     )
 
 
@@ -280,9 +329,11 @@ def replace_pii(docs: DataFrame, secret: str = "surrogates", text: str = "text")
     plain = docs.drop("n_replaced")
     names = plain.columns
     packed = plain.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))
-    found = packed.withColumn("mentions", F.regexp_extract_all(F.col("row")[text], F.lit(PATTERN), F.lit(0)))
+    found = packed.withColumn(
+        "mentions", F.transform(F.regexp_extract_all(F.col("row")[text], F.lit(PATTERN), F.lit(0)), _pieces)
+    )
     found = materialize(found.withColumn("digest", F.when(F.size("mentions") > 0, F.sha2(F.col("row")[text].cast("binary"), 256))), "pii-found")
-    own = found.filter("digest is not null").select("digest", F.explode(F.array_distinct("mentions")).alias("mention")).distinct()
+    own = found.filter("digest is not null").select("digest", F.explode(F.array_distinct(F.flatten("mentions"))).alias("mention")).distinct()
     cut = materialize(atoms(own), "pii-atoms")
     entities = cut.select("other.*").drop("raw").union(cut.filter("given is not null").select("given.*").drop("raw"))
     drawn = draw_distinct(entities, secret)
@@ -294,12 +345,14 @@ def replace_pii(docs: DataFrame, secret: str = "surrogates", text: str = "text")
     )
     parts = F.split(F.col("row")[text], PATTERN, -1)
     # resolved before the columns of docs, whose names may be the same, come back
-    swapped = F.transform("mentions", lambda m: F.coalesce(F.element_at("map", m), m))
+    swapped = F.transform(
+        "mentions", lambda m: F.array_join(F.transform(m, lambda p: F.coalesce(F.element_at("map", p), p)), "")
+    )
     rewritten = F.concat(
         F.element_at(parts, 1),
         F.array_join(F.zip_with(swapped, F.slice(parts, 2, F.size("mentions")), lambda a, b: F.concat(a, b)), ""),
     )
-    count = F.size(F.filter("mentions", lambda m: F.element_at("map", m).isNotNull())).cast("long")
+    count = F.size(F.filter(F.flatten("mentions"), lambda m: F.element_at("map", m).isNotNull())).cast("long")
     columns = [F.col("row")[c].alias(c) for c in names]
     done = found.join(maps, "digest").select("row", F.struct(rewritten.alias("text"), count.alias("n")).alias("made"))
     changed = done.select(

@@ -168,6 +168,17 @@ def test_pii_keeps_type_format_gender_and_identity(spark):
     assert surrogates.replace_pii(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_pii_finds_cards_beside_other_numbers(spark):
+    card = "4111 1111 1111 1111"
+    texts = [f"{card} 05/27", f"{card} 123", f"12 {card}", f"1234 {card} 5500-0000-0000-0004.", "3782 822463 10005 12", f"{card} 05x"]
+    texts += ["7 " * 30000 + card, "2001 2002 2003 2004 2005", "0 4111111111111111 9"]
+    got = {r.doc_id: r for r in surrogates.replace_pii(docs(spark, list(enumerate(texts)))).collect()}
+    assert [got[i].n_replaced for i in range(9)] == [1, 1, 1, 2, 1, 1, 1, 0, 1]
+    for i, kept in enumerate((r"{} 05/27", r"{} 123", r"12 {}", r"1234 {} \d{{4}}-\d{{4}}-\d{{4}}-\d{{4}}\.")):
+        assert re.fullmatch(kept.format(r"(?!4111 1111)\d{4} \d{4} \d{4} \d{4}"), got[i].text)
+    assert re.fullmatch(r"\d{4} \d{6} \d{5} 12", got[4].text) and got[6].text.startswith("7 7 ") and got[7].text == texts[7]
+
+
 def test_pii_surrogates_stay_distinct(spark):
     names = surrogates.GIVEN["f", "latin"]
     rows = [("given", "f", "latin", n.lower()) for n in names] + [("ip", "n", "latin", f"10.0.{i}.1") for i in range(200)]
