@@ -37,7 +37,8 @@ SMOOTHING = 1  # leaves on each side
 # HTML elements by their role.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = set("script style noscript template svg math iframe object head title select option button textarea".split())
-RAW = set("script style noscript template textarea title svg math iframe object select".split())
+RAW = set("script style noscript template textarea title iframe".split())
+HOLLOW = set("svg math object select".split())  # what is inside is no text of the page, but the page goes on when it is left open
 INLINE = set(
     """a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small
     span strike strong sub sup time tt u var wbr""".split()
@@ -64,6 +65,8 @@ CLOSED_BY = {
     "th": {"td", "th", "tr", "tbody", "tfoot"},
     "option": {"option", "optgroup"},
 }
+#: An opening tag of these ends an svg, math or select that was left open.
+BREAKS_OUT = CLOSED_BY["p"] | {"p", "body", "li", "dl", "dt", "dd", "center"}
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|\Z)",
     re.DOTALL,
@@ -91,7 +94,7 @@ def leaves(page: str) -> list[Leaf]:
     block = at = 0
 
     def text(upto: int) -> None:
-        raw = page[at:upto]
+        raw = page[at:upto] if counts.keys().isdisjoint(HOLLOW) else ""
         if raw and not raw.isspace():
             tag, path, barred, _ = stack[-1] if stack else ("", "", False, False)
             out.append(Leaf(path, block, html.unescape(raw), barred, any(h in counts for h in HEADINGS)))
@@ -126,7 +129,12 @@ def leaves(page: str) -> list[Leaf]:
                     ):
                         while pop() != open_tag:
                             pass
-            if tag in RAW:  # nothing inside is text of the page
+            if tag in BREAKS_OUT:
+                for open_tag in ("svg", "math", "select"):
+                    if open_tag in counts and "foreignobject" not in counts:
+                        while pop() != open_tag:
+                            pass
+            if tag in RAW and not (found[3].endswith("/") and ("svg" in counts or "math" in counts)):  # nothing inside is text of the page
                 end = re.compile(rf"</{re.escape(tag)}\s*(?:>|\Z)", re.IGNORECASE).search(page, at)
                 at = end.end() if end else len(page)
             elif tag not in VOID and not found[3].endswith("/"):

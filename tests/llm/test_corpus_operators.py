@@ -260,6 +260,14 @@ def test_main_text_odd_pages(page, want):
     assert main_text.main_text(page) == want
 
 
+@pytest.mark.parametrize("icon", [
+    "<svg class='i'/>", "<math/>", "<svg><path d='M0'><text>icon</text>", "<svg><style/></svg>", "<select><option>one<option>two",
+    "<div><object data=x>no plug-in</div>", "<svg><title>icon</title><g>drawn</g></svg>", "<div><svg><path></div>",
+])
+def test_main_text_goes_on_after_icons(icon):
+    assert main_text.main_text(f"<article>{icon}<p>First, part.</p><p>Second, part.</p></article>") == "First, part. Second, part."
+
+
 def test_main_text_broken_markup_takes_linear_time():
     for page in ("<" * 200000, '<a "' * 50001, "<p>" * 50000 + "x", "<div><b>" * 40000, "</div>" * 50000, "<!--" * 50000):
         main_text.main_text(page)
