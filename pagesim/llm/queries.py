@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure, ship
-from . import context_mix, decontaminate, embedding_graph, language, main_text, poisson_mix, secrets, simhash, surrogates, tokens
+from . import (
+    context_mix, decontaminate, embedding_graph, language, main_text, manifest, periodic_runs, poisson_mix, quality,
+    secrets, simhash, surrogates, tokens,
+)
 
 
 def _ready(query: Callable) -> Callable[[SparkSession, str], DataFrame]:
@@ -27,7 +30,13 @@ QUERIES = {
         main_text.op8_main_text,
         secrets.op9_secret_scan,
         simhash.op10_simhash_neardup,
+        periodic_runs.op11_periodic_runs,
+        manifest.op12_merkle_manifest,
+        quality.op13_quality,
     )
 }
 
-ORACLE = {"op4_poisson_mix": poisson_mix.OP4_SQL.format(docs="documents")}
+ORACLE = {
+    "op4_poisson_mix": poisson_mix.OP4_SQL.format(docs="documents"),
+    "op12_merkle_manifest": manifest.OP12_SQL,
+}
