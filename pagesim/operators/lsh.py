@@ -4,20 +4,25 @@ An index is three tables: ``members`` (url, sketch_id and, for pages, the count
 vector), ``sketches`` (one row per distinct set: grams, sig) and ``bands`` (one
 row per sketch and band). Everything that can blow up on copies works on
 sketches; URLs are attached last.
+
+The tables of a stored index are cut into shards by a hash of the key they are
+looked up by. A lookup joins on the shard too: where its side is small enough to
+be broadcast, only the shards that it names are read.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import sketch as fn
 from ..session import materialize
-from .sketches import band_index, members_table, sketches_table
+from .sketches import band_index, members_table, minhash_sets, sketches_table
 
 BUCKET_BLOCK = 512
 SELF_MARK = "*"
+SHARD = "shard"
 
 
 @dataclass(frozen=True)
@@ -28,6 +33,23 @@ class Index:
     n_bands: int = fn.BANDS
     n_rows: int = fn.ROWS
     vocabulary: str | None = None  # names the vocabulary behind the items, if known
+    shards: int = 0  # of the stored tables; 0 for tables that are not cut
+
+
+def shard_of(key: Column, shards: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")
+
+
+def look_up(keys: DataFrame, table: DataFrame, on: list[str], key: str, shards: int) -> DataFrame:
+    """Join a written table of keys to an index table that is sharded by ``key``.
+
+    The filter keeps all rows: Spark prunes the partitions of one side of a join
+    only if the other side is filtered.
+    """
+    if not shards:
+        return keys.join(table, on)
+    placed = keys.withColumn(SHARD, shard_of(F.col(key), shards)).filter(F.col(SHARD) >= 0)
+    return placed.join(table, [*on, SHARD])
 
 
 def index_tables(features: DataFrame, bands: int = fn.BANDS, rows: int = fn.ROWS,
@@ -53,28 +75,43 @@ def stored_index(features: DataFrame, bands: int = fn.BANDS, rows: int = fn.ROWS
     return Index(members.drop(items), sketches, band_rows, bands, rows)
 
 
-def candidates(query_bands: DataFrame, bands: DataFrame) -> DataFrame:
+def query_index(features: DataFrame, bands: int = fn.BANDS, rows: int = fn.ROWS,
+                items: str = "grams") -> Index:
+    """Index of the pages of one lookup: a single table is written, which holds their sketches.
+
+    Its size is known, so the planner sees whether the lookup can be pruned.
+    """
+    keep = ["url", items, *(["vec"] if "vec" in features.columns else [])]
+    members = materialize(minhash_sets(members_table(features.select(*keep), items), items), "queries")
+    sketches = members.select("sketch_id", F.col(items).alias("grams"), "sig").dropDuplicates(["sketch_id"])
+    return Index(members.drop(items, "sig"), sketches, band_index(sketches, bands, rows), bands, rows)
+
+
+def candidates(query_bands: DataFrame, bands: DataFrame, shards: int = 0) -> DataFrame:
     """Distinct ``query_sketch, sketch_id`` pairs that share a band.
 
     The distinct is partial before its shuffle; whether the query side is
     broadcast is left to adaptive execution, which knows its size.
     """
     queries = query_bands.withColumnRenamed("sketch_id", "query_sketch")
-    return queries.join(bands, ["band", "band_hash"]).select("query_sketch", "sketch_id").distinct()
+    met = look_up(queries.drop(SHARD), bands, ["band", "band_hash"], "band_hash", shards)
+    return met.select("query_sketch", "sketch_id").distinct()
 
 
 def score_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, a: str, b: str,
-                n_bands: int, n_rows: int) -> DataFrame:
+                n_bands: int, n_rows: int, shards: int = 0) -> DataFrame:
     """Attach both sketches to sketch pairs; add ``jaccard_est`` and ``jaccard_exact``.
 
     Band keys are 60-bit hashes, so the shared band is checked on the signatures.
     The pairs are written first: few pairs are then broadcast to a scan of the
-    sketches, many are shuffled to them.
+    sketches, many are shuffled to them. ``shards`` are those of ``right``.
     """
     pairs = materialize(pairs, "pairs")
     l = left.select(F.col("sketch_id").alias(a), F.col("sig").alias("_sa"), F.col("grams").alias("_ga"))
-    r = right.select(F.col("sketch_id").alias(b), F.col("sig").alias("_sb"), F.col("grams").alias("_gb"))
-    both = pairs.join(l, a).join(r, b)
+    r = right.select(
+        F.col("sketch_id").alias(b), F.col("sig").alias("_sb"), F.col("grams").alias("_gb"), *([SHARD] if shards else [])
+    )
+    both = look_up(pairs, r, [b], b, shards).join(l, a)
     both = both.filter(fn.shares_band(F.col("_sa"), F.col("_sb"), n_bands, n_rows))
     return both.select(
         *pairs.columns,
@@ -98,7 +135,7 @@ def similar_pages(queries: DataFrame | Index, index: Index, min_jaccard: float |
     Without bounds every candidate is returned.
     """
     if not isinstance(queries, Index):
-        queries = stored_index(queries, index.n_bands, index.n_rows, items)
+        queries = query_index(queries, index.n_bands, index.n_rows, items)
     if queries.vocabulary and index.vocabulary and queries.vocabulary != index.vocabulary:
         raise ValueError("the query pages and the index were made with different vocabularies")
     if (queries.n_bands, queries.n_rows) != (index.n_bands, index.n_rows):
@@ -106,8 +143,8 @@ def similar_pages(queries: DataFrame | Index, index: Index, min_jaccard: float |
     query = queries.members
     with_vec = "vec" in index.members.columns and "vec" in query.columns
     found = score_pairs(
-        candidates(queries.bands, index.bands), queries.sketches, index.sketches,
-        "query_sketch", "sketch_id", index.n_bands, index.n_rows,
+        candidates(queries.bands, index.bands, index.shards), queries.sketches, index.sketches,
+        "query_sketch", "sketch_id", index.n_bands, index.n_rows, index.shards,
     )
     found = _above(found, "jaccard_est", min_jaccard)
     q = query.select(
@@ -116,7 +153,9 @@ def similar_pages(queries: DataFrame | Index, index: Index, min_jaccard: float |
         *([F.col("vec").alias("_qv"), fn.square_sum(F.col("vec")).alias("_qn")] if with_vec else []),
     )
     # Written for its size too: the member table is the large one.
-    hits = materialize(found.join(q, "query_sketch"), "found").join(index.members, "sketch_id")
+    hits = look_up(
+        materialize(found.join(q, "query_sketch"), "found"), index.members, ["sketch_id"], "sketch_id", index.shards
+    )
     columns = ["query_url", "url", "jaccard_est", "jaccard_exact"]
     if with_vec:
         columns.append("cosine_distance")

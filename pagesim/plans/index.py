@@ -1,10 +1,20 @@
-"""Building, saving and opening an index; ingest from archives or page tables."""
+"""Building, saving and opening an index; ingest from archives or page tables.
+
+A version of an index is a folder per table; in it, each append has a folder of
+its own, cut into shards by a hash of the key that the table is looked up by. A
+lookup joins on the shard too, so that Spark prunes the shards it does not need.
+An append counts once its name is listed under ``live``, after its tables are
+whole. Appends of one run are merged as they become many; a merged folder covers
+those whose numbers it spans.
+"""
 
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
-from dataclasses import astuple, dataclass
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import astuple, dataclass, replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
@@ -12,15 +22,18 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from ..functions import sketch as fn
 from ..functions.vocabulary import REFERENCE, Vocabulary
 from ..operators import records
-from ..operators.lsh import Index
+from ..operators.lsh import SHARD, Index, shard_of
 from ..operators.sketches import band_index, members_table, sketches_table
-from ..session import materialize
+from ..session import mark, materialize, names_in, remove
 from ..sources import read_archive
 from .stage import chain
 from .stages import feature_stages
 
 BATCH = "batch"  # each append writes folders of its own, named by its run and batch
 TABLES = ("members", "sketches", "bands")
+LIVE = "live"
+SHARDS = 16  # of each table; a large index takes as many as make a shard some GB
+FAN = 4  # appends of one size that are merged
 SETTINGS = "settings"  # one row per version: what its cells and keys mean
 MEMBERS = "url string, sketch_id string, grams array<string>, vec map<int,bigint>, errors array<string>"
 SKETCHES = "sketch_id string, grams array<string>, sig array<bigint>"
@@ -75,9 +88,12 @@ class Settings:
     vocabulary: str | None = None
     num_perm: int = fn.NUM_PERM
     seed: int = fn.SEED
+    shards: int = SHARDS
 
 
-_SETTINGS = "version string, number bigint, bands int, rows int, vocabulary string, num_perm int, seed int"
+_SETTINGS = (
+    "version string, number bigint, bands int, rows int, vocabulary string, num_perm int, seed int, shards int"
+)
 
 
 def vocabulary_key(vocab: Vocabulary) -> str:
@@ -90,7 +106,7 @@ def build_index(pages: DataFrame, path: str, vocab: Vocabulary = REFERENCE,
                 bands: int = fn.BANDS, rows: int = fn.ROWS,
                 order: tuple[str, ...] | None = None,
                 observation: Observation | None = None,
-                inserted: Observation | None = None) -> Index:
+                inserted: Observation | None = None, shards: int = SHARDS) -> Index:
     """Pages (``url, html``, extracted or a plain table) to a stored index.
 
     Of several pages with one URL the first in ``order`` counts: file and
@@ -98,8 +114,8 @@ def build_index(pages: DataFrame, path: str, vocab: Vocabulary = REFERENCE,
     ``path`` is replaced, streamed batches included: the tables go to a new
     version, which readers see once it is whole.
 
-    Pages are read and parsed once: the member table is written first, and the
-    distinct sketches and their bands come from reading it back.
+    Pages are read and parsed once: the members are written to the work folder, and
+    the distinct sketches and their bands come from reading them back.
     """
     spark = pages.sparkSession
     version = uuid.uuid4().hex
@@ -116,32 +132,35 @@ def build_index(pages: DataFrame, path: str, vocab: Vocabulary = REFERENCE,
     if inserted is not None:
         members = insert_counter(members, inserted)
     folder = f"{path}/{version}"
-    _write(members, folder, "members", "built")
-    _write(sketches_table(_read(spark, folder, "members")), folder, "sketches", "built")
-    _write(band_index(_read(spark, folder, "sketches"), bands, rows), folder, "bands", "built")
-    publish(spark, path, version, Settings(bands, rows, vocabulary_key(vocab)))
+    members = materialize(members, "build-members")
+    sketches = materialize(sketches_table(members), "build-sketches")
+    tables = {"bands": band_index(sketches, bands, rows), "sketches": sketches, "members": members}
+    write_batch(spark, folder, "built", shards, tables)
+    publish(spark, path, version, Settings(bands, rows, vocabulary_key(vocab), shards=shards))
     return open_index(spark, path)
 
 
-def save_index(index: Index, path: str, mode: str = "overwrite"):
-    """Store index tables as a new version; ``append`` adds what is not stored yet."""
+def save_index(index: Index, path: str, mode: str = "overwrite", shards: int = SHARDS):
+    """Store index tables as a new version; ``append`` adds what is not stored yet.
+
+    An append that fails leaves nothing that is read; it can be made again.
+    """
     spark = index.bands.sparkSession
-    settings = Settings(index.n_bands, index.n_rows, index.vocabulary)
     if mode == "overwrite":
         version = uuid.uuid4().hex
-        for name in TABLES:
-            _write(getattr(index, name), f"{path}/{version}", name, "built")
-        publish(spark, path, version, settings)
+        write_batch(spark, f"{path}/{version}", "built", shards, {name: getattr(index, name) for name in TABLES})
+        publish(spark, path, version, Settings(index.n_bands, index.n_rows, index.vocabulary, shards=shards))
         return
-    folder, batch = version_folder(spark, path, settings), uuid.uuid4().hex
+    folder, settings = version_folder(spark, path, Settings(index.n_bands, index.n_rows, index.vocabulary))
     members = materialize(index.members, "append-members")
     sketches = materialize(index.sketches, "append-sketches")
-    new = not_stored(sketches, stored_but(spark, folder, batch, "sketches"), "sketch_id")
-    new = materialize(new, "append-new")
-    bands = index.bands.join(new.select("sketch_id"), "sketch_id", "left_semi")
-    _write(not_stored(members, stored_but(spark, folder, batch, "members"), "url"), folder, "members", batch)
-    _write(new, folder, "sketches", batch)
-    _write(bands, folder, "bands", batch)
+    new = materialize(not_stored(sketches, stored(spark, folder, "sketches"), "sketch_id"), "append-new")
+    tables = {
+        "bands": index.bands.join(new.select("sketch_id"), "sketch_id", "left_semi"),
+        "sketches": new,
+        "members": not_stored(members, stored(spark, folder, "members"), "url"),
+    }
+    write_batch(spark, folder, uuid.uuid4().hex, settings.shards, tables)
 
 
 def read_settings(spark: SparkSession, path: str) -> tuple[str, Settings] | None:
@@ -166,21 +185,22 @@ def publish(spark: SparkSession, path: str, version: str, settings: Settings):
     row.write.mode("append").parquet(f"{path}/{SETTINGS}")
 
 
-def version_folder(spark: SparkSession, path: str, settings: Settings) -> str:
-    """The folder to append to; a new index gets its first version.
+def version_folder(spark: SparkSession, path: str, settings: Settings) -> tuple[str, Settings]:
+    """The folder to append to and its settings; a new index gets its first version.
 
     Rows of another vocabulary, banding, number of permutations or seed can't be
-    compared with what is stored, so they are refused.
+    compared with what is stored, so they are refused. The number of shards is
+    that of the stored index.
     """
     known = read_settings(spark, path)
     if known is None:
         version = uuid.uuid4().hex
         publish(spark, path, version, settings)
-        return f"{path}/{version}"
+        return f"{path}/{version}", settings
     version, stored = known
-    if stored != settings:
+    if stored != replace(settings, shards=stored.shards):
         raise ValueError(f"the index at {path} has {stored}, not {settings}")
-    return f"{path}/{version}"
+    return f"{path}/{version}", stored
 
 
 def open_index(spark: SparkSession, path: str) -> Index:
@@ -188,25 +208,59 @@ def open_index(spark: SparkSession, path: str) -> Index:
     known = read_settings(spark, path)
     if known is None:
         raise FileNotFoundError(f"no index at {path}")
-    version, settings = known
-    members, sketches, band_rows = (stored_but(spark, f"{path}/{version}", None, name) for name in TABLES)
+    return open_version(spark, f"{path}/{known[0]}", known[1])
+
+
+def open_version(spark: SparkSession, folder: str, settings: Settings) -> Index:
+    live = live_batches(spark, folder)
+    tables = {name: read_batches(spark, folder, name, live) for name in TABLES}
+    members = tables["members"].select("url", "sketch_id", "vec", SHARD)
     return Index(
-        members.select("url", "sketch_id", "vec"), sketches, band_rows, settings.bands, settings.rows, settings.vocabulary
+        members, tables["sketches"], tables["bands"], settings.bands, settings.rows, settings.vocabulary,
+        settings.shards,
     )
 
 
 _SCHEMAS = {"members": MEMBERS, "sketches": SKETCHES, "bands": BANDS}
+_KEYS = {"members": "sketch_id", "sketches": "sketch_id", "bands": "band_hash"}
 
 
-def stored_but(spark: SparkSession, folder: str, batch: str | None, table: str) -> DataFrame:
-    """Rows of an index table but those of ``batch``; none where nothing is stored."""
-    try:
-        stored = _read(spark, folder, table)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], _SCHEMAS[table])
-    return (stored if batch is None else stored.filter(F.col(BATCH) != batch)).drop(BATCH)
+def _span(name: str) -> tuple[str, int, int] | None:
+    """Run, first and last number of an append's name; None for one without numbers."""
+    found = re.fullmatch(r"(.+?)-(\d+)(?:-(\d+))?", name)
+    return found and (found[1], int(found[2]), int(found[3] or found[2]))
+
+
+def _covered(names: list[str]) -> set[str]:
+    """Names whose numbers lie within those of another append of their run."""
+    spans = {name: _span(name) for name in names}
+    out = set()
+    for name, own in spans.items():
+        for other in spans.values():
+            if own and other and own != other and own[0] == other[0] and other[1] <= own[1] and own[2] <= other[2]:
+                out.add(name)
+    return out
+
+
+def live_batches(spark: SparkSession, folder: str) -> list[str]:
+    """The appends whose rows are the index: those listed and not covered by a merged one."""
+    names = names_in(spark, f"{folder}/{LIVE}")
+    hidden = _covered(names)
+    return [name for name in names if name not in hidden]
+
+
+def stored(spark: SparkSession, folder: str, table: str, but: str | None = None) -> DataFrame:
+    """Rows of an index table, but for those of one append; none where nothing is stored."""
+    live = [name for name in live_batches(spark, folder) if name != but]
+    return read_batches(spark, folder, table, live)
+
+
+def read_batches(spark: SparkSession, folder: str, table: str, names: list[str]) -> DataFrame:
+    schema = f"{_SCHEMAS[table]}, {BATCH} string, {SHARD} int"
+    if not names:
+        return spark.createDataFrame([], schema).drop(BATCH)
+    reader = spark.read.schema(schema).option("basePath", f"{folder}/{table}")
+    return reader.parquet(*[f"{folder}/{table}/{BATCH}={name}" for name in names]).drop(BATCH)
 
 
 def not_stored(fresh: DataFrame, stored: DataFrame, key: str) -> DataFrame:
@@ -220,13 +274,56 @@ def not_stored(fresh: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     return fresh.join(hits, key, "left_anti")
 
 
-def _write(df: DataFrame, folder: str, table: str, batch: str):
-    if table == "bands":
-        # Neighbouring keys lie together, and a hot key may span files.
-        df = df.repartitionByRange("band_hash", "sketch_id").sortWithinPartitions("band_hash")
-    df.write.mode("overwrite").parquet(f"{folder}/{table}/{BATCH}={batch}")
+def write_batch(spark: SparkSession, folder: str, name: str, shards: int, tables: dict[str, DataFrame]):
+    """Write the tables of an append, then list it. The same name again replaces it."""
+    remove(spark, f"{folder}/{LIVE}/{name}")
+    with ThreadPoolExecutor(len(TABLES)) as pool:  # a small append is three small jobs
+        list(pool.map(lambda table: write_table(tables[table], folder, table, name, shards), TABLES))
+    mark(spark, f"{folder}/{LIVE}/{name}")
+
 
+def write_table(df: DataFrame, folder: str, table: str, name: str, shards: int):
+    """One folder per shard, rows in the order of the table's key.
 
-def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    reader = spark.read.schema(f"{_SCHEMAS[table]}, {BATCH} string")
-    return reader.option("basePath", f"{folder}/{table}").parquet(f"{folder}/{table}")
+    The rebalancing puts a shard into as many tasks as its size asks for, so
+    that a hot key spans files and small shards share a task.
+    """
+    key = _KEYS[table]
+    rows = df.withColumn(SHARD, shard_of(F.col(key), shards)).hint("rebalance", SHARD)
+    columns = [f.split()[0] for f in _SCHEMAS[table].split(", ")]
+    rows = rows.select(*[c for c in columns if c in rows.columns], SHARD).sortWithinPartitions(SHARD, key)
+    rows.write.mode("overwrite").partitionBy(SHARD).parquet(f"{folder}/{table}/{BATCH}={name}")
+
+
+def merge_batches(spark: SparkSession, folder: str, run: str, before: int, shards: int, fan: int = FAN):
+    """Merge the appends of a run that are numbered below ``before``, ``fan`` of one size at a time.
+
+    Of ``n`` appends at most ``fan - 1`` of each of ``log(n)`` sizes stay, and each
+    row is written again once per size. A run merges only its own appends, so
+    writers of one index need not know of each other. A merged folder hides what
+    it covers as soon as it is listed, and a failure before that changes nothing.
+    What was covered already when this is called is removed: a reader has the time
+    between two merges to finish.
+    """
+    for name in _covered(names_in(spark, f"{folder}/{LIVE}")):
+        if _span(name)[0] == run:
+            remove(spark, f"{folder}/{LIVE}/{name}")
+            for table in TABLES:
+                remove(spark, f"{folder}/{table}/{BATCH}={name}")
+
+    def size(span: tuple) -> int:
+        left, level = span[2] - span[1] + 1, 0
+        while left >= fan:
+            left, level = left // fan, level + 1
+        return level
+
+    while True:
+        spans = {name: _span(name) for name in live_batches(spark, folder)}
+        own = sorted((s, name) for name, s in spans.items() if s and s[0] == run and s[2] < before)[-fan:]
+        if len(own) < fan or len({size(span) for span, _ in own}) > 1:
+            return
+        names = [name for _, name in own]
+        merged = f"{run}-{own[0][0][1]}-{own[-1][0][2]}"
+        write_batch(
+            spark, folder, merged, shards, {t: read_batches(spark, folder, t, names) for t in TABLES}
+        )

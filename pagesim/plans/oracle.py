@@ -400,6 +400,7 @@ SELECT url, CAST(strlen(record) AS BIGINT) AS size, least(content_length, 104857
 SELECT tag, CAST(row_number() OVER (ORDER BY tag) - 1 AS INTEGER) AS tag_id FROM u""",
     "s8_load_excluded": f"WITH u AS ({VOCABULARY_USE}) SELECT tag FROM u",
     "s9_k6_saved_index": INDEX_ROWS.format(where=""),
+    "s9_l4_stored_lookup": FIRST_PAGES,
     "s10_pages_as_records": "SELECT url, html, 'extract' AS lineage, 0 AS errors FROM pages",
     "k2_warc_header_names": NAMES_SQL,
     "k3_warc_defaults": WARC_DEFAULTS,
@@ -452,6 +453,7 @@ FROM pages WHERE {MOVED} HAVING count(*) > 0""",
     "p5_build_index": INDEX_ROWS.format(where=""),
     "p5_archive_ingest": INDEX_ROWS.format(where=""),
     "r1_stream_index": INDEX_ROWS.format(where=""),
+    "r1_compacted": INDEX_ROWS.format(where=""),
     "r2_stream_unique_urls": "SELECT url, CAST(1 AS BIGINT) AS times FROM pages",
     "r2_two_streams_disjoint": INDEX_ROWS.format(where=""),
     "r2_two_streams_overlap": INDEX_ROWS.format(where=""),

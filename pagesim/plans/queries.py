@@ -589,6 +589,12 @@ def resaved_index(spark, folder):
     return _index_rows(store.open_index(spark, path))
 
 
+def stored_lookup(spark, folder):
+    """Eleven pages looked up in a stored index, of which only their shards are read."""
+    idx = store.build_index(pages(spark, folder).select("url", "html"), work_dir(spark, "index"), BLOCK)
+    return _page_scores(lsh.first_pages_report(features(spark, folder), idx, 11))
+
+
 def archive_ingest(spark, folder):
     """Archive files to a stored index: scan, extract, parse, sketch, band."""
     path = _warc_folder(spark, folder, "gzip")
@@ -662,6 +668,13 @@ def stream_index(spark, folder):
     return _index_rows(store.open_index(spark, path))
 
 
+def stream_compacted(spark, folder):
+    """Five batches, merged by twos: the index holds one folder of four and one of the last."""
+    path, check = work_dir(spark, "index"), work_dir(spark, "progress")
+    stream.stream_index(_page_stream(spark, folder, files=5), path, check, BLOCK, fan=2).awaitTermination()
+    return _index_rows(store.open_index(spark, path))
+
+
 def stream_archives(spark, folder):
     """Archive files indexed as they arrive, three to a batch."""
     path, check = work_dir(spark, "index"), work_dir(spark, "progress")
@@ -724,6 +737,7 @@ QUERIES = {
     "s7_load_vocabulary": load_vocabulary,
     "s8_load_excluded": load_excluded,
     "s9_k6_saved_index": resaved_index,
+    "s9_l4_stored_lookup": stored_lookup,
     "s10_pages_as_records": pages_as_records,
     "k2_warc_header_names": warc_header_names,
     "k3_warc_defaults": warc_defaults,
@@ -761,6 +775,7 @@ QUERIES = {
     "p5_build_index": saved_index,
     "p5_archive_ingest": archive_ingest,
     "r1_stream_index": stream_index,
+    "r1_compacted": stream_compacted,
     "r1_stream_archives": stream_archives,
     "r2_stream_unique_urls": stream_unique_urls,
     "r2_two_streams_disjoint": two_streams_disjoint,

@@ -46,6 +46,30 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _file_system(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """Names of what a folder holds, in order; none where there is no folder."""
+    files, where = _file_system(spark, folder)
+    return sorted(s.getPath().getName() for s in files.listStatus(where)) if files.exists(where) else []
+
+
+def mark(spark: SparkSession, path: str):
+    """Make an empty file, over an older one."""
+    files, where = _file_system(spark, path)
+    files.create(where, True).close()
+
+
+def remove(spark: SparkSession, path: str):
+    """Remove a file or a folder with all it holds, if it is there."""
+    files, where = _file_system(spark, path)
+    files.delete(where, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

@@ -1,9 +1,11 @@
 """Incremental indexing and lookup with Structured Streaming.
 
-The index on disk is the state: every micro-batch writes its own folder of each
-table, named by the run and the batch. The run is noted beside the stream's
-checkpoint, so a batch that is replayed after a failure overwrites what it wrote
-before, and two streams into one index never touch each other's batches.
+The index on disk is the state: every micro-batch is an append of its own, named
+by the run and the batch. The run is noted beside the stream's checkpoint, so a
+batch that is replayed after a failure replaces what it wrote before, and two
+streams into one index never touch each other's batches. Before a batch is
+added, those before it are merged where there are many of one size; they are
+done, and are not replayed any more.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from ..functions import sketch as fn
 from ..functions.vocabulary import REFERENCE, Vocabulary
 from ..operators import records
-from ..operators.lsh import Index, similar_pages, stored_index
+from ..operators.lsh import similar_pages
 from ..operators.sketches import band_index, members_table, sketches_table
 from ..plans import index as store
 from ..plans.stage import chain
@@ -49,23 +51,23 @@ def batch_features(pages: DataFrame, vocab: Vocabulary) -> DataFrame:
     return materialize(members_table(store.page_table(chain(pages, *feature_stages(vocab)), order)), "batch")
 
 
-def add_features(fresh: DataFrame, batch: str, folder: str, bands: int, rows: int) -> DataFrame:
+def add_features(fresh: DataFrame, batch: int, run: str, folder: str, settings: store.Settings,
+                 fan: int = store.FAN) -> DataFrame:
     """Add a batch's features to an index version; returns the members it added."""
-    spark = fresh.sparkSession
-    members = store.not_stored(fresh, store.stored_but(spark, folder, batch, "members"), "url")
-    store._write(members.select("url", "sketch_id", "grams", "vec", "errors"), folder, "members", batch)
-    own = lambda table, schema: spark.read.schema(schema).parquet(f"{folder}/{table}/{store.BATCH}={batch}")
-    added = own("members", store.MEMBERS)
-    new = store.not_stored(
-        added.select("sketch_id", "grams"), store.stored_but(spark, folder, batch, "sketches"), "sketch_id"
-    )
-    store._write(sketches_table(new), folder, "sketches", batch)
-    store._write(band_index(own("sketches", store.SKETCHES), bands, rows), folder, "bands", batch)
+    spark, name = fresh.sparkSession, f"{run}-{batch}"
+    store.merge_batches(spark, folder, run, batch, settings.shards, fan)
+    added = materialize(store.not_stored(fresh, store.stored(spark, folder, "members", name), "url"), "batch-members")
+    known = store.stored(spark, folder, "sketches", name)
+    new = store.not_stored(added.select("sketch_id", "grams"), known, "sketch_id")
+    sketches = materialize(sketches_table(new), "batch-sketches")
+    tables = {"bands": band_index(sketches, settings.bands, settings.rows), "sketches": sketches, "members": added}
+    store.write_batch(spark, folder, name, settings.shards, tables)
     return added
 
 
 def index_batch(pages: DataFrame, batch: int, path: str, vocab: Vocabulary = REFERENCE,
-                bands: int = fn.BANDS, rows: int = fn.ROWS, run: str = "direct") -> DataFrame:
+                bands: int = fn.BANDS, rows: int = fn.ROWS, run: str = "direct",
+                fan: int = store.FAN) -> DataFrame:
     """Add one batch of pages to the index at ``path``; returns the members it added.
 
     A URL that is stored already is not indexed again, and a sketch that is
@@ -73,21 +75,21 @@ def index_batch(pages: DataFrame, batch: int, path: str, vocab: Vocabulary = REF
     wrote.
     """
     settings = store.Settings(bands, rows, store.vocabulary_key(vocab))
-    folder = store.version_folder(pages.sparkSession, path, settings)
-    return add_features(batch_features(pages, vocab), f"{run}-{batch}", folder, bands, rows)
+    folder, settings = store.version_folder(pages.sparkSession, path, settings)
+    return add_features(batch_features(pages, vocab), batch, run, folder, settings, fan)
 
 
 def stream_index(pages: DataFrame, path: str, checkpoint: str, vocab: Vocabulary = REFERENCE,
-                 bands: int = fn.BANDS, rows: int = fn.ROWS) -> StreamingQuery:
+                 bands: int = fn.BANDS, rows: int = fn.ROWS, fan: int = store.FAN) -> StreamingQuery:
     """Index a stream of ``url, html`` as it arrives; one index batch per micro-batch.
 
     Runs through what is available and stops; start it again to go on from
-    its checkpoint.
+    its checkpoint. ``fan`` appends of one size are merged to one.
     """
     run = run_of(pages.sparkSession, checkpoint)
 
     def step(batch_df: DataFrame, batch: int):
-        index_batch(batch_df, batch, path, vocab, bands, rows, run)
+        index_batch(batch_df, batch, path, vocab, bands, rows, run, fan)
 
     return (
         pages.writeStream.foreachBatch(step)
@@ -143,12 +145,11 @@ def stream_similar(pages: DataFrame, path: str, results: str, checkpoint: str,
 
     def step(batch_df: DataFrame, batch: int):
         spark, name = batch_df.sparkSession, f"{run}-{batch}"
-        folder = store.version_folder(spark, path, settings)
+        folder, known = store.version_folder(spark, path, settings)
         fresh = batch_features(batch_df, vocab)
-        add_features(fresh, name, folder, bands, rows)
-        seen = Index(*(store.stored_but(spark, folder, None, t) for t in store.TABLES), bands, rows)
-        found = similar_pages(stored_index(fresh, bands, rows), seen, min_jaccard, include_self=True)
-        added = spark.read.schema(store.MEMBERS).parquet(f"{folder}/members/{store.BATCH}={name}")
+        added = add_features(fresh, batch, run, folder, known)
+        seen = store.open_version(spark, folder, known)
+        found = similar_pages(fresh, seen, min_jaccard, include_self=True)
         own = added.select("url", F.lit(True).alias("_own"))
         kept = found.join(own, "url", "left").filter(
             (F.col("url") != F.col("query_url")) & (F.col("_own").isNull() | (F.col("url") < F.col("query_url")))
