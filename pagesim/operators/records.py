@@ -95,6 +95,16 @@ def extract_html(df: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
     return project_html(drop_moved(split_http(filter_responses(df, min_length))))
 
 
+def arc_responses(df: DataFrame) -> DataFrame:
+    """ARC records in the form of WARC records; those whose payload is an HTTP answer are responses."""
+    answer = F.coalesce(F.substring("payload", 1, 5) == F.encode(F.lit("HTTP/"), "UTF-8"), F.lit(False))
+    return df.select(
+        "file", F.col("file_offset").alias("offset"), "url",
+        F.when(answer, "response").otherwise("resource").alias("record_type"),
+        F.col("length").alias("content_length"), "payload",
+    )
+
+
 def pages_as_records(df: DataFrame) -> DataFrame:
     """A table of ``url, html`` in the form of extracted pages, unfiltered."""
     return df.select(

@@ -15,6 +15,7 @@ import re
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import astuple, dataclass, replace
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
@@ -25,7 +26,7 @@ from ..operators import records
 from ..operators.lsh import SHARD, Index, shard_of
 from ..operators.sketches import band_index, members_table, sketches_table
 from ..session import mark, materialize, names_in, remove
-from ..sources import read_archive
+from ..sources import archive_formats, read_archive
 from .stage import chain
 from .stages import feature_stages
 
@@ -61,10 +62,20 @@ def insert_counter(members: DataFrame, observation: Observation) -> DataFrame:
     return members.observe(observation, F.count(F.lit(1)).alias("inserted"))
 
 
-def archive_pages(spark: SparkSession, path: str, format: str = "auto",
-                  min_length: int = records.MIN_LENGTH, max_records: int | None = None) -> DataFrame:
-    """Pages of a WARC file or folder: filtered, split, stripped, first ``max_records`` if set."""
-    pages = records.extract_html(read_archive(spark, path, format), min_length)
+def archive_pages(spark: SparkSession, path: str | list[str], format: str = "auto",
+                  min_length: int = records.MIN_LENGTH, max_records: int | None = None, **options) -> DataFrame:
+    """Pages of archive files: filtered, split, stripped, first ``max_records`` if set.
+
+    ``path`` is a file, a folder, a pattern or a list of files. With ``auto`` it may hold
+    both WARC and ARC files. ``options`` are those of the scan.
+    """
+    kinds = archive_formats(path) if format in ("auto", None) else {format: path}
+    found = []
+    for kind, files in kinds.items():
+        wanted = {"recordType": "response"} if kind == "warc" else {}
+        rows = read_archive(spark, files, kind, longerThan=str(min_length), **wanted, **options)
+        found.append(records.extract_html(rows if kind == "warc" else records.arc_responses(rows), min_length))
+    pages = reduce(DataFrame.unionByName, found)
     return pages if max_records is None else records.limit_records(pages, max_records)
 
 

@@ -391,7 +391,10 @@ SELECT url, content_length FROM w2 WHERE content_length > {MIN_LENGTH}""",
 SELECT page_id, 'warc-type' AS name, 'resource: ' || page_id AS value FROM pages
 UNION ALL SELECT page_id, 'warc-target-uri', url FROM pages
 UNION ALL SELECT page_id, 'x-copy', CAST(page_id AS VARCHAR) FROM pages""",
+    "s2_split_gzip": f"""WITH {WARC}
+SELECT url, CAST(strlen(record) AS BIGINT) AS size, least(content_length, 1048576) AS payload_bytes FROM w3""",
     "s4_k5_arc_scan": ARC_SCAN,
+    "s4_split_scan": ARC_SCAN,
     "s5_arc_fields": ARC_FIELDS,
     "s6_warc_offsets": f"""WITH {WARC}
 SELECT url, CAST(strlen(record) AS BIGINT) AS size, least(content_length, 1048576) AS payload_bytes FROM w3""",
@@ -422,6 +425,7 @@ WHERE {KEPT} ORDER BY file, page_id LIMIT 50""",
 o AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY file, page_id) AS rn,
     count(*) OVER (PARTITION BY site) AS copies FROM s)
 SELECT site AS url, file, page_id AS "offset", copies FROM o WHERE rn = 1""",
+    "f6_split_gzip": f"SELECT {SITE} AS url, count(*) AS copies FROM pages GROUP BY 1",
     "f7_typed_headers": f"""WITH {WARC} SELECT 'response' AS record_type, record_id, url,
     CAST(NULL AS VARCHAR) AS ip_address, '{ARCHIVE_DATE}' AS date, content_length, checksum FROM w2""",
     "t1_html_nodes": HTML_NODES,
@@ -452,6 +456,8 @@ FROM pages WHERE {MOVED} HAVING count(*) > 0""",
     "p2_p3_lineage": LINEAGE,
     "p5_build_index": INDEX_ROWS.format(where=""),
     "p5_archive_ingest": INDEX_ROWS.format(where=""),
+    "p5_arc_ingest": INDEX_ROWS.format(where=""),
+    "r1_stream_mixed_archives": INDEX_ROWS.format(where=""),
     "r1_stream_index": INDEX_ROWS.format(where=""),
     "r1_compacted": INDEX_ROWS.format(where=""),
     "r2_stream_unique_urls": "SELECT url, CAST(1 AS BIGINT) AS times FROM pages",

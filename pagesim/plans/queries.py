@@ -100,10 +100,10 @@ def _utf8(column):
 # Sources and sinks ------------------------------------------------------------
 
 
-def _page_records(spark, folder):
+def _page_records(spark, folder, keep="true"):
     """Pages as complete WARC records."""
     return records.pages_to_warc(
-        pages(spark, folder),
+        pages(spark, folder).filter(keep),
         F.encode("html", "UTF-8"),
         http_headers=F.lit("Content-Type: text/html\r\n"),
         date=F.lit(ARCHIVE_DATE).cast("timestamp"),
@@ -130,15 +130,36 @@ def warc_scan(spark, folder):
 
 
 def warc_scan_pushdown(spark, folder):
-    """A filtered scan: records that fail the filter are passed over in the file."""
+    """A filtered scan: records that are not asked for are passed over in the file."""
     path = _warc_folder(spark, folder)
-    kept = records.filter_responses(read_archive(spark, path, "warc"), MIN_LENGTH)
+    kept = read_archive(spark, path, "warc", recordType="response", longerThan=str(MIN_LENGTH))
     return kept.select("url", "content_length")
 
 
+#: Ranges that cut the test archives many times.
+SPLIT = str(20_000)
+
+
+def split_gzip(spark, folder):
+    """Gzip files cut to ranges: the offset index of the split scan, where the whole scan has the same."""
+    path = _warc_folder(spark, folder, "gzip")
+    whole = read_archive(spark, path, "warc", payload="false").select("file", "offset", "member_offset", "url")
+    return _offset_rows(warc_index(spark, path, splitBytes=SPLIT).join(whole, ["file", "offset", "member_offset", "url"]))
+
+
+def dedupe_split_gzip(spark, folder):
+    """One record per site of split gzip files, and how many it stands for."""
+    rows = read_archive(spark, _warc_folder(spark, folder, "gzip"), "warc", splitBytes=SPLIT)
+    sites = rows.withColumn("url", F.regexp_extract("url", "^https?://([^/]+)/", 1))
+    return records.dedupe_urls(sites).select("url", "copies")
+
+
 def warc_offsets(spark, folder):
     """The offset index: sizes, kept payload bytes, and no gap between records."""
-    found = warc_index(spark, _warc_folder(spark, folder))
+    return _offset_rows(warc_index(spark, _warc_folder(spark, folder)))
+
+
+def _offset_rows(found):
     ends = found.select("file", (F.col("offset") + F.col("size")).alias("offset"))
     starts = found.select("file", "offset", F.lit(True).alias("starts"))
     last = found.groupBy("file").agg(F.max(F.col("offset") + F.col("size")).alias("last"))
@@ -155,7 +176,12 @@ def warc_offsets(spark, folder):
     )
 
 
-def arc_scan(spark, folder):
+def arc_split_scan(spark, folder):
+    """The same, plain and gzip files cut to ranges."""
+    return arc_scan(spark, folder, splitBytes=SPLIT)
+
+
+def arc_scan(spark, folder, **options):
     """Write the pages as ARC files of both versions, read both back."""
     base = pages(spark, folder).select(
         "url",
@@ -173,7 +199,7 @@ def arc_scan(spark, folder):
     for version in (1, 2):
         path = work_dir(spark, f"arc{version}")
         write_arc(base, path, version, org="Example Org", compression="gzip" if version == 2 else "none")
-        back = read_archive(spark, path, "arc", version=str(version)).select(
+        back = read_archive(spark, path, "arc", version=str(version), **options).select(
             "version", F.col("file_headers.org").alias("org"), "url", "ip_address",
             F.date_format("date", "yyyy-MM-dd HH:mm:ss").alias("date"),
             "content_type", "result_code", "checksum", "offset", "filename", "length",
@@ -603,6 +629,38 @@ def archive_ingest(spark, folder):
     return _index_rows(idx)
 
 
+def _arc_folder(spark, found, version, path=None):
+    """Pages as answers in ARC files of a version."""
+    path = path or work_dir(spark, "arc")
+    answer = F.encode(F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"), F.col("html")), "UTF-8")
+    base = found.select(
+        "url", F.lit("127.0.0.1").alias("ip_address"), F.lit(ARCHIVE_DATE).cast("timestamp").alias("date"),
+        F.lit("text/html").alias("content_type"), F.lit("200").alias("result_code"), F.lit("-").alias("checksum"),
+        F.lit("-").alias("location"), F.lit(0).cast("bigint").alias("offset"), F.lit("pages.arc").alias("filename"),
+        answer.alias("payload"),
+    )
+    write_arc(base, path, version, compression="gzip" if version == 2 else "none")
+    return path
+
+
+def arc_ingest(spark, folder):
+    """ARC files of both versions to a stored index."""
+    found = pages(spark, folder)
+    path = _arc_folder(spark, found.filter("hash(url) % 2 = 0"), 1)
+    _arc_folder(spark, found.filter("hash(url) % 2 <> 0"), 2, path)
+    idx = store.build_index(store.archive_pages(spark, path, min_length=0), work_dir(spark, "index"), BLOCK)
+    return _index_rows(idx)
+
+
+def stream_mixed_archives(spark, folder):
+    """A folder of WARC and ARC files indexed as they arrive."""
+    path, check, incoming = (work_dir(spark, n) for n in ("index", "progress", "incoming"))
+    write_warc(_page_records(spark, folder, "hash(url) % 2 = 0"), incoming, compression="gzip")
+    _arc_folder(spark, pages(spark, folder).filter("hash(url) % 2 <> 0"), 1, incoming)
+    stream.stream_archives(spark, incoming, path, check, 0, files_per_batch=8, vocab=BLOCK).awaitTermination()
+    return _index_rows(store.open_index(spark, path))
+
+
 def _index_rows(idx):
     per = idx.bands.groupBy("sketch_id").agg(F.count("*").alias("bands"))
     return (
@@ -729,8 +787,10 @@ def required_lineage(spark, folder):
 QUERIES = {
     "s2_k1_warc_scan": warc_scan,
     "s2_warc_scan_pushdown": warc_scan_pushdown,
+    "s2_split_gzip": split_gzip,
     "s3_warc_header_block": warc_header_block,
     "s4_k5_arc_scan": arc_scan,
+    "s4_split_scan": arc_split_scan,
     "s5_arc_fields": arc_fields,
     "s6_warc_offsets": warc_offsets,
     "s7_s8_vocabulary_use": vocabulary_use,
@@ -748,6 +808,7 @@ QUERIES = {
     "f4_project_html": project_html,
     "f5_limit_records": limit_records,
     "f6_dedupe_urls": dedupe_urls,
+    "f6_split_gzip": dedupe_split_gzip,
     "f7_typed_headers": typed_headers,
     "t1_html_nodes": html_nodes,
     "t2_parse_errors": parse_errors,
@@ -774,9 +835,11 @@ QUERIES = {
     "p2_p3_lineage": lineage,
     "p5_build_index": saved_index,
     "p5_archive_ingest": archive_ingest,
+    "p5_arc_ingest": arc_ingest,
     "r1_stream_index": stream_index,
     "r1_compacted": stream_compacted,
     "r1_stream_archives": stream_archives,
+    "r1_stream_mixed_archives": stream_mixed_archives,
     "r2_stream_unique_urls": stream_unique_urls,
     "r2_two_streams_disjoint": two_streams_disjoint,
     "r2_two_streams_overlap": two_streams_overlap,

@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..session import materialize
 from .arc import SUFFIXES as ARC_SUFFIXES, ArcDataSource
 from .files import list_files
 from .warc import SUFFIXES as WARC_SUFFIXES, WarcDataSource
 
 
 def register(spark: SparkSession) -> SparkSession:
-    """Make the ``warc`` and ``arc`` formats known to the session, filters pushed down."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    """Make the ``warc`` and ``arc`` formats known to the session."""
     spark.dataSource.register(WarcDataSource)
     spark.dataSource.register(ArcDataSource)
     return spark
@@ -26,36 +27,70 @@ def detect_format(path: str) -> str:
     return "arc" if path.endswith(ARC_SUFFIXES) else "unknown"
 
 
+def archive_formats(path: str | list[str]) -> dict[str, str | list[str]]:
+    """What to read by format: ``path`` itself where it names archives of one, else lists of files."""
+    files = [path] if isinstance(path, str) else list(path)
+    kinds = {f: detect_format(f) for f in files}
+    if set(kinds.values()) == {"unknown"}:
+        try:
+            found = [name for f in files for name, _ in list_files(f, WARC_SUFFIXES + ARC_SUFFIXES)]
+        except FileNotFoundError as e:
+            raise ValueError(f"no archive at {path}") from e
+        kinds = {name: detect_format(name) for name in found}
+        if not kinds:
+            raise ValueError(f"no archive at {path}")
+    if len(set(kinds.values())) == 1:
+        return {next(iter(kinds.values())): path}
+    return {kind: [f for f, k in kinds.items() if k == kind] for kind in sorted(set(kinds.values()))}
+
+
 def read_archive(spark: SparkSession, path: str | list[str], format: str = "auto",
                  **options) -> DataFrame:
     """Records of an archive file, a list of files, or the archives of a folder or pattern.
 
     ``auto`` goes by the files' suffixes; what it finds must be of one format.
+    ``splitBytes`` cuts files to ranges for tasks of their own. Plain files are cut
+    anyway, to a larger size; gzip files only with that option, as each of their
+    ranges is unpacked twice: once for its size, by which offsets are made to count from
+    the beginning of the file.
     """
-    files = [path] if isinstance(path, str) else list(path)
-    kinds = {format}
-    if format in ("auto", None):
-        kinds = {detect_format(f) for f in files}
-        if kinds == {"unknown"}:
-            try:
-                found = [name for f in files for name, _ in list_files(f, WARC_SUFFIXES + ARC_SUFFIXES)]
-            except FileNotFoundError as e:
-                raise ValueError(f"no archive at {path}") from e
-            kinds = {detect_format(name) for name in found}
+    kinds = set(archive_formats(path)) if format in ("auto", None) else {format}
     if len(kinds) != 1 or not kinds <= {"warc", "arc"}:
         raise ValueError(f"Don't know how to open {sorted(kinds)} files: {path}")
-    reader = register(spark).read.format(kinds.pop()).options(**options)
-    if isinstance(path, str):
-        return reader.load(path)
-    return reader.option("pathList", json.dumps(files)).load()
+    files = [path] if isinstance(path, str) else list(path)
+    kind = kinds.pop()
+
+    def scan(**more) -> DataFrame:
+        reader = register(spark).read.format(kind).options(**options, **more)
+        return reader.load(path) if isinstance(path, str) else reader.option("pathList", json.dumps(files)).load()
+
+    return _with_file_offsets(scan, _OFFSETS[kind]) if "splitBytes" in options else scan()
+
+
+_OFFSETS = {"warc": "offset", "arc": "file_offset"}
+
+
+def _with_file_offsets(scan: Callable[..., DataFrame], offset: str) -> DataFrame:
+    """A scan of ranges, offsets counted from the beginning of each file.
+
+    A range of a gzip file begins where the plain bytes of those before it end.
+    """
+    before = Window.partitionBy("file").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    begins = scan(rangeSizes="true").select("file", "range", F.sum("size").over(before).alias("begins"))
+    begins = materialize(begins, "range-starts")  # of a known size for the join
+    rows = scan(splitGzip="true")
+    whole = F.col(offset) + F.coalesce("begins", F.lit(0))
+    return rows.join(begins, ["file", "range"], "left").select(
+        *[whole.alias(c) if c == offset else F.col(c) for c in rows.columns if c != "range"]
+    )
 
 
-def warc_index(spark: SparkSession, path: str, payload_bytes: int = 1 << 20) -> DataFrame:
+def warc_index(spark: SparkSession, path: str, payload_bytes: int = 1 << 20, **options) -> DataFrame:
     """Where each record lies: file, offset, size, its columns and the payload's first MiB.
 
     Offsets count uncompressed bytes.
     """
-    return read_archive(spark, path, "warc", payloadLimit=str(payload_bytes))
+    return read_archive(spark, path, "warc", payloadLimit=str(payload_bytes), **options)
 
 
 def write_warc(df: DataFrame, path: str, mode: str = "append", compression: str = "none"):

@@ -14,12 +14,10 @@ from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
     DataSourceReader,
-    GreaterThan,
-    GreaterThanOrEqual,
-    IsNotNull,
 )
 
 from .files import READ_ERRORS, ByteReader, StagedFiles, Written, file_partitions, record_batches
+from .warc import range_schema, range_size, ranged
 
 SUFFIXES = (".arc", ".arc.gz")
 # Fixed values ---------------------------------------------------------------
@@ -87,6 +85,8 @@ def _date(text: str) -> datetime:
 
 #: A line that can only be a record's: address, date and, last, a length.
 RECORD_LINE = re.compile(rb"\S+ \S+ \d{14} .*\d\r?\n\Z")
+#: The same at the start of a gzip member.
+MEMBER_START = re.compile(rb"\S+ \S+ \d{14} [^\n]*\d\r?\n")
 
 
 def _text(raw: bytes) -> str:
@@ -113,22 +113,12 @@ class ArcReader(DataSourceReader):
         self.failfast = options.get("mode", "FAILFAST").upper() != "PERMISSIVE"
         self.with_payload = options.get("payload", "true").lower() == "true"
         self.payload_limit = int(options.get("payloadLimit", -1))
-        self.longer_than = -1
+        self.longer_than = int(options.get("longerThan", -1))
         wanted = options.get("version")
         self.version = int(wanted) if wanted else None
         if self.version not in (None, 1, 2):
             raise ValueError("ARC version has to be 1 or 2")
 
-    def pushFilters(self, filters):
-        """Take over lower bounds on the length: payloads of shorter records are passed over."""
-        for f in filters:
-            if isinstance(f, (GreaterThan, GreaterThanOrEqual)) and f.attribute == ("length",):
-                self.longer_than = max(self.longer_than, f.value - isinstance(f, GreaterThanOrEqual))
-            elif isinstance(f, IsNotNull) and f.attribute == ("length",):
-                pass  # a record that has no length is no record
-            else:
-                yield f
-
     def partitions(self):
         return file_partitions(self.options, SUFFIXES)
 
@@ -189,15 +179,56 @@ class ArcReader(DataSourceReader):
             "payload": payload,
         } if wanted else None
 
-    def _rows(self, part):
+    def _find(self, data: ByteReader, start: int, version: int) -> bool:
+        """Stand at the first record of a plain file at or after ``start``.
+
+        A line in a payload may look like a record's; it is none unless its length
+        leads to another record's line or to the end of the file.
+        """
+        after = start - 2
+        while data.go_on(after, RECORD_LINE):
+            after = data.offset
+            try:
+                length = int(record_fields(data.line(), version)["length"])
+                ended = data.skip(length) == length
+                line = self._next_line(data)[1]
+            except ValueError:
+                ended = False
+            if ended and (not line or RECORD_LINE.match(line)):
+                break
+        else:
+            return False
+        data.seek(after)
+        return True
+
+    def _file_record(self, part) -> dict:
+        """What the first record of the file says, for a range that begins after it."""
         data = ByteReader(part.path, part.packed)
+        try:
+            return self._about(data)
+        finally:
+            data.close()
+
+    def _rows(self, part):
         start, about = 0, None
+        here = {"file": part.path, "range": part.start if part.packed else None}
+        if part.start:
+            try:
+                about = self._file_record(part)
+            except READ_ERRORS:
+                return  # told by the range that begins the file
+        data = ByteReader(part.path, part.packed, part.start, MEMBER_START)
         try:
+            if part.start and not part.packed and not self._find(data, part.start, about["version"]):
+                return
             while True:
                 try:
                     if about is None:
                         about = self._about(data)
                     start, line = self._next_line(data)
+                    begins = data.member_offset(start) if part.packed else start
+                    if part.stop is not None and begins is not None and begins >= part.stop:
+                        return
                     if data.broken:
                         raise ValueError(data.broken)
                     if not line:
@@ -207,17 +238,22 @@ class ArcReader(DataSourceReader):
                     reason = data.broken or str(e)
                     if self.failfast:
                         raise ValueError(f"{part.path} at {start}: {reason}") from e
-                    yield {"file": part.path, "file_offset": start, "error": reason}
+                    yield here | {"file_offset": start, "error": reason}
                     if about is None or not data.go_on(start, RECORD_LINE):
                         return
                     continue
                 if row is not None:
-                    yield row | about | {"file": part.path, "file_offset": start}
+                    yield row | about | here | {"file_offset": start}
         finally:
             data.close()
 
     def read(self, partition):
-        yield from record_batches(self._rows(partition), _ARROW)
+        if partition is None:  # there is nothing to read
+            return
+        if "rangeSizes" in self.options:
+            yield range_size(partition, MEMBER_START)
+        else:
+            yield from record_batches(self._rows(partition), ranged(_ARROW, self.options))
 
 
 class ArcWriter(DataSourceArrowWriter):
@@ -264,7 +300,7 @@ class ArcWriter(DataSourceArrowWriter):
 
 class ArcDataSource(DataSource):
     """``arc``: read options ``path``, ``version``, ``mode``, ``payload``, ``payloadLimit``,
-    ``compression``; write options
+    ``compression``, ``longerThan``, ``splitBytes``; write options
     ``version``, ``org``, ``ip_address``, ``date`` (yyyyMMddHHmmss), ``compression``."""
 
     @classmethod
@@ -272,7 +308,7 @@ class ArcDataSource(DataSource):
         return "arc"
 
     def schema(self):
-        return SCHEMA
+        return range_schema(SCHEMA, self.options)
 
     def reader(self, schema):
         return ArcReader(self.options)

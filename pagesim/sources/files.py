@@ -56,6 +56,7 @@ def list_files(path: str, suffixes: tuple[str, ...]) -> list[tuple[str, int]]:
 
 READ_ERRORS = (ValueError, EOFError, zlib.error)
 SPLIT_BYTES = 256 << 20
+HEAD = 1 << 13  # bytes in which the beginning of a record shows
 
 
 @dataclass
@@ -68,13 +69,13 @@ class FilePartition(InputPartition):
     stop: int | None = None
 
 
-def file_partitions(options: dict, suffixes: tuple[str, ...], split: bool = False) -> list[FilePartition]:
+def file_partitions(options: dict, suffixes: tuple[str, ...]) -> list[FilePartition]:
     """What a scan reads: the files under ``path``, or exactly those of ``pathList`` (JSON).
 
     ``compression`` (``gzip`` or ``none``) says how files are packed; without it
-    the suffix does. With ``split``, files are cut to ranges of ``splitBytes``;
-    gzip files only if that option is given, since then ``offset`` counts from
-    the first record of the range.
+    the suffix does. Plain files are cut to ranges of ``splitBytes``; gzip files
+    only with ``splitGzip``, since offsets then count from where a range begins.
+    ``rangeSizes`` asks for the ranges of gzip files alone.
     """
     if "pathList" in options:
         files = [(path, None) for path in json.loads(options["pathList"])]
@@ -82,12 +83,15 @@ def file_partitions(options: dict, suffixes: tuple[str, ...], split: bool = Fals
         files = list_files(options["path"], suffixes if "compression" not in options else ("",))
     given = options.get("compression", "").lower()
     step = int(options.get("splitBytes", SPLIT_BYTES))
+    sizes_only = "rangeSizes" in options
     out = []
     for path, size in files:
         packed = given == "gzip" if given else path.endswith(".gz")
-        if not split or packed and "splitBytes" not in options:
+        if packed and "splitGzip" not in options and not sizes_only:
             out.append(FilePartition(path, packed))
             continue
+        if sizes_only and not packed:
+            continue
         if size is None:
             filesystem, name = resolve(path)
             size = filesystem.get_file_info(name).size
@@ -99,27 +103,28 @@ def file_partitions(options: dict, suffixes: tuple[str, ...], split: bool = Fals
 class GzipMembers(io.RawIOBase):
     """Plain bytes of a gzip file from its member at or after ``start``.
 
-    ``starts`` maps where a member's plain bytes begin to where the member begins
+    With ``mark``, from the first one there whose plain bytes it matches: one that
+    begins a record, where a record may go on in the members after it. ``starts`` maps where a member's plain bytes begin to where the member begins
     in the file. A damaged member ends the stream and is told in ``broken``;
     :meth:`go_on` continues at the next member.
     """
 
     MAGIC = b"\x1f\x8b\x08"
 
-    def __init__(self, raw, start: int = 0):
+    def __init__(self, raw, start: int = 0, mark: re.Pattern | None = None):
         self._raw = raw
         self._plain = 0
         self._member, self._data, self.broken = None, b"", None
         self.starts: dict[int, int] = {}
         self._packed = 0
         if start:
-            self._search(start)
+            self._search(start, mark)
 
     def readable(self):
         return True
 
-    def _search(self, start: int) -> bool:
-        """Stand at the first member that begins at ``start`` or later and opens."""
+    def _search(self, start: int, mark: re.Pattern | None = None) -> bool:
+        """Stand at the first member that begins at ``start`` or later and opens, with what ``mark`` matches."""
         self._member, self._data, at = None, b"", start
         while True:
             self._raw.seek(at)
@@ -134,8 +139,10 @@ class GzipMembers(io.RawIOBase):
             at += found
             self._raw.seek(at)
             try:
-                zlib.decompressobj(31).decompress(self._raw.read(1 << 12), 64)
+                head = zlib.decompressobj(31).decompress(self._raw.read(HEAD), HEAD)
             except zlib.error:
+                head = None
+            if head is None or mark is not None and not mark.match(head):
                 at += 1
                 continue
             self._raw.seek(at)
@@ -154,44 +161,69 @@ class GzipMembers(io.RawIOBase):
         return self._search(last + 1)
 
     def readinto(self, view):
+        """Bytes of one member; of its first ones at least ``HEAD`` if it holds that many."""
+        done = 0
         while True:
             if not self._data:
                 self._data = self._raw.read(1 << 18)
                 if not self._data:
                     if self._member is not None and not self.broken:
                         self.broken = "the file ends inside a gzip member"
-                    return 0
+                    return done
             if self._member is None:
                 self._member = zlib.decompressobj(31)
                 self.starts[self._plain] = self._packed
             try:
-                out = self._member.decompress(self._data, len(view))
+                out = self._member.decompress(self._data, len(view) - done)
             except zlib.error as e:
                 self.broken, self._data = f"damaged gzip member: {e}", b""
-                return 0
+                return done
             rest = self._member.unused_data if self._member.eof else self._member.unconsumed_tail
             self._packed += len(self._data) - len(rest)
             self._data = rest
-            if self._member.eof:
+            view[done : done + len(out)] = out
+            done += len(out)
+            self._plain += len(out)
+            ended = self._member.eof
+            if ended:
                 self._member = None
-            if out:
-                view[: len(out)] = out
-                self._plain += len(out)
-                return len(out)
+            if done and (ended or done >= min(HEAD, len(view))):
+                return done
 
     def close(self):
         self._raw.close()
         super().close()
 
 
+def plain_size(part: FilePartition, mark: re.Pattern) -> int:
+    """Plain bytes from the first member in a range of a gzip file that begins a
+    record, as ``mark`` matches it, to the first such one behind the range."""
+    filesystem, name = resolve(part.path)
+    data = GzipMembers(filesystem.open_input_file(name), part.start, mark)
+    view = memoryview(bytearray(1 << 20))
+    try:
+        while True:
+            at = data._plain
+            size = data.readinto(view)
+            begins = data.starts.get(at)
+            if size and begins is not None and begins >= part.stop and mark.match(view[:size]):
+                return at
+            if not size and not (data.broken and data.go_on(at)):
+                return data._plain
+            if len(data.starts) > 1:
+                data.starts = {data._plain: data.starts[data._plain]} if data._plain in data.starts else {}
+    finally:
+        data.close()
+
+
 class ByteReader:
     """Lines and byte runs of a plain or gzip file, with the uncompressed offset."""
 
-    def __init__(self, path: str, packed: bool, start: int = 0):
+    def __init__(self, path: str, packed: bool, start: int = 0, mark: re.Pattern | None = None):
         filesystem, name = resolve(path)
         raw = filesystem.open_input_file(name)
         self.packed = packed
-        self._raw = GzipMembers(raw, start) if packed else raw
+        self._raw = GzipMembers(raw, start, mark) if packed else raw
         self.offset = 0
         if not packed and start:
             self._raw.seek(start)
@@ -232,8 +264,16 @@ class ByteReader:
         self.offset += len(data)
         return data
 
+    def seek(self, offset: int):
+        """Stand at ``offset`` of a plain file."""
+        self.offset = self._file.seek(offset)
+
     def block(self) -> bytes:
         """Lines up to and with the first empty one."""
+        held = self._file.peek(1)
+        ends = [at + len(gap) for gap in (b"\n\r\n", b"\n\n") if (at := held.find(gap, 0, HEAD)) >= 0]
+        if ends and held[:1] not in b"\r\n":
+            return self.take(min(ends))
         lines = []
         while line := self.line():
             lines.append(line)

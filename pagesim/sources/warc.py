@@ -13,13 +13,9 @@ from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
     DataSourceReader,
-    EqualTo,
-    GreaterThan,
-    GreaterThanOrEqual,
-    IsNotNull,
 )
 
-from .files import READ_ERRORS, ByteReader, StagedFiles, Written, file_partitions, record_batches
+from .files import READ_ERRORS, ByteReader, StagedFiles, Written, file_partitions, plain_size, record_batches
 
 SUFFIXES = (".warc", ".warc.gz")
 # Fixed values ---------------------------------------------------------------
@@ -55,6 +51,27 @@ _ARROW = pa.schema(
 )
 
 
+#: With ``splitGzip``: the range of the file in which a record begins, from where its ``offset`` counts.
+RANGE = "range bigint"
+#: With ``rangeSizes``: the plain bytes of each range of a gzip file.
+RANGE_SIZES = "file string, range bigint, size bigint"
+
+
+def ranged(schema: pa.Schema, options: dict) -> pa.Schema:
+    return schema.append(pa.field("range", pa.int64())) if "splitGzip" in options else schema
+
+
+def range_schema(schema: str, options: dict) -> str:
+    if "rangeSizes" in options:
+        return RANGE_SIZES
+    return f"{schema}, {RANGE}" if "splitGzip" in options else schema
+
+
+def range_size(part, mark: re.Pattern) -> pa.RecordBatch:
+    columns = [[part.path], [part.start], [plain_size(part, mark)]]
+    return pa.RecordBatch.from_pydict(dict(zip(("file", "range", "size"), columns)))
+
+
 class BadRecord(ValueError):
     """Bytes that break the record grammar."""
 
@@ -81,44 +98,23 @@ def parse_head(block: bytes) -> dict[str, str]:
 
 
 class WarcReader(DataSourceReader):
+    """What is not wanted is asked for by options and not by pushed filters: Spark keeps
+    the filters of a data source written in Python with the scan, and a table
+    that was filtered once would lack those rows in all that is read from it later."""
+
     def __init__(self, options):
         self.options = options
         self.failfast = options.get("mode", "FAILFAST").upper() != "PERMISSIVE"
         self.with_payload = options.get("payload", "true").lower() == "true"
         self.payload_limit = int(options.get("payloadLimit", -1))
-        self.record_type = None
-        self.longer_than = None
-        self.present = set()
-
-    def pushFilters(self, filters):
-        """Take over type equality and a lower bound on the length, so that the
-        payload of a record that fails them is passed over and not read."""
-        for f in filters:
-            if isinstance(f, IsNotNull) and f.attribute in (("record_type",), ("content_length",)):
-                self.present.add(f.attribute[0])
-            elif isinstance(f, EqualTo) and f.attribute == ("record_type",) and (
-                self.record_type in (None, f.value)
-            ):
-                self.record_type = f.value
-            elif isinstance(f, (GreaterThan, GreaterThanOrEqual)) and (
-                f.attribute == ("content_length",)
-            ):
-                bound = f.value - isinstance(f, GreaterThanOrEqual)
-                self.longer_than = max(bound, self.longer_than if self.longer_than is not None else bound)
-            else:
-                yield f
+        self.record_type = options.get("recordType")
+        self.longer_than = int(options.get("longerThan", -1))
 
     def partitions(self):
-        return file_partitions(self.options, SUFFIXES, split=True)
+        return file_partitions(self.options, SUFFIXES)
 
     def _wanted(self, kind, length):
-        if kind is None and "record_type" in self.present:
-            return False
-        if length is None and "content_length" in self.present:
-            return False
-        return (self.record_type is None or kind == self.record_type) and (
-            self.longer_than is None or (length is not None and length > self.longer_than)
-        )
+        return self.record_type in (None, kind) and length > self.longer_than
 
     def _record(self, data: ByteReader, start: int, block: bytes) -> dict | None:
         """The row of the record whose head was read; None if no filter wants it."""
@@ -150,9 +146,10 @@ class WarcReader(DataSourceReader):
         } if wanted else None
 
     def _rows(self, part):
-        data = ByteReader(part.path, part.packed, part.start)
+        data = ByteReader(part.path, part.packed, part.start, RECORD_START)
+        here = {"file": part.path, "range": part.start if part.packed else None}
         try:
-            if part.start and not part.packed and not data.go_on(part.start - 2, RECORD_START):
+            if part.start and not part.packed and not self._find(data, part.start):
                 return
             while True:
                 start = data.offset
@@ -174,17 +171,44 @@ class WarcReader(DataSourceReader):
                     if self.failfast:
                         raise BadRecord(f"{part.path} at {start}: {reason}") from e
                     # told whatever the filters ask for: it stands for records that are not known
-                    yield {"file": part.path, "offset": start, "error": reason}
+                    yield here | {"offset": start, "error": reason}
                     if not data.go_on(start, RECORD_START):
                         return
                     continue
                 if row is not None:
-                    yield row | {"file": part.path, "offset": start, "member_offset": member}
+                    yield row | here | {"offset": start, "member_offset": member}
         finally:
             data.close()
 
+    def _find(self, data: ByteReader, start: int) -> bool:
+        """Stand at the first record of a plain file at or after ``start``.
+
+        A line in a payload may look like a record's first; it is none unless a
+        whole head follows, and its length leads to the next record or the end.
+        """
+        after = start - 2
+        while data.go_on(after, RECORD_START):
+            after = data.offset
+            try:
+                length = int(parse_head(data.block())["content-length"])
+                ended = data.skip(length) == length and data.take(4) == b"\r\n\r\n"
+                head = data.line()
+            except (ValueError, KeyError):
+                ended = False
+            if ended and (not head or RECORD_START.match(head)):
+                break
+        else:
+            return False
+        data.seek(after)
+        return True
+
     def read(self, partition):
-        yield from record_batches(self._rows(partition), _ARROW)
+        if partition is None:  # there is nothing to read
+            return
+        if "rangeSizes" in self.options:
+            yield range_size(partition, RECORD_START)
+        else:
+            yield from record_batches(self._rows(partition), ranged(_ARROW, self.options))
 
 
 class WarcWriter(DataSourceArrowWriter):
@@ -218,14 +242,16 @@ class WarcWriter(DataSourceArrowWriter):
 class WarcDataSource(DataSource):
     """``warc``: options ``path``, ``mode`` (FAILFAST, PERMISSIVE), ``payload``
     (false skips payloads), ``payloadLimit`` (bytes kept), ``compression`` (gzip, none),
-    ``splitBytes`` (range of a file that one task reads)."""
+    ``recordType`` and ``longerThan`` (other records are passed over, their payloads not read),
+    ``splitBytes`` (range of a file that one task reads); ``splitGzip`` and ``rangeSizes``
+    are for :func:`pagesim.sources.read_archive`."""
 
     @classmethod
     def name(cls):
         return "warc"
 
     def schema(self):
-        return SCHEMA
+        return range_schema(SCHEMA, self.options)
 
     def reader(self, schema):
         return WarcReader(self.options)

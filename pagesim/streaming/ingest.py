@@ -25,7 +25,6 @@ from ..plans import index as store
 from ..plans.stage import chain
 from ..plans.stages import feature_stages
 from ..session import materialize
-from ..sources import read_archive
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -103,14 +102,14 @@ def stream_archives(spark: SparkSession, folder: str, path: str, checkpoint: str
                     min_length: int = records.MIN_LENGTH, files_per_batch: int = 100,
                     vocab: Vocabulary = REFERENCE, bands: int = fn.BANDS,
                     rows: int = fn.ROWS) -> StreamingQuery:
-    """Index WARC files as they land in a folder, ``files_per_batch`` at a time.
+    """Index WARC and ARC files as they land in a folder, ``files_per_batch`` at a time.
 
     Spark's file stream keeps the log of files it has handed out; only their
     names pass through it, and the archive scan reads the records in parallel.
     """
     names = (
         spark.readStream.format("binaryFile").schema(FILE_SCHEMA)
-        .option("pathGlobFilter", "*.{warc,warc.gz}")
+        .option("pathGlobFilter", "*.{warc,warc.gz,arc,arc.gz}")
         .option("maxFilesPerTrigger", files_per_batch)
         .load(folder).select("path")
     )
@@ -119,8 +118,7 @@ def stream_archives(spark: SparkSession, folder: str, path: str, checkpoint: str
 
     def step(batch_df: DataFrame, batch: int):
         files = [r.path for r in batch_df.collect()]  # at most files_per_batch names
-        found = records.extract_html(read_archive(spark, files, "warc"), min_length)
-        index_batch(found, batch, path, vocab, bands, rows, run)
+        index_batch(store.archive_pages(spark, files, "auto", min_length), batch, path, vocab, bands, rows, run)
 
     return (
         names.writeStream.foreachBatch(step)
