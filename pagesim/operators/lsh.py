@@ -12,6 +12,7 @@ be broadcast, only the shards that it names are read.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -181,48 +182,71 @@ def similar_pages(queries: DataFrame | Index, index: Index, min_jaccard: float |
     return hits
 
 
-def bucket_sizes(bands: DataFrame) -> DataFrame:
-    """``band, band_hash, members`` of the buckets that hold more than one sketch."""
-    return (
-        bands.groupBy("band", "band_hash")
-        .agg(F.count("*").alias("members"))
-        .filter("members > 1")
+def bucket_pairs(bands: DataFrame, block: int = BUCKET_BLOCK) -> DataFrame:
+    """Every unordered pair of distinct sketches that share a bucket, once."""
+    return _met(bands, ["band", "band_hash"], block)
+
+
+def bounded_bucket_pairs(bands: DataFrame, sketches: DataFrame, min_exact: float,
+                         block: int = BUCKET_BLOCK) -> DataFrame:
+    """The same, but for pairs whose sets differ too much in size to be ``min_exact`` similar.
+
+    Two sets are that similar only if the smaller has ``min_exact`` times the items
+    of the larger. A bucket is cut by size, each class of sizes ``1 / min_exact`` as wide
+    as its least one, and a sketch meets those of its own class and the next; sets
+    of other classes are never put together, however many share the bucket.
+    """
+    sizes = materialize(sketches.select("sketch_id", F.size("grams").alias("items")).filter("items > 0"), "set-sizes")
+    # a little wider than needed, so that rounding separates no pair by two classes
+    width = max(-math.log(min_exact), 1e-3) * (1 + 1e-9)
+    own = F.floor(F.log(F.col("items").cast("double")) / width)
+    sized = bands.join(sizes.withColumn("own", own), "sketch_id")
+    placed = sized.select(
+        "band", "band_hash", "sketch_id", "items", "own", F.explode(F.array("own", F.col("own") - 1)).alias("class")
     )
+    near = F.least("a_items", "b_items") >= F.greatest("a_items", "b_items") * (min_exact - 1e-9)
+    lower = (F.col("a_own") == F.col("class")) | (F.col("b_own") == F.col("class"))
+    return _met(placed, ["band", "band_hash", "class"], block, ["items", "own"], near & lower)
 
 
-def bucket_pairs(bands: DataFrame, block: int = BUCKET_BLOCK) -> DataFrame:
-    """Every unordered pair of distinct sketches that share a bucket, once.
+def _met(rows: DataFrame, bucket: list[str], block: int, carried: list[str] | None = None,
+         wanted: Column | None = None) -> DataFrame:
+    """Pairs of sketches that share a bucket, once each.
 
     A bucket of m sketches is cut into ceil(m / block) slices and the pair
     space into slice-by-slice cells; a sketch goes to the cells of its slice,
     each pair meets in exactly one cell, and no cell outgrows a task. Pairs
-    that share several bands are merged by a partial, then final, distinct.
+    that share several buckets are merged by a partial, then final, distinct.
+    ``wanted`` sees the ``carried`` columns of both sketches, as ``a_`` and ``b_``.
     """
+    sizes = rows.groupBy(*bucket).agg(F.count("*").alias("members")).filter("members > 1")
     # written: a hot bucket can be split only in a join of two scans
-    sized = bands.join(materialize(bucket_sizes(bands), "bucket-sizes"), ["band", "band_hash"])
+    sized = rows.join(materialize(sizes, "bucket-sizes"), bucket)
     slices = F.ceil(F.col("members") / block).cast("int")
     slot = F.pmod(F.hash("sketch_id"), slices)
     placed = sized.withColumn("slot", slot).withColumn("last", slices - 1)
-    cell = ["band", "band_hash", "row", "col"]
+    cell = [*bucket, "row", "col"]
     a = placed.select(
-        "band", "band_hash", F.col("sketch_id").alias("a"), F.col("slot").alias("row"),
-        F.explode(F.sequence("slot", "last")).alias("col"),
+        *bucket, F.col("sketch_id").alias("a"), F.col("slot").alias("row"),
+        *[F.col(c).alias(f"a_{c}") for c in carried or []], F.explode(F.sequence("slot", "last")).alias("col"),
     )
     b = placed.select(
-        "band", "band_hash", F.col("sketch_id").alias("b"), F.col("slot").alias("col"),
-        F.explode(F.sequence(F.lit(0), F.col("slot"))).alias("row"),
+        *bucket, F.col("sketch_id").alias("b"), F.col("slot").alias("col"),
+        *[F.col(c).alias(f"b_{c}") for c in carried or []], F.explode(F.sequence(F.lit(0), F.col("slot"))).alias("row"),
     )
     met = a.join(b, cell).filter((F.col("row") != F.col("col")) | (F.col("a") < F.col("b")))
+    met = met if wanted is None else met.filter(wanted)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def similar_sketches(index: Index, min_jaccard: float | None = None,
                      min_exact: float | None = None, block: int = BUCKET_BLOCK) -> DataFrame:
     """All pairs of distinct sketches that share a band, scored: ``a, b, jaccard_est, jaccard_exact``."""
-    pairs = score_pairs(
-        bucket_pairs(index.bands, block), index.sketches, index.sketches, "a", "b",
-        index.n_bands, index.n_rows,
-    )
+    if min_exact:
+        met = bounded_bucket_pairs(index.bands, index.sketches, min_exact, block)
+    else:
+        met = bucket_pairs(index.bands, block)
+    pairs = score_pairs(met, index.sketches, index.sketches, "a", "b", index.n_bands, index.n_rows)
     return _above(_above(pairs, "jaccard_est", min_jaccard), "jaccard_exact", min_exact)
 
 

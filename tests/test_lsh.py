@@ -56,6 +56,30 @@ def test_bucket_pairs_match_brute_force_at_any_block_size(corpus):
         assert {(r.a, r.b) for r in rows} == wanted
 
 
+def test_sizes_bound_the_pairs_of_a_hot_bucket(spark):
+    """Sets of all sizes in one bucket: the pairs that can be similar, and no others, are put together."""
+    rng = random.Random(4)
+    rows = [(f"s{i:03d}", [f"{i}.{j}.0" for j in range(rng.choice([0, 1, 2, 3, 9, 10, 11, 40, 57, 100, 125, 400]))], [0]) for i in range(250)]
+    sketches = spark.createDataFrame(rows, "sketch_id string, grams array<string>, sig array<bigint>")
+    bands = sketches.selectExpr("0 as band", "7L as band_hash", "sketch_id")
+    sizes = {r[0]: len(r[1]) for r in rows}
+    every = [(a, b) for a in sizes for b in sizes if a < b]
+    for bound in (0.3, 0.7, 0.8, 1.0):
+        can = {(a, b) for a, b in every if 0 < min(sizes[a], sizes[b]) >= bound * max(sizes[a], sizes[b])}
+        for block in (10, 512):
+            met = lsh.bounded_bucket_pairs(bands, sketches, bound, block).collect()
+            assert len(met) == len(can) and {(r.a, r.b) for r in met} == can
+        assert len(can) < len(every) / (2 if bound < 0.5 else 3)
+
+
+def test_the_bound_loses_no_similar_pair(corpus):
+    idx = corpus[1]
+    for bound in (0.5, 0.85, 0.95):
+        want = sorted(tuple(r) for r in lsh.similar_sketches(idx).filter(F.col("jaccard_exact") >= bound).collect())
+        assert sorted(tuple(r) for r in lsh.similar_sketches(idx, min_exact=bound).collect()) == want
+        assert want or bound > 0.9
+
+
 def test_copies_are_one_sketch(corpus):
     rows, idx = corpus
     hot = lsh.sketch_members(idx.members).filter("urls >= 150").collect()
