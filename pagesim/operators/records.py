@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.headers import WARC_DATE, default_content_type
 from ..session import materialize
+from ..sources import read_archive, warc_records
 from .dom import add_errors
 
 # Fixed values ---------------------------------------------------------------
@@ -125,6 +126,37 @@ def limit_records(df: DataFrame, n: int = MAX_RECORDS["default"],
     return df.join(first, list(order), "left_semi")
 
 
+def first_records(spark: SparkSession, path: str | list[str], n: int = MAX_RECORDS["default"], **options) -> DataFrame:
+    """What :func:`limit_records` keeps of the WARC files at ``path``, scanned once and without payloads.
+
+    Each file is left after its ``n``-th record. The places of the first ``n`` of all are
+    sorted, and their payloads looked up.
+    """
+    heads = read_archive(spark, path, "warc", payload="false", maxRecords=str(n), **options)
+    places = heads.filter("error is null").select("file", "offset", "member_offset")
+    return warc_records(places.orderBy("file", "offset").limit(n), **_packing(options))
+
+
+def first_of_urls(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
+    """What :func:`dedupe_urls` keeps of the WARC files at ``path``, with no payload in a shuffle.
+
+    The scan passes over the payloads; those of the records that are kept are looked up.
+    """
+    heads = read_archive(spark, path, "warc", payload="false", **options).filter("error is null")
+    place = ("file", "offset", "member_offset")
+    first = heads.filter("url is not null").groupBy("url").agg(
+        F.min(F.struct(*place)).alias("first"), F.count("*").alias("copies")
+    )
+    places = first.select("first.*", "copies").unionByName(
+        heads.filter("url is null").select(*place, F.lit(1).cast("bigint").alias("copies"))
+    )
+    return warc_records(places, **_packing(options))
+
+
+def _packing(options: dict) -> dict:
+    return {k: v for k, v in options.items() if k == "compression"}
+
+
 def dedupe_urls(df: DataFrame, order: tuple[str, ...] = ("file", "offset"),
                 url: str = "url") -> DataFrame:
     """Keep the first record of each URL and add ``copies``, the records it stands for.

@@ -425,6 +425,8 @@ WHERE {KEPT} ORDER BY file, page_id LIMIT 50""",
 o AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY file, page_id) AS rn,
     count(*) OVER (PARTITION BY site) AS copies FROM s)
 SELECT site AS url, file, page_id AS "offset", copies FROM o WHERE rn = 1""",
+    "f5_first_records": "SELECT url, html FROM pages ORDER BY url DESC LIMIT 100",
+    "f6_first_of_urls": "SELECT url, CAST(2 AS BIGINT) AS copies, html FROM pages",
     "f6_split_gzip": f"SELECT {SITE} AS url, count(*) AS copies FROM pages GROUP BY 1",
     "f7_typed_headers": f"""WITH {WARC} SELECT 'response' AS record_type, record_id, url,
     CAST(NULL AS VARCHAR) AS ip_address, '{ARCHIVE_DATE}' AS date, content_length, checksum FROM w2""",

@@ -354,6 +354,23 @@ def dedupe_urls(spark, folder):
     return records.dedupe_urls(sites).select("url", "file", "offset", "copies")
 
 
+def first_records(spark, folder):
+    """The first records of one archive file, of which the scan reads no more."""
+    path = work_dir(spark, "warc")
+    rows = _page_records(spark, folder).repartition(1).sortWithinPartitions(F.desc("url"))
+    write_warc(rows, path, compression="gzip")
+    found = records.first_records(spark, path, 100)
+    return records.split_http(found).select("url", _utf8(F.col("body")).alias("html"))
+
+
+def first_of_urls(spark, folder):
+    """Each page stands in two files; one record of each is kept, its payload read late."""
+    path = _warc_folder(spark, folder, "gzip")
+    write_warc(_page_records(spark, folder), path)
+    found = records.split_http(records.first_of_urls(spark, path))
+    return found.select("url", "copies", _utf8(F.col("body")).alias("html"))
+
+
 def typed_headers(spark, folder):
     recs = _page_records(spark, folder).select("headers")
     out = records.typed_columns(recs)
@@ -807,8 +824,10 @@ QUERIES = {
     "f3_drop_moved": drop_moved,
     "f4_project_html": project_html,
     "f5_limit_records": limit_records,
+    "f5_first_records": first_records,
     "f6_dedupe_urls": dedupe_urls,
     "f6_split_gzip": dedupe_split_gzip,
+    "f6_first_of_urls": first_of_urls,
     "f7_typed_headers": typed_headers,
     "t1_html_nodes": html_nodes,
     "t2_parse_errors": parse_errors,

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..session import materialize
 from .arc import SUFFIXES as ARC_SUFFIXES, ArcDataSource
 from .files import list_files
-from .warc import SUFFIXES as WARC_SUFFIXES, WarcDataSource
+from .warc import SCHEMA as WARC_SCHEMA, SUFFIXES as WARC_SUFFIXES, WarcDataSource, WarcReader
 
 
 def register(spark: SparkSession) -> SparkSession:
@@ -93,6 +93,24 @@ def warc_index(spark: SparkSession, path: str, payload_bytes: int = 1 << 20, **o
     return read_archive(spark, path, "warc", payloadLimit=str(payload_bytes), **options)
 
 
+NEAR = 64 << 20  # bytes of a file whose records are looked up by one task
+
+
+def warc_records(places: DataFrame, **options) -> DataFrame:
+    """The whole records at ``places``: ``file, offset, member_offset`` of a WARC scan.
+
+    Only the places are shuffled, those near each other in a file to one task; it
+    reads the records from where they begin and nothing between them. Other
+    columns of ``places`` are kept.
+    """
+    names = ("file", "offset", "member_offset")
+    kept = [f for f in places.schema.fields if f.name not in names]
+    start = F.coalesce("member_offset", "offset")
+    near = places.repartition("file", F.floor(start / NEAR)).sortWithinPartitions("file", start)
+    schema = ", ".join([WARC_SCHEMA, *(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)])
+    return near.select(*names, *(f.name for f in kept)).mapInArrow(WarcReader(options).at, schema)
+
+
 def write_warc(df: DataFrame, path: str, mode: str = "append", compression: str = "none"):
     """Write records (``headers`` map, ``payload``) as WARC files, one per task."""
     from ..functions.headers import warc_record_bytes

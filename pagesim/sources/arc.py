@@ -16,7 +16,7 @@ from pyspark.sql.datasource import (
     DataSourceReader,
 )
 
-from .files import READ_ERRORS, ByteReader, StagedFiles, Written, file_partitions, record_batches
+from .files import READ_ERRORS, ByteReader, StagedFiles, Written, file_partitions, first_rows, record_batches
 from .warc import range_schema, range_size, ranged
 
 SUFFIXES = (".arc", ".arc.gz")
@@ -114,6 +114,7 @@ class ArcReader(DataSourceReader):
         self.with_payload = options.get("payload", "true").lower() == "true"
         self.payload_limit = int(options.get("payloadLimit", -1))
         self.longer_than = int(options.get("longerThan", -1))
+        self.most = int(options["maxRecords"]) if "maxRecords" in options else None
         wanted = options.get("version")
         self.version = int(wanted) if wanted else None
         if self.version not in (None, 1, 2):
@@ -253,7 +254,8 @@ class ArcReader(DataSourceReader):
         if "rangeSizes" in self.options:
             yield range_size(partition, MEMBER_START)
         else:
-            yield from record_batches(self._rows(partition), ranged(_ARROW, self.options))
+            rows = first_rows(self._rows(partition), self.most)
+            yield from record_batches(rows, ranged(_ARROW, self.options))
 
 
 class ArcWriter(DataSourceArrowWriter):
@@ -300,7 +302,7 @@ class ArcWriter(DataSourceArrowWriter):
 
 class ArcDataSource(DataSource):
     """``arc``: read options ``path``, ``version``, ``mode``, ``payload``, ``payloadLimit``,
-    ``compression``, ``longerThan``, ``splitBytes``; write options
+    ``compression``, ``longerThan``, ``maxRecords``, ``splitBytes``; write options
     ``version``, ``org``, ``ip_address``, ``date`` (yyyyMMddHHmmss), ``compression``."""
 
     @classmethod

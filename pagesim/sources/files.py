@@ -306,6 +306,16 @@ class ByteReader:
         self._file.close()
 
 
+def first_rows(rows, count: int | None):
+    """Rows up to the ``count``-th record; what could not be read is not counted."""
+    for row in rows:
+        if count is not None and "error" not in row:
+            if not count:
+                return
+            count -= 1
+        yield row
+
+
 def record_batches(rows, schema: pa.Schema, max_bytes: int = 16 << 20, max_rows: int = 1024):
     """Group row dicts into Arrow batches bounded by payload bytes and rows."""
     columns, count, size = [[] for _ in schema], 0, 0

@@ -15,7 +15,9 @@ from pyspark.sql.datasource import (
     DataSourceReader,
 )
 
-from .files import READ_ERRORS, ByteReader, StagedFiles, Written, file_partitions, plain_size, record_batches
+from .files import (
+    READ_ERRORS, ByteReader, StagedFiles, Written, file_partitions, first_rows, plain_size, record_batches,
+)
 
 SUFFIXES = (".warc", ".warc.gz")
 # Fixed values ---------------------------------------------------------------
@@ -109,6 +111,7 @@ class WarcReader(DataSourceReader):
         self.payload_limit = int(options.get("payloadLimit", -1))
         self.record_type = options.get("recordType")
         self.longer_than = int(options.get("longerThan", -1))
+        self.most = int(options["maxRecords"]) if "maxRecords" in options else None
 
     def partitions(self):
         return file_partitions(self.options, SUFFIXES)
@@ -208,7 +211,39 @@ class WarcReader(DataSourceReader):
         if "rangeSizes" in self.options:
             yield range_size(partition, RECORD_START)
         else:
-            yield from record_batches(self._rows(partition), ranged(_ARROW, self.options))
+            rows = first_rows(self._rows(partition), self.most)
+            yield from record_batches(rows, ranged(_ARROW, self.options))
+
+    def at(self, batches):
+        """The records at places given as ``file, offset, member_offset`` and columns to pass on.
+
+        A record of a gzip file that does not begin its member is reached from the
+        beginning of the file.
+        """
+        data, opened = None, None
+
+        def rows(batch):
+            nonlocal data, opened
+            for place in batch.to_pylist():
+                path, member = place["file"], place["member_offset"]
+                given = self.options.get("compression", "").lower()
+                packed = given == "gzip" if given else path.endswith(".gz")
+                if packed or opened != path:
+                    if data is not None:
+                        data.close()
+                    data, opened = ByteReader(path, packed, member or 0), path
+                if not packed:
+                    data.seek(place["offset"])
+                elif member is None:
+                    data.skip(place["offset"])
+                yield self._record(data, data.offset, data.block()) | place
+
+        try:
+            for batch in batches:
+                yield from record_batches(rows(batch), pa.schema([*_ARROW, *list(batch.schema)[3:]]))
+        finally:
+            if data is not None:
+                data.close()
 
 
 class WarcWriter(DataSourceArrowWriter):
@@ -243,7 +278,7 @@ class WarcDataSource(DataSource):
     """``warc``: options ``path``, ``mode`` (FAILFAST, PERMISSIVE), ``payload``
     (false skips payloads), ``payloadLimit`` (bytes kept), ``compression`` (gzip, none),
     ``recordType`` and ``longerThan`` (other records are passed over, their payloads not read),
-    ``splitBytes`` (range of a file that one task reads); ``splitGzip`` and ``rangeSizes``
+    ``maxRecords`` (of each file or range, the first ones), ``splitBytes`` (range of a file that one task reads); ``splitGzip`` and ``rangeSizes``
     are for :func:`pagesim.sources.read_archive`."""
 
     @classmethod

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagesim.operators import records
-from pagesim.sources import files, read_archive, warc
+from pagesim.sources import files, read_archive, warc, warc_records
 
 HEAD = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: https://pages.test/%d\r\nContent-Length: %d\r\n\r\n"
 
@@ -135,3 +135,42 @@ def test_a_bad_file_record_is_told_once(spark, tmp_path):
     assert len(rows) == 1 and rows[0].error is not None
     with pytest.raises(Exception):
         read_archive(spark, str(tmp_path), splitBytes="500").collect()
+
+
+def test_records_are_looked_up_where_they_begin(spark, tmp_path):
+    write_warc_files(tmp_path)
+    whole = read_archive(spark, str(tmp_path))
+    places = whole.filter("hash(url) % 3 = 0").select("file", "offset", "member_offset", F.lit(7).alias("mine"))
+    found = warc_records(places)
+    assert "Exchange" in found._jdf.queryExecution().executedPlan().toString() and set(found.select("mine").distinct().collect()) == {(7,)}
+    assert rows_of(found.drop("mine")) == rows_of(whole.filter("hash(url) % 3 = 0"))
+    assert warc_records(places.limit(0)).count() == 0
+
+
+def test_first_records_scan_once_and_stop_early(spark, tmp_path, capsys):
+    write_warc_files(tmp_path)
+    whole = read_archive(spark, str(tmp_path))
+    for n in (1, 7, 200):
+        assert rows_of(records.first_records(spark, str(tmp_path), n)) == rows_of(records.limit_records(whole, n))
+    # damage behind the first records is not met
+    data = (tmp_path / "plain.warc").read_bytes()
+    cut = tmp_path / "cut"
+    cut.mkdir()
+    (cut / "a.warc").write_bytes(data[: len(data) // 2] + b"no record" * 50)
+    first = records.first_records(spark, str(cut), 5)
+    assert first.count() == 5
+    first.explain()
+    assert capsys.readouterr().out.count("BatchScan") == 1
+
+
+def test_one_record_per_url_without_payloads_in_a_shuffle(spark, tmp_path):
+    write_warc_files(tmp_path)
+    no_url = record(0, b"x").replace(b"WARC-Target-URI: https://pages.test/0\r\n", b"")
+    (tmp_path / "none.warc").write_bytes(no_url * 3)
+    want = records.dedupe_urls(read_archive(spark, str(tmp_path)))
+    got = records.first_of_urls(spark, str(tmp_path))
+    assert got.columns == want.columns and rows_of(got) == rows_of(want) and got.count() == 123
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert all("payload" not in line for line in plan.splitlines() if "Exchange" in line)
+    split = records.first_of_urls(spark, str(tmp_path), splitBytes="900")
+    assert rows_of(split) == rows_of(want)
