@@ -32,6 +32,7 @@ from .stages import feature_stages
 
 BATCH = "batch"  # each append writes folders of its own, named by its run and batch
 TABLES = ("members", "sketches", "bands")
+COUNTS = "counts"  # what went into each append, of a run that counts
 LIVE = "live"
 SHARDS = 16  # of each table; a large index takes as many as make a shard some GB
 FAN = 4  # appends of one size that are merged
@@ -39,6 +40,7 @@ SETTINGS = "settings"  # one row per version: what its cells and keys mean
 MEMBERS = "url string, sketch_id string, grams array<string>, vec map<int,bigint>, errors array<string>"
 SKETCHES = "sketch_id string, grams array<string>, sig array<bigint>"
 BANDS = "band int, band_hash bigint, sketch_id string"
+COUNTED = "run string, number bigint, processed bigint, failed bigint, inserted bigint"
 
 
 def ingest_counters(df: DataFrame, observation: Observation, maximum: int | None = None) -> DataFrame:
@@ -232,8 +234,8 @@ def open_version(spark: SparkSession, folder: str, settings: Settings) -> Index:
     )
 
 
-_SCHEMAS = {"members": MEMBERS, "sketches": SKETCHES, "bands": BANDS}
-_KEYS = {"members": "sketch_id", "sketches": "sketch_id", "bands": "band_hash"}
+_SCHEMAS = {"members": MEMBERS, "sketches": SKETCHES, "bands": BANDS, COUNTS: COUNTED}
+_KEYS = {"members": "sketch_id", "sketches": "sketch_id", "bands": "band_hash", COUNTS: "run"}
 
 
 def _span(name: str) -> tuple[str, int, int] | None:
@@ -274,6 +276,17 @@ def read_batches(spark: SparkSession, folder: str, table: str, names: list[str])
     return reader.parquet(*[f"{folder}/{table}/{BATCH}={name}" for name in names]).drop(BATCH)
 
 
+def ingest_counts(spark: SparkSession, path: str) -> DataFrame:
+    """``run, number, processed, failed, inserted`` of each batch that streams added to the index."""
+    known = read_settings(spark, path)
+    if known is None:
+        raise FileNotFoundError(f"no index at {path}")
+    folder = f"{path}/{known[0]}"
+    counted = set(names_in(spark, f"{folder}/{COUNTS}"))
+    names = [name for name in live_batches(spark, folder) if f"{BATCH}={name}" in counted]
+    return read_batches(spark, folder, COUNTS, names).drop(SHARD)
+
+
 def not_stored(fresh: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     """Rows of ``fresh``, a table just written, whose key is not stored yet.
 
@@ -288,8 +301,8 @@ def not_stored(fresh: DataFrame, stored: DataFrame, key: str) -> DataFrame:
 def write_batch(spark: SparkSession, folder: str, name: str, shards: int, tables: dict[str, DataFrame]):
     """Write the tables of an append, then list it. The same name again replaces it."""
     remove(spark, f"{folder}/{LIVE}/{name}")
-    with ThreadPoolExecutor(len(TABLES)) as pool:  # a small append is three small jobs
-        list(pool.map(lambda table: write_table(tables[table], folder, table, name, shards), TABLES))
+    with ThreadPoolExecutor(len(tables)) as pool:  # a small append is some small jobs
+        list(pool.map(lambda table: write_table(tables[table], folder, table, name, shards), tables))
     mark(spark, f"{folder}/{LIVE}/{name}")
 
 
@@ -319,7 +332,7 @@ def merge_batches(spark: SparkSession, folder: str, run: str, before: int, shard
     for name in _covered(names_in(spark, f"{folder}/{LIVE}")):
         if _span(name)[0] == run:
             remove(spark, f"{folder}/{LIVE}/{name}")
-            for table in TABLES:
+            for table in (*TABLES, COUNTS):
                 remove(spark, f"{folder}/{table}/{BATCH}={name}")
 
     def size(span: tuple) -> int:
@@ -336,5 +349,5 @@ def merge_batches(spark: SparkSession, folder: str, run: str, before: int, shard
         names = [name for _, name in own]
         merged = f"{run}-{own[0][0][1]}-{own[-1][0][2]}"
         write_batch(
-            spark, folder, merged, shards, {t: read_batches(spark, folder, t, names) for t in TABLES}
+            spark, folder, merged, shards, {t: read_batches(spark, folder, t, names) for t in (*TABLES, COUNTS)}
         )

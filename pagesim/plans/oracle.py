@@ -456,6 +456,9 @@ FROM pages WHERE {MOVED} HAVING count(*) > 0""",
     "m5_dense_cosine": DENSE_COSINE,
     "p1_required_lineage": "SELECT page_id, 'extract,html_parse' AS lineage FROM pages",
     "p2_p3_lineage": LINEAGE,
+    "p3_saved_stages": LINEAGE,
+    "p4_stream_counters": f"""SELECT count(*) AS rows, count(*) AS processed,
+    count(*) FILTER ({MOVED}) AS failed, count(DISTINCT url) AS inserted, CAST(4 AS BIGINT) AS batches FROM pages""",
     "p5_build_index": INDEX_ROWS.format(where=""),
     "p5_archive_ingest": INDEX_ROWS.format(where=""),
     "p5_arc_ingest": INDEX_ROWS.format(where=""),

@@ -9,7 +9,7 @@ from ..operators import cluster, dom, lsh, records, sketches, tree
 from ..session import configure, ship, work_dir
 from ..sources import read_archive, warc_index, write_arc, write_warc
 from ..streaming import ingest as stream
-from . import index as store
+from . import index as store, transformers as ml
 from .stage import chain, require, with_stage
 from .stages import HtmlParse, TreeReduce, TreeString
 
@@ -503,6 +503,18 @@ def ingest_counters(spark, folder):
     )
 
 
+def stream_counters(spark, folder):
+    """Counters of four micro-batches, added up, and the members that the index holds."""
+    path, check, incoming = (work_dir(spark, n) for n in ("index", "progress", "incoming"))
+    _with_empty(spark, folder).select("url", "html").repartition(4, "url").write.parquet(incoming)
+    rows = spark.readStream.schema("url string, html string").option("maxFilesPerTrigger", 1).parquet(incoming)
+    stream.stream_index(rows, path, check, BLOCK, fan=3).awaitTermination()
+    counts = store.ingest_counts(spark, path)
+    sums = [F.sum(c).alias(c) for c in ("processed", "failed", "inserted")]
+    held = store.open_index(spark, path).members.count()
+    return counts.agg(F.lit(held).cast("bigint").alias("rows"), *sums, F.count("*").alias("batches"))
+
+
 def _inserted(spark, folder):
     """What an index build counts when every page comes twice."""
     counted = Observation("inserted")
@@ -787,7 +799,19 @@ def lineage(spark, folder):
     """Labels and errors that the stages leave on each page."""
     start = records.pages_as_records(_with_empty(spark, folder).select("page_id", "url", "html"))
     stages = [HtmlParse(keep=list(vc.REFERENCE.ids)), TreeReduce(), TreeString()]
-    df = chain(start, *stages)
+    return _lineage_rows(chain(start, *stages))
+
+
+def saved_stages(spark, folder):
+    """The same by a pipeline that was saved and loaded again."""
+    start = records.pages_as_records(_with_empty(spark, folder).select("page_id", "url", "html"))
+    path = work_dir(spark, "pipeline")
+    stages = [ml.HtmlParser(keep=list(vc.REFERENCE.ids)), ml.TreeReducer(), ml.TreeStringifier()]
+    ml.PipelineModel(stages).write().save(path)
+    return _lineage_rows(ml.PipelineModel.load(path).transform(start))
+
+
+def _lineage_rows(df):
     return df.select(
         "page_id", F.array_join("transformations", ",").alias("lineage"),
         F.array_join("errors", "; ").alias("errors"), "preorder",
@@ -838,6 +862,7 @@ QUERIES = {
     "m1_minhash_pages": minhash_pages,
     "m2_weighted_minhash": weighted_minhash,
     "p4_ingest_counters": ingest_counters,
+    "p4_stream_counters": stream_counters,
     "l2_band_index": band_index,
     "l3_candidates": candidates,
     "l4_similar_documents": similar_documents,
@@ -852,6 +877,7 @@ QUERIES = {
     "m5_dense_cosine": dense_cosine,
     "p1_required_lineage": required_lineage,
     "p2_p3_lineage": lineage,
+    "p3_saved_stages": saved_stages,
     "p5_build_index": saved_index,
     "p5_archive_ingest": archive_ingest,
     "p5_arc_ingest": arc_ingest,

@@ -13,7 +13,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions import sketch as fn
@@ -42,24 +42,35 @@ def run_of(spark: SparkSession, checkpoint: str) -> str:
     return run
 
 
-def batch_features(pages: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """Features of a batch, one row per URL, written once."""
+def batch_features(pages: DataFrame, vocab: Vocabulary, seen: Observation | None = None) -> DataFrame:
+    """Features of a batch, one row per URL, written once; ``seen`` counts the pages."""
     if "transformations" not in pages.columns:
         pages = records.pages_as_records(pages)
     order = tuple(c for c in ("file", "offset") if c in pages.columns) or ("url",)
-    return materialize(members_table(store.page_table(chain(pages, *feature_stages(vocab)), order)), "batch")
+    features = chain(pages, *feature_stages(vocab))
+    if seen is not None:
+        features = store.ingest_counters(features, seen)
+    return materialize(members_table(store.page_table(features, order)), "batch")
 
 
 def add_features(fresh: DataFrame, batch: int, run: str, folder: str, settings: store.Settings,
-                 fan: int = store.FAN) -> DataFrame:
-    """Add a batch's features to an index version; returns the members it added."""
+                 fan: int = store.FAN, seen: Observation | None = None) -> DataFrame:
+    """Add a batch's features to an index version; returns the members it added.
+
+    With ``seen``, the counters of the pages behind the features, what went in is
+    counted too and kept with the batch: a batch that is replayed counts once.
+    """
     spark, name = fresh.sparkSession, f"{run}-{batch}"
     store.merge_batches(spark, folder, run, batch, settings.shards, fan)
-    added = materialize(store.not_stored(fresh, store.stored(spark, folder, "members", name), "url"), "batch-members")
+    added, counted = store.not_stored(fresh, store.stored(spark, folder, "members", name), "url"), Observation()
+    added = materialize(store.insert_counter(added, counted), "batch-members")
     known = store.stored(spark, folder, "sketches", name)
     new = store.not_stored(added.select("sketch_id", "grams"), known, "sketch_id")
     sketches = materialize(sketches_table(new), "batch-sketches")
     tables = {"bands": band_index(sketches, settings.bands, settings.rows), "sketches": sketches, "members": added}
+    if seen is not None:
+        counts = (run, batch, seen.get["processed"], seen.get["failed"], counted.get["inserted"])
+        tables[store.COUNTS] = spark.createDataFrame([counts], store.COUNTED)
     store.write_batch(spark, folder, name, settings.shards, tables)
     return added
 
@@ -75,7 +86,8 @@ def index_batch(pages: DataFrame, batch: int, path: str, vocab: Vocabulary = REF
     """
     settings = store.Settings(bands, rows, store.vocabulary_key(vocab))
     folder, settings = store.version_folder(pages.sparkSession, path, settings)
-    return add_features(batch_features(pages, vocab), batch, run, folder, settings, fan)
+    seen = Observation()
+    return add_features(batch_features(pages, vocab, seen), batch, run, folder, settings, fan, seen)
 
 
 def stream_index(pages: DataFrame, path: str, checkpoint: str, vocab: Vocabulary = REFERENCE,
@@ -144,8 +156,9 @@ def stream_similar(pages: DataFrame, path: str, results: str, checkpoint: str,
     def step(batch_df: DataFrame, batch: int):
         spark, name = batch_df.sparkSession, f"{run}-{batch}"
         folder, known = store.version_folder(spark, path, settings)
-        fresh = batch_features(batch_df, vocab)
-        added = add_features(fresh, batch, run, folder, known)
+        counted = Observation()
+        fresh = batch_features(batch_df, vocab, counted)
+        added = add_features(fresh, batch, run, folder, known, seen=counted)
         seen = store.open_version(spark, folder, known)
         found = similar_pages(fresh, seen, min_jaccard, include_self=True)
         own = added.select("url", F.lit(True).alias("_own"))

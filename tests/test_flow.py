@@ -171,3 +171,42 @@ def test_archives_stream_in_like_one_batch(spark, folder):
     assert store.open_index(spark, path).members.count() == 50
     whole = store.build_index(store.archive_pages(spark, source, "warc", min_length=0), work_dir(spark, "i"), q.BLOCK)
     assert first.select("url", "sketch_id").exceptAll(whole.members.select("url", "sketch_id")).count() == 0
+
+
+def test_a_saved_pipeline_gives_the_same_rows(spark, folder, tmp_path):
+    from pyspark.ml import PipelineModel
+
+    from pagesim.plans import transformers as ml
+
+    pages = records.pages_as_records(q.pages(spark, folder).select("url", "html"))
+    model = ml.feature_pipeline(q.BLOCK)
+    model.write().save(str(tmp_path / "model"))
+    again = PipelineModel.load(str(tmp_path / "model"))
+    assert [type(s) for s in again.stages] == [type(s) for s in model.stages]
+    assert again.stages[1].getVocabulary() == q.BLOCK and again.stages[3].getOrDefault("numPerm") == 128
+    want = q.lsh.minhash_sets(chain(pages, *feature_stages(q.BLOCK)))
+    keep = ["url", "grams", "sig", F.map_entries("vec").alias("vec"), "errors"]
+    got = again.transform(pages)
+    assert sorted(map(str, got.select(keep).collect())) == sorted(map(str, want.select(keep).collect()))
+    assert got.first().transformations == ["extract", "html_parse", "tree_parse", "tree_to_matrix", "minhash"]
+    with pytest.raises(RuntimeError, match="'extract' not met"):
+        ml.HtmlParser().transform(pages.drop("transformations"))
+    # params can be set anew for one call, and each stage saved by itself
+    one = ml.HtmlExtractor(minLength=5)
+    assert one.copy({one.minLength: 9}).stage().min_length == 9
+    one.write().save(str(tmp_path / "one"))
+    assert ml.HtmlExtractor.load(str(tmp_path / "one")).stage().min_length == 5
+
+
+def test_batches_are_counted_once(spark, folder):
+    path = work_dir(spark, "index")
+    pages = q.pages(spark, folder).select("url", "html")
+    some = pages.filter("length(url) % 2 = 0").unionByName(pages.limit(0).select("url", F.lit("").alias("html")))
+    ingest.index_batch(some, 0, path, q.BLOCK)
+    ingest.index_batch(pages, 1, path, q.BLOCK)
+    ingest.index_batch(pages, 1, path, q.BLOCK)  # the same batch again
+    counts = {r.number: (r.run, r.processed, r.failed, r.inserted) for r in store.ingest_counts(spark, path).collect()}
+    n = some.count()
+    assert counts == {0: ("direct", n, 0, n), 1: ("direct", 50, 0, 50 - n)}
+    with pytest.raises(FileNotFoundError):
+        store.ingest_counts(spark, work_dir(spark, "none"))
