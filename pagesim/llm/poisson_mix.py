@@ -6,7 +6,8 @@ gets the mean repetition rate ``r = T * (w / W) / n``. Every document draws its
 number of copies from a Poisson distribution of that mean: a keyed hash of the
 document is read as a uniform number in [0, 1) and the distribution function is
 inverted at it. The draw depends on nothing but seed and document, so a retried
-task draws the same number again.
+task draws the same number again. A document is the digest of its row; rows that
+are the same in all columns are counted, and each has a number of its own.
 
 A mean above ``STEP`` is cut into equal parts whose draws, each with a hash of
 its own, are added: a sum of Poisson variables is Poisson. The distribution
@@ -65,44 +66,65 @@ def source_rates(docs: DataFrame, weights: dict | None, source: str = "source")
     return rated.withColumn("terms", terms).select("source", "rate", "pieces", sums.alias("cdf"))
 
 
-def replicate(
-    docs: DataFrame,
-    weights: dict | None = None,
-    seed: str = "mix",
-    key: str = "doc_id",
-    source: str = "source",
-) -> DataFrame:
+def row_digest(columns: list[Column]) -> Column:
+    """MD5 of a row's values, each as its byte count, ``:`` and itself; ``-`` for null."""
+    texts = [c.cast("string") for c in columns]
+    return F.md5(
+        F.concat(*[F.coalesce(F.concat(F.octet_length(t), F.lit(":"), t), F.lit("-")) for t in texts]).cast("binary")
+    )
+
+
+def numbered(packed: DataFrame) -> DataFrame:
+    """Add ``number``, from 1 among equal rows, to ``row, source, digest``.
+
+    Only digests are grouped, and rows that repeat: of each group one row and
+    its size go through the shuffle, however many there are.
+    """
+    repeated = materialize(packed.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1"), "mix-repeated")
+    if repeated.isEmpty():
+        return packed.withColumn("number", F.lit(1).cast("bigint"))
+    single = packed.join(repeated.select("digest"), "digest", "left_anti").withColumn("number", F.lit(1).cast("bigint"))
+    groups = packed.join(repeated, "digest").groupBy("digest").agg(
+        F.first("row").alias("row"), F.first("source").alias("source"), F.first("n").alias("n")
+    )
+    several = groups.select(
+        "row", "source", "digest", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))).alias("number")
+    )
+    return single.unionByName(several)
+
+
+def replicate(docs: DataFrame, weights: dict | None = None, seed: str = "mix", source: str = "source") -> DataFrame:
     """Every document as often as its Poisson draw says, in a shuffled order.
 
     Columns of ``docs`` come first and keep their names; ``copy`` (from 1) and
     ``mix_key`` (where the copy comes in the order, a 52-bit number in [0, 1))
-    follow. A column of that name in ``docs`` is replaced. Copies are dealt to
-    partitions by a hash of ``mix_key`` and sorted by it there, so each
-    partition holds a random part of the corpus in random order, however few
+    follow. A column of that name in ``docs`` is replaced; other names don't matter.
+    Copies are dealt to partitions by a hash of ``mix_key`` and sorted by it there,
+    so each partition holds a random part of the corpus in random order, however few
     documents or sources there are.
 
-    Documents with a null key draw by their text hash alone; an empty table
-    gives an empty table. Repeated rows with one key draw the same number.
+    Every row draws for itself, with or without a key, a text or a source, and so
+    does each of several equal rows. An empty table gives an empty table.
     """
     plain = docs.drop("copy", "mix_key")
-    names = plain.columns
-    rates = materialize(source_rates(plain, weights, source), "mix-rates").select(
-        F.col("source").alias("__source"), F.col("pieces").alias("__pieces"), F.col("cdf").alias("__cdf")
+    columns = [F.col(f"`{c}`") for c in plain.columns]
+    rates = materialize(source_rates(plain, weights, source), "mix-rates").withColumnRenamed("source", "name")
+    packed = plain.select(
+        F.struct(*columns).alias("row"), F.col(f"`{source}`").alias("source"), row_digest(columns).alias("digest")
     )
-    joined = plain.join(rates, F.col(source).eqNullSafe(F.col("__source")))
-    ident = F.coalesce(F.col(key).cast("string"), F.lit("null"))
+    joined = numbered(packed).join(rates, F.col("source").eqNullSafe(F.col("name")))
+    ident = [F.col("digest"), F.col("number").cast("string")]
     count = F.aggregate(
-        F.sequence(F.lit(1), F.col("__pieces")),
+        F.sequence(F.lit(1), F.col("pieces")),
         F.lit(0),
-        lambda total, k: total
-        + F.size(F.filter("__cdf", lambda c: c <= uniform(F.lit(seed), k.cast("string"), ident))),
+        lambda total, k: total + F.size(F.filter("cdf", lambda c: c <= uniform(F.lit(seed), k.cast("string"), *ident))),
     )
-    drawn = joined.withColumn("__count", count).filter("__count > 0")
-    copies = drawn.select(*names, F.explode(F.sequence(F.lit(1), F.col("__count"))).alias("copy"))
-    placed = copies.withColumn(
-        "mix_key", uniform(F.lit(seed), F.lit("order"), ident, F.col("copy").cast("string"))
-    )
-    return placed.repartition("mix_key").sortWithinPartitions("mix_key", "copy")
+    drawn = joined.select("row", *ident[:1], "number", count.alias("count")).filter("count > 0")
+    copies = drawn.select("row", "digest", "number", F.explode(F.sequence(F.lit(1), F.col("count"))).alias("copy"))
+    order = uniform(F.lit(seed), F.lit("order"), *ident, F.col("copy").cast("string"))
+    placed = copies.select("row", "copy", order.alias("mix_key"))
+    dealt = placed.repartition("mix_key").sortWithinPartitions("mix_key", "copy")
+    return dealt.select(*[F.col("row")[c].alias(c) for c in plain.columns], "copy", "mix_key")
 
 
 #: Target weights of the query: the largest source is taken down, two small ones up.
@@ -119,6 +141,10 @@ def _weight_sql() -> str:
     return f"CAST(CASE {cases} ELSE 1.0 END AS DOUBLE)"
 
 
+_DIGEST = "md5(" + " || ".join(
+    f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "text", "lang", "source", "n_chars")
+) + ")"
+
 #: The distribution function is summed row by row here and met by counting.
 OP4_SQL = f"""
 WITH RECURSIVE sizes AS (
@@ -133,16 +159,18 @@ cdf AS (
   UNION ALL
   SELECT source, pieces, mean, k + 1, term * mean / (k + 1), total + term * mean / (k + 1)
   FROM cdf WHERE k < {TERMS}),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY digest) AS number FROM (SELECT *, {_DIGEST} AS digest FROM {{docs}})),
 draws AS (
-  SELECT d.doc_id, d.source, p.piece,
-    CAST('0x' || substr(md5('mix:' || p.piece || ':' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT)
+  SELECT d.digest, d.number, d.source, p.piece,
+    CAST('0x' || substr(md5('mix:' || p.piece || ':' || d.digest || ':' || d.number), 1, 13) AS BIGINT)
       / 4503599627370496.0::DOUBLE AS u
-  FROM {{docs}} d JOIN cut c ON d.source IS NOT DISTINCT FROM c.source, unnest(range(1, c.pieces + 1)) AS p(piece)),
+  FROM numbered d JOIN cut c ON d.source IS NOT DISTINCT FROM c.source, unnest(range(1, c.pieces + 1)) AS p(piece)),
 counts AS (
-  SELECT w.doc_id, count(*) AS copies
-  FROM draws w JOIN cdf c ON w.source IS NOT DISTINCT FROM c.source AND c.total <= w.u GROUP BY w.doc_id)
-SELECT d.*, x.copy,
-  CAST('0x' || substr(md5('mix:order:' || d.doc_id || ':' || x.copy), 1, 13) AS BIGINT)
+  SELECT w.digest, w.number, count(*) AS copies
+  FROM draws w JOIN cdf c ON w.source IS NOT DISTINCT FROM c.source AND c.total <= w.u GROUP BY ALL)
+SELECT d.* EXCLUDE (digest, number), x.copy,
+  CAST('0x' || substr(md5('mix:order:' || d.digest || ':' || d.number || ':' || x.copy), 1, 13) AS BIGINT)
     / 4503599627370496.0::DOUBLE AS mix_key
-FROM {{docs}} d JOIN counts c ON d.doc_id IS NOT DISTINCT FROM c.doc_id, unnest(range(1, c.copies + 1)) AS x(copy)
+FROM numbered d JOIN counts c ON d.digest = c.digest AND d.number = c.number, unnest(range(1, c.copies + 1)) AS x(copy)
 """

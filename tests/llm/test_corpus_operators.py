@@ -231,6 +231,38 @@ def test_mix_odd_rows(spark):
     assert poisson_mix.replicate(table, {"s": 0.0}).count() == 0
 
 
+def test_mix_rows_without_a_key_reach_their_weights(spark):
+    plain = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(None if i % 3 == 0 else i, f"t{i}", "en", f"s{i % 2}", 1) for i in range(6000)]
+    got = poisson_mix.replicate(spark.createDataFrame(rows, plain), {"s0": 1.0, "s1": 9.0})
+    sizes = {r.source: r["count"] for r in got.groupBy("source").count().collect()}
+    assert abs(sizes["s0"] - 600) < 5 * 600**0.5 and abs(sizes["s1"] - 5400) < 5 * 5400**0.5
+    null = got.filter("doc_id is null").count()
+    assert abs(null - 2000) < 5 * 2000**0.5
+    assert got.select("mix_key").distinct().count() == got.count()
+
+
+def test_mix_equals_its_sql_on_odd_rows(spark):
+    import duckdb
+
+    rows = [(1, "a", "en", "src1", 1)] * 500 + [(None, None, None, None, None)] * 300 + [(None, "", "en", "src3", 0)] * 3
+    rows += [(i % 40, f"t{i % 90}", "en", f"src{i % 5}", i % 2) for i in range(400)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    con = duckdb.connect()
+    con.register("odd", table.toPandas().astype({"doc_id": "Int64", "n_chars": "Int64"}))
+    want = con.execute(poisson_mix.OP4_SQL.format(docs="odd")).fetchall()
+    got = [tuple(r) for r in poisson_mix.replicate(table, poisson_mix.WEIGHTS).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len({r[-1] for r in got}) == len(got) > 100
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    names = ["digest", "number", "row", "pieces", "cdf", "name", "count", "a.b", "source"]
+    table = spark.createDataFrame([(*range(8), "s")] * 50 + [(*range(1, 9), None)] * 50, names)
+    got = poisson_mix.replicate(table)
+    assert got.columns == [*names, "copy", "mix_key"] and 40 < got.count() < 180
+    assert {tuple(r)[:-2] for r in got.collect()} == {(*range(8), "s"), (*range(1, 9), None)}
+
+
 # --- HTML extraction
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="</p>";</script></head><body><header><h1>Site</h1></header>
