@@ -94,8 +94,8 @@ def bare(word: str) -> str:
     return _EDGES.sub("", word).lower()
 
 
-def canonical(known: Words, words: list[str], first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The code of each word's canonical form, whether it is a slot, and where texts start in a capital.
+def canonical(known: Words, words: list[str], first: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The code of each word's canonical form, whether it is a slot, where texts start in a capital, and its own code.
 
     ``first`` holds the places where a text starts. A word at the start of a text
     or after one that ends a sentence is never taken for a name.
@@ -112,7 +112,7 @@ def canonical(known: Words, words: list[str], first: np.ndarray) -> tuple[np.nda
     is_name = upper[at] & ~begins & ~ends[before] & ~number_here & ~is_unit
     out = codes[at]
     out[number_here], out[is_unit], out[is_name] = NUM, UNIT, NAME
-    return out, number_here | is_unit | is_name, first[upper[at[first]] & ~number_here[first]]
+    return out, number_here | is_unit | is_name, first[upper[at[first]] & ~number_here[first]], codes[at]
 
 
 def window_hashes(codes: np.ndarray, size: int) -> np.ndarray:
@@ -124,6 +124,15 @@ def window_hashes(codes: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def hashes_at(codes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """The same from the places ``at`` on only."""
+    out = np.zeros(len(at), dtype=np.uint64)
+    for k in range(size):
+        out = (out ^ codes[at + k]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
 def filter_places(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The two bits of the Bloom filter that each hash sets."""
     mask = np.uint64((1 << FILTER_BITS) - 1)
@@ -134,11 +143,17 @@ def _is_set(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
     return (bits[places >> np.uint64(3)] >> (places & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-_ROWS = "hash long, key long, at int, literals int, slots array<string>"
+_ROWS = "hash long, key {}, at int, literals int, slots array<string>"
 
 
-def _rows(known: Words, keys: list, texts: list, lengths: list[int] | None, bits: np.ndarray | None) -> pa.RecordBatch:
-    """Window rows of texts: of the lengths given, or of ``WINDOW`` words or the whole text if it has fewer."""
+def _rows(known: Words, keys: pa.Array, texts: list, lengths: list[int] | None, bits: np.ndarray | None) -> pa.RecordBatch:
+    """Window rows of texts: of the lengths given, or of ``WINDOW`` words or the whole text if it has fewer.
+
+    Besides its canonical form, a window of an item is also given by its own words;
+    one of a document where the canonical form has too few of them to tell
+    anything. So copies are met whatever is taken for a name or a number in them.
+    """
+    kind, keys = keys.type, keys.to_pylist()
     own = [(key, text.split()) for key, text in zip(keys, texts)]
     own = [(key, words) for key, words in own if words]
     words = [w for _, text in own for w in text]
@@ -146,31 +161,46 @@ def _rows(known: Words, keys: list, texts: list, lengths: list[int] | None, bits
     if words:
         sizes = np.array([len(text) for _, text in own])
         first = np.cumsum(sizes) - sizes
-        codes, slot, capital = canonical(known, words, first)
+        codes, slot, capital, plain = canonical(known, words, first)
+        slots_before = np.append(0, np.cumsum(slot))
         owner = np.repeat(np.arange(len(own)), sizes)
         left = np.repeat(first + sizes, sizes) - np.arange(len(words))  # words up to the end of the text
         variants = [(codes, slot, None)]
         if not lengths:  # inside a sentence of a document an item's first word passes for a name
             variants.append((codes.copy(), slot.copy(), capital))
             variants[1][0][capital], variants[1][1][capital] = NAME, True
+
+        def add(at: np.ndarray, found: np.ndarray, is_slot: np.ndarray, size: int):
+            if bits is not None:
+                a, b = filter_places(found)
+                met = _is_set(bits, a) & _is_set(bits, b)
+                at, found = at[met], found[met]
+            for i, value in zip(at.tolist(), found):
+                here = is_slot[i : i + size].tolist()
+                fillings = [bare(w) if s else "" for w, s in zip(words[i : i + size], here)]
+                row = (value, own[owner[i]][0], i - first[owner[i]], size - sum(here), fillings)
+                for column, part in zip(columns, row):
+                    column.append(part)
+
         for size in lengths or sorted({min(WINDOW, n) for n in sizes.tolist()}):
             for code, is_slot, only in variants:
                 found = window_hashes(code, size)
                 use = left[: len(found)] >= size
                 if not lengths and size < WINDOW:
                     use &= sizes[owner[: len(found)]] == size
+                held = slots_before[size:] - slots_before[: len(found)]  # slots of each window
+                if lengths:
+                    use &= size - held >= min(LITERALS, size)
                 at = np.flatnonzero(use) if only is None else only[only < len(found)][use[only[only < len(found)]]]
-                if bits is not None:
-                    a, b = filter_places(found[at])
-                    at = at[_is_set(bits, a) & _is_set(bits, b)]
-                for i in at.tolist():
-                    here = is_slot[i : i + size].tolist()
-                    fillings = [bare(w) if s else "" for w, s in zip(words[i : i + size], here)]
-                    row = (found[i], own[owner[i]][0], i - first[owner[i]], size - sum(here), fillings)
-                    for column, value in zip(columns, row):
-                        column.append(value)
+                add(at, found[at], is_slot, size)
+            use = left[: len(held)] >= size
+            use &= size - held < min(LITERALS, size) if lengths else held > 0
+            if not lengths and size < WINDOW:
+                use &= sizes[owner[: len(held)]] == size
+            at = np.flatnonzero(use)
+            add(at, hashes_at(plain, at, size), np.zeros(len(words), dtype=bool), size)
     hashes, *rest = columns
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()))
+    kinds = (kind, pa.int32(), pa.int32(), pa.list_(pa.string()))
     return pa.RecordBatch.from_arrays(
         [pa.array(np.array(hashes, dtype=np.uint64).view(np.int64)), *(pa.array(c, k) for c, k in zip(rest, kinds))],
         names=["hash", "key", "at", "literals", "slots"],
@@ -185,10 +215,10 @@ def windows(texts: DataFrame, lengths: list[int] | None = None, bits=None) -> Da
         seen = np.frombuffer(bits.value, dtype=np.uint8) if bits is not None else None
         for batch in batches:
             for at in range(0, len(batch), 512):
-                keys, own = (batch.column(c).slice(at, 512).to_pylist() for c in (0, 1))
-                yield _rows(known, keys, own, lengths, seen)
+                own = batch.column(1).slice(at, 512).to_pylist()
+                yield _rows(known, batch.column(0).slice(at, 512), own, lengths, seen)
 
-    return texts.mapInArrow(make, _ROWS)
+    return texts.mapInArrow(make, _ROWS.format(texts.schema["key"].dataType.simpleString()))
 
 
 def bloom(spark: SparkSession, hashes: DataFrame):
@@ -264,22 +294,23 @@ def leaks(
 
     A document holds an item if consistent windows cover at least ``SHARE`` of
     the item's words, or ``RUN`` of them in a row. ``verbatim`` tells copies with
-    the item's own numbers and names from re-parameterised ones. Windows with
-    fewer than ``LITERALS`` words that aren't slots say nothing and are left out
-    (in an item shorter than a window: none that isn't a slot).
+    the item's own numbers and names from re-parameterised ones. A window with
+    fewer than ``LITERALS`` words that aren't slots (in a shorter item: with a slot)
+    says nothing as a template and counts by its own words instead.
 
     Rows with a null text or key, and items with a null text or id, take no
     part. Of benchmark items with the same words the smallest id is reported.
-    Repeated document rows give one row. Other columns are not read.
+    Repeated document rows give one row. Keys of any type that sorts are kept as
+    they are. Other columns are not read.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item).cast("long").alias("key"), F.col(text).alias("text")).dropna()
+    items = benchmark.select(F.col(item).alias("key"), F.col(text).alias("text")).dropna()
     items = items.groupBy("text").agg(F.min("key").alias("key")).select("key", "text")
     made = materialize(windows(items), "bench-windows")
     made = made.filter(F.col("literals") >= F.least(F.lit(LITERALS), F.size("slots")))
     lengths = sorted(r[0] for r in made.select(F.size("slots")).distinct().collect())  # at most WINDOW
     bits = bloom(spark, made.select("hash"))
-    own = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).dropna()
+    own = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).dropna()
     held = materialize(windows(own, lengths or [WINDOW], bits), "doc-windows")
     held = held.filter(F.col("literals") >= F.least(F.lit(LITERALS), F.size("slots")))
     sizes = items.select("key", F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("words"))
@@ -291,8 +322,9 @@ def leaks(
         "key", "item_id", "words", (F.col("at") - F.col("item_at")).alias("diagonal"), "item_at",
         F.col("slots").alias("doc_slots"), "item_slots",
     )
+    kinds = [f"{name} {met.schema[name].dataType.simpleString()}" for name in ("key", "item_id")]
     found = met.groupBy("key", "item_id").applyInArrow(
-        _verify, "key long, item_id long, words int, covered int, longest int, verbatim boolean"
+        _verify, ", ".join([*kinds, "words int, covered int, longest int, verbatim boolean"])
     )
     return found.filter((F.col("covered") >= F.col("words") * SHARE) | (F.col("longest") >= RUN)).withColumnRenamed("key", key)
 

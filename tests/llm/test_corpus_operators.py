@@ -120,6 +120,44 @@ def test_decontamination_rejects_inconsistent_fillings(spark):
     assert [r.doc_id for r in got.collect()] == [1]
 
 
+def test_decontamination_finds_copies_that_are_all_slots(spark):
+    items = ["The Quick Brown Fox Jumps Over Every Lazy Dog In Town", "a plain item with nothing but words of no note in it",
+             "2 4 6 8 10 12 14 16 18 20", "Which Paris River 7", "Mary Ann Gave Tom Lee The Old Red Boat At Noon"]
+    bench = spark.createDataFrame([(f"i{i}", t) for i, t in enumerate(items)], "item_id string, text string")
+    rows = [(f"d{i}", f"So it goes on here. {t} and then some") for i, t in enumerate(items)]
+    rows += [("up", items[1].upper()), ("low", items[0].lower()), ("no", "2 4 6 9 10 12 15 16 18 21 Which Paris Museum 8")]
+    got = decontaminate.leaks(spark.createDataFrame(rows, "doc_id string, text string"), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(f"d{i}", f"i{i}") for i in range(5)} | {("up", "i1"), ("low", "i0")}
+    assert all(r.verbatim for r in got)
+
+
+def brute_template_windows(words, slots, size):
+    """The windows of a text as tuples of words and placeholders, by plain Python."""
+    return {at: tuple("#" if s else w for w, s in zip(words[at : at + size], slots[at : at + size])) for at in range(len(words) - size + 1)}
+
+
+def test_template_windows_equal_brute_force(spark):
+    texts = ["we bought 12 apples and 3 plums today for Anna and for Tom in Rome", "no slot is in these nine words at all"]
+    want = collections.Counter()
+    for key, text in enumerate(texts):
+        words = text.split()
+        slots = [w[0].isdigit() or (w[0].isupper() and i > 0) for i, w in enumerate(words)]
+        for at, window in brute_template_windows(words, slots, decontaminate.WINDOW).items():
+            want[key, at, tuple(w if s else "" for w, s in zip(words[at:], slots[at : at + 8]))] += 1
+            if any(slots[at : at + 8]):
+                want[key, at, ("",) * 8] += 1  # the window by its own words
+    table = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    got = decontaminate.windows(table).collect()
+    lower = lambda slots: tuple(s.lower() for s in slots)
+    assert collections.Counter((r.key, r.at, lower(r.slots)) for r in got) == collections.Counter(
+        {(k, a, lower(s)): n for (k, a, s), n in want.items()}
+    )
+    by_form = {}
+    for r in got:
+        by_form.setdefault(r.hash, set()).add((r.key, r.at, r.literals))
+    assert all(len(places) == 1 for places in by_form.values())
+
+
 def test_decontamination_covers_plain_passages(spark, folder):
     bench = spark.read.parquet(f"{folder}/benchmark.parquet").collect()
     rows = spark.read.parquet(f"{folder}/documents.parquet").collect()
@@ -386,6 +424,16 @@ def test_pipeline_odd_rows(spark, folder):
             table = stage(spark, table, folder)
             assert set(schema.replace(",", "").split()[::2]) <= set(table.columns), name
             table.collect()
+    # different texts under one id, or under none, are different documents
+    bench = spark.read.parquet(f"{folder}/benchmark.parquet").orderBy("item_id").first().text
+    same = [(7, "one text that stands here alone", "en", "s", 1, 1.0, 1, 1), (7, "quite another set of words altogether", "en", "s", 1, 1.0, 1, 1),
+            (7, bench, "en", "s", 1, 1.0, 1, 1), (None, bench, "en", "s", 1, 1.0, 1, 1), (None, "nothing of note", "en", "s", 1, 1.0, 1, 1)]
+    same = spark.createDataFrame(same, schema)
+    left = pipeline.keep_one_of_copies(spark, same, folder)
+    assert sorted(r.text for r in left.collect()) == sorted({r.text for r in same.collect()})
+    assert left.filter("doc_id is null").count() == 1
+    clean = pipeline.drop_leaks(spark, same, folder).collect()
+    assert sorted(r.text for r in clean) == sorted(r.text for r in same.collect() if r.text != bench)
     kept = pipeline.keep_one_of_copies(spark, spark.createDataFrame(rows, schema), folder).collect()
     assert sorted(r.doc_id or 0 for r in kept) == [0, 1, 2, 5]
     assert len(pipeline.keep_known_languages(spark, spark.createDataFrame(rows, schema), folder).collect()) == 5
