@@ -4,8 +4,9 @@
 and returns a table that is written and read again as the next one's ``docs``.
 All but the last return the columns of ``docs``.
 
-Empty tables, null texts and extra columns pass through every stage. Rows with a
-null ``doc_id`` can't be told apart: near-duplicate and leak stages keep them.
+Empty tables, null texts, very long texts and extra columns pass through every
+stage. Stages that drop rows tell these apart by ``doc_id`` and the digest of all
+columns, so rows with a null or a repeated ``doc_id`` are judged each for itself.
 """
 
 from __future__ import annotations
@@ -19,9 +20,18 @@ from pagesim.session import configure, materialize, ship
 SURE = 0.5
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose ``doc_id`` is not in the written table ``ids``."""
-    return docs.join(ids.select("doc_id").dropna().distinct(), "doc_id", "left_anti").select(*docs.columns)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``row, key, text``: a key that sorts as ``doc_id`` does, null last, then by the row's digest."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    shifted = F.col("doc_id").cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")  # not negative
+    number = F.coalesce(F.lpad(shifted.cast("string"), 20, "0"), F.lit("null"))
+    key = F.concat_ws(":", number, poisson_mix.row_digest(columns))
+    return docs.select(F.struct(*columns).alias("row"), key.alias("key"), F.col("text").alias("words"))
+
+
+def _without(keyed: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of ``keyed`` whose key is not in the written table ``keys``."""
+    return keyed.join(keys.select("key").distinct(), "key", "left_anti")
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,21 +49,20 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of SimHash near-duplicates the smallest ``doc_id`` stays."""
-    found = simhash.near_duplicates(docs)
-    copies = materialize(found.filter("doc_id <> component_id").select("doc_id"), "pipeline-copies")
-    kept = _without(docs, copies)
-    repeated = docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null")
-    return kept if repeated.isEmpty() else kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(
-        kept.filter("doc_id is null")
-    )
+    """Of each group of SimHash near-duplicates the row with the smallest ``doc_id`` stays."""
+    keyed = _keyed(docs)
+    found = simhash.near_duplicates(keyed, "key", "words")
+    copies = materialize(found.filter("key <> component_id").select("key"), "pipeline-copies")
+    kept = _without(keyed, copies).select("row", F.lit(None).cast("string").alias("source"), F.col("key").alias("digest"))
+    return poisson_mix.numbered(kept).filter("number = 1").select("row.*")  # of equal rows the first
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, also with other numbers or names, go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    leaks = decontaminate.leaks(docs, benchmark).select("doc_id")
-    return _without(docs, materialize(leaks, "pipeline-leaks"))
+    keyed = _keyed(docs)
+    leaks = decontaminate.leaks(keyed.withColumnRenamed("words", "text"), benchmark, "key").select("key")
+    return _without(keyed, materialize(leaks, "pipeline-leaks")).select("row.*")
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
