@@ -20,18 +20,30 @@ from pagesim.session import configure, materialize, ship
 SURE = 0.5
 
 
+def _shift():
+    return F.lit(str(1 << 63)).cast("decimal(20,0)")
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    """``row, key, text``: a key that sorts as ``doc_id`` does, null last, then by the row's digest."""
+    """``row, id, key, words``: a key that sorts as ``doc_id`` does, null last, then by the row's digest."""
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    shifted = F.col("doc_id").cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")  # not negative
-    number = F.coalesce(F.lpad(shifted.cast("string"), 20, "0"), F.lit("null"))
-    key = F.concat_ws(":", number, poisson_mix.row_digest(columns))
-    return docs.select(F.struct(*columns).alias("row"), key.alias("key"), F.col("text").alias("words"))
+    number = (F.col("doc_id").cast("decimal(20,0)") + _shift()).cast("string")  # not negative
+    key = F.concat_ws(":", F.coalesce(F.lpad(number, 20, "0"), F.lit("null")), poisson_mix.row_digest(columns))
+    return docs.select(F.struct(*columns).alias("row"), F.col("doc_id").alias("id"), key.alias("key"), F.col("text").alias("words"))
 
 
 def _without(keyed: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows of ``keyed`` whose key is not in the written table ``keys``."""
-    return keyed.join(keys.select("key").distinct(), "key", "left_anti")
+    """Rows of ``keyed`` whose key is not in the written table ``keys``.
+
+    Where only one row has an id, the id is looked for, which is shorter than the key.
+    """
+    shared = materialize(keyed.groupBy("id").count().filter("count > 1").select("id"), "pipeline-shared")
+    number = F.substring_index("key", ":", 1).try_cast("decimal(20,0)") - _shift()
+    gone = materialize(keys.select("key").distinct().withColumn("id", number.cast("bigint")), "pipeline-gone")
+    single = gone.filter("id is not null").select("id").join(shared, "id", "left_anti")
+    several = gone.join(shared, "id", "left_semi").select("key").union(gone.filter("id is null").select("key"))
+    left = keyed.join(materialize(single, "pipeline-single"), "id", "left_anti")
+    return left.join(materialize(several, "pipeline-several"), "key", "left_anti")
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
