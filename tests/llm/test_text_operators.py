@@ -223,31 +223,112 @@ def test_context_mix_predicts_white_space():
     assert padded < short - 1000  # a model that knows nothing pays eight bits for each blank
 
 
-def test_context_mix_learns_from_every_window(spark):
+def test_context_mix_learns_alike_however_texts_are_split(spark, monkeypatch):
     rows = [f"text {i} of {i % 7} words" for i in range(900)]
-    texts = spark.createDataFrame([(t,) for t in rows], "text string").repartition(3)
+    texts = spark.createDataFrame([(t,) for t in rows], "text string")
     tables = context_mix.count_tables(texts)
-    weights, cells, count = context_mix.learn(tables, texts)
-    assert count == sum(len(context_mix.text_bytes(t)) for t in rows)
+    weights, cells, count = context_mix.learn(tables, texts.repartition(3))
     assert (weights != context_mix.first_weights()).any() and ((cells > 0) & (cells < 1)).all()
+    bytes_ = sum(len(context_mix.text_bytes(t)) for t in rows)
+    assert 0 < count < bytes_ / 4
+    monkeypatch.setattr(context_mix, "PIECE", 100)
+    again = context_mix.learn(tables, texts.repartition(8))
+    assert (again[0] == weights).all() and (again[1] == cells).all() and again[2] == count
+
+
+def test_context_mix_chosen_windows_are_a_share_of_the_distinct_ones(spark):
+    texts = spark.createDataFrame([(f"one{i} two{i * i} three{i * 7919}",) for i in range(3000)], "text string")
+    found, count = context_mix.chosen_windows(texts.union(texts))
+    every = np.unique(context_mix.text_windows([context_mix.text_bytes(t) for (t,) in texts.collect()])[0], axis=1).shape[1]
+    assert abs(count * context_mix.SHARE / every - 1) < 0.2
+    assert {r.times % 2 for r in found.collect()} == {0}
+
+
+M, A, D = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+
+
+def slots_by_hand(data, at):
+    """``(slot, bit)`` per bit and table of the byte ``at`` of a text, from the whole text before it."""
+    word = at
+    while word and data[word - 1] not in b" \t\n\r\v\f\0":
+        word -= 1
+    root = pow(D, -1, 1 << 64)
+    total = sum((c + 1) * pow(root, i, 1 << 64) for i, c in enumerate(data[word:at])) & M
+    hashes = []
+    for number in range(5):
+        past = int.from_bytes(data[max(0, at - number - 1) : at], "big")
+        mixed = (past + number) * A & M
+        hashes.append(mixed ^ mixed >> 31)
+    hashes.append((total ^ total >> 29) * A & M)
+    byte = data[at]
+    for k in range(8):
+        half = 0 if k < 4 else 4
+        before = byte >> 8 - half | 1 << half
+        inner = (byte >> 8 - k) % (1 << k - half) | 1 << k - half
+        own = []
+        for number, (h, bits) in enumerate(zip(hashes, context_mix.TABLE_BITS)):
+            start = ((h ^ pow(D, before + 1, 1 << 64)) * A & M) >> 64 - bits
+            own.append(sum(1 << b for b in context_mix.TABLE_BITS[:number]) + (start ^ inner))
+        yield k, byte >> 8 - k | 1 << k, own, byte >> 7 - k & 1
+
+
+def score_by_hand(data, counts, weights, cells):
+    """log10 of the probability of a text, bit by bit."""
+    total = 0.0
+    for at in range(len(data)):
+        for k, before, own, bit in slots_by_hand(data, at):
+            odds, details = [], []
+            for slot in own:
+                zeros, ones = (2 ** (min(255, round(8 * math.log2(1 + n))) / 8) - 1 for n in counts[slot])
+                odds.append(math.log((ones + 0.05) / (zeros + 0.05)) if zeros + ones > 0.01 else 0)
+                seen = zeros + ones
+                details.append(1 + int(min(math.log2(max(seen, 1)) / 2, 3)) if seen > 0.5 else 0)
+            known = max((n for n in range(5) if details[n]), default=None)
+            gate = (0 if known is None else known * 4 + details[known]) * 5 + details[5]
+            rows = gate, context_mix.GATES + before, context_mix.GATES + 256 + details[5] * 8 + k
+            mixed = max(-12, min(12, sum(o * sum(weights[r][n] for r in rows) for n, o in enumerate(odds))))
+            place = (max(-7.999, min(7.999, mixed)) + 8) * 2
+            low = int(place)
+            mapped = cells[gate][low] * (1 - place + low) + cells[gate][low + 1] * (place - low)
+            one = max(1e-6, min(1 - 1e-6, (1 / (1 + math.exp(-mixed)) + mapped) / 2))
+            total += math.log10(one if bit else 1 - one)
+    return total
+
+
+def test_context_mix_against_a_plain_version(spark):
+    texts = ["the cat sat on the mat", "The dog  sat\non the cat", "", "É 漢字", "the cat sat on the mat"] * 3
+    table = spark.createDataFrame([(t,) for t in texts], "text string")
+    model = context_mix.train(table)
+    counts = collections.defaultdict(lambda: [0, 0])
+    for text in texts:
+        data = context_mix.text_bytes(text)
+        for at in range(len(data)):
+            for _, _, own, bit in slots_by_hand(data, at):
+                for slot in own:
+                    counts[slot][bit] += 1
+    tests = [*texts[:5], "a new text on cats", "word " * 20]
+    got = context_mix.scores(context_mix.Mixer(*model), tests)
+    for text, score in zip(tests, got):
+        assert math.isclose(score, score_by_hand(context_mix.text_bytes(text), counts, *model[1:]), rel_tol=1e-4)
 
 
 def test_word_hashes_do_not_depend_on_the_place():
     flat = np.frombuffer(b"the cat the", dtype=np.uint8)
-    got = context_mix.word_hashes(flat)
+    got, _ = context_mix.word_hashes(flat)
     assert (got[:3] == got[8:11]).all() and len({*got[:4].tolist(), *got[5:8].tolist()}) == 7
 
 
-def test_context_mix_pieces_of_long_texts(monkeypatch):
-    texts = [b"abc def ghi " * 10, b"x", b""]
-    whole = [context_mix.text_windows([t])[0] for t in texts]
-    monkeypatch.setattr(context_mix, "PIECE", 17)
+@pytest.mark.parametrize("size", [1, 3, 17, 64])
+def test_context_mix_pieces_of_long_texts(monkeypatch, size):
+    texts = [b"abc def ghi " * 10, b"x", b"", b"one very" + b"long" * 40 + b" word"]
+    whole = [context_mix.text_windows([t])[0] for t in texts if t]
+    monkeypatch.setattr(context_mix, "PIECE", size)
     seen = collections.defaultdict(list)
     for first, windows, sizes in context_mix.pieces(texts):
-        for i, (a, size) in enumerate(zip(np.cumsum(sizes) - sizes, sizes)):
-            seen[first + i].append(windows[0, a : a + size])
-    for i, want in enumerate(whole):
-        assert (np.concatenate(seen[i]) == want[0]).all()
+        for i, (a, n) in enumerate(zip(np.cumsum(sizes) - sizes, sizes)):
+            seen[first + i].append(windows[:, a : a + n])
+    for i, want in zip((0, 1, 3), whole):
+        assert (np.concatenate(seen[i], axis=1) == want).all()
 
 
 def test_context_mix_odd_rows(spark):
