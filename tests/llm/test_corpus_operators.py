@@ -3,6 +3,8 @@
 import collections
 import html
 import re
+import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -343,6 +345,62 @@ def test_main_text_broken_markup_takes_linear_time():
         main_text.main_text(page)
 
 
+PARAGRAPHS = "<p>First, part of a text, with words.</p><p>Second part, which is longer, has words. It has two sentences, too.</p><p>Short.</p>"
+PLAIN = "First, part of a text, with words. Second part, which is longer, has words. It has two sentences, too. Short."
+AROUND = (
+    '<nav><a href="/">Home</a> <a href="/b">Blog</a></nav><div class="ad">Buy now, cheap.</div>%s<div class="comments">'
+    "<p>I, too, think so. Thanks, all.</p><p>No, I do not think so; it is bad.</p></div><footer>Copyright, us.</footer>"
+)
+
+
+@pytest.mark.parametrize("names", [True, False])
+@pytest.mark.parametrize("article", [
+    '<div class="entry-content social-share-on">%s</div>', '<div id="content" class="with-sidebar side">%s</div>',
+    '<main><div class="post legal">%s</div></main>', '<article><div class="tags-post">%s</div></article>',
+])
+def test_main_text_is_not_barred_by_names(article, names):
+    page = article % PARAGRAPHS
+    got = main_text.main_text(AROUND % page if names else page)
+    assert got == PLAIN
+
+
+def test_main_text_is_found_where_its_name_speaks_against_it():
+    assert main_text.main_text(f'<div class="sidebar">{PARAGRAPHS}</div>') == PLAIN
+    assert PLAIN in main_text.main_text(AROUND % f'<div class="sidebar">{PARAGRAPHS}</div>')
+
+
+def test_main_text_keeps_lists_of_an_article():
+    assert main_text.main_text(AROUND % f"<div>{PARAGRAPHS}<ul><li>one</li><li>two</li></ul></div>") == PLAIN + " one two"
+
+
+def test_main_text_without_a_list_of_names(spark, folder, monkeypatch):
+    pages = [p.html for p in spark.read.parquet(f"{folder}/pages.parquet").collect()]
+    with_names = [main_text.main_text(p) for p in pages]
+    monkeypatch.setattr(main_text, "lowers", lambda names: False)
+    assert [main_text.main_text(p) for p in pages] == with_names
+    # without the article element too, the ratios alone lose nothing and keep little else
+    plain = [main_text.main_text(p.replace("<article>", "<div>").replace("</article>", "</div>")) for p in pages]
+    assert all(w in g for g, w in zip(plain, with_names))
+    assert sum(g != w for g, w in zip(plain, with_names)) < len(pages) / 5
+    # and they decide
+    monkeypatch.setattr(main_text, "path_scores", lambda lengths, marks, paths: np.ones(len(lengths)))
+    even = [main_text.main_text(p.replace("<article>", "<div>").replace("</article>", "</div>")) for p in pages]
+    assert sum(g != w for g, w in zip(even, with_names)) > len(pages) / 2
+
+
+def test_main_text_deep_nesting_is_linear():
+    for page in ('<div class="content row">' * 200000 + "x", "<p>a<div>" * 100000):
+        begin = time.process_time()
+        tracemalloc.start() if page.endswith("<div>") else None
+        main_text.main_text(page)
+        if tracemalloc.is_tracing():
+            peak = tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+            assert peak < 300 << 20
+        else:
+            assert time.process_time() - begin < 10  # about 2 s
+
+
 def test_main_text_odd_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, 1), (1, "u", PAGE, 1), (None, None, None, 2)], "page_id long, url string, html string, text int")
     assert len(main_text.extract(pages).collect()) == 3
