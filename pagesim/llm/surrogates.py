@@ -14,7 +14,13 @@ Berg" still share a name afterwards.
 
 Distinct entities must stay distinct: replacements that coincide, or that are an
 entity of the corpus themselves, are drawn again, with one more syllable or name,
-until none do.
+until none do. Numbers get more digits from the ``ROOMY``-th draw on, as the corpus
+may hold all numbers of a short length; an entity that still has no surrogate of
+its own after ``DRAWS`` draws raises an error.
+
+A given name has one gender in the corpus: its own where it is a known name, else
+that of most mentions with a title, so that "Dr Kim Berg" and "Mrs Kim Berg" stay
+one person.
 
 Only DataFrame functions are used. Texts are written once with their mentions and
 those without one never move again; the join that brings the replacements back
@@ -206,22 +212,28 @@ def _shaped(digest: Column, text: Column) -> Column:
     )
 
 
+#: Letters of a replaced domain at least, so that different domains stay different.
+LABEL = 12
+
+
 def _draw(secret: str) -> Column:
     """The replacement of an entity (columns ``type, gender, script, norm, attempt``) in normal form."""
     own = F.sha2(F.concat_ws("|", F.lit(secret), "type", "gender", "script", "norm", F.col("attempt").cast("string")).cast("binary"), 256)
+    size = F.length("norm") + F.greatest(F.col("attempt") - ROOMY + 1, F.lit(0))
     number = F.array_join(
-        F.transform(F.sequence(F.lit(1), F.length("norm")), lambda i: _pick(own, i, 10).cast("string")), ""
+        F.transform(F.sequence(F.lit(1), size), lambda i: _pick(own, i, 10).cast("string")), ""
     )
-    digits = F.concat(F.substring("norm", 1, 1), F.substring(number, F.lit(2), F.length("norm")))
+    digits = F.concat(F.substring("norm", 1, 1), F.substring(number, F.lit(2), size))
     card = F.substring(digits, F.lit(1), F.length("norm") - 1)
     check = F.pmod(F.lit(10) - F.pmod(luhn_sum(F.concat(card, F.lit("0"))), F.lit(10)), F.lit(10))
     address = F.concat_ws(
         ".", (_pick(own, 0, 223) + 1).cast("string"), *(_pick(own, i, 256).cast("string") for i in (1, 2, 3))
     )
     domain = F.substring_index("norm", "@", -1)
+    label = F.substring_index(domain, ".", 1)
     named = F.sha2(F.concat_ws("|", F.lit(secret), F.lit("domain"), domain).cast("binary"), 256)
     host = F.concat(
-        _shaped(named, F.substring_index(domain, ".", 1)), F.lit(".example."), F.substring_index(domain, ".", -1)
+        _shaped(named, F.rpad(label, F.greatest(F.length(label), F.lit(LABEL)), "x")), F.lit(".example."), F.substring_index(domain, ".", -1)
     )
     again = F.repeat(F.lit("x"), F.col("attempt").cast("int"))  # a longer local part at each new draw
     email = F.concat(_shaped(own, F.concat(again, F.substring_index("norm", "@", 1))), F.lit("@"), host)
@@ -263,6 +275,7 @@ def _draw(secret: str) -> Column:
 
 
 ENTITY = ["type", "gender", "script", "norm"]
+ROOMY, DRAWS = 4, 64
 
 
 def draw_distinct(entities: DataFrame, secret: str) -> DataFrame:
@@ -273,7 +286,7 @@ def draw_distinct(entities: DataFrame, secret: str) -> DataFrame:
     """
     entities = materialize(entities.select(*ENTITY).distinct(), "pii-entities")
     real = entities.select("type", F.col("norm").alias("surrogate")).distinct().withColumn("real", F.lit(True))
-    current = entities.withColumn("attempt", F.lit(0))
+    current, draws = entities.withColumn("attempt", F.lit(0)), 1
     while True:
         drawn = materialize(current.withColumn("surrogate", _draw(secret)), "pii-draws")
         order = F.struct("gender", "script", "norm")
@@ -284,6 +297,9 @@ def draw_distinct(entities: DataFrame, secret: str) -> DataFrame:
         )
         if owners.isEmpty():
             return drawn.select(*ENTITY, "surrogate")
+        if draws == DRAWS:
+            raise RuntimeError(f"no distinct surrogates after {DRAWS} draws")
+        draws += 1
         lost = F.col("n").isNotNull() & (F.coalesce("real", F.lit(False)) | (F.col("owner") != order))
         current = drawn.join(owners, ["type", "surrogate"], "left").select(
             *ENTITY, (F.col("attempt") + F.when(lost, 1).otherwise(0)).alias("attempt")
@@ -301,15 +317,32 @@ def _written(raw: Column, surrogate: Column, kind: Column) -> Column:
                 F.concat(got["text"], F.substring(surrogate, got["at"], F.lit(1))).alias("text"), (got["at"] + 1).alias("at")
             ),
         ).otherwise(F.struct(F.concat(got["text"], c).alias("text"), got["at"].alias("at"))),
-        lambda got: got["text"],
+        lambda got: F.concat(got["text"], F.substring(surrogate, got["at"], F.length(surrogate))),  # more digits than before
     )
     capital = F.regexp_replace(F.initcap(F.regexp_replace(surrogate, "-", "- ")), "- ", "-")
     name = F.when(raw == F.upper(raw), F.upper(surrogate)).otherwise(capital)
     return (
-        F.when(kind.isin("phone", "card", "ssn"), at_digit).when(kind.isin("given", "surname"), name).otherwise(surrogate)
+        F.when(kind.isin("phone", "card", "ssn"), at_digit)
+        .when(kind.isin("given", "surname"), name)
+        .when(raw == F.upper(raw), F.upper(surrogate))
+        .otherwise(surrogate)
     )
 
 
+def _settled(cut: DataFrame) -> DataFrame:
+    """``cut`` with one gender per given name."""
+    named = cut.filter("given is not null")
+    first, votes = F.col("norm"), lambda sex: F.count(F.when(F.col("gender") == sex, 1))
+    counts = named.select("given.*").groupBy("script", "norm").agg(votes("m").alias("m"), votes("f").alias("f"))
+    gender = F.when(F.col("m") > F.col("f"), "m").when(F.col("f") > F.col("m"), "f").otherwise("n")
+    for (sex, script), known in GIVEN.items():
+        gender = F.when((F.col("script") == script) & first.isin([n.lower() for n in known]), sex).otherwise(gender)
+    own = materialize(counts.select(F.col("script").alias("__script"), F.col("norm").alias("__norm"), gender.alias("__gender")), "pii-genders")
+    same = (F.col("given.script") == F.col("__script")) & (F.col("given.norm") == F.col("__norm"))
+    settled = named.join(own, same).withColumn("given", F.col("given").withField("gender", F.col("__gender")))
+    return settled.select(*cut.columns).union(cut.filter("given is null"))
+
+
 def _joined(mentions: DataFrame, drawn: DataFrame, part: str) -> DataFrame:
     """Add ``<part>_new``: the replacement of the atom ``part`` in the mention's spelling."""
     names = drawn.select(*(F.col(c).alias(f"__{c}") for c in (*ENTITY, "surrogate")))
@@ -334,7 +367,7 @@ def replace_pii(docs: DataFrame, secret: str = "surrogates", text: str = "text")
     )
     found = materialize(found.withColumn("digest", F.when(F.size("mentions") > 0, F.sha2(F.col("row")[text].cast("binary"), 256))), "pii-found")
     own = found.filter("digest is not null").select("digest", F.explode(F.array_distinct(F.flatten("mentions"))).alias("mention")).distinct()
-    cut = materialize(atoms(own), "pii-atoms")
+    cut = materialize(_settled(materialize(atoms(own), "pii-atoms")), "pii-settled")
     entities = cut.select("other.*").drop("raw").union(cut.filter("given is not null").select("given.*").drop("raw"))
     drawn = draw_distinct(entities, secret)
     new = _joined(materialize(_joined(cut, drawn, "other"), "pii-other"), drawn, "given")
