@@ -448,9 +448,9 @@ def links_by_hand(vectors, least=0.9):
     return linked
 
 
-def check_links(spark, vectors):
+def check_links(spark, vectors, **settings):
     table = spark.createDataFrame([(i, v, 0, 5) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>, label int, n int")
-    got = embedding_graph.near_duplicates(table).orderBy("vec_id").collect()
+    got = embedding_graph.near_duplicates(table, **settings).orderBy("vec_id").collect()
     linked = links_by_hand([None if v is None else [x if x is None else float(np.float32(x)) for x in v] for v in vectors])
     assert [r.n_links for r in got] == linked.sum(axis=1).tolist()
     label = np.arange(len(vectors))
@@ -483,6 +483,74 @@ def test_embedding_groups_over_many_shards(spark, monkeypatch):
     check_links(spark, np.concatenate([base, hot, pairs, base[:20]]).tolist())
 
 
+def test_embedding_effort_is_widened_and_then_all_is_compared(spark, monkeypatch):
+    monkeypatch.setattr(embedding_graph, "SHARD", 20)
+    tried, search = [], embedding_graph._search
+    monkeypatch.setattr(embedding_graph, "_search", lambda *given: tried.append(given[2]) or search(*given))
+    pick = np.random.default_rng(6)
+    around = pick.normal(size=(40, 8))
+    spread = np.repeat(around, 10, axis=0) + 0.25 * pick.normal(size=(400, 8))  # links cross shards
+    narrow = embedding_graph.Effort(*[1] * 6)
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(spread.tolist())], "vec_id long, embedding array<double>")
+    got = embedding_graph.near_duplicates(table, effort=narrow).orderBy("vec_id").collect()
+    wanted, counts = links_by_hand(spread.tolist()).sum(axis=1), np.array([r.n_links for r in got])
+    assert (counts <= wanted).all() and embedding_graph.recall_of(wanted[wanted > 0], counts[wanted > 0]) >= 0.99
+    assert tried[0] == narrow and len(tried) > 1
+    # no effort at all: the bound on angles loses nothing and spares some shards
+    monkeypatch.setattr(embedding_graph, "ROUNDS", -1)
+    tried.clear()
+    check_links(spark, spread.tolist(), effort=narrow)
+    assert tried == [None]
+
+
+def test_embedding_recall_is_per_vector():
+    recall = embedding_graph.recall_of
+    assert recall(np.array([]), np.array([])) == 1
+    # a hot group of 50 rows that all found its 1,000 links hides nothing, nor do small groups hide it
+    wanted = np.array([1000] * 50 + [1] * 60)
+    assert recall(wanted, np.array([1000] * 50 + [0] * 60)) == 0
+    assert recall(wanted, np.array([0] * 50 + [1] * 60)) == 0
+    assert recall(wanted, wanted) == 1
+
+
+def edges_of(unit, effort):
+    found = embedding_graph.robust_prune(unit, effort)
+    a, k = np.nonzero(found >= 0)
+    both = np.unique(np.concatenate([np.stack([a, found[a, k]]), np.stack([found[a, k], a])], axis=1), axis=1)
+    return both[0], both[1]
+
+
+def test_embedding_walk_decides_for_queries_that_are_no_nodes(monkeypatch):
+    pick = np.random.default_rng(8)
+    unit = embedding_graph._unit(pick.normal(size=(1500, 12)))
+    asked = embedding_graph._unit(unit[::5] + 0.05 * pick.normal(size=(300, 12)))
+    effort = embedding_graph.Effort()
+    stored = {"ids": np.arange(1500), "n": np.ones(1500, dtype=int), "unit": unit, "places": np.zeros((1500, 1), dtype=int), "edges": edges_of(unit, effort)}
+    queries = {"ids": np.arange(5000, 5300), "unit": asked, "places": np.zeros((300, 1), dtype=int)}
+    wanted = (asked @ unit.T >= 0.9).sum(axis=1)
+    got = embedding_graph.search_block(stored, queries, 0, 0.9, effort)[0]
+    assert (got <= wanted).all() and got.sum() >= 0.97 * wanted.sum()
+    still = embedding_graph.search_block(stored, queries, 0, 0.9, effort._replace(steps=0))[0]
+    assert still.sum() < 0.5 * wanted.sum()
+    assert embedding_graph.search_block(stored, queries, 0, 0.9, None)[0].tolist() == wanted.tolist()
+
+
+def test_embedding_hubs_are_pruned_again():
+    pick = np.random.default_rng(9)
+    rim = pick.normal(size=(2000, 16))
+    unit = embedding_graph._unit(np.concatenate([np.ones((1, 16)), 1 + 0.3 * rim]))
+    effort = embedding_graph.Effort()
+    row, to = edges_of(unit, effort)
+    row, to = np.concatenate([np.zeros(2000, dtype=int), row]), np.concatenate([np.arange(1, 2001), to])
+    order = np.argsort(row, kind="stable")
+    graph = embedding_graph.walk_graph(unit, row[order], to[order], effort)
+    assert graph.shape[1] <= 2 * effort.degree
+    hub = graph[0][graph[0] >= 0]
+    assert len(set(hub)) == len(hub) > 0 and 0 not in hub
+    short = np.flatnonzero(np.bincount(row, minlength=2001) <= 2 * effort.degree)[:50]
+    assert all(set(graph[r][graph[r] >= 0]) == set(to[row == r]) for r in short)
+
+
 # --- pipeline
 
 
