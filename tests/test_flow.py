@@ -87,6 +87,29 @@ def test_stream_similar_does_not_depend_on_batches(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "again")).select("query_url").distinct().count() == 7
 
 
+def test_stream_similar_by_class_grows_with_the_pages(spark, tmp_path):
+    """What the expanded answers link, with one row per page and class and not one per pair."""
+    body = ["<html><ul><ol>", "<html><table>", "<html><table><ul><ul>"]
+    rows = [(f"u{i:02d}", body[i % 2] if i < 30 else body[2]) for i in range(31)]
+    df = spark.createDataFrame(rows, "url string, html string")
+    for files in (1, 4):
+        path, check, source, out = (str(tmp_path / f"{n}{files}") for n in ("index", "check", "in", "out"))
+        df.repartition(files).write.parquet(source)
+        stream = spark.readStream.schema("url string, html string").option("maxFilesPerTrigger", 1).parquet(source)
+        ingest.stream_similar(stream, path, out, check, q.vc.FULL, expand=False).awaitTermination()
+        got = spark.read.parquet(out).collect()
+        assert sorted(r.query_url for r in got if r.sketch_id == "*") == sorted(u for u, _ in rows)
+        links = [(r.query_url, r.sketch_id) for r in got if r.sketch_id == r.query_sketch]
+        # all of a class but the one that came first
+        assert len(links) == len(set(links)) == 31 - len({r.query_sketch for r in got}) == 28
+        assert {r.jaccard_exact for r in got} == {1.0}
+    # pages that come again meet the others of their class, and not themselves
+    again = spark.readStream.schema("url string, html string").parquet(str(tmp_path / "in1"))
+    ingest.stream_similar(again, path, str(tmp_path / "again"), str(tmp_path / "more"), q.vc.FULL, expand=False).awaitTermination()
+    links = [r.query_url for r in spark.read.parquet(str(tmp_path / "again")).collect() if r.sketch_id == r.query_sketch]
+    assert sorted(links) == [f"u{i:02d}" for i in range(30)]
+
+
 def test_streams_builds_and_appends_lose_and_double_nothing(spark, folder):
     from pagesim.plans.oracle import ORACLE  # noqa: F401  the SQL of these runs is the index of all pages
 
