@@ -92,6 +92,21 @@ def test_sizes_of_ranges_add_up(tmp_path):
             assert sum(files.plain_size(p, warc.RECORD_START) for p in parts) == plain
 
 
+def test_small_ranges_share_tasks(spark, tmp_path):
+    """As many tasks as the bytes ask for, not as many as there are ranges; each range is still searched on its own."""
+    write_warc_files(tmp_path)
+    names = ("plain.warc", "single.warc.gz", "odd.warc.gz", "one.warc.gz")
+    for options in ({"splitGzip": "true"}, {"rangeSizes": "true"}):
+        parts = files.file_partitions({"path": str(tmp_path), "splitBytes": "150", **options}, warc.SUFFIXES)
+        tasks = warc.WarcReader({"path": str(tmp_path), "splitBytes": "150", **options}).partitions()
+        assert [p for t in tasks for p in t.parts] == parts and len(parts) > 100
+        assert len(tasks) == len({p.path for p in parts}) <= len(names)
+    wide = [files.FilePartition("a", False, at, at + files.TASK_BYTES // 2) for at in range(0, 5 * files.TASK_BYTES // 2, files.TASK_BYTES // 2)]
+    assert [len(t.parts) for t in files.range_tasks(wide)] == [2, 2, 1]
+    cut = read_archive(spark, str(tmp_path), splitBytes="150")
+    assert rows_of(cut) == rows_of(read_archive(spark, str(tmp_path)))
+
+
 ARC_HEAD = {
     1: b"filedesc://f.arc 127.0.0.1 20200102030405 text/plain %d\n",
     2: b"filedesc://f.arc 127.0.0.1 20200102030405 text/plain 200 - - 0 f.arc %d\n",
