@@ -23,6 +23,7 @@ from pyspark.sql.types import (
 from ..functions import html as html_tokens
 
 EMPTY_DOCUMENT = "HtmlParser: Document is empty"
+PAGES = 128  # pages of an Arrow batch that are parsed at once
 
 _NODE = StructType(
     [
@@ -47,6 +48,12 @@ def _dom_udf(keep: frozenset[str] | None, attr_names: tuple[str, ...]):
     schema = ArrayType(_NODE_WITH_ATTRS if attr_names else _NODE)
 
     def parse_batch(html: pa.Array) -> pa.Array:
+        # nodes are Python objects only for some pages at a time
+        return pa.concat_arrays(
+            [parse_some(html.slice(at, PAGES)) for at in range(0, max(len(html), 1), PAGES)]
+        )
+
+    def parse_some(html: pa.Array) -> pa.Array:
         pos, end, parent, depth, tag, attrs = [], [], [], [], [], []
         offsets, empty = [0], []
         for text in html:

@@ -178,3 +178,25 @@ def test_html_is_parsed_once(spark, folder):
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert plan.count("parse_batch(") == 1
     assert "url" not in plan.split("ReadSchema")[1]
+
+
+def test_pages_of_a_large_batch_are_not_parsed_into_objects_at_once():
+    import tracemalloc
+
+    import pyarrow as pa
+    from pagesim.operators import dom
+
+    parse = dom._dom_udf(None, ()).func
+
+    def peak(count):
+        html = pa.array([f"<html><ul>{'<li>x' * 300}<p>{i}" for i in range(count)] + [None, ""])
+        tracemalloc.start()
+        out = parse(html)
+        top = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(out) == count + 2 and out.null_count == 2
+        return top
+
+    peak(1)
+    assert peak(10 * dom.PAGES) < 1.5 * peak(dom.PAGES)
+    assert len(parse(pa.array([], pa.string()))) == 0
