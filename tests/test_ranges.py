@@ -189,3 +189,19 @@ def test_one_record_per_url_without_payloads_in_a_shuffle(spark, tmp_path):
     assert all("payload" not in line for line in plan.splitlines() if "Exchange" in line)
     split = records.first_of_urls(spark, str(tmp_path), splitBytes="900")
     assert rows_of(split) == rows_of(want)
+
+
+def test_first_records_of_an_archive_that_no_task_writes_alone(spark, folder, monkeypatch):
+    from pagesim.plans import queries as q
+
+    made = []
+    monkeypatch.setattr(q, "work_dir", lambda *a, f=q.work_dir: made.append(f(*a)) or made[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = [r.url for r in q.first_records(spark, folder).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    written = read_archive(spark, made[0], "warc").orderBy("file", "offset").select("file", "url").collect()
+    assert len({r.file for r in written}) > 1
+    urls = sorted((r.url for r in q.pages(spark, folder).collect()), reverse=True)
+    assert [r.url for r in written] == urls and sorted(got) == sorted(urls[:100])
