@@ -12,6 +12,7 @@ be broadcast, only the shards that it names are read.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from dataclasses import dataclass
 
@@ -22,6 +23,7 @@ from ..session import materialize
 from .sketches import band_index, members_table, minhash_sets, sketches_table
 
 BUCKET_BLOCK = 512
+EMPTY_SET = hashlib.md5(b"").hexdigest()  # the sketch_id of a set without items
 SELF_MARK = "*"
 SHARD = "shard"
 
@@ -35,6 +37,7 @@ class Index:
     n_rows: int = fn.ROWS
     vocabulary: str | None = None  # names the vocabulary behind the items, if known
     shards: int = 0  # of the stored tables; 0 for tables that are not cut
+    rows: DataFrame | None = None  # a written table of the sketches in which copies are not merged yet
 
 
 def shard_of(key: Column, shards: int) -> Column:
@@ -64,16 +67,19 @@ def index_tables(features: DataFrame, bands: int = fn.BANDS, rows: int = fn.ROWS
 
 def stored_index(features: DataFrame, bands: int = fn.BANDS, rows: int = fn.ROWS,
                  items: str = "grams") -> Index:
-    """Like :func:`index_tables`, each table written once to the shared work folder.
+    """Like :func:`index_tables`, written once to the shared work folder.
 
     For an index that several steps read: features and sketches are computed
-    once, and a lost executor costs no recomputation of what is written.
+    once, in one pass, and a lost executor costs no recomputation of what is written.
+    Sets are not shuffled to merge copies; only those that are compared are.
     """
     keep = ["url", items, *(["vec"] if "vec" in features.columns else [])]
-    members = materialize(members_table(features.select(*keep), items), "members")
-    sketches = materialize(sketches_table(members, items), "sketches")
-    band_rows = materialize(band_index(sketches, bands, rows), "bands")
-    return Index(members.drop(items), sketches, band_rows, bands, rows)
+    written = materialize(minhash_sets(members_table(features.select(*keep), items), items), "members")
+    band_rows = materialize(band_index(written, bands, rows).distinct(), "bands")
+    every = written.select("sketch_id", F.col(items).alias("grams"), "sig")
+    return Index(
+        written.drop(items, "sig"), every.dropDuplicates(["sketch_id"]), band_rows, bands, rows, rows=every
+    )
 
 
 def query_index(features: DataFrame, bands: int = fn.BANDS, rows: int = fn.ROWS,
@@ -100,25 +106,62 @@ def candidates(query_bands: DataFrame, bands: DataFrame, shards: int = 0) -> Dat
 
 
 def score_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, a: str, b: str,
-                n_bands: int, n_rows: int, shards: int = 0) -> DataFrame:
+                n_bands: int, n_rows: int, shards: int = 0, min_jaccard: float | None = None) -> DataFrame:
     """Attach both sketches to sketch pairs; add ``jaccard_est`` and ``jaccard_exact``.
 
     Band keys are 60-bit hashes, so the shared band is checked on the signatures.
     The pairs are written first: few pairs are then broadcast to a scan of the
     sketches, many are shuffled to them. ``shards`` are those of ``right``.
+
+    Tables that are not sharded may hold a sketch several times. Pairs meet the short
+    signatures first; the sets follow for pairs that pass ``min_jaccard`` by them.
     """
     pairs = materialize(pairs, "pairs")
+    if not shards:
+        return _above(_score_apart(pairs, left, right, a, b, n_bands, n_rows, min_jaccard), "jaccard_est", min_jaccard)
     l = left.select(F.col("sketch_id").alias(a), F.col("sig").alias("_sa"), F.col("grams").alias("_ga"))
-    r = right.select(
-        F.col("sketch_id").alias(b), F.col("sig").alias("_sb"), F.col("grams").alias("_gb"), *([SHARD] if shards else [])
-    )
+    r = right.select(F.col("sketch_id").alias(b), F.col("sig").alias("_sb"), F.col("grams").alias("_gb"), SHARD)
     both = look_up(pairs, r, [b], b, shards).join(l, a)
     both = both.filter(fn.shares_band(F.col("_sa"), F.col("_sb"), n_bands, n_rows))
-    return both.select(
+    scored = both.select(
         *pairs.columns,
         fn.jaccard_est(F.col("_sa"), F.col("_sb")).alias("jaccard_est"),
         fn.jaccard_exact(F.col("_ga"), F.col("_gb")).alias("jaccard_exact"),
     )
+    return _above(scored, "jaccard_est", min_jaccard)
+
+
+def _attached(pairs: DataFrame, sketches: DataFrame, on: str, column: str, name: str) -> DataFrame:
+    """A column of the sketches that ``on`` names, joined to written pairs.
+
+    Which sketches are asked for is sent to them as 64-bit hashes where these are few enough, so
+    that the others are not shuffled. The join goes by the whole id.
+    """
+    asked = materialize(pairs.select(F.xxhash64(on).alias("_key")).distinct(), "asked")
+    near = sketches.join(asked, F.xxhash64("sketch_id") == F.col("_key"), "left_semi")
+    one = near.select(F.col("sketch_id").alias(on), F.col(column).alias(name)).dropDuplicates([on])
+    return pairs.join(one, on)
+
+
+def _score_apart(pairs: DataFrame, left: DataFrame, right: DataFrame, a: str, b: str,
+                 n_bands: int, n_rows: int, min_jaccard: float | None) -> DataFrame:
+    columns = pairs.columns
+    # a sketch is itself, whatever it holds; of an empty set the exact similarity is null
+    whole = F.when(F.col(a) != EMPTY_SET, 1.0)
+    same = pairs.filter(F.col(a) == F.col(b)).select("*", F.lit(1.0).alias("jaccard_est"), whole.alias("jaccard_exact"))
+    signed = materialize(pairs.filter(F.col(a) != F.col(b)), "pairs-apart")
+    signed = _attached(_attached(signed, left, a, "sig", "_sa"), right, b, "sig", "_sb")
+    signed = signed.filter(fn.shares_band(F.col("_sa"), F.col("_sb"), n_bands, n_rows))
+    signed = signed.select(*columns, fn.jaccard_est(F.col("_sa"), F.col("_sb")).alias("jaccard_est"))
+    signed = materialize(_above(signed, "jaccard_est", min_jaccard), "pairs-estimated")
+    both = _attached(_attached(signed, left, a, "grams", "_ga"), right, b, "grams", "_gb")
+    exact = fn.jaccard_exact(F.col("_ga"), F.col("_gb")).alias("jaccard_exact")
+    return both.select(*columns, "jaccard_est", exact).unionByName(same)
+
+
+def _sets(index: Index) -> DataFrame:
+    """The sketches of an index as they were written."""
+    return index.sketches if index.rows is None else index.rows
 
 
 def _above(df: DataFrame, column: str, bound: float | None) -> DataFrame:
@@ -138,11 +181,20 @@ def similar_classes(queries: DataFrame | Index, index: Index, min_jaccard: float
         raise ValueError("the query pages and the index were made with different vocabularies")
     if (queries.n_bands, queries.n_rows) != (index.n_bands, index.n_rows):
         raise ValueError("the query pages and the index are banded differently")
+    met = candidates(queries.bands, index.bands, index.shards)
+    if queries is index:  # each pair is met in both orders, and scored in one
+        met = met.filter("query_sketch <= sketch_id")
     found = score_pairs(
-        candidates(queries.bands, index.bands, index.shards), queries.sketches, index.sketches,
-        "query_sketch", "sketch_id", index.n_bands, index.n_rows, index.shards,
+        met, _sets(queries), _sets(index),
+        "query_sketch", "sketch_id", index.n_bands, index.n_rows, index.shards, min_jaccard,
     )
-    return queries, _above(found, "jaccard_est", min_jaccard)
+    if queries is index:
+        found = materialize(found, "found-once")
+        turned = found.filter("query_sketch < sketch_id").select(
+            F.col("sketch_id").alias("query_sketch"), F.col("query_sketch").alias("sketch_id"), *found.columns[2:]
+        )
+        found = found.unionByName(turned)
+    return queries, found
 
 
 def similar_pages(queries: DataFrame | Index, index: Index, min_jaccard: float | None = None,
@@ -206,7 +258,8 @@ def bounded_bucket_pairs(bands: DataFrame, sketches: DataFrame, min_exact: float
     as its least one, and a sketch meets those of its own class and the next; sets
     of other classes are never put together, however many share the bucket.
     """
-    sizes = materialize(sketches.select("sketch_id", F.size("grams").alias("items")).filter("items > 0"), "set-sizes")
+    sizes = sketches.select("sketch_id", F.size("grams").alias("items")).filter("items > 0").distinct()
+    sizes = materialize(sizes, "set-sizes")
     # a little wider than needed, so that rounding separates no pair by two classes
     width = max(-math.log(min_exact), 1e-3) * (1 + 1e-9)
     own = F.floor(F.log(F.col("items").cast("double")) / width)
@@ -253,11 +306,11 @@ def similar_sketches(index: Index, min_jaccard: float | None = None,
                      min_exact: float | None = None, block: int = BUCKET_BLOCK) -> DataFrame:
     """All pairs of distinct sketches that share a band, scored: ``a, b, jaccard_est, jaccard_exact``."""
     if min_exact:
-        met = bounded_bucket_pairs(index.bands, index.sketches, min_exact, block)
+        met = bounded_bucket_pairs(index.bands, _sets(index), min_exact, block)
     else:
         met = bucket_pairs(index.bands, block)
-    pairs = score_pairs(met, index.sketches, index.sketches, "a", "b", index.n_bands, index.n_rows)
-    return _above(_above(pairs, "jaccard_est", min_jaccard), "jaccard_exact", min_exact)
+    pairs = score_pairs(met, _sets(index), _sets(index), "a", "b", index.n_bands, index.n_rows, min_jaccard=min_jaccard)
+    return _above(pairs, "jaccard_exact", min_exact)
 
 
 def sketch_members(members: DataFrame) -> DataFrame:

@@ -217,3 +217,23 @@ def test_a_hot_centre_is_split_between_tasks(spark):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_only_sets_that_are_compared_are_shuffled(spark):
+    """A stored index is written as it comes, copies and all, and pairs fetch the sets they need."""
+    base = [f"w{i}" for i in range(60)]
+    rows = [("a", base), ("b", base[1:] + ["x"]), ("c", base), ("none", [])]
+    rows += [(f"apart{i}", [f"{i}.{k}" for k in range(5)]) for i in range(40)]
+    df = spark.createDataFrame([(u, sorted(g)) for u, g in rows], "url string, grams array<string>")
+    idx = lsh.stored_index(df, 32, 4)
+    assert idx.rows.count() == 44 and idx.sketches.count() == 43 and idx.bands.count() == 43 * 32
+    near = {r.url: r.sketch_id for r in idx.members.collect()}
+    pairs = spark.createDataFrame([(near["a"], near["b"])], "a string, b string")
+    one = lsh._attached(pairs, lsh._sets(idx), "a", "grams", "set")
+    assert [sorted(r.set) for r in one.collect()] == [sorted(base)]
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [xxhash64(sketch_id" in plan and "LeftSemi" in plan
+    got = {(r.query_url, r.url): r.jaccard_exact for r in lsh.similar_pages(idx, idx, 0.5, include_self=False).collect()}
+    same = {(u, u): 1.0 for u, _ in rows} | {("none", "none"): None, ("a", "c"): 1.0, ("c", "a"): 1.0}
+    links = {(x, y): 59 / 61 for u in ("a", "c") for x, y in ((u, "b"), ("b", u))}
+    assert got == same | links
