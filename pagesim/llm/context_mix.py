@@ -9,25 +9,28 @@ of the byte are known) and the sum is refined by an adaptive map from (gate,
 quantised odds) to what followed. The eight bits of a byte multiply to its
 probability, those of all bytes and an end mark to that of the text.
 
-*Counts* come from all training texts. Each task adds its texts up in tables of
-its own; their blocks are packed and summed in a shuffle, 64 at a time. The model
-is one table per context with ``2^TABLE_BITS`` slots of two bytes, which is the
-bound of what is broadcast (30 MB).
-
-*Weights and map* are learned online from windows (the bytes before and the one
-predicted) of all training texts. A hash of the window alone chooses one distinct
-window in ``SHARE``, with all its occurrences: the counts know every byte, and the
-few thousand weights need no more. Chosen windows are added up over all texts and
-dealt by another hash into parts of about ``PART`` windows, so that a part and what
-is learned from it depend on the corpus and not on how its texts are split. Each
-part runs through its windows in small steps, predicts each with counts that leave
-it out and corrects the weights by the error. The weights of the parts are averaged,
-each set by how often a part used it, and what the map saw is added up, for
-``ROUNDS`` rounds; only these sums, of fixed size, leave a task. Weights and map are
-then fixed, so that a score depends on the text and the training texts alone, not on
-retried tasks or on the rows scored with it.
-
-*Scoring* is one narrow pass. A batch's distinct windows are predicted once each.
+A *window* is a byte that is predicted and the bytes before it. The windows of all
+training texts are added up once: a task holds its distinct windows with their
+numbers in a hashed table of fixed size, what finds its slot taken is handed on as
+it is, and one shuffle of packed windows makes each occur once in the corpus. They
+are dealt by their hash into one part per ``PART`` bytes of training text, so that a
+part and what is learned from it depend on the corpus and not on how it is split.
+
+*Counts* come from all windows. Each task adds its parts up in tables of its own;
+their blocks are packed and summed in a shuffle, 64 at a time. The model is one
+table per context with ``2^TABLE_BITS`` slots of two bytes, which is the bound of
+what is broadcast (30 MB).
+
+*Weights and map* are learned online from all windows too, each by how often it
+occurs. Each part runs through its windows in small steps, predicts each with counts
+that leave it out and corrects the weights by the error. The weights of the parts
+are averaged, each set by how often a part used it, and what the map saw is added
+up, for ``ROUNDS`` rounds; only these sums, of fixed size, leave a task. Weights and
+map are then fixed, so that a score depends on the text and the training texts
+alone, not on retried tasks or on the rows scored with it.
+
+*Scoring* is one narrow pass. A task keeps the scores of windows in a hashed table
+of fixed size, so that one met again is not predicted again.
 
 The base score is a smoothed unigram model of words. Word counts of the corpus
 are added up by a shuffle. The pass that scores adds up the most frequent words,
@@ -60,11 +63,14 @@ HEAD = 1 << 18  # words whose counts are broadcast at most
 KEPT_WORDS = 1 << 20  # distinct words that a counting task holds before it hands them on
 ROUNDS = 2
 RATE = 0.03
-STEP, STEPS = 256, 512  # windows of one online step at least, eight times that at most; steps a piece is cut into
+STEP, STEPS = 256, 512  # windows of one online step at least, eight times that at most; steps a part is cut into
 PIECE = 1 << 20  # bytes handled at once
 ROWS = 512  # texts handled at once
-SHARE = 16  # one distinct window in so many teaches the weights
-PART = 1 << 18  # windows that one learner runs through, about
+SHARE = 1  # one distinct window in so many teaches the weights: all do
+PART = 1 << 23  # bytes of training text whose windows one learner runs through, about
+HELD_BITS = 22  # of the number of windows that a task holds in a hashed table
+SPARE = 1 << 20  # windows that found their slot taken, held before they are handed on
+CHUNK = 2048  # windows predicted at once
 LEVELS = 8  # counts are kept as eighths of powers of two
 GATES = (1 + ORDERS * 4) * 5  # by the longest context known, how often it was seen, and how often the word so far
 SETS = GATES + 256 + 40  # weights by gate, by the bits before, by how well the word is known and bit position
@@ -212,6 +218,142 @@ def _distinct(windows: np.ndarray, counts: np.ndarray | None = None) -> tuple[np
     return windows[:, first], sums, codes
 
 
+def _held_keys() -> np.ndarray:
+    """The keys in a hashed table that holds nothing: none is one that is looked up there."""
+    keys = np.zeros(1 << HELD_BITS, dtype=np.uint64)
+    keys[0] = 1 << 63
+    return keys
+
+
+def _held_slots(keys: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint64(64 - HELD_BITS)).view(np.int64)
+
+
+class Gathered:
+    """Distinct windows and how often each occurs; what finds its slot taken is spare."""
+
+    def __init__(self):
+        self.keys, self.times = _held_keys(), np.zeros(1 << HELD_BITS, dtype=np.int64)
+        self.windows = np.zeros((2, 1 << HELD_BITS), dtype=np.uint64)
+        self.spare: list = []
+        self.size = 0
+
+    def add(self, windows: np.ndarray) -> None:
+        keys = window_keys(windows)
+        slots = _held_slots(keys)
+        held = self.keys.take(slots) == keys
+        np.add.at(self.times, slots[held], 1)
+        known, times, _ = _distinct(windows[:, ~held])
+        keys = window_keys(known)
+        slots = _held_slots(keys)
+        free = self.times.take(slots) == 0
+        self.keys[slots[free]] = keys[free]  # the last of several with one slot stays
+        held = self.keys.take(slots) == keys
+        at = slots[held]
+        self.times[at] = times[held]
+        self.windows[:, at] = known[:, held]
+        self.spare.append((known[:, ~held], times[~held]))
+        self.size += len(times) - len(at)
+
+    def take_spare(self) -> tuple[np.ndarray, np.ndarray]:
+        windows = np.concatenate([w for w, _ in self.spare] or [np.zeros((2, 0), dtype=np.uint64)], axis=1)
+        times = np.concatenate([t for _, t in self.spare] or [np.zeros(0, dtype=np.int64)])
+        self.spare, self.size = [], 0
+        return _distinct(windows, times)[:2]
+
+    def take_all(self) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero(self.times)
+        windows, times = self.take_spare()
+        return np.concatenate([self.windows[:, at], windows], axis=1), np.concatenate([self.times[at], times])
+
+
+_UNMIX = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
+def pack_windows(keys: np.ndarray, first: np.ndarray, times: np.ndarray) -> bytes:
+    """Windows in the order of their keys: steps of the key, the bytes, how often; the word's hash follows from the key."""
+    planes = np.stack([np.diff(keys, prepend=np.uint64(0)), first, times.astype(np.uint64)])
+    raw = planes.view(np.uint8).reshape(3, len(keys), 8).transpose(0, 2, 1).tobytes()
+    return pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpack_windows(data: bytes, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, windows and how often each occurs."""
+    raw = pa.decompress(data, decompressed_size=24 * count, codec="zstd", asbytes=True)
+    planes = np.frombuffer(raw, dtype=np.uint8).reshape(3, 8, count).transpose(0, 2, 1)
+    steps, first, times = np.ascontiguousarray(planes).view(np.uint64).reshape(3, count)
+    keys = np.cumsum(steps, dtype=np.uint64)
+    return keys, np.stack([first, keys * _UNMIX ^ first * _MIX]), times.astype(np.int64)
+
+
+_WINDOWS = "part long, n long, times long, data binary"
+
+
+def _packed_rows(rows: list[tuple]) -> pa.Table:
+    kinds = pa.schema([("part", pa.int64()), ("n", pa.int64()), ("times", pa.int64()), ("data", pa.binary())])
+    return pa.Table.from_pylist([dict(zip(kinds.names, row)) for row in rows], kinds)
+
+
+def _gather(parts: int):
+    """The distinct windows of the texts of a task, packed by part."""
+
+    def packed(windows: np.ndarray, times: np.ndarray) -> Iterator[pa.RecordBatch]:
+        keys = window_keys(windows)
+        order = np.argsort(keys)
+        keys, first, times = keys[order], windows[0][order], times[order]
+        # parts are ranges of the keys
+        part = (keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+        ends = np.searchsorted(part, np.arange(1, parts + 1, dtype=np.uint64))
+        rows, size = [], 0
+        for number, (a, b) in enumerate(zip([0, *ends.tolist()], ends.tolist())):
+            if a < b:
+                data = pack_windows(keys[a:b], first[a:b], times[a:b])
+                rows.append((number, b - a, int(times[a:b].sum()), data))
+                size += len(data)
+            if rows and size > 1 << 22:
+                yield from _packed_rows(rows).to_batches()
+                rows, size = [], 0
+        if rows:
+            yield from _packed_rows(rows).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gathered = Gathered()
+        for windows in _batch_pieces(batches):
+            gathered.add(windows)
+            if gathered.size > SPARE:
+                yield from packed(*gathered.take_spare())
+        yield from packed(*gathered.take_all())
+
+    return run
+
+
+def _merge(group: pa.Table) -> pa.Table:
+    """One row of the packed windows of one part."""
+    found = [unpack_windows(d.as_py(), n.as_py()) for d, n in zip(group["data"], group["n"])]
+    keys, first, times = (np.concatenate(c) for c in zip(*((k, w[0], t) for k, w, t in found)))
+    order = np.argsort(keys, kind="stable")
+    keys, first, times = keys[order], first[order], times[order]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    times = np.add.reduceat(times, starts)
+    return _packed_rows([(group["part"][0].as_py(), len(starts), int(times.sum()), pack_windows(keys[starts], first[starts], times))])
+
+
+def chosen_windows(texts: DataFrame) -> tuple[DataFrame, int]:
+    """``part, n, times, data``: all windows of a column ``text``, each once, packed by part, and their number."""
+    # the end mark has two bytes
+    size = texts.agg(F.sum(F.octet_length("text") + F.lit(2).cast("long"))).first()[0] or 0
+    rows = texts.mapInArrow(_gather(-(-size // PART) or 1), _WINDOWS)
+    chosen = materialize(rows.groupBy("part").applyInArrow(_merge, _WINDOWS), "mix-windows")
+    return chosen, chosen.agg(F.sum("n")).first()[0] or 0
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Windows and how often each occurs, part by part."""
+    for batch in batches:
+        for data, count in zip(batch.column("data"), batch.column("n").to_pylist()):
+            yield unpack_windows(data.as_py(), count)[1:]
+
+
 _PREFIX = np.cumprod(np.full(256, 0xD6E8FEB86659FD93, dtype=np.uint64))
 
 
@@ -255,22 +397,37 @@ def _blocks(counts: np.ndarray, group: int) -> Iterator[pa.RecordBatch]:
 
 
 _PACKED = "block int, part long, data binary"
+_MOST = np.iinfo(np.uint32).max
+
+
+def _limited(windows: np.ndarray, times: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Windows some at a time, such that their numbers add up to one of 32 bits."""
+    if len(times) > 1 << 16 or len(times) > 1 and times.sum() > _MOST:
+        half = len(times) // 2
+        yield from _limited(windows[:, :half], times[:half])
+        yield from _limited(windows[:, half:], times[half:])
+    elif len(times):
+        yield windows, np.minimum(times, _MOST).astype(np.uint32)
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed counts of zeros and ones by slot of the texts of one task."""
+    """Packed counts of zeros and ones by slot of the windows of one task."""
     counts = np.zeros((2, OFFSETS[-1]), dtype=np.uint32)
-    flat = counts.reshape(-1)
-    for windows in _batch_pieces(batches):
-        known, times, _ = _distinct(windows)
-        times = times.astype(np.uint32)
-        hashes = [contexts(known, number) for number in range(TABLES)]
-        for _, before, bits in _halves(known):
-            for number, context in enumerate(hashes):
-                start = starts(context, number, before)
-                for _, inner, bit in bits:
-                    np.add.at(flat, (start ^ inner) + bit * OFFSETS[-1], times)
-    yield from _blocks(counts, TaskContext.get().partitionId())
+    flat, task, added = counts.reshape(-1), TaskContext.get().partitionId(), 0
+    for part in _parts(batches):
+        for known, times in _limited(*part):
+            added += int(times.sum())
+            if added > _MOST:
+                yield from _blocks(counts, task)
+                counts[:] = 0
+                added = int(times.sum())
+            hashes = [contexts(known, number) for number in range(TABLES)]
+            for _, before, bits in _halves(known):
+                for number, context in enumerate(hashes):
+                    start = starts(context, number, before)
+                    for _, inner, bit in bits:
+                        np.add.at(flat, (start ^ inner) + bit * OFFSETS[-1], times)
+    yield from _blocks(counts, task)
 
 
 def _unpack(data: bytes) -> np.ndarray:
@@ -281,17 +438,21 @@ def _unpack(data: bytes) -> np.ndarray:
 
 def count_tables(texts: DataFrame) -> np.ndarray:
     """Levels of zeros (upper byte) and ones (lower byte) by slot of all tables, of fixed size."""
+    return _tables_of(chosen_windows(texts)[0])
+
+
+def _tables_of(chosen: DataFrame) -> np.ndarray:
 
     def add_up(key: tuple, group: pa.Table) -> pa.Table:
         total = np.zeros((2, 1 << BLOCK_BITS), dtype=np.uint64)
         for data in group["data"]:
             total += _unpack(data.as_py())
-        total = np.minimum(total, np.iinfo(np.uint32).max).astype(np.uint32)
+        total = np.minimum(total, _MOST).astype(np.uint32)
         data = pa.compress(total.tobytes(), codec="zstd", asbytes=True)
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int64()), "data": pa.array([data], pa.binary())})
 
-    packed = texts.mapInArrow(_fold, _PACKED)
-    parts = (texts.select(F.spark_partition_id().alias("part")).agg(F.max("part")).first()[0] or 0) + 1
+    packed = chosen.mapInArrow(_fold, _PACKED)
+    parts = (chosen.select(F.spark_partition_id().alias("part")).agg(F.max("part")).first()[0] or 0) + 1
     while parts > FAN:
         packed = packed.withColumn("part", F.floor(F.col("part") / FAN)).groupBy("block", "part").applyInArrow(add_up, _PACKED)
         parts = -(-parts // FAN)
@@ -305,6 +466,26 @@ def count_tables(texts: DataFrame) -> np.ndarray:
     return levels
 
 
+def bit_slots(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For all first bits of the windows' last bytes, then all second ones, ...: the slot in each table, the bits
+    before with a leading one, and the bit."""
+    size = windows.shape[1]
+    slots = np.empty((TABLES, 8, size), dtype=np.int64)
+    prefixes, ones = np.empty((8, size), dtype=np.int64), np.empty((8, size), dtype=np.int64)
+    hashes = [contexts(windows, number) for number in range(TABLES)]
+    for first, before, bits in _halves(windows):
+        for number, context in enumerate(hashes):
+            start = starts(context, number, before)
+            for k, (_, inner, _) in enumerate(bits, first):
+                np.bitwise_xor(start, inner, out=slots[number, k])
+        for k, (prefix, _, bit) in enumerate(bits, first):
+            prefixes[k], ones[k] = prefix, bit
+    return slots.reshape(TABLES, -1), prefixes.reshape(-1), ones.reshape(-1)
+
+
+_PLACE = np.array([0, *(p.bit_length() - 1 for p in range(1, 256))])  # of a bit, by the bits before
+
+
 class Mixer:
     """Count tables, weights and map; predicts windows."""
 
@@ -313,34 +494,34 @@ class Mixer:
         self.odds = _odds_table(0), _odds_table(1)
         self.details = _detail_table(0), _detail_table(1)
 
-    def inputs(self, begin: list, inner: np.ndarray, k: int, prefix: np.ndarray, bit: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, list]:
-        """Log odds per table, the gate, and the sets of weights.
+    def inputs(self, slots: np.ndarray, bit: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Log odds per table, and the gate.
 
         With ``bit``, one occurrence of it is left out: the table of ones left
         out serves zeros too, with the sides exchanged.
         """
-        odds = np.empty((TABLES, len(prefix)), dtype=np.float32)
-        gate = np.zeros(len(prefix), dtype=np.int8)
+        odds = np.empty(slots.shape, dtype=np.float32)
+        gate = np.zeros(slots.shape[1], dtype=np.int8)
         less = 0 if bit is None else 1
-        for number, start in enumerate(begin):
-            both = self.tables.take(start ^ inner)
+        for number, own in enumerate(slots):
+            both = self.tables.take(own)
             if bit is not None:
                 both = np.where(bit == 1, both, both << 8 | both >> 8)
-            self.odds[less].take(both, out=odds[number])
+            self.odds[less].take(both, out=odds[number], mode="clip")
             detail = self.details[less].take(both)
             if number < ORDERS:
                 np.copyto(gate, detail + np.int8(number * 4), where=detail > 0)
         if bit is not None:
             odds *= np.where(bit == 1, np.float32(1), np.float32(-1))
-        gate = gate.astype(np.int16) * 5 + detail  # the last table is the word's
-        return odds, gate, [gate, GATES + prefix, detail.astype(np.int16) * 8 + (GATES + 256 + k)]
+        return odds, gate.astype(np.int64) * 5 + detail  # the last table is the word's
 
-    def mix(self, odds: np.ndarray, sets: list) -> np.ndarray:
-        rows = self.weights.astype(np.float32)
-        chosen = rows.take(sets[0], axis=0)
-        for own in sets[1:]:
-            chosen += rows.take(own, axis=0)
-        return np.clip(np.einsum("nk,kn->n", chosen, odds), -12, 12)
+    def rows(self) -> np.ndarray:
+        """The added weights by gate and bits before: the gate tells how well the word is known, those bits the place."""
+        own = self.weights.astype(np.float32)
+        gates, prefixes = np.arange(GATES)[:, None], np.arange(256)[None, :]
+        out = own[:GATES][:, None, :] + own[GATES : GATES + 256][None, :, :]
+        out += own[GATES + 256 + gates % 5 * 8 + _PLACE[prefixes]]
+        return out.reshape(-1, TABLES)
 
     def place(self, mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The cell below the odds, and how far they are to the next."""
@@ -350,22 +531,21 @@ class Mixer:
 
     def refine(self, mixed: np.ndarray, gate: np.ndarray) -> np.ndarray:
         low, part = self.place(mixed)
-        at = gate.astype(np.int64) * CELLS + low
+        at = gate * CELLS + low
         flat = self.cells.ravel()
         mapped = flat.take(at) * (1 - part) + flat.take(at + 1) * part
         return np.clip((1 / (1 + np.exp(-mixed)) + mapped) / 2, 1e-6, 1 - 1e-6)
 
     def log2(self, windows: np.ndarray) -> np.ndarray:
         """The log probability of the last byte of each window after the others, in bits."""
-        hashes = [contexts(windows, number) for number in range(TABLES)]
-        total = np.zeros(windows.shape[1])
-        for first, before, bits in _halves(windows):
-            begin = [starts(context, number, before) for number, context in enumerate(hashes)]
-            for k, (prefix, inner, bit) in enumerate(bits, first):
-                odds, gate, sets = self.inputs(begin, inner, k, prefix, None)
-                one = self.refine(self.mix(odds, sets), gate)
-                total += np.log2(np.where(bit == 1, one, 1 - one))
-        return total
+        rows, out = self.rows(), np.empty(windows.shape[1])
+        for at in range(0, len(out), CHUNK):
+            slots, prefix, bit = bit_slots(windows[:, at : at + CHUNK])
+            odds, gate = self.inputs(slots, None)
+            mixed = np.clip(np.einsum("nk,kn->n", rows.take(gate * 256 + prefix, axis=0), odds), -12, 12)
+            one = self.refine(mixed, gate)
+            out[at : at + CHUNK] = np.log2(np.where(bit == 1, one, 1 - one).reshape(8, -1).prod(axis=0))
+        return out
 
 
 def first_weights() -> np.ndarray:
@@ -388,31 +568,33 @@ class Learner:
 
     def run(self, windows: np.ndarray, times: np.ndarray) -> None:
         """Learn from distinct windows, by how often each occurs."""
-        mixer, count = self.mixer, windows.shape[1]
+        count = windows.shape[1]
         order = np.random.default_rng(1).permutation(count)
         step = min(max(STEP, count // STEPS), 8 * STEP)
         for at in range(0, count, step):
-            own, often = windows[:, order[at : at + step]], times[order[at : at + step]].astype(float)
-            share = often / often.sum()
-            hashes = [contexts(own, number) for number in range(TABLES)]
-            for first, before, bits in _halves(own):
-                begin = [starts(context, number, before) for number, context in enumerate(hashes)]
-                for k, (prefix, inner, bit) in enumerate(bits, first):
-                    self.learn_bit(*mixer.inputs(begin, inner, k, prefix, bit), bit, share, often)
-
-    def learn_bit(self, odds: np.ndarray, gate: np.ndarray, sets: list, bit: np.ndarray, share: np.ndarray, often: np.ndarray) -> None:
+            self.step(windows[:, order[at : at + step]], times[order[at : at + step]].astype(float))
+
+    def step(self, windows: np.ndarray, times: np.ndarray) -> None:
         mixer = self.mixer
-        mixed = mixer.mix(odds, sets)
-        error = share * (bit - 1 / (1 + np.exp(-mixed)))
-        rows = np.concatenate(sets)
-        change = np.stack([np.bincount(rows, np.tile(error * o, 3), SETS) for o in odds], axis=1)
+        slots, prefix, bit = bit_slots(windows)
+        odds, gate = mixer.inputs(slots, bit)
+        often, own = np.tile(times, 8), mixer.weights.astype(np.float32)
+        sets = [gate, GATES + prefix, GATES + 256 + gate % 5 * 8 + _PLACE[prefix]]
+        chosen = own.take(sets[0], axis=0) + own.take(sets[1], axis=0) + own.take(sets[2], axis=0)
+        mixed = np.clip(np.einsum("nk,kn->n", chosen, odds), -12, 12)
+        error = often / times.sum() * (bit - 1 / (1 + np.exp(-mixed)))
+        change = np.zeros((SETS, TABLES))
+        for number, o in enumerate(odds):
+            steep = error * o
+            for rows in sets:
+                change[:, number] += np.bincount(rows, steep, SETS)
         self.past += change * change
         mixer.weights += RATE * change / np.sqrt(self.past)
-        self.used += np.bincount(rows, np.tile(often, 3), SETS)
+        for rows in sets:
+            self.used += np.bincount(rows, often, SETS)
         low, part = mixer.place(mixed)
         for cell, weight in ((low, 1 - part), (low + 1, part)):
-            key = (gate.astype(np.int64) * CELLS + cell) * 2 + bit
-            self.seen += np.bincount(key, often * weight, self.seen.size)
+            self.seen += np.bincount((gate * CELLS + cell) * 2 + bit, often * weight, self.seen.size)
 
     def sums(self) -> np.ndarray:
         """What is added up over tasks: uses of each set, weights and past by use, what the map saw."""
@@ -420,47 +602,33 @@ class Learner:
         return np.concatenate([self.used, *(x.ravel() for x in by_use), self.seen])
 
 
-def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct windows that a hash chooses, and how often each occurs in a piece."""
-    for windows in _batch_pieces(batches):
-        keys = window_keys(windows)
-        own, times, _ = _distinct(windows[:, (keys >> np.uint64(32)) % np.uint64(SHARE) == 0])
-        if len(times):
-            yield pa.RecordBatch.from_arrays([*map(pa.array, (*own.view(np.int64), times))], names=["bytes", "word", "times"])
-
-
-def chosen_windows(texts: DataFrame) -> tuple[DataFrame, int]:
-    """``bytes, word, times, part``: the windows that teach, each once, and their number."""
-    own = texts.mapInArrow(_choose, "bytes long, word long, times long").groupBy("bytes", "word").agg(F.sum("times").alias("times"))
-    own = materialize(own, "mix-windows")
-    count = own.count()
-    return own.withColumn("part", F.pmod(F.xxhash64("bytes", "word"), F.lit(-(-count // PART) or 1))), count
-
-
 def _learner(tables, weights: np.ndarray, past: np.ndarray):
-    """What one part of the windows teaches: ``at, value`` of its sums."""
+    """What each part of the windows teaches: ``at, value`` of its sums."""
 
-    def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("bytes", "ascending"), ("word", "ascending")])
-        windows = np.stack([group[c].to_numpy().view(np.uint64) for c in ("bytes", "word")])
-        learner = Learner(tables.value, weights, past)
-        learner.run(windows, group["times"].to_numpy())
-        sums = learner.sums()
-        at = np.flatnonzero(sums)
-        return pa.table({"at": pa.array(at.astype(np.int32)), "value": pa.array(sums[at])})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for windows, times in _parts(batches):
+            learner = Learner(tables.value, weights, past)
+            learner.run(windows, times)
+            sums = learner.sums()
+            at = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at])], names=["at", "value"])
 
     return run
 
 
 def learn(tables: np.ndarray, texts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
-    """Weights and map from chosen windows of a column ``text``, and the number of windows learned from."""
-    sent = texts.sparkSession.sparkContext.broadcast(tables)
-    chosen, _ = chosen_windows(texts)
-    weights, cells, past, count = first_weights(), first_cells(), np.full((SETS, TABLES), 1e-8), 0
+    """Weights and map from all windows of a column ``text``, and the number of distinct windows learned from."""
+    chosen, count = chosen_windows(texts)
+    return *_learn_from(tables, chosen), count
+
+
+def _learn_from(tables: np.ndarray, chosen: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    sent = chosen.sparkSession.sparkContext.broadcast(tables)
+    weights, cells, past = first_weights(), first_cells(), np.full((SETS, TABLES), 1e-8)
     for _ in range(ROUNDS):
         sums_of = _learner(sent, weights, past)
         # decimals, as their sum does not depend on the order
-        added = chosen.groupBy("part").applyInArrow(sums_of, "at int, value double").groupBy("at").agg(F.sum(F.col("value").cast("decimal(38,14)")).cast("double").alias("value"))
+        added = chosen.mapInArrow(sums_of, "at int, value double").groupBy("at").agg(F.sum(F.col("value").cast("decimal(38,14)")).cast("double").alias("value"))
         got = added.toArrow()  # one row per sum at most
         sums = np.zeros(SETS * (1 + 2 * TABLES) + GATES * CELLS * 2)
         sums[got["at"].to_numpy()] = got["value"].to_numpy()
@@ -471,23 +639,45 @@ def learn(tables: np.ndarray, texts: DataFrame) -> tuple[np.ndarray, np.ndarray,
         past[known] = np.maximum(of_past.reshape(SETS, TABLES)[known] / used[known, None], 1e-8)
         seen = seen.reshape(GATES, CELLS, 2)
         cells = (seen[..., 1] + 20 * first_cells()) / (seen.sum(axis=2) + 20)
-        count = round(used[:GATES].sum() / 8)
-    return weights, cells, count
+    return weights, cells
 
 
 def train(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Tables, weights and map learned from a column ``text``."""
-    tables = count_tables(texts)
-    return tables, *learn(tables, texts)[:2]
+    chosen, _ = chosen_windows(texts)
+    tables = _tables_of(chosen)
+    return tables, *_learn_from(tables, chosen)
+
 
+class Scored:
+    """Log probabilities of windows that a mixer predicted, in bits."""
 
-def scores(mixer: Mixer, texts: list[str]) -> np.ndarray:
+    def __init__(self, mixer: Mixer):
+        self.mixer, self.keys = mixer, _held_keys()
+        self.logs = np.zeros(1 << HELD_BITS)
+
+    def log2(self, windows: np.ndarray) -> np.ndarray:
+        keys = window_keys(windows)
+        slots = _held_slots(keys)
+        out = self.logs.take(slots)
+        new = np.flatnonzero(self.keys.take(slots) != keys)
+        if len(new):
+            known, _, codes = _distinct(windows[:, new])
+            logs = self.mixer.log2(known)
+            out[new] = logs[codes]
+            keys = window_keys(known)
+            slots = _held_slots(keys)
+            self.keys[slots] = keys
+            held = self.keys.take(slots) == keys  # the last of several with one slot stays
+            self.logs[slots[held]] = logs[held]
+        return out
+
+
+def scores(mixer: Mixer | Scored, texts: list[str]) -> np.ndarray:
     """The log10 probability of each text."""
     out = np.zeros(len(texts))
     for first, windows, sizes in pieces([text_bytes(t) for t in texts]):
-        known, _, codes = _distinct(windows)
-        logs = np.concatenate([mixer.log2(known[:, at : at + 32768]) for at in range(0, known.shape[1], 32768)])
-        out[first : first + len(sizes)] += np.add.reduceat(logs[codes], np.cumsum(sizes) - sizes)
+        out[first : first + len(sizes)] += np.add.reduceat(mixer.log2(windows), np.cumsum(sizes) - sizes)
     return out * np.log10(2)
 
 
@@ -563,7 +753,7 @@ def score_texts(docs: DataFrame, held_out: Column, key: str = "doc_id", text: st
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, frequent = sent.value
-        mixer, task, done = Mixer(*model), TaskContext.get().partitionId(), 0
+        mixer, task, done = Scored(Mixer(*model)), TaskContext.get().partitionId(), 0
         for batch in batches:
             for at in range(0, len(batch), 1024):
                 part = batch.slice(at, 1024)

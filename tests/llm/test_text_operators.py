@@ -244,6 +244,61 @@ def test_context_mix_chosen_windows_are_a_share_of_the_distinct_ones(spark):
     assert {r.times % 2 for r in found.collect()} == {0}
 
 
+def windows_by_hand(texts):
+    """How often each window occurs in texts."""
+    windows = context_mix.text_windows([context_mix.text_bytes(t) for t in texts])[0]
+    return collections.Counter(zip(*windows.tolist()))
+
+
+def test_context_mix_learns_from_every_window(spark, monkeypatch):
+    rows = [f"one{i % 50} two{i * i} three{i % 7} É\0" for i in range(300)] + ["", "same text"] * 20
+    texts = spark.createDataFrame([(t,) for t in rows], "text string").repartition(5)
+    want = windows_by_hand(rows)
+    for size in (1 << 23, 1000):
+        monkeypatch.setattr(context_mix, "PART", size)
+        chosen, count = context_mix.chosen_windows(texts)
+        got = chosen.collect()
+        found = collections.Counter()
+        for r in got:
+            _, windows, times = context_mix.unpack_windows(bytes(r.data), r.n)
+            assert len(times) == r.n and times.sum() == r.times
+            found.update(dict(zip(zip(*windows.tolist()), times.tolist())))
+        assert found == want and count == len(want) == sum(r.n for r in got)
+        assert len(got) == len({r.part for r in got}) and (len(got) > 1) == (size == 1000)
+    assert context_mix.learn(context_mix.count_tables(texts), texts)[2] == len(want)
+
+
+@pytest.mark.parametrize("bits", [1, 4, 12])
+def test_context_mix_held_windows_are_those_given(monkeypatch, bits):
+    monkeypatch.setattr(context_mix, "HELD_BITS", bits)
+    groups = [[f"text {i} of {i % k} words " * 2 for i in range(40)] for k in (3, 5, 3)]
+    gathered = context_mix.Gathered()
+    pick = np.random.default_rng(0)
+    mixer = context_mix.Mixer(
+        pick.integers(0, 1 << 16, context_mix.OFFSETS[-1]).astype(np.uint16), context_mix.first_weights(), context_mix.first_cells()
+    )
+    scored, found = context_mix.Scored(mixer), collections.Counter()
+    for number, group in enumerate(groups):
+        windows = context_mix.text_windows([context_mix.text_bytes(t) for t in group])[0]
+        gathered.add(windows)
+        assert np.allclose(scored.log2(windows), mixer.log2(windows), rtol=1e-6)
+        if number == 1:
+            spare, times = gathered.take_spare()
+            found.update(dict(zip(zip(*spare.tolist()), times.tolist())))
+    rest, times = gathered.take_all()
+    for window, n in zip(zip(*rest.tolist()), times.tolist()):
+        found[window] += n
+    assert found == windows_by_hand(sum(groups, []))
+
+
+def test_context_mix_numbers_that_add_up_past_32_bits():
+    windows, times = np.arange(10, dtype=np.uint64).reshape(2, 5), np.array([1, 1 << 31, 1 << 31, 5, 1 << 40])
+    got = list(context_mix._limited(windows, times))
+    assert all(int(t.sum(dtype=np.int64)) < 1 << 32 for _, t in got)
+    assert np.concatenate([t for _, t in got]).tolist() == [1, 1 << 31, 1 << 31, 5, (1 << 32) - 1]
+    assert (np.concatenate([w for w, _ in got], axis=1) == windows).all()
+
+
 M, A, D = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
