@@ -64,13 +64,13 @@ KEPT_WORDS = 1 << 20  # distinct words that a counting task holds before it hand
 ROUNDS = 2
 RATE = 0.03
 STEP, STEPS = 256, 512  # windows of one online step at least, eight times that at most; steps a part is cut into
-PIECE = 1 << 20  # bytes handled at once
+PIECE = 1 << 18  # bytes handled at once
 ROWS = 512  # texts handled at once
 SHARE = 1  # one distinct window in so many teaches the weights: all do
 PART = 1 << 23  # bytes of training text whose windows one learner runs through, about
 HELD_BITS = 22  # of the number of windows that a task holds in a hashed table
 SPARE = 1 << 20  # windows that found their slot taken, held before they are handed on
-CHUNK = 2048  # windows predicted at once
+CHUNK = 8192  # windows predicted at once
 LEVELS = 8  # counts are kept as eighths of powers of two
 GATES = (1 + ORDERS * 4) * 5  # by the longest context known, how often it was seen, and how often the word so far
 SETS = GATES + 256 + 40  # weights by gate, by the bits before, by how well the word is known and bit position
@@ -208,6 +208,14 @@ def window_keys(windows: np.ndarray) -> np.ndarray:
     return (windows[0] * _MIX ^ windows[1]) * _MIX
 
 
+_UNMIX = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
+def windows_of(keys: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Windows by their keys and bytes: the word's hash follows from both."""
+    return np.stack([first, keys * _UNMIX ^ first * _MIX])
+
+
 def _distinct(windows: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct windows, how often each occurs, and the number of each one given."""
     keys = window_keys(windows)
@@ -234,7 +242,7 @@ class Gathered:
 
     def __init__(self):
         self.keys, self.times = _held_keys(), np.zeros(1 << HELD_BITS, dtype=np.int64)
-        self.windows = np.zeros((2, 1 << HELD_BITS), dtype=np.uint64)
+        self.bytes = np.zeros(1 << HELD_BITS, dtype=np.uint64)
         self.spare: list = []
         self.size = 0
 
@@ -251,7 +259,7 @@ class Gathered:
         held = self.keys.take(slots) == keys
         at = slots[held]
         self.times[at] = times[held]
-        self.windows[:, at] = known[:, held]
+        self.bytes[at] = known[0, held]
         self.spare.append((known[:, ~held], times[~held]))
         self.size += len(times) - len(at)
 
@@ -264,10 +272,8 @@ class Gathered:
     def take_all(self) -> tuple[np.ndarray, np.ndarray]:
         at = np.flatnonzero(self.times)
         windows, times = self.take_spare()
-        return np.concatenate([self.windows[:, at], windows], axis=1), np.concatenate([self.times[at], times])
-
-
-_UNMIX = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+        held = windows_of(self.keys[at], self.bytes[at])
+        return np.concatenate([held, windows], axis=1), np.concatenate([self.times[at], times])
 
 
 def pack_windows(keys: np.ndarray, first: np.ndarray, times: np.ndarray) -> bytes:
@@ -283,7 +289,7 @@ def unpack_windows(data: bytes, count: int) -> tuple[np.ndarray, np.ndarray, np.
     planes = np.frombuffer(raw, dtype=np.uint8).reshape(3, 8, count).transpose(0, 2, 1)
     steps, first, times = np.ascontiguousarray(planes).view(np.uint64).reshape(3, count)
     keys = np.cumsum(steps, dtype=np.uint64)
-    return keys, np.stack([first, keys * _UNMIX ^ first * _MIX]), times.astype(np.int64)
+    return keys, windows_of(keys, first), times.astype(np.int64)
 
 
 _WINDOWS = "part long, n long, times long, data binary"
@@ -342,7 +348,9 @@ def chosen_windows(texts: DataFrame) -> tuple[DataFrame, int]:
     """``part, n, times, data``: all windows of a column ``text``, each once, packed by part, and their number."""
     # the end mark has two bytes
     size = texts.agg(F.sum(F.octet_length("text") + F.lit(2).cast("long"))).first()[0] or 0
-    rows = texts.mapInArrow(_gather(-(-size // PART) or 1), _WINDOWS)
+    parts = -(-size // PART) or 1
+    # files of about two parts, as a reader takes the rows of a file at once
+    rows = texts.mapInArrow(_gather(parts), _WINDOWS).repartition(-(-parts // 2), "part")
     chosen = materialize(rows.groupBy("part").applyInArrow(_merge, _WINDOWS), "mix-windows")
     return chosen, chosen.agg(F.sum("n")).first()[0] or 0
 
