@@ -30,10 +30,12 @@ map are then fixed, so that a score depends on the text and the training texts
 alone, not on retried tasks or on the rows scored with it.
 
 *Scoring* is one narrow pass. A task keeps the scores of windows in a hashed table
-of fixed size, so that one met again is not predicted again.
+of fixed size, so that one met again is not predicted again. Those of the windows
+that are most frequent in the corpus, at most ``FREQUENT``, are predicted once and
+broadcast (16 MB); they are the same numbers that a task would find.
 
-The base score is a smoothed unigram model of words. Word counts of the corpus
-are added up by a shuffle. The pass that scores adds up the most frequent words,
+The base score is a smoothed unigram model of words. Words are split and numbered
+as Arrow arrays, some texts at a time. Word counts of the corpus are added up by a shuffle. The pass that scores adds up the most frequent words,
 at most ``HEAD`` of which are broadcast; all other words, each of them rare, meet
 their counts in a join, so no key of it is hot and no vocabulary is broadcast.
 """
@@ -41,12 +43,12 @@ their counts in a join, so no key of it is hot and no vocabulary is broadcast.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -59,17 +61,19 @@ TABLE_BITS = (16, 19, 21, 22, 22, 22)
 OFFSETS = [0, *np.cumsum([1 << bits for bits in TABLE_BITS]).tolist()]
 BLOCK_BITS = 16  # slots packed together for the broadcast
 FAN = 64  # packed blocks that one group adds up
+WORD_ROWS, WORD_BYTES = 1024, 1 << 22  # texts whose words are looked up at once at most, and their bytes, but for a longer one
 HEAD = 1 << 18  # words whose counts are broadcast at most
 KEPT_WORDS = 1 << 20  # distinct words that a counting task holds before it hands them on
 ROUNDS = 2
 RATE = 0.03
 STEP, STEPS = 256, 512  # windows of one online step at least, eight times that at most; steps a part is cut into
-PIECE = 1 << 18  # bytes handled at once
+PIECE = 1 << 17  # bytes handled at once
 ROWS = 512  # texts handled at once
 SHARE = 1  # one distinct window in so many teaches the weights: all do
 PART = 1 << 23  # bytes of training text whose windows one learner runs through, about
 HELD_BITS = 22  # of the number of windows that a task holds in a hashed table
-SPARE = 1 << 20  # windows that found their slot taken, held before they are handed on
+SPARE = 1 << 19  # windows that found their slot taken, held before they are handed on
+FREQUENT = 1 << 20  # windows at most that are predicted once for all tasks
 CHUNK = 8192  # windows predicted at once
 LEVELS = 8  # counts are kept as eighths of powers of two
 GATES = (1 + ORDERS * 4) * 5  # by the longest context known, how often it was seen, and how often the word so far
@@ -107,46 +111,59 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E), 0]] = True
 
 
+_KEPT_POWERS: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, count: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return np.cumprod(np.full(count, base, dtype=np.uint64)) * np.uint64(pow(base, -1, 1 << 64))
+    """The first powers of a number, which are kept, as every piece needs them."""
+    if len(_KEPT_POWERS.get(base, ())) < count:
+        with np.errstate(over="ignore"):
+            _KEPT_POWERS[base] = np.cumprod(np.full(count, base, dtype=np.uint64)) * np.uint64(pow(base, -1, 1 << 64))
+    return _KEPT_POWERS[base][:count]
 
 
-def word_hashes(flat: np.ndarray, carried: tuple[int, int] = (0, 0)) -> tuple[np.ndarray, tuple[int, int]]:
+def word_hashes(flat: np.ndarray, carried: tuple[int, int] = (0, 0), begins: np.ndarray | None = None) -> tuple[np.ndarray, tuple[int, int]]:
     """A hash of the bytes between the last white space and each place, and what the next bytes carry on.
 
     With a running sum of byte * root^place, the sum over a word so far is a
     difference of two of its values; times 1 / root^start it does not depend on
     where the word stands. ``carried`` is that sum, and the number of bytes, of
-    a word that began before ``flat``.
+    a word that began before ``flat``. At ``begins`` a word begins, whatever is before.
     """
     size = len(flat)
     powers = _powers(0xD6E8FEB86659FD93, size)
-    sums = np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * _powers(_ROOT, size), dtype=np.uint64)
-    before = np.concatenate([[np.uint64(0)], sums[:-1]])
-    start = np.maximum.accumulate(np.where(np.concatenate([[True], _SPACE[flat[:-1]]]), np.arange(size), 0))
-    part = (before - before[start]) * powers[start]
+    sums = np.zeros(size + 1, dtype=np.uint64)
+    np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * _powers(_ROOT, size), out=sums[1:])
+    first = np.empty(size, dtype=bool)
+    first[0], first[1:] = True, _SPACE.take(flat[:-1])
+    if begins is not None:
+        first[begins] = True
+    start = np.flatnonzero(first)
+    lengths = np.diff(start, append=size)
+    part = (sums[:-1] - np.repeat(sums[start], lengths)) * np.repeat(powers[start], lengths)
     total, length = carried
     shift = np.uint64(pow(_ROOT, length, 1 << 64))
-    ahead = int(np.searchsorted(start, 1))  # places of the word that is carried on
-    part[:ahead] = before[:ahead] * shift + np.uint64(total)
+    ahead = int(lengths[0])  # places of the word that is carried on
+    part[:ahead] = sums[:ahead] * shift + np.uint64(total)
     last = int(start[-1])
     if _SPACE[flat[-1]]:
         after = (0, 0)
     elif last:
-        after = ((int(sums[-1]) - int(before[last])) * int(powers[last]) & (1 << 64) - 1, size - last)
+        after = ((int(sums[-1]) - int(sums[last])) * int(powers[last]) & (1 << 64) - 1, size - last)
     else:
         after = (int(sums[-1]) * int(shift) + total & (1 << 64) - 1, length + size)
-    return (part ^ part >> np.uint64(29)) * _MIX, after
+    part ^= part >> np.uint64(29)
+    part *= _MIX
+    return part, after
+
+
+_BEFORE = 7  # bytes that stand before those of which windows are made: a window is cut out of eight
 
 
-def _last_bytes(flat: np.ndarray) -> np.ndarray:
-    """Each byte with the ORDERS bytes before it as a number."""
-    raw = flat.astype(np.uint64)
-    out = raw.copy()
-    for k in range(1, ORDERS + 1):
-        out[k:] |= raw[:-k] << np.uint64(8 * k)
-    return out
+def _last_bytes(raw: bytes) -> np.ndarray:
+    """Each byte after the first ``_BEFORE`` with the ORDERS bytes before it as a number."""
+    eights = np.ndarray((len(raw) - _BEFORE,), dtype=">u8", buffer=raw, strides=(1,))
+    return eights.astype(np.uint64) & np.uint64((1 << 8 * (ORDERS + 1)) - 1)
 
 
 def text_windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -155,22 +172,23 @@ def text_windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     A window is a row: six bytes as a number, and the hash of the word so far.
     """
     sizes = np.array([len(t) for t in texts])
-    flat = np.frombuffer(b"".join(b"\0" * ORDERS + t for t in texts), dtype=np.uint8)
-    use = np.ones(len(flat), dtype=bool)
-    starts = np.cumsum(sizes + ORDERS) - (sizes + ORDERS)
-    for k in range(ORDERS):
-        use[starts + k] = False
-    return np.stack([_last_bytes(flat)[use], word_hashes(flat)[0][use]]), sizes
+    raw = b"".join([b"\0" * _BEFORE, *texts])
+    if len(raw) == _BEFORE:
+        return np.zeros((2, 0), dtype=np.uint64), sizes
+    last, begins = _last_bytes(raw), np.cumsum(sizes) - sizes
+    for k in range(ORDERS):  # nothing of the text before
+        last[begins[sizes > k] + k] &= np.uint64((1 << 8 * (k + 1)) - 1)
+    words, _ = word_hashes(np.frombuffer(raw, dtype=np.uint8, offset=_BEFORE), begins=begins[sizes > 0])
+    return np.stack([last, words]), sizes
 
 
 def _long_windows(text: bytes) -> Iterator[np.ndarray]:
     """The windows of one text, PIECE bytes at a time, the same as those of ``text_windows``."""
     carried = 0, 0
     for at in range(0, len(text), PIECE):
-        own = np.frombuffer(text[at : at + PIECE], dtype=np.uint8)
-        past = np.frombuffer(text[max(0, at - ORDERS) : at].rjust(ORDERS, b"\0"), dtype=np.uint8)
-        words, carried = word_hashes(own, carried)
-        yield np.stack([_last_bytes(np.concatenate([past, own]))[ORDERS:], words])
+        raw = text[max(0, at - _BEFORE) : at].rjust(_BEFORE, b"\0") + text[at : at + PIECE]
+        words, carried = word_hashes(np.frombuffer(raw, dtype=np.uint8, offset=_BEFORE), carried)
+        yield np.stack([_last_bytes(raw), words])
 
 
 def pieces(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -226,11 +244,12 @@ def _distinct(windows: np.ndarray, counts: np.ndarray | None = None) -> tuple[np
     return windows[:, first], sums, codes
 
 
-def _held_keys() -> np.ndarray:
-    """The keys in a hashed table that holds nothing: none is one that is looked up there."""
-    keys = np.zeros(1 << HELD_BITS, dtype=np.uint64)
-    keys[0] = 1 << 63
-    return keys
+def _held(kind: type) -> np.ndarray:
+    """A hashed table of keys and values that holds nothing: no key in it is one that is looked up there."""
+    # side by side, so that both are met at once
+    held = np.zeros(1 << HELD_BITS, dtype=[("key", np.uint64), ("value", kind)])
+    held["key"][0] = 1 << 63
+    return held
 
 
 def _held_slots(keys: np.ndarray) -> np.ndarray:
@@ -241,7 +260,7 @@ class Gathered:
     """Distinct windows and how often each occurs; what finds its slot taken is spare."""
 
     def __init__(self):
-        self.keys, self.times = _held_keys(), np.zeros(1 << HELD_BITS, dtype=np.int64)
+        self.held = _held(np.int64)
         self.bytes = np.zeros(1 << HELD_BITS, dtype=np.uint64)
         self.spare: list = []
         self.size = 0
@@ -249,18 +268,18 @@ class Gathered:
     def add(self, windows: np.ndarray) -> None:
         keys = window_keys(windows)
         slots = _held_slots(keys)
-        held = self.keys.take(slots) == keys
-        np.add.at(self.times, slots[held], 1)
-        known, times, _ = _distinct(windows[:, ~held])
+        met = self.held.take(slots)["key"] == keys
+        np.add.at(self.held["value"], slots[met], 1)
+        known, times, _ = _distinct(windows.take(np.flatnonzero(~met), axis=1))
         keys = window_keys(known)
         slots = _held_slots(keys)
-        free = self.times.take(slots) == 0
-        self.keys[slots[free]] = keys[free]  # the last of several with one slot stays
-        held = self.keys.take(slots) == keys
-        at = slots[held]
-        self.times[at] = times[held]
-        self.bytes[at] = known[0, held]
-        self.spare.append((known[:, ~held], times[~held]))
+        free = self.held.take(slots)["value"] == 0
+        self.held["key"][slots[free]] = keys[free]  # the last of several with one slot stays
+        met = self.held.take(slots)["key"] == keys
+        at = slots[met]
+        self.held["value"][at] = times[met]
+        self.bytes[at] = known[0, met]
+        self.spare.append((known[:, ~met], times[~met]))
         self.size += len(times) - len(at)
 
     def take_spare(self) -> tuple[np.ndarray, np.ndarray]:
@@ -270,24 +289,30 @@ class Gathered:
         return _distinct(windows, times)[:2]
 
     def take_all(self) -> tuple[np.ndarray, np.ndarray]:
-        at = np.flatnonzero(self.times)
+        at = np.flatnonzero(self.held["value"])
+        held, first = self.held[at], self.bytes[at]
+        del self.held, self.bytes, at  # nothing is added any more, and what follows needs the room
         windows, times = self.take_spare()
-        held = windows_of(self.keys[at], self.bytes[at])
-        return np.concatenate([held, windows], axis=1), np.concatenate([self.times[at], times])
+        first = np.concatenate([windows_of(held["key"], first), windows], axis=1)
+        return first, np.concatenate([held["value"], times])
 
 
 def pack_windows(keys: np.ndarray, first: np.ndarray, times: np.ndarray) -> bytes:
     """Windows in the order of their keys: steps of the key, the bytes, how often; the word's hash follows from the key."""
-    planes = np.stack([np.diff(keys, prepend=np.uint64(0)), first, times.astype(np.uint64)])
-    raw = planes.view(np.uint8).reshape(3, len(keys), 8).transpose(0, 2, 1).tobytes()
-    return pa.compress(raw, codec="zstd", asbytes=True)
+    planes = np.empty((3, 8, len(keys)), dtype=np.uint8)
+    for number, own in enumerate((np.diff(keys, prepend=np.uint64(0)), first, times.astype(np.uint64))):
+        for k in range(8):
+            planes[number, k] = own.view(np.uint8)[k::8]
+    return pa.compress(planes, codec="zstd", asbytes=True)
 
 
 def unpack_windows(data: bytes, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys, windows and how often each occurs."""
     raw = pa.decompress(data, decompressed_size=24 * count, codec="zstd", asbytes=True)
-    planes = np.frombuffer(raw, dtype=np.uint8).reshape(3, 8, count).transpose(0, 2, 1)
-    steps, first, times = np.ascontiguousarray(planes).view(np.uint64).reshape(3, count)
+    planes, own = np.frombuffer(raw, dtype=np.uint8).reshape(3, 8, count), np.empty((3, 8 * count), dtype=np.uint8)
+    for k in range(8):
+        own[:, k::8] = planes[:, k]
+    steps, first, times = own.view(np.uint64)
     keys = np.cumsum(steps, dtype=np.uint64)
     return keys, windows_of(keys, first), times.astype(np.int64)
 
@@ -307,6 +332,7 @@ def _gather(parts: int):
         keys = window_keys(windows)
         order = np.argsort(keys)
         keys, first, times = keys[order], windows[0][order], times[order]
+        del windows, order
         # parts are ranges of the keys
         part = (keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
         ends = np.searchsorted(part, np.arange(1, parts + 1, dtype=np.uint64))
@@ -328,6 +354,7 @@ def _gather(parts: int):
             gathered.add(windows)
             if gathered.size > SPARE:
                 yield from packed(*gathered.take_spare())
+        pa.default_memory_pool().release_unused()
         yield from packed(*gathered.take_all())
 
     return run
@@ -499,6 +526,7 @@ class Mixer:
 
     def __init__(self, tables: np.ndarray, weights: np.ndarray, cells: np.ndarray):
         self.tables, self.weights, self.cells = tables, weights, cells
+        self.added: np.ndarray | None = None  # rows of the weights, which stay when windows are predicted
         self.odds = _odds_table(0), _odds_table(1)
         self.details = _detail_table(0), _detail_table(1)
 
@@ -546,7 +574,9 @@ class Mixer:
 
     def log2(self, windows: np.ndarray) -> np.ndarray:
         """The log probability of the last byte of each window after the others, in bits."""
-        rows, out = self.rows(), np.empty(windows.shape[1])
+        if self.added is None:
+            self.added = self.rows()
+        rows, out = self.added, np.empty(windows.shape[1])
         for at in range(0, len(out), CHUNK):
             slots, prefix, bit = bit_slots(windows[:, at : at + CHUNK])
             odds, gate = self.inputs(slots, None)
@@ -566,6 +596,13 @@ def first_cells() -> np.ndarray:
     return np.tile(1 / (1 + np.exp(-np.linspace(-8, 8, CELLS))), (GATES, 1))
 
 
+OFTEN = 8 * 64  # classes of windows by how often they occur, eight per power of two
+
+
+def how_often(times: np.ndarray) -> np.ndarray:
+    return (8 * np.log2(times)).astype(np.int64)
+
+
 class Learner:
     """Online steps over windows of one part, each with itself left out of the counts."""
 
@@ -573,24 +610,42 @@ class Learner:
         self.mixer, self.past = Mixer(tables, weights.copy(), first_cells()), past.copy()
         self.seen = np.zeros(GATES * CELLS * 2)
         self.used = np.zeros(SETS)
+        self.often = np.zeros(OFTEN, dtype=np.int64)
 
     def run(self, windows: np.ndarray, times: np.ndarray) -> None:
         """Learn from distinct windows, by how often each occurs."""
         count = windows.shape[1]
+        self.often += np.bincount(how_often(times), minlength=OFTEN)
         order = np.random.default_rng(1).permutation(count)
         step = min(max(STEP, count // STEPS), 8 * STEP)
-        for at in range(0, count, step):
-            self.step(windows[:, order[at : at + step]], times[order[at : at + step]].astype(float))
-
-    def step(self, windows: np.ndarray, times: np.ndarray) -> None:
-        mixer = self.mixer
+        group = step * max(1, CHUNK // step)
+        for at in range(0, count, group):
+            own = order[at : at + group]
+            self.steps(windows.take(own, axis=1), times[own].astype(float), step)
+
+    def steps(self, windows: np.ndarray, times: np.ndarray, step: int) -> None:
+        """Some online steps: what does not depend on the weights is found for all of them at once."""
+        mixer, size = self.mixer, len(times)
         slots, prefix, bit = bit_slots(windows)
         odds, gate = mixer.inputs(slots, bit)
-        often, own = np.tile(times, 8), mixer.weights.astype(np.float32)
-        sets = [gate, GATES + prefix, GATES + 256 + gate % 5 * 8 + _PLACE[prefix]]
+        sets = np.stack([gate, GATES + prefix, GATES + 256 + gate % 5 * 8 + _PLACE[prefix]]).reshape(3, 8, size)
+        odds, ones, mixed = odds.reshape(TABLES, 8, size), bit.reshape(8, size), np.empty((8, size))
+        for at in range(0, size, step):
+            own = slice(at, at + step)
+            mixed[:, own] = self.step(odds[:, :, own].reshape(TABLES, -1), sets[:, :, own].reshape(3, -1), ones[:, own].reshape(-1), times[own])
+        often, mixed = np.tile(times, 8), mixed.reshape(-1)
+        for rows in sets.reshape(3, -1):
+            self.used += np.bincount(rows, often, SETS)
+        low, part = mixer.place(mixed)
+        at = (gate * CELLS + low) * 2 + bit
+        self.seen += np.bincount(at, often * (1 - part), self.seen.size)
+        self.seen += np.bincount(at + 2, often * part, self.seen.size)
+
+    def step(self, odds: np.ndarray, sets: np.ndarray, bit: np.ndarray, times: np.ndarray) -> np.ndarray:
+        mixer, own = self.mixer, self.mixer.weights.astype(np.float32)
         chosen = own.take(sets[0], axis=0) + own.take(sets[1], axis=0) + own.take(sets[2], axis=0)
         mixed = np.clip(np.einsum("nk,kn->n", chosen, odds), -12, 12)
-        error = often / times.sum() * (bit - 1 / (1 + np.exp(-mixed)))
+        error = np.tile(times, 8) / times.sum() * (bit - 1 / (1 + np.exp(-mixed)))
         change = np.zeros((SETS, TABLES))
         for number, o in enumerate(odds):
             steep = error * o
@@ -598,16 +653,12 @@ class Learner:
                 change[:, number] += np.bincount(rows, steep, SETS)
         self.past += change * change
         mixer.weights += RATE * change / np.sqrt(self.past)
-        for rows in sets:
-            self.used += np.bincount(rows, often, SETS)
-        low, part = mixer.place(mixed)
-        for cell, weight in ((low, 1 - part), (low + 1, part)):
-            self.seen += np.bincount((gate * CELLS + cell) * 2 + bit, often * weight, self.seen.size)
+        return mixed.reshape(8, -1)
 
     def sums(self) -> np.ndarray:
-        """What is added up over tasks: uses of each set, weights and past by use, what the map saw."""
+        """What is added up over tasks: uses of each set, weights and past by use, what the map saw, windows by how often they occur."""
         by_use = (self.used[:, None] * x for x in (self.mixer.weights, self.past))
-        return np.concatenate([self.used, *(x.ravel() for x in by_use), self.seen])
+        return np.concatenate([self.used, *(x.ravel() for x in by_use), self.seen, self.often])
 
 
 def _learner(tables, weights: np.ndarray, past: np.ndarray):
@@ -627,57 +678,95 @@ def _learner(tables, weights: np.ndarray, past: np.ndarray):
 def learn(tables: np.ndarray, texts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     """Weights and map from all windows of a column ``text``, and the number of distinct windows learned from."""
     chosen, count = chosen_windows(texts)
-    return *_learn_from(tables, chosen), count
+    weights, cells, _ = _learn_from(chosen.sparkSession.sparkContext.broadcast(tables), chosen)
+    return weights, cells, count
 
 
-def _learn_from(tables: np.ndarray, chosen: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    sent = chosen.sparkSession.sparkContext.broadcast(tables)
+def _learn_from(sent, chosen: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights, map, and the number of windows by how often they occur."""
     weights, cells, past = first_weights(), first_cells(), np.full((SETS, TABLES), 1e-8)
     for _ in range(ROUNDS):
         sums_of = _learner(sent, weights, past)
         # decimals, as their sum does not depend on the order
         added = chosen.mapInArrow(sums_of, "at int, value double").groupBy("at").agg(F.sum(F.col("value").cast("decimal(38,14)")).cast("double").alias("value"))
         got = added.toArrow()  # one row per sum at most
-        sums = np.zeros(SETS * (1 + 2 * TABLES) + GATES * CELLS * 2)
+        sums = np.zeros(SETS * (1 + 2 * TABLES) + GATES * CELLS * 2 + OFTEN)
         sums[got["at"].to_numpy()] = got["value"].to_numpy()
-        used, of_weights, of_past, seen = np.split(sums, SETS * np.array([1, 1 + TABLES, 1 + 2 * TABLES]))
+        used, of_weights, of_past, seen, often = np.split(sums, np.cumsum([SETS, SETS * TABLES, SETS * TABLES, GATES * CELLS * 2]))
         known = used > 0
         weights, past = weights.copy(), past.copy()
         weights[known] = of_weights.reshape(SETS, TABLES)[known] / used[known, None]
         past[known] = np.maximum(of_past.reshape(SETS, TABLES)[known] / used[known, None], 1e-8)
         seen = seen.reshape(GATES, CELLS, 2)
         cells = (seen[..., 1] + 20 * first_cells()) / (seen.sum(axis=2) + 20)
-    return weights, cells
+    return weights, cells, often
+
+
+def _frequent(tables, weights: np.ndarray, cells: np.ndarray, often: np.ndarray, chosen: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and log probabilities of the most frequent windows, at most ``FREQUENT``, by how often they occur."""
+    held = np.cumsum(often[::-1])[::-1]  # windows of a class and of all above
+    least = int(np.argmax(held <= FREQUENT)) if held[-1] <= FREQUENT else OFTEN
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mixer = Mixer(tables.value, weights, cells)
+        for windows, times in _parts(batches):
+            own = np.flatnonzero((times > 1) & (how_often(times) >= least))
+            known, times = windows.take(own, axis=1), times[own]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(window_keys(known).view(np.int64)), pa.array(mixer.log2(known)), pa.array(times)], names=["key", "log", "times"]
+            )
+
+    got = chosen.mapInArrow(run, "key long, log double, times long").toArrow()
+    # the last of several with one slot stays
+    order = np.lexsort((got["key"].to_numpy(), got["times"].to_numpy()))
+    return got["key"].to_numpy()[order].view(np.uint64), got["log"].to_numpy()[order]
+
+
+def _model(texts: DataFrame) -> tuple:
+    """Tables, as they were sent to the tasks, weights and map, and what is known of frequent windows."""
+    chosen, _ = chosen_windows(texts)
+    sent = chosen.sparkSession.sparkContext.broadcast(_tables_of(chosen))
+    weights, cells, often = _learn_from(sent, chosen)
+    return sent, weights, cells, _frequent(sent, weights, cells, often, chosen)
 
 
 def train(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Tables, weights and map learned from a column ``text``."""
-    chosen, _ = chosen_windows(texts)
-    tables = _tables_of(chosen)
-    return tables, *_learn_from(tables, chosen)
+    sent, weights, cells, _ = _model(texts)
+    return sent.value, weights, cells
 
 
 class Scored:
-    """Log probabilities of windows that a mixer predicted, in bits."""
+    """Log probabilities of windows that a mixer predicted, in bits.
+
+    Those of ``frequent``, keys and log probabilities, are known beforehand and stay.
+    """
 
-    def __init__(self, mixer: Mixer):
-        self.mixer, self.keys = mixer, _held_keys()
-        self.logs = np.zeros(1 << HELD_BITS)
+    def __init__(self, mixer: Mixer, frequent: tuple[np.ndarray, np.ndarray] | None = None):
+        self.mixer, self.held = mixer, _held(np.float64)
+        self.fixed = np.zeros(1 << HELD_BITS, dtype=bool)
+        if frequent:
+            self.fixed[self.keep(*frequent)] = True
+
+    def keep(self, keys: np.ndarray, logs: np.ndarray) -> np.ndarray:
+        slots = _held_slots(keys)
+        free = ~self.fixed.take(slots)
+        keys, logs, slots = keys[free], logs[free], slots[free]
+        self.held["key"][slots] = keys
+        met = self.held.take(slots)["key"] == keys  # the last of several with one slot stays
+        self.held["value"][slots[met]] = logs[met]
+        return slots
 
     def log2(self, windows: np.ndarray) -> np.ndarray:
         keys = window_keys(windows)
-        slots = _held_slots(keys)
-        out = self.logs.take(slots)
-        new = np.flatnonzero(self.keys.take(slots) != keys)
+        met = self.held.take(_held_slots(keys))
+        out = met["value"].copy()
+        new = np.flatnonzero(met["key"] != keys)
         if len(new):
             known, _, codes = _distinct(windows[:, new])
             logs = self.mixer.log2(known)
             out[new] = logs[codes]
-            keys = window_keys(known)
-            slots = _held_slots(keys)
-            self.keys[slots] = keys
-            held = self.keys.take(slots) == keys  # the last of several with one slot stays
-            self.logs[slots[held]] = logs[held]
+            self.keep(window_keys(known), logs)
         return out
 
 
@@ -699,28 +788,55 @@ def token_key(word: bytes) -> bytes:
     return word if len(word) < 16 else hashlib.md5(word).digest()
 
 
-def words_of(text: str) -> list[bytes]:
-    # bytes.lower and bytes.split know ASCII letters and ASCII white space only
-    return text.encode("utf-8", "surrogatepass").lower().split()
+def coded_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The row of each word of texts, the number of its key, and the keys; then the end of each text, the last key."""
+    # these know ASCII letters and ASCII white space only
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words = split.flatten().dictionary_encode()
+    rows, codes = np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy()), words.indices.to_numpy()
+    keys = words.dictionary.cast(pa.binary())
+    sizes = pc.binary_length(keys).to_numpy()
+    long = sizes >= 16
+    if long.any():
+        digests = [token_key(w) for w in keys.filter(pa.array(long)).to_pylist()]
+        keys = pc.replace_with_mask(keys, pa.array(long), pa.array(digests, pa.binary()))
+    if not sizes.all():  # beside white space at either end of a text
+        words = sizes[codes] > 0
+        rows, codes = rows[words], codes[words]
+    keys = pa.concat_arrays([keys, pa.array([END], pa.binary())])
+    return np.concatenate([rows, np.arange(len(texts))]), np.concatenate([codes, np.full(len(texts), len(keys) - 1)]), keys
+
+
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch, some at a time, by their number and the bytes of a column."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(np.int64))
+    at, done = 0, 0
+    while at < len(batch):
+        stop = min(max(int(np.searchsorted(ends, done + WORD_BYTES, "right")), at + 1), at + WORD_ROWS)
+        yield batch.slice(at, stop - at)
+        at, done = stop, int(ends[min(stop, len(ends)) - 1])
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
+    held: list[pa.Table] = []
 
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array([token_key(w) for w in counts], pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["token", "c"]
-        )
+    def added() -> list[pa.Table]:
+        return [pa.concat_tables(held).group_by("token", use_threads=False).aggregate([("c", "sum")]).rename_columns(["token", "c"])]
 
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            counts.update(words_of(text))
-            counts[END] += 1
-            if len(counts) > KEPT_WORDS:
-                yield out()
-                counts.clear()
-    if counts:
-        yield out()
+        for part in _slices(batch, 0):
+            _, codes, keys = coded_words(part.column(0))
+            counts = np.bincount(codes, minlength=len(keys))
+            held.append(pa.table([keys, pa.array(counts, pa.int64())], names=["token", "c"]).filter(pa.array(counts > 0)))
+            if sum(map(len, held)) > KEPT_WORDS:
+                held = added()
+                if len(held[0]) > KEPT_WORDS // 2:
+                    yield from held[0].to_batches()
+                    held = []
+    if held:
+        yield from added()[0].to_batches()
+    held = []
+    pa.default_memory_pool().release_unused()  # the worker stays
 
 
 def word_counts(texts: DataFrame) -> tuple[DataFrame, int, int, dict[bytes, int]]:
@@ -735,8 +851,10 @@ def word_counts(texts: DataFrame) -> tuple[DataFrame, int, int, dict[bytes, int]
         if held > HEAD:
             break
         least = 1 << power
-    head = counts.filter(F.col("c") >= least).collect() if least else []
-    return counts, total, kinds, {bytes(t): c for t, c in head}
+    if not least:
+        return counts, total, kinds, {}
+    head = counts.filter(F.col("c") >= least).toArrow()
+    return counts, total, kinds, dict(zip(head["token"].to_pylist(), head["c"].to_pylist()))
 
 
 _SCORED = "uid long, n_tokens long, n_known long, base_score double, score double, bytes long, rare array<binary>"
@@ -755,36 +873,35 @@ def score_texts(docs: DataFrame, held_out: Column, key: str = "doc_id", text: st
     rows = docs.select(F.col(key).alias("key"), own.alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     learned = rows.filter(~F.col("held_out")).select("text")
     counts, total, kinds, head = word_counts(learned)
-    sent = spark.sparkContext.broadcast((train(learned), head))
+    tables, *model = _model(learned)
+    sent = spark.sparkContext.broadcast((model, head))
     # the total of a token's smoothed counts is N + V + 1
     whole = np.log10(total + 1.0 * (kinds + 1))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, frequent = sent.value
-        mixer, task, done = Scored(Mixer(*model)), TaskContext.get().partitionId(), 0
+        (weights, cells, known_windows), frequent = sent.value
+        mixer, task, done = Scored(Mixer(tables.value, weights, cells), known_windows), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, len(batch), 1024):
-                part = batch.slice(at, 1024)
-                texts = part.column(1).to_pylist()
-                known, rare, sizes = [], [], np.zeros(len(texts), dtype=np.int64)
-                for i, text in enumerate(texts):
-                    keys = [w if len(w) < 16 else token_key(w) for w in words_of(text)]
-                    keys.append(END)
-                    counts = list(map(frequent.get, keys))
-                    known.append(np.array([c for c in counts if c], dtype=float))
-                    rare.append([k for k, c in zip(keys, counts) if not c])
-                    sizes[i] = len(keys)
+            for part in _slices(batch, 1):
+                texts, size = part.column(1), len(part)
+                row, codes, keys = coded_words(texts)
+                counts = np.array([frequent.get(k, 0) for k in keys.to_numpy(zero_copy_only=False).tolist()])[codes]
+                known, rare = counts > 0, np.flatnonzero(counts == 0)
+                logs = np.bincount(row[known], np.log10(counts[known] + 1.0), size)
+                rare = rare[np.argsort(row[rare], kind="stable")]
+                ends = np.cumsum(np.bincount(row[rare], minlength=size))
+                tokens = keys.take(pa.array(codes[rare]))
+                sizes = np.bincount(row, minlength=size)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0), part.column(2), pa.array((task << 40) + done + np.arange(len(texts))),
-                        pa.array(sizes), pa.array(np.array([len(k) for k in known])),
-                        pa.array(np.array([np.log10(k + 1).sum() for k in known]) - sizes * whole), pa.array(scores(mixer, texts)),
-                        pa.array(np.array([len(t.encode("utf-8", "surrogatepass")) for t in texts])),
-                        pa.array(rare, pa.list_(pa.binary())),
+                        part.column(0), part.column(2), pa.array((task << 40) + done + np.arange(size)),
+                        pa.array(sizes), pa.array(np.bincount(row[known], minlength=size)), pa.array(logs - sizes * whole),
+                        pa.array(scores(mixer, texts.to_pylist())), pc.binary_length(texts).cast(pa.int64()),
+                        pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), tokens),
                     ],
                     names=["key", "held_out", "uid", "n_tokens", "n_known", "base_score", "score", "bytes", "rare"],
                 )
-                done += len(texts)
+                done += size
 
     kind = rows.schema["key"].dataType.simpleString()
     scored = materialize(rows.select("key", "text", "held_out").mapInArrow(score, f"key {kind}, held_out boolean, {_SCORED}"), "mix-scores")

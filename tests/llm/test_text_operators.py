@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -291,6 +292,124 @@ def test_context_mix_held_windows_are_those_given(monkeypatch, bits):
     assert found == windows_by_hand(sum(groups, []))
 
 
+class Counting:
+    """A mixer that counts the windows it predicts."""
+
+    def __init__(self, mixer):
+        self.mixer, self.predicted = mixer, 0
+
+    def log2(self, windows):
+        self.predicted += windows.shape[1]
+        return self.mixer.log2(windows)
+
+
+def random_mixer():
+    pick = np.random.default_rng(0)
+    return context_mix.Mixer(
+        pick.integers(0, 1 << 16, context_mix.OFFSETS[-1]).astype(np.uint16), context_mix.first_weights(), context_mix.first_cells()
+    )
+
+
+def test_context_mix_frequent_windows_are_not_predicted_again(monkeypatch):
+    monkeypatch.setattr(context_mix, "HELD_BITS", 12)
+    texts = [context_mix.text_bytes(f"text {i} of {i % 5} words") for i in range(200)]
+    windows = context_mix.text_windows(texts)[0]
+    known = context_mix._distinct(context_mix.text_windows(texts[:100])[0])[0]
+    mixer = random_mixer()
+    for frequent, held in ((None, 0), ((context_mix.window_keys(known), mixer.log2(known)), known.shape[1])):
+        counting = Counting(mixer)
+        scored = context_mix.Scored(counting, frequent)
+        for _ in range(2):
+            assert np.allclose(scored.log2(windows), mixer.log2(windows), rtol=1e-6)
+        every = context_mix._distinct(windows)[0].shape[1]
+        if frequent is None:
+            alone = counting.predicted
+        assert counting.predicted >= every - held
+    assert counting.predicted < alone
+
+
+def test_context_mix_frequent_windows_are_the_most_frequent(spark, monkeypatch):
+    rows = ["often said"] * 50 + ["seldom said"] * 3 + [f"once {i * 7919}" for i in range(100)]
+    texts = spark.createDataFrame([(t,) for t in rows], "text string").repartition(4)
+    every = windows_by_hand(rows)
+    times = dict(zip(context_mix.window_keys(np.array(list(every), dtype=np.uint64).T).tolist(), every.values()))
+    for most in (1 << 20, 20, 5, 0):
+        monkeypatch.setattr(context_mix, "FREQUENT", most)
+        sent, weights, cells, (keys, logs) = context_mix._model(texts)
+        assert len(set(keys.tolist())) == len(keys) == len(logs) <= most
+        held = [times[k] for k in keys.tolist()]
+        assert held == sorted(held)
+        # a class of windows that occur about as often is taken as a whole or not at all
+        least = min(held, default=math.inf)
+        assert sorted(held) == sorted(n for n in times.values() if n >= max(least, 2))
+        assert most < 1 << 20 or least == 2
+        if held:
+            windows = np.array(list(every), dtype=np.uint64).T
+            want = dict(zip(context_mix.window_keys(windows).tolist(), context_mix.Mixer(sent.value, weights, cells).log2(windows)))
+            assert np.allclose([want[k] for k in keys.tolist()], logs)
+
+
+def test_context_mix_learner_steps_do_not_depend_on_the_group(monkeypatch):
+    texts = [context_mix.text_bytes(f"text {i} of {i * i % 50} words") for i in range(300)]
+    windows, times, _ = context_mix._distinct(context_mix.text_windows(texts)[0])
+    monkeypatch.setattr(context_mix, "STEP", 16)
+    got = []
+    for size in (1, 100, 1 << 20):
+        monkeypatch.setattr(context_mix, "CHUNK", size)
+        learner = context_mix.Learner(random_mixer().tables, context_mix.first_weights(), np.full((context_mix.SETS, context_mix.TABLES), 1e-8))
+        learner.run(windows, times)
+        got.append(learner)
+        assert (learner.mixer.weights == got[0].mixer.weights).all() and (learner.past == got[0].past).all()
+        assert np.allclose(learner.sums(), got[0].sums())
+    assert (got[0].mixer.weights != context_mix.first_weights()).any() and got[0].often.sum() == len(times)
+
+
+def test_context_mix_gathered_windows_leave_no_table(monkeypatch):
+    monkeypatch.setattr(context_mix, "HELD_BITS", 8)
+    gathered = context_mix.Gathered()
+    gathered.add(context_mix.text_windows([b"some text, some more\0\0"])[0])
+    gathered.take_all()
+    assert not [v for v in vars(gathered).values() if isinstance(v, np.ndarray)]
+
+
+def test_context_mix_coded_words_are_those_split_by_hand():
+    texts = ["A b  a", "", " \n", "É\u00a0x É \x1f \x1c q", "tail\t\r", "\v\fa", "w" * 15 + " " + "W" * 16 + " " + "w" * 16, "é" * 8, "\0 z"]
+    for column in (pa.array(texts), pa.array(["drop me", *texts, "x"]).slice(1, len(texts))):
+        rows, codes, keys = context_mix.coded_words(column)
+        got = collections.Counter((int(r), keys[int(c)].as_py()) for r, c in zip(rows, codes))
+        want = collections.Counter(
+            (i, context_mix.token_key(w)) for i, t in enumerate(texts) for w in [*re.findall(rb"[^\x20\x09-\x0D]+", t.encode().lower()), b""]
+        )
+        assert got == want
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])] * 2
+    counted = collections.Counter()
+    for batch in context_mix._count_words(iter(batches)):
+        counted.update(dict(zip(batch["token"].to_pylist(), batch["c"].to_pylist())))
+    assert counted == collections.Counter(k for _, k in want.elements()) + collections.Counter(k for _, k in want.elements())
+
+
+def test_context_mix_slices_hold_every_row_once(monkeypatch):
+    monkeypatch.setattr(context_mix, "WORD_ROWS", 4)
+    monkeypatch.setattr(context_mix, "WORD_BYTES", 10)
+    texts = ["abc", "", "x" * 30, "y" * 10, "z" * 9, "", "", "", "", "é", "q" * 11]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(12)), pa.array(["cut", *texts])], names=["key", "text"]).slice(1)
+    parts = [part["text"].to_pylist() for part in context_mix._slices(batch, 1)]
+    assert sum(parts, []) == texts and all(parts)
+    assert all(len(p) <= 4 and (len(p) == 1 or sum(len(t.encode()) for t in p) <= 10) for p in parts)
+    assert not list(context_mix._slices(batch.slice(0, 0), 1))
+
+
+def test_context_mix_words_of_many_slices(monkeypatch):
+    monkeypatch.setattr(context_mix, "WORD_ROWS", 2)
+    monkeypatch.setattr(context_mix, "KEPT_WORDS", 5)
+    texts = [f"w{i % 3} x{i}" + " w0" * (i % 4) for i in range(40)]
+    counts = collections.Counter()
+    for batch in context_mix._count_words(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])])):
+        for token, c in zip(batch["token"].to_pylist(), batch["c"].to_pylist()):
+            counts[token] += c
+    assert counts == collections.Counter(w for t in texts for w in [*t.encode().split(), b""])
+
+
 def test_context_mix_numbers_that_add_up_past_32_bits():
     windows, times = np.arange(10, dtype=np.uint64).reshape(2, 5), np.array([1, 1 << 31, 1 << 31, 5, 1 << 40])
     got = list(context_mix._limited(windows, times))
