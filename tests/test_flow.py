@@ -110,14 +110,15 @@ def test_stream_similar_by_class_grows_with_the_pages(spark, tmp_path):
     assert sorted(links) == [f"u{i:02d}" for i in range(30)]
 
 
-def test_stream_similar_query_names_all_pairs(spark, tmp_path):
+@pytest.mark.parametrize("query", [q.stream_similar, q.stream_similar_small_batches])
+def test_stream_similar_query_names_all_pairs(spark, tmp_path, query):
     """Every two pages that share a band, copies too, and each page with itself."""
     body = ["<html><body><div><p>a</p></div></body></html>", "<html><body><ul><li>a<li>b</ul></body></html>"]
     rows = [(i, f"u{i:02d}", body[i % 3 == 0]) for i in range(12)]
     spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     want = {(a, b) for _, a, x in rows for _, b, y in rows if a < b and x == y} | {(u, f"{u}*") for _, u, _ in rows}
     assert len(want) == 28 + 6 + 12
-    got = [tuple(r) for r in q.stream_similar(spark, str(tmp_path)).select("url_a", "url_b").collect()]
+    got = [tuple(r) for r in query(spark, str(tmp_path)).select("url_a", "url_b").collect()]
     assert sorted(got) == sorted(want)
 
 
