@@ -122,6 +122,23 @@ def test_stream_similar_query_names_all_pairs(spark, tmp_path, query):
     assert sorted(got) == sorted(want)
 
 
+def test_stream_similar_scores_pages_as_a_lookup_does(spark, tmp_path):
+    body = ["<html><body><div><p>a</p></div></body></html>", "<html><body><div><p>a</p></div><div><p>b</p></div></body></html>"]
+    rows = [(f"u{i}", body[i % 3 == 0] + "<p>c</p>" * (i % 2)) for i in range(8)] + [(None, body[0])]
+    df = spark.createDataFrame(rows, "url string, html string")
+    path, source, out = (str(tmp_path / n) for n in ("index", "in", "out"))
+    df.repartition(2).write.parquet(source)
+    stream = spark.readStream.schema("url string, html string").option("maxFilesPerTrigger", 1).parquet(source)
+    ingest.stream_similar(stream, path, out, str(tmp_path / "check"), q.BLOCK).awaitTermination()
+    ordered = [F.least("query_url", "url").alias("a"), F.greatest("query_url", "url").alias("b")]
+    scores = [F.round(c, 9) for c in ("jaccard_est", "jaccard_exact", "cosine_distance")]
+    idx = store.build_index(df, str(tmp_path / "built"), q.BLOCK)
+    every = q.lsh.similar_pages(q.tree.page_features(df, "html", q.BLOCK), idx).filter("query_url <> url")
+    want = sorted({tuple(r) for r in every.select(*ordered, *scores).collect()})
+    got = sorted(tuple(r) for r in spark.read.parquet(out).select(*ordered, *scores).collect())
+    assert got == want and len(want) > 8 and len({r[4] for r in want}) > 1
+
+
 def test_streams_builds_and_appends_lose_and_double_nothing(spark, folder):
     from pagesim.plans.oracle import ORACLE  # noqa: F401  the SQL of these runs is the index of all pages
 

@@ -158,6 +158,27 @@ def test_components_on_hub_chain_and_random_edges(spark):
     assert got == wanted
 
 
+def test_pages_spelled_out_by_blocks_are_those_of_the_lookup(spark):
+    """Hot sketches, several vectors in one, a vector of zeros and none, in blocks of 4 URLs."""
+    sets = [[f"{i}.1.1" for i in range(30)], [f"{i}.1.1" for i in range(29)], ["9.9.9"]]
+    vecs = [{1: 2, 2: 1}, {2: 1, 1: 2}, {1: 1}, {}, None]
+    rows = [(f"u{i:02d}", sets[i % 7 // 3], vecs[i % 5]) for i in range(40)]
+    idx = lsh.stored_index(spark.createDataFrame(rows, "url string, grams array<string>, vec map<int,bigint>"))
+    _, found = lsh.similar_classes(idx, idx)
+    pages = idx.members.select("url", "sketch_id", "vec")
+    before = F.col("url") < F.col("query_url")
+    want = lsh.similar_pages(idx, idx, include_self=False).filter(before)
+    got = lsh.expand_pairs(found, pages, pages.withColumn("own", F.lit(True)), before & F.col("own"), ["own"], block=4)
+    assert got.columns == want.columns
+    want, got = (sorted(map(repr, df.collect())) for df in (want, got))
+    assert got == want and len(want) > 40 * 39 / 4
+    blocks, lines = lsh.url_blocks(pages, [], block=4)
+    assert sorted(u for r in blocks.collect() for u in r.urls) == [u for u, _, _ in rows]
+    # equal vectors share rows; each sketch has lines of about four
+    assert {(r.urls, r.lines) for r in lines.collect()} == {(18, 5), (17, 5), (5, 2)}
+    assert blocks.groupBy("sketch_id", "form").count().count() == 3 * 4
+
+
 def test_saved_index_answers_like_the_built_one(spark, folder):
     path = work_dir(spark, "index")
     idx = store.build_index(q.pages(spark, folder).select("url", "html"), path, q.BLOCK)
